@@ -118,3 +118,37 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     """A-Z to a-z, all else as it is."""
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+
+
+#: Bytes that make up a plain word: a-z, A-Z, 0-9 and all of UTF-8 beyond ASCII.
+PLAIN = np.zeros(256, bool)
+PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def plain_words(data: np.ndarray, offs: np.ndarray, keep: np.ndarray = PLAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words stripped of all bytes outside `keep`, empty ones left out: (their bytes, start, end, text)."""
+    start, end, text = words(data, offs)
+    kept = keep[data]
+    at = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(kept, out=at[1:])
+    start, end = at[start], at[end]
+    full = end > start
+    return data[kept], start[full], end[full], text[full]
+
+
+class Members:
+    """Membership in a sorted set of 64-bit values, with a bitmap in front that turns most others away."""
+
+    def __init__(self, values: np.ndarray, bits: int | None = None):
+        self.values = np.unique(values.astype(U))
+        self.shift = U(64 - (bits or min(24, max(12, int(len(self.values)).bit_length() + 5))))
+        self.bitmap = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.bitmap[self.values >> self.shift] = True
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in x that are members, their index among the sorted values)."""
+        at = np.flatnonzero(self.bitmap[x >> self.shift]) if len(x) else np.zeros(0, np.int64)
+        i = np.searchsorted(self.values, x[at])
+        i = np.minimum(i, max(len(self.values) - 1, 0))
+        hit = self.values[i] == x[at] if len(self.values) else np.zeros(len(at), bool)
+        return at[hit], i[hit]
