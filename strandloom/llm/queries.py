@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from strandloom.llm import chat, langid, mixing, sharding, topk, toxicity
+from strandloom.llm import chat, langid, mixing, recompression, sharding, suffixes, topk, toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": suffixes.op1_suffix_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_chat_format": chat.op3_chat_format,
     "op4_shard": sharding.op4_shard,
+    "op5_substring_dedup": recompression.op5_substring_dedup,
     "op6_top_k": topk.op6_top_k,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_language_id": langid.op8_language_id,
