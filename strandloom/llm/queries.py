@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import chat, langid, mixing, recompression, sharding, suffixes, topk, toxicity
+from strandloom.llm import chat, decontamination, jaccard, langid, mixing, recompression, sharding, suffixes, topk, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffixes.op1_suffix_dedup,
@@ -13,5 +13,7 @@ QUERIES = {
     "op6_top_k": topk.op6_top_k,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_language_id": langid.op8_language_id,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
+    "op10_decontaminate": decontamination.op10_decontaminate,
 }
 ORACLES = {"op3_chat_format": chat.ORACLE, "op6_top_k": topk.ORACLE}
