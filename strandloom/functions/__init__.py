@@ -1 +1 @@
-
+"""Column functions on sequences, CIGAR strings and flags."""

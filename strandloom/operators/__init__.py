@@ -1 +1 @@
-
+"""DataFrame operators by domain."""

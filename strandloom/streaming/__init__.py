@@ -1 +1 @@
-
+"""Streams. The sources at hand are bounded files, so every operator is a batch DataFrame function; nothing lives here yet."""
