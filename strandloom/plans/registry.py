@@ -42,7 +42,7 @@ ADAPTERS = {
         cast(floor(l_tax * 1000) as bigint) as score from {lineitem}""",
     "regions": """select 'A' as sample, concat('c', p_partkey) as contig, cast(p_size * 40 as bigint) as r_start, cast(p_size * 40 + 600 as bigint) as r_end,
         cast(p_partkey as bigint) as region from {part}""",
-    "reference": """select concat('c', doc_id) as contig, regexp_replace(upper(%s), '[^ACGTN]', ''/*g*/) as seq from {documents}""" % _MAP,
+    "reference": """select concat('c', doc_id) as contig, regexp_replace(%s, '[^ACGTN]', ''/*g*/) as seq from {documents}""" % _MAP,
     "coverage": """select sample, concat('k', cast(substring(contig, 2) as bigint) % 12) as chrom, 'p' as arm, cast(floor(pos / 20) as bigint) as bin,
         cast(sum(span * (1 + mapq % 3)) as double) as coverage, cast(min(mapq) as int) as map, cast(max(mapq) + min(span) as int) % 101 as gc from {aln} group by 1, 2, 3, 4""",
     "segments": """select l_returnflag as sample, concat('k', l_suppkey % 22) as chrom, 'p' as arm, cast(l_orderkey * 10 + l_linenumber as bigint) as start,
