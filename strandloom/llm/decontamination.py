@@ -127,7 +127,7 @@ def smith_waterman(passages: list[np.ndarray], items: list[np.ndarray]) -> tuple
     for r in range(high):
         same = (p == q[:, r : r + 1]) & in_p & in_q[:, r : r + 1]
         row = np.zeros_like(above)
-        row[:, 1:] = np.maximum(np.maximum(above[:, :-1] + np.where(same, MATCH, MISMATCH), above[:, 1:] + GAP), 0)
+        row[:, 1:] = np.maximum(np.maximum(above[:, :-1] + np.where(same, np.int32(MATCH), np.int32(MISMATCH)), above[:, 1:] + GAP), 0)
         row = np.maximum.accumulate(row + step, axis=1) - step  # gaps in the item
         top = row.max(1)
         better = top > best
@@ -136,7 +136,7 @@ def smith_waterman(passages: list[np.ndarray], items: list[np.ndarray]) -> tuple
     return best, where
 
 
-def _aligned(batches, cells: int = 1 << 21):
+def _aligned(batches, cells: int = 1 << 18):
     """Pairs (p1, p2, item_id, words, item_words) to (p1, p2, item_id, score, end)."""
     for batch in batches:
         a, b = batch.column(3), batch.column(4)
