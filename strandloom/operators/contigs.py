@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -182,16 +184,33 @@ def best_path(segments: list[tuple], length: float) -> tuple[list[int], float]:
 
 
 def best_alignment_path(rows: DataFrame) -> DataFrame:
-    """CQ15: qname, chrom, qstart, qend, score, path_score of the alignments on the best path over each contig."""
+    """CQ15: qname, chrom, qstart, qend, score, path_score of the alignments on the best path over each contig.
+
+    Contigs are sorted within their partitions and streamed through, so a task holds a batch and one contig at a time.
+    """
     kind = dict(rows.dtypes)
     schema = f"qname {kind['qname']}, chrom {kind['chrom']}, qstart {kind['qstart']}, qend {kind['qend']}, score {kind['score']}, path_score double"
-
-    def chosen(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["qstart", "qend", "score", "chrom"]).reset_index(drop=True)
-        path, total = best_path(list(pdf[["chrom", "qstart", "qend", "score"]].itertuples(index=False, name=None)), float(pdf["qlen"].iloc[0]))
-        return pdf.loc[path, ["qname", "chrom", "qstart", "qend", "score"]].assign(path_score=total)
-
-    return rows.select("qname", "chrom", "qstart", "qend", "score", "qlen").groupBy("qname").applyInPandas(chosen, schema)
+    columns = ["qname", "chrom", "qstart", "qend", "score", "qlen"]
+
+    def chosen(segments: list[tuple]) -> list[tuple]:
+        path, total = best_path([s[1:5] for s in segments], float(segments[0][5]))
+        return [(*segments[i][:5], total) for i in path]
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        for pdf in batches:
+            out: list[tuple] = []
+            for row in pdf.itertuples(index=False, name=None):
+                if held and held[0][0] != row[0]:
+                    out += chosen(held)
+                    held = []
+                held.append(row)
+            yield pd.DataFrame(out, columns=[*columns[:5], "path_score"])
+        if held:
+            yield pd.DataFrame(chosen(held), columns=[*columns[:5], "path_score"])
+
+    sorted_rows = rows.where("qname is not null").select(*columns).repartition("qname").sortWithinPartitions("qname", "qstart", "qend", "score", "chrom")
+    return sorted_rows.mapInPandas(stream, schema)
 
 
 def contig_segments(rows: DataFrame) -> DataFrame:

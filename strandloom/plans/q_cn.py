@@ -112,8 +112,8 @@ BINS = "select chrom, cast(b * 5000 as bigint) as r_start, cast(b * 5000 + 5000
 
 @query(
     "cn15_heatmap_bins",
-    f"""with b as ({BINS}) select sample, s.chrom, r_start as bin_start, round(sum(mean * (least("end", r_end) - greatest(start, r_start))) / sum(least("end", r_end) - greatest(start, r_start)), 6) as mean
+    f"""with b as ({BINS}) select sample, s.chrom, r_start as bin_start, round(sum(mean * (least("end", r_end) - greatest(start, r_start))) / sum(least("end", r_end) - greatest(start, r_start)), 9) + 0.0 as mean
     from {{segments}} s join b on s.chrom = b.chrom and start < r_end and r_start < "end" group by 1, 2, 3""",
 )
 def _(t):
-    return cn.heatmap_bins(t.segments, t.sql(BINS), 5000).withColumn("mean", F.round("mean", 6))
+    return cn.heatmap_bins(t.segments, t.sql(BINS), 5000).withColumn("mean", F.round("mean", 9) + 0.0)
