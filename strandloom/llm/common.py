@@ -1,12 +1,12 @@
-"""Shared helpers: tables, scratch tables in the shared folder, connected components."""
+"""Shared names of the operators: tables, words, and the scratch tables and components of the library's plans."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from strandloom.plans.tables import components, forget, saved, scratch
+
+__all__ = ["DOCUMENT_COLUMNS", "WORD", "components", "forget", "saved", "scratch", "table"]
 
 #: A word is a maximal run of anything but these blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,83 +15,3 @@ DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark.sparkContext, "_strandloom_scratch", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext._strandloom_scratch = base
-    return base.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts the lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def forget(*frames: DataFrame) -> None:
-    """Remove tables written by saved() that no later plan reads."""
-    for df in frames:
-        path = getattr(df, "_scratch_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-
-
-def components(edges: DataFrame, name: str = "components", max_rounds: int = 64) -> DataFrame:
-    """(node, component) for every node of edges(a, b): component is the smallest node reachable.
-
-    Large-star and small-star rounds: each round links every node to the smallest label of its neighbourhood, so the rounds
-    grow with the logarithm of a component's size. Every round is written to the shared folder; nothing reaches the driver but
-    a count and a checksum.
-    """
-    e = saved(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-edges"
-    )
-
-    def digest(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-
-    before = digest(e)
-    for _ in range(max_rounds):
-        if before[0] == 0:
-            break
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        # large star: neighbours above a node move to the smallest label around it
-        large = saved(
-            both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct(),
-            f"{name}-large",
-        )
-        # small star: neighbours below a node, and the node itself, move to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a")
-        step = saved(
-            small.select(F.col("b").alias("a"), F.col("low").alias("b"))
-            .union(low.select("a", F.col("low").alias("b")))
-            .where("a <> b")
-            .distinct(),
-            f"{name}-round",
-        )
-        after = digest(step)
-        forget(e, large)
-        e = step
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
-    stars = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
