@@ -3,8 +3,8 @@
 A window is W consecutive units (bytes or words) of one text. An operator names, from the content of a window alone, an anchor
 inside it; so equal windows have equal anchors at equal offsets. Neighbouring windows of a text with the same anchor form one
 row (s_lo..s_hi, the anchor's key, a fingerprint of all their content). Rows whose key repeats are compared: those of equal
-content together settle all their windows at once, and where contents differ one row of each is taken apart into windows.
-Fingerprints are compared in pairs of 64 bits.
+content together settle all their windows at once. Where contents differ, one row of each is cut into parts by the offset of
+the anchor and compared again by what all windows of a part hold; what is still open is taken apart into windows. Fingerprints are compared in pairs of 64 bits.
 """
 
 from __future__ import annotations
@@ -17,11 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.arrays import Fingerprints, buffers, slices
+from strandloom.llm.arrays import Fingerprints, buffers, mix, slices
 from strandloom.llm.common import forget, saved
 
-ROW = "doc_id long, mark long, s_lo int, s_hi int, key long, full long"
+ROW = "doc_id long, mark long, s_lo int, s_hi int, at int, key long, full long"
+NAMES = ["doc_id", "mark", "s_lo", "s_hi", "at", "key", "full"]
 RANGES = "array<struct<lo:int,hi:int>>"
+#: Parts into which the offsets of a window's length are cut.
+PARTS = 16
 #: (bytes, offsets) -> (values of the units, first unit of each text and the end, start and end of each unit in the bytes)
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]]
 
@@ -62,8 +65,8 @@ def row_maker(units: Units, anchors: Callable, width: int):
             base = first[text]
             pick = pa.array(text)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pick), batch.column(2).take(pick), pa.array((s_lo - base).astype(np.int32)), pa.array((s_hi - base).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(full.view(np.int64))],
-                ["doc_id", "mark", "s_lo", "s_hi", "key", "full"],
+                [batch.column(0).take(pick), batch.column(2).take(pick), pa.array((s_lo - base).astype(np.int32)), pa.array((s_hi - base).astype(np.int32)), pa.array((at[lo] - base).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(full.view(np.int64))],
+                NAMES,
             )
 
     return run
@@ -74,7 +77,7 @@ def settle(alive: DataFrame, of_smaller: bool) -> DataFrame:
 
     of_smaller: a window counts if it starts in a document with a smaller id; otherwise if it starts anywhere else.
     """
-    place = F.struct("doc_id", "mark", "s_lo", "s_hi")
+    place = F.struct("doc_id", "mark", "s_lo", "s_hi", "at")
     by_full = saved(
         alive.groupBy("key", "full").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min(place).alias("place")), "repeats-full"
     )
@@ -85,10 +88,11 @@ def settle(alive: DataFrame, of_smaller: bool) -> DataFrame:
     mixed = by_full.groupBy("key").agg(F.count("*").alias("kinds"), F.min("least").alias("first"), F.max("least").alias("last")).where("kinds > 1")
     if of_smaller:
         mixed = mixed.where("first < last")
+    mixed = saved(mixed.select("key"), "repeats-mixed")  # read from both sides, the join below can split a key that many rows share
     unclear = by_full.join(mixed, "key").select("place.*", "key")
     one = F.struct(F.col("s_lo").alias("lo"), F.col("s_hi").alias("hi"))
-    parts = covered.select("doc_id", "mark", one.alias("covered"), F.lit(None).cast("struct<lo:int,hi:int,key:bigint>").alias("unclear")).unionByName(
-        unclear.select("doc_id", "mark", F.lit(None).cast("struct<lo:int,hi:int>").alias("covered"), F.struct(F.col("s_lo").alias("lo"), F.col("s_hi").alias("hi"), "key").alias("unclear"))
+    parts = covered.select("doc_id", "mark", one.alias("covered"), F.lit(None).cast("struct<lo:int,hi:int,at:int,key:bigint>").alias("unclear")).unionByName(
+        unclear.select("doc_id", "mark", F.lit(None).cast("struct<lo:int,hi:int>").alias("covered"), F.struct(F.col("s_lo").alias("lo"), F.col("s_hi").alias("hi"), "at", "key").alias("unclear"))
     )
     return parts.groupBy("doc_id", "mark").agg(F.collect_list("covered").alias("covered"), F.collect_list("unclear").alias("unclear"))
 
@@ -163,10 +167,39 @@ def removed(docs: DataFrame, settled: DataFrame, units: Units, width: int, of_sm
             )
 
     done = saved(
-        told.mapInArrow(first_pass, f"doc_id long, mark long, text string, covered {RANGES}, unclear array<struct<lo:int,hi:int,key:bigint>>, {digest}"), "repeats-first"
+        told.mapInArrow(first_pass, f"doc_id long, mark long, text string, covered {RANGES}, unclear array<struct<lo:int,hi:int,at:int,key:bigint>>, {digest}"), "repeats-first"
     )
     forget(settled)
     open_docs = done.where("text is not null").select("doc_id", "mark", "text", "covered", "unclear")
+    step = max(1, width // PARTS)
+
+    def parts(batches):
+        for batch in slices(batches):
+            values, first, _, _ = units(*buffers(batch.column(2)))
+            row, lo, hi, at, key = _ranges(batch.column(4), ("lo", "hi", "at", "key"))
+            least, most = (at - hi) // step, (at - lo) // step
+            size = (most - least + 1).astype(np.int64)
+            part = np.repeat(least, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            row, lo, hi, at, key = (np.repeat(x, size) for x in (row, lo, hi, at, key))
+            lo, hi = np.maximum(lo, at - (part + 1) * step + 1), np.minimum(hi, at - part * step)
+            base, prints = first[row], Fingerprints(values, 1)
+            inner = prints.of(base + at - part * step, base + at - (part + 1) * step + 1 + width)
+            with np.errstate(over="ignore"):
+                inner = mix(inner + mix(key.view(np.uint64) + part.astype(np.uint64)))
+            full = prints.of(base + lo, base + hi + width) + (at - lo).astype(np.uint64)
+            pick = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pick), batch.column(1).take(pick), *(pa.array(x.astype(np.int32)) for x in (lo, hi, at)), pa.array(inner.view(np.int64)), pa.array(full.view(np.int64))], NAMES
+            )
+
+    rows = saved(open_docs.mapInArrow(parts, ROW), "repeats-parts")
+    by_key = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
+    keys = saved(by_key.where("least < most" if of_smaller else "n > 1").select("key"), "repeats-part-keys")
+    alive = saved(rows.join(keys, "key"), "repeats-part-alive")
+    again = settle(alive, of_smaller).withColumnsRenamed({"covered": "covered2", "unclear": "unclear2"})
+    told = open_docs.join(again, same_row(open_docs, again), "left").select(open_docs["doc_id"], open_docs["mark"], "text", "covered", "unclear2", "covered2")
+    open_docs = saved(told, "repeats-open")
+    forget(rows, keys, alive)
 
     def windows(batches):
         for batch in slices(batches):
@@ -187,12 +220,12 @@ def removed(docs: DataFrame, settled: DataFrame, units: Units, width: int, of_sm
     if of_smaller:
         hits = hits.where("doc_id > least")
     more = hits.groupBy("doc_id", "mark").agg(F.collect_list(F.struct(F.col("s").alias("lo"), F.col("s").alias("hi"))).alias("more"))
-    again = open_docs.join(more, same_row(open_docs, more), "left").select(open_docs["doc_id"], open_docs["text"], "covered", "more")
+    last = open_docs.join(more, same_row(open_docs, more), "left").select(open_docs["doc_id"], open_docs["text"], "covered", "covered2", "more")
 
     def second_pass(batches):
         for batch in slices(batches):
-            d = digest_batch(batch, units, width, [batch.column(2), batch.column(3)])
+            d = digest_batch(batch, units, width, [batch.column(2), batch.column(3), batch.column(4)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d["n"]), pa.array(d["n_removed"]), pa.array(d["n_spans"]), pa.array(d["kept_sha256"])], ["doc_id", "n", "n_removed", "n_spans", "kept_sha256"])
 
     columns = ["doc_id", "n", "n_removed", "n_spans", "kept_sha256"]
-    return done.where("text is null").select(*columns).unionByName(again.mapInArrow(second_pass, f"doc_id long, {digest}"))
+    return done.where("text is null").select(*columns).unionByName(last.mapInArrow(second_pass, f"doc_id long, {digest}"))

@@ -1,8 +1,8 @@
 """Substring dedup by suffix arrays in a logarithmic family of indexes: bytes covered by 200-byte strings that occur twice.
 
 Sampled suffixes stand for all of them: every 200-byte string holds, at a place that its content alone decides (the least
-fingerprint of its 48-byte strings), the start of a sampled suffix. A suffix array is a table of such suffixes sorted by the
-fingerprint of their first 48 bytes, kept in sorted buckets. Documents arrive in batches; the array of a batch is merge-scanned
+fingerprint of its 100-byte strings), the start of a sampled suffix. A suffix array is a table of such suffixes sorted by the
+fingerprint of their first 100 bytes, kept in sorted buckets. Documents arrive in batches; the array of a batch is merge-scanned
 against every level of the family for equal beginnings, and levels of equal size merge into one of twice the size. Suffixes
 with an equal beginning are then compared with all that surrounds them.
 """
@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm.arrays import BYTE, U, Fingerprints
-from strandloom.llm.common import saved, table
+from strandloom.llm.common import forget, saved, table
 from strandloom.llm.repeats import ROW, marked, removed, row_maker, settle
 
-WINDOW, BEGINNING, BATCHES = 200, 48, 4
+WINDOW, BEGINNING, BATCHES = 200, 100, 4
 
 
 def byte_units(data: np.ndarray, offs: np.ndarray):
@@ -96,6 +96,7 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     for h in hits[1:]:
         keys = keys.union(h)
     alive = saved(found.join(keys.distinct(), "key"), "suffixes-alive")
+    forget(found, *hits)
     settled = settle(alive, of_smaller=False)
     out = removed(rows, settled, byte_units, WINDOW, of_smaller=False)
     return out.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
