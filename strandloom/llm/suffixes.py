@@ -95,8 +95,9 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     keys = hits[0]
     for h in hits[1:]:
         keys = keys.union(h)
-    alive = saved(found.join(keys.distinct(), "key"), "suffixes-alive")
-    forget(found, *hits)
+    keys = saved(keys.distinct(), "suffixes-keys")  # read from both sides, the join below can split a key that many rows share
+    alive = saved(found.join(keys, "key"), "suffixes-alive")
+    forget(found, keys, *hits)
     settled = settle(alive, of_smaller=False)
     out = removed(rows, settled, byte_units, WINDOW, of_smaller=False)
     return out.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
