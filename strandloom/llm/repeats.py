@@ -3,8 +3,8 @@
 A window is W consecutive units (bytes or words) of one text. An operator names, from the content of a window alone, an anchor
 inside it; so equal windows have equal anchors at equal offsets. Neighbouring windows of a text with the same anchor form one
 row (s_lo..s_hi, the anchor's key, a fingerprint of all their content). Rows whose key repeats are compared: those of equal
-content together settle all their windows at once. Where contents differ, one row of each is cut into parts by the offset of
-the anchor and compared again by what all windows of a part hold; what is still open is taken apart into windows. Fingerprints are compared in pairs of 64 bits.
+content together settle all their windows at once. Where contents differ, one row of each (of its least document, every row, if
+only smaller documents count) is cut into parts by the offset of the anchor and compared again by what all windows of a part hold; what is still open is taken apart into windows. Fingerprints are compared in pairs of 64 bits.
 """
 
 from __future__ import annotations
@@ -81,20 +81,26 @@ def settle(alive: DataFrame, of_smaller: bool) -> DataFrame:
     by_full = saved(
         alive.groupBy("key", "full").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min(place).alias("place")), "repeats-full"
     )
-    same = by_full.where("n > 1").select("key", "full", "least")
-    covered = alive.join(same, ["key", "full"])
-    if of_smaller:
-        covered = covered.where("doc_id > least")
     mixed = by_full.groupBy("key").agg(F.count("*").alias("kinds"), F.min("least").alias("first"), F.max("least").alias("last")).where("kinds > 1")
     if of_smaller:
         mixed = mixed.where("first < last")
-    mixed = saved(mixed.select("key"), "repeats-mixed")  # read from both sides, the join below can split a key that many rows share
-    unclear = by_full.join(mixed, "key").select("place.*", "key")
+    mixed = saved(mixed.select("key", "first"), "repeats-mixed")  # read from both sides, the join below can split a key that many rows share
+    unclear = by_full.join(mixed, "key")
+    if of_smaller:
+        # the least document of a content may hold it more than once; unless it is the least of its key too, each of its rows is still open
+        several = F.col("least") > F.col("first")
+        same = by_full.where("n > 1").join(mixed, "key", "left").select("key", "full", "least", F.coalesce(several, F.lit(False)).alias("several"))
+        met = alive.join(saved(same, "repeats-same"), ["key", "full"])
+        covered = met.where("doc_id > least")
+        unclear = unclear.where((F.col("n") == 1) | ~several).select("place.*", "key").unionByName(met.where("several and doc_id = least").select("doc_id", "mark", "s_lo", "s_hi", "at", "key"))
+    else:
+        covered = alive.join(by_full.where("n > 1").select("key", "full"), ["key", "full"])
+        unclear = unclear.select("place.*", "key")
     one = F.struct(F.col("s_lo").alias("lo"), F.col("s_hi").alias("hi"))
     parts = covered.select("doc_id", "mark", one.alias("covered"), F.lit(None).cast("struct<lo:int,hi:int,at:int,key:bigint>").alias("unclear")).unionByName(
         unclear.select("doc_id", "mark", F.lit(None).cast("struct<lo:int,hi:int>").alias("covered"), F.struct(F.col("s_lo").alias("lo"), F.col("s_hi").alias("hi"), "at", "key").alias("unclear"))
     )
-    return parts.groupBy("doc_id", "mark").agg(F.collect_list("covered").alias("covered"), F.collect_list("unclear").alias("unclear"))
+    return parts.groupBy("doc_id", "mark").agg(F.collect_list("covered").alias("covered"), F.collect_set("unclear").alias("unclear"))
 
 
 def _ranges(column: pa.Array, names=("lo", "hi")) -> tuple[np.ndarray, ...]:

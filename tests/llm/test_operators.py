@@ -53,6 +53,18 @@ def test_recompression_matches_brute_force(spark):
     assert got(out, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.op5(rows))
 
 
+def test_recompression_takes_every_repeat_of_a_passage_held_in_part_before(spark):
+    rng = random.Random(23)
+    rows = []
+    for i in range(0, 60, 10):
+        p = words(rng, 200)
+        twice = p + words(rng, 20) + p + words(rng, 20) + p[30:170]
+        rows += [(i + 3, " ".join(p[:120])), (i + 5, " ".join(twice)), (i + 6, " ".join(words(rng, 9) + p + p)), (i + 7, " ".join(p[100:]))]
+    rows.append((5, rows[1][1] + " another text of the same id"))
+    out = recompression.substring_dedup(frame(spark, rows).repartition(3))
+    assert got(out, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.op5(rows))
+
+
 def test_recompression_anchors_follow_content_alone():
     rng = np.random.default_rng(1)
     window = rng.integers(0, 5, 50).astype(np.uint64)
