@@ -1,8 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, and Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, and Smith-Waterman alignment scores them.
 
-Words are compared in lower case (A-Z) without ASCII signs. The seeds of an item are the rarest of its 3-grams by the number of
-texts that hold them; around each seed in a text the passage that could hold the item is cut out, and equal passages are
-aligned once. A passage is a copy if its local alignment reaches a share of the score of the whole item.
+Words are compared in lower case (A-Z) without ASCII signs. The seeds of an item are all of its 3-grams, however many texts
+hold them; around each seed in a text the passage that could hold the item is cut out, and equal passages are aligned once,
+unless the words they share with the item can't reach the score. A passage is a copy if its local alignment reaches a share of the score of the whole item.
 """
 
 from __future__ import annotations
@@ -11,15 +11,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strandloom.llm.arrays import Fingerprints, U, buffers, lower_ascii, plain_words, slices
 from strandloom.llm.arrays import word_hashes
 from strandloom.llm.common import saved, table
 from strandloom.llm.repeats import marked, window_starts
 
-#: Words of a seed; share of an item's seeds that are kept, the rarest, and the least number; share of the full score of a copy.
-SEED, RAREST, FEWEST, COPY = 3, 0.5, 8, 0.5
+#: Words of a seed; share of the full score of a copy.
+SEED, COPY = 3, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Slots of the bitmap that turns other n-grams away: a fixed size, whatever the benchmark's.
 SLOTS = 1 << 26
@@ -57,27 +56,6 @@ def _known(bitmap: np.ndarray, prints: np.ndarray) -> np.ndarray:
     return (bitmap[(slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8)) & 1 > 0
 
 
-def _seed_counts(box):
-    """(seed, n): in how many texts of a batch a possible seed occurs."""
-
-    def run(batches):
-        bitmap = np.frombuffer(box.value, np.uint8)
-        for batch in slices(batches):
-            hashes, first = _sequence(*buffers(batch.column(0)))
-            s = window_starts(first, SEED)
-            prints = Fingerprints(hashes, 0).of(s, s + SEED)
-            hit = _known(bitmap, prints)
-            prints, text = prints[hit], (np.searchsorted(first, s[hit], "right") - 1)
-            order = np.lexsort((text, prints))
-            prints, text = prints[order], text[order]
-            new = np.ones(len(prints), bool)
-            new[1:] = (prints[1:] != prints[:-1]) | (text[1:] != text[:-1])
-            seed, n = np.unique(prints[new], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(n.astype(np.int64))], ["seed", "n"])
-
-    return run
-
-
 def _passages(box, margin: int):
     """(doc_id, begin, p1, p2, seeds, words): stretches of a text around seeds, with `margin` words on either side."""
 
@@ -136,23 +114,31 @@ def smith_waterman(passages: list[np.ndarray], items: list[np.ndarray]) -> tuple
     return best, where
 
 
-def _aligned(batches, cells: int = 1 << 18):
-    """Pairs (p1, p2, item_id, words, item_words) to (p1, p2, item_id, score, end)."""
-    for batch in batches:
-        a, b = batch.column(3), batch.column(4)
-        size = np.array(a.value_lengths())
-        score, end = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-        order, at = np.argsort(size), 0
-        while at < len(order):
-            n = 1
-            while at + n < len(order) and (n + 1) * size[order[at + n]] <= cells:
-                n += 1
-            rows = order[at : at + n]
-            items = [np.asarray(b[int(r)].values) for r in rows]
-            s, e = smith_waterman([np.asarray(a[int(r)].values) for r in rows], items)
-            score[rows], end[rows] = s / (MATCH * np.array([len(x) for x in items])), e
-            at += n
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(score), pa.array(end)], ["p1", "p2", "item_id", "score", "end"])
+def _aligned(least: float, cells: int = 1 << 18):
+    """Pairs (p1, p2, item_id, words, item_words) to (p1, p2, item_id, score, end); those that can't reach `least` are left out."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = batch.column(3), batch.column(4)
+            size = np.array(a.value_lengths())
+            score, end = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+            passages, items = ([np.asarray(x[r].values) for r in range(batch.num_rows)] for x in (a, b))
+            # each match takes a word of the item that stands in the passage, and scores no more than its share
+            able = np.array([np.isin(y, x).sum() >= least * len(y) for x, y in zip(passages, items, strict=True)], bool)
+            order, at = np.argsort(size), 0
+            order = order[able[order]]
+            while at < len(order):
+                n = 1
+                while at + n < len(order) and (n + 1) * size[order[at + n]] <= cells:
+                    n += 1
+                rows = order[at : at + n]
+                s, e = smith_waterman([passages[r] for r in rows], [items[r] for r in rows])
+                score[rows], end[rows] = s / (MATCH * np.array([len(items[r]) for r in rows])), e
+                at += n
+            out = pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(score), pa.array(end)], ["p1", "p2", "item_id", "score", "end"])
+            yield out.filter(pa.array(able))
+
+    return run
 
 
 def copies(docs: DataFrame, benchmark: DataFrame, least: float = COPY) -> DataFrame:
@@ -164,18 +150,13 @@ def copies(docs: DataFrame, benchmark: DataFrame, least: float = COPY) -> DataFr
     )
     seeds = saved(items.select("item_id", F.explode("seeds").alias("seed")).distinct(), "leaks-seeds")
     margin = items.agg(F.max(F.size("words"))).first()[0] or 0
-    first = spark.sparkContext.broadcast(seed_bitmap(seeds))
-    seen = docs.select("text").mapInArrow(_seed_counts(first), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("texts"))
-    by_item = Window.partitionBy("item_id")
-    ranked = seeds.join(seen, "seed").withColumn("nth", F.row_number().over(by_item.orderBy("texts", "seed"))).withColumn("of", F.count("*").over(by_item))
-    rare = saved(ranked.where((F.col("nth") <= FEWEST) | (F.col("nth") <= F.col("of") * RAREST)).select("item_id", "seed"), "leaks-rare")
-    second = spark.sparkContext.broadcast(seed_bitmap(rare))
+    box = spark.sparkContext.broadcast(seed_bitmap(seeds))
     schema = "doc_id long, mark long, begin long, p1 long, p2 long, seeds array<long>, words array<long>"
-    found = saved(docs.select("doc_id", "text", "mark").mapInArrow(_passages(second, margin), schema), "leaks-passages")
+    found = saved(docs.select("doc_id", "text", "mark").mapInArrow(_passages(box, margin), schema), "leaks-passages")
     passages = found.select("p1", "p2", "seeds", "words").dropDuplicates(["p1", "p2"])
-    pairs = passages.select("p1", "p2", F.explode(F.array_distinct("seeds")).alias("seed")).join(rare, "seed").select("p1", "p2", "item_id").distinct()
+    pairs = passages.select("p1", "p2", F.explode(F.array_distinct("seeds")).alias("seed")).join(seeds, "seed").select("p1", "p2", "item_id").distinct()
     both = pairs.join(passages.select("p1", "p2", "words"), ["p1", "p2"]).join(items.select("item_id", F.col("words").alias("item_words")), "item_id")
-    scored = both.select("p1", "p2", "item_id", "words", "item_words").mapInArrow(_aligned, "p1 long, p2 long, item_id long, score double, end long")
+    scored = both.select("p1", "p2", "item_id", "words", "item_words").mapInArrow(_aligned(least), "p1 long, p2 long, item_id long, score double, end long")
     hits = saved(scored.where(F.col("score") >= least), "leaks-scores")
     placed = found.select("doc_id", "mark", "begin", "p1", "p2").join(hits, ["p1", "p2"])
     best = F.max_by(F.struct("score", (F.col("begin") + F.col("end")).alias("end_word")), F.struct("score", -(F.col("begin") + F.col("end")))).alias("best")
@@ -186,7 +167,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = COPY) ->
     """doc_id, item_id, score, end_word: each document that holds a copy of a benchmark item, with the share of the item's full
     alignment score (at least `least`) and the word at which the alignment ends, counted without words of signs alone.
 
-    Documents without a copy have no row. Rows that repeat a doc_id with another text count each; rows that repeat both give
+    A copy has three words in a row in common with its item. Documents without a copy have no row. Rows that repeat a doc_id with another text count each; rows that repeat both give
     one. Items of fewer than 3 words can't be told from chance and take no part, nor do null ids or texts of the benchmark;
     null texts of documents hold nothing. Of equal scores the earliest is told. Whole texts count; an empty table on either
     side gives no rows; other columns are left out.

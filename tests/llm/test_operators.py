@@ -287,6 +287,18 @@ def test_decontamination_finds_copies_and_edits(spark):
     assert kept.count() == len(docs) - 3 and kept.where("doc_id = 100").count() == 1
 
 
+def test_decontamination_finds_many_edited_copies_beside_a_verbatim_one(spark):
+    rng = random.Random(31)
+    item, short = [f"q{i}" for i in range(40)], [f"r{i}" for i in range(15)]
+    edited = [f"edit{k}" if k % 5 == 4 else x for k, x in enumerate(item)]
+    docs = [(i, " ".join(words(rng, 20) + edited + words(rng, 20))) for i in range(60)]
+    docs += [(100 + i, " ".join(words(rng, 20) + [*short[:11], "new", *short[12:]] + words(rng, 20))) for i in range(60)]
+    docs += [(200, " ".join(words(rng, 20) + item)), (201, " ".join(words(rng, 20) + short)), (202, " ".join(words(rng, 20) + item[:3] + words(rng, 20)))]
+    benchmark = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(short))], "item_id long, text string")
+    out = decontamination.contaminated(frame(spark, docs), benchmark)
+    assert {(r.doc_id, r.item_id) for r in out.collect()} == {(i, 0) for i in (*range(60), 200)} | {(i, 1) for i in (*range(100, 160), 201)}
+
+
 def test_smith_waterman_against_the_plain_recurrence():
     rng = np.random.default_rng(8)
     for _ in range(30):
