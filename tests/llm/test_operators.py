@@ -241,6 +241,20 @@ def test_kneser_ney_probabilities_sum_to_one():
         assert 0.5 < p <= 1.001  # the rest is kept for letters never seen
 
 
+def test_language_model_keeps_every_count(spark):
+    rng = np.random.default_rng(37)
+    texts = [("aa" if i % 3 else "bb", "".join(map(chr, rng.integers(97, 123, 3000) - (i % 3 == 0) * rng.integers(0, 2) * 32)) + " rare ab") for i in range(120)]
+    made = langid.fit(spark.createDataFrame(texts, "lang string, text string"))
+    lang, key, n = [], [], []
+    for i, x in enumerate(("aa", "bb")):
+        found, times = np.unique(langid.keys_of([t for y, t in texts if y == x])[0], return_counts=True)
+        lang, key, n = [*lang, np.full(len(found), i)], [*key, found], [*n, times]
+    whole = langid.Model(["aa", "bb"], *map(np.concatenate, (lang, key, n)))
+    assert len(whole.tables[-1][0]) > 1 << 18 and made.langs == whole.langs and np.isclose(made.floor, whole.floor)
+    for a, b in zip([*made.tables, *made.weights], [*whole.tables, *whole.weights], strict=True):
+        assert (a[0] == b[0]).all() and np.allclose(a[1], b[1], atol=1e-4)
+
+
 def test_toxicity_separates_held_out_rows(spark):
     rng = random.Random(13)
     rows, labels = [], []
