@@ -179,12 +179,14 @@ def _featured(entries: np.ndarray, odds: np.ndarray, extra: list[str]):
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple:
     """(entries, odds, trees, calibration) from labelled rows outside the held-out fold.
 
-    Fitted on at most `sample` rows of each label, the first by a hash of doc_id; a fifth of them calibrate. Rows that repeat
+    Fitted on at most `sample` rows of each label, the first by a hash of doc_id; a fifth of them calibrate. Each row weighs
+    as many labelled rows as it stands for, so the share of toxic rows is that of the labels, whatever is sampled. Rows that repeat
     a doc_id in labels count as their largest label; null labels and ids are left out.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     mark = F.xxhash64("doc_id")
     chosen = known.where("toxic = 0").orderBy(mark, "doc_id").limit(sample).unionByName(known.where("toxic = 1").orderBy(mark, "doc_id").limit(sample))
+    known_rows = {r[0]: r[1] for r in known.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
     # at most 2 * sample rows of two numbers
     rows = saved(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)).alias("fold")), "toxic-sample")
     size = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
@@ -198,7 +200,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple:
     if n0 == 0 or n1 == 0:
         return entries, weights, None, None
     x, y, fold = np.array(seen["x"].tolist()), seen["toxic"].to_numpy(float), seen["fold"].to_numpy()
-    weight = np.ones(len(y))
+    stands_for = [max(1.0, known_rows[k] / sample) for k in (0, 1)]
+    weight = np.where(y > 0, stands_for[1], stands_for[0])
+    weight = weight / weight.mean()  # on the scale of rows, which the trees' least weights are made for
     trees = Trees().fit(x[fold != 0], y[fold != 0], weight[fold != 0])
     held = fold == 0 if (fold == 0).sum() >= 50 else np.ones(len(y), bool)
     return entries, weights, trees, Isotonic(trees.raw(x[held]), y[held], weight[held])

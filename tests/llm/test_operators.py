@@ -276,6 +276,14 @@ def test_toxicity_separates_held_out_rows(spark):
     assert {r.score for r in none.collect()} == {0.0}
 
 
+def test_toxicity_keeps_the_share_of_the_labels_when_it_samples(spark):
+    rng = random.Random(29)
+    docs = spark.createDataFrame([(i, " ".join(words(rng, 12))) for i in range(4500)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(4500)], "doc_id long, quality int, toxic int")
+    scores = [r.score for r in toxicity.score(docs, toxicity.learn(docs, marks, sample=250)).collect()]
+    assert abs(sum(scores) / len(scores) - 0.1) < 0.05
+
+
 def test_trees_and_isotonic_steps():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 3))
