@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-BASE = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))
-INVERSE = tuple(U(pow(int(b), -1, 1 << 64)) for b in BASE)
+#: Fingerprints are polynomials over the field of this prime, at two bases chosen apart from each other.
+PRIME = (1 << 61) - 1
+BASE = (0x0E3779B97F4A7C15, 0x1134_2543_DE82_EF95)
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -26,20 +27,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE = tuple(mix(np.arange(256, dtype=U) + U(s)) for s in (0x1234567, 0x89ABCDE))
+#: The value of each byte as a unit of a fingerprint.
+BYTE = np.arange(1, 257, dtype=U)
+_LOW30, _LOW31, _P = U((1 << 30) - 1), U((1 << 31) - 1), U(PRIME)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, of any 64-bit values."""
+    x = (x & _P) + (x >> U(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, of values below it, in halves of 31 bits."""
+    a0, b0, b1 = a & _LOW31, b & _LOW31, b >> U(31)
+    a1 = a >> U(31)
+    if a1.any():
+        middle = a1 * b0 + a0 * b1
+        top = U(2) * (a1 * b1)
+    else:
+        middle, top = a0 * b1, U(0)
+    return _reduced(top + (middle >> U(30)) + ((middle & _LOW30) << U(31)) + a0 * b0)
 
 
 def powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse for i < n, modulo 2**64; kept for batches of the usual size."""
+    """BASE**i and its inverse for i < n, modulo PRIME; kept for batches of the usual size."""
     have = _powers.get(which)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        with np.errstate(over="ignore"):
-            made = []
-            for b in (BASE[which], INVERSE[which]):
-                x = np.full(size, b, U)
-                x[0] = 1
-                made.append(np.multiply.accumulate(x))
+        size = 1 << max(16, (n - 1).bit_length())
+        made = []
+        for base in (BASE[which], pow(BASE[which], -1, PRIME)):
+            x = np.ones(1, U)
+            while len(x) < size:
+                x = np.concatenate([x, times(x, np.full(1, pow(base, len(x), PRIME), U))])
+            made.append(x)
         have = tuple(made)
         if size <= 1 << 23:
             _powers[which] = have
@@ -47,17 +68,34 @@ def powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Fingerprints:
-    """Fingerprints of any substring of a sequence of 64-bit values, in constant time each."""
+    """Fingerprints of any substring of a sequence of 64-bit values, in constant time each.
+
+    Over a prime field two different sequences of n values agree at a base for at most n of 2**61 bases, whatever their pattern
+    (modulo 2**64 Thue-Morse sequences agree at every base).
+    """
 
     def __init__(self, values: np.ndarray, which: int = 0):
         up, self.down = powers(len(values) + 1, which)
+        terms = times(_reduced(values), up[:-1])
+        high, low = np.cumsum(terms >> U(31)), np.cumsum(terms & _LOW31)
         self.sums = np.zeros(len(values) + 1, U)
-        with np.errstate(over="ignore"):
-            np.cumsum(values * up[:-1], out=self.sums[1:])
+        self.sums[1:] = _reduced((high >> U(30)) + ((high & _LOW30) << U(31)) + low)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U))
+            return mix(times(_reduced(self.sums[end] + (_P - self.sums[start])), self.down[start]) + ((end - start).astype(U) << U(40)))
+
+
+def rolled(values: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k values from each place on, k a power of two; for choices and candidates that are verified later."""
+    with np.errstate(over="ignore"):
+        out = mix(values)
+        half = 1
+        while half < k:
+            out = out[:-half] * U(0x9E3779B97F4A7C15) + out[half:]
+            out ^= out >> U(29)
+            half *= 2
+    return out
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +150,7 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    return Fingerprints(BYTE[which][data], which).of(start, end)
+    return Fingerprints(BYTE[data], which).of(start, end)
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

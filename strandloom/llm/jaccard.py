@@ -5,7 +5,9 @@ tokens of a size class are dealt into one part more than that bound, two linked
 roots of a forest of signature trees: only sets below a common root can link. Below a root every set is first verified against
 the root's pivot, which ties nearly all groups of copies together. Where sets of different components remain, a tree is built:
 its nodes hold the union of their members' token bitmaps and size ranges, and a dual traversal drops node pairs that can't
-reach the overlap of a link, or that one component holds already. What is left is verified on the sets themselves.
+reach the overlap of a link, or that one component holds already. What is left is verified on the sets themselves, and a block
+of members gives no more links than it takes to tie its components. Sets meet first in the largest of their open roots, then in
+all that are still open; roots of many blocks last, sets outside their largest component against the others.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from strandloom.llm.arrays import Fingerprints, U, buffers, lower_ascii, mix, sl
 from strandloom.llm.common import components, saved, table
 from strandloom.llm.repeats import marked, window_starts
 
-#: 64-bit words of a bitmap; children of a tree's node; members of a block of a large group.
-BITMAP, FAN, BLOCK = 32, 8, 512
+#: 64-bit words of a bitmap; children of a tree's node; members and tokens of a block of a large group.
+BITMAP, FAN, BLOCK, BLOCK_TOKENS = 32, 8, 512, 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,22 +215,64 @@ def dual_traversal(x: Tree, y: Tree | None, num: int, den: int) -> tuple[np.ndar
     return i, j
 
 
-def _pairs_of_block(num: int, den: int):
-    def run(rows):
-        side = np.asarray(rows["side"])
-        trees, ids = [], []
+class Block:
+    """The rows of one task below a root: members (side 0), compared with each other, or with those of side 1 if there are any."""
+
+    def __init__(self, rows: pa.Table):
+        side, self.node = np.asarray(rows["side"]), np.asarray(rows["node"])
+        size, component = np.asarray(rows["n"]), np.asarray(rows["component"])
+        self.component = np.unique(component, return_inverse=True)[1]
+        self.bits = np.frombuffer(b"".join(rows["bitmap"].to_pylist()), U).reshape(len(side), BITMAP)
+        self.size, self.trees, self.at = size, [], []
         for s in (0, 1):
             at = np.flatnonzero(side == s)
             if not len(at):
                 continue
-            size = np.asarray(rows["n"])[at]
-            bits = np.frombuffer(b"".join(rows["bitmap"].take(pa.array(at)).to_pylist()), U).reshape(len(at), BITMAP)
-            order = np.lexsort((bits[:, 1], bits[:, 0], size))
-            at = at[order]
-            trees.append(Tree(size[order], bits[order], np.asarray(rows["component"])[at]))
-            ids.append(np.asarray(rows["node"])[at])
-        a, b = dual_traversal(trees[0], trees[1] if len(trees) > 1 else None, num, den)
-        return pa.table({"a": ids[0][a], "b": ids[-1][b]})
+            at = at[np.lexsort((self.bits[at, 1], self.bits[at, 0], size[at]))]
+            self.trees.append(Tree(size[at], self.bits[at], self.component[at]))
+            self.at.append(at)
+
+    def candidates(self, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows of different components that their bitmaps let link."""
+        a, b = dual_traversal(self.trees[0], self.trees[1] if len(self.trees) > 1 else None, num, den)
+        return self.at[0][a], self.at[-1][b]
+
+
+def _survivors(num: int, den: int):
+    """The members of a block that have a candidate in it."""
+
+    def run(rows):
+        block = Block(rows)
+        a, b = block.candidates(num, den)
+        at = np.unique(np.concatenate([a, b]))
+        return rows.select(["key", "i", "j", "side", "node", "component"]).take(pa.array(at))
+
+    return run
+
+
+def _links_of_block(num: int, den: int):
+    """Verified links (a, b) of a block that tie its components: at most one less than there are components."""
+
+    def run(rows):
+        block = Block(rows)
+        a, b = block.candidates(num, den)
+        apart = np.bitwise_count(block.bits[a] ^ block.bits[b]).sum(1)
+        lists = rows["tokens"].combine_chunks()
+        offs, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+        label, open_, out = block.component.copy(), len(np.unique(block.component)), []
+        for p in np.argsort(apart, kind="stable"):
+            x, y = a[p], b[p]
+            if label[x] == label[y]:
+                continue
+            both = len(np.intersect1d(flat[offs[x] : offs[x + 1]], flat[offs[y] : offs[y + 1]], assume_unique=True))
+            if both * den >= (block.size[x] + block.size[y] - both) * num:
+                out.append((block.node[x], block.node[y]))
+                label[label == label[y]] = label[x]
+                open_ -= 1
+                if open_ == 1:
+                    break
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
@@ -263,7 +307,7 @@ def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFr
     )
     texts = docs.join(nodes, docs["doc_id"] == nodes["node"]).select("text", "node", "print", "pivot", "is_pivot")
     schema = "node long, print long, pivot long, is_pivot boolean, found long, n long, tokens array<long>, bitmap binary"
-    sets = saved(texts.mapInArrow(_tokens(n), schema).where("found = print").drop("found"), "jaccard-sets")
+    sets = saved(texts.mapInArrow(_tokens(n), schema).where("found = print").drop("found").dropDuplicates(["node"]), "jaccard-sets")
     released(spark)
 
     def links(joined: DataFrame) -> DataFrame:
@@ -291,25 +335,57 @@ def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFr
     edges.append(checked(other, "jaccard-more"))
     found = saved(components(edges[0].union(edges[1]), "jaccard-components"), "jaccard-found")
 
-    # roots below which sets of several components remain: trees of their bitmaps
-    member = below.select("key", "print").join(ids, "print").select("key", "node", "n")
-    member = label(member, "node").withColumnRenamed("in_node", "component")
-    split = member.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("size")).where("c0 <> c1")
-    open_ = saved(member.join(split.select("key", F.ceil(F.col("size") / BLOCK).alias("blocks")), "key"), "jaccard-open")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = open_.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"), "node", "n", "component")
-    dealt = dealt.join(sets.select("node", "bitmap").dropDuplicates(["node"]), "node")
-    candidates = dealt.groupBy("key", "i", "j").applyInArrow(_pairs_of_block(num, den), "a long, b long").where("a <> b")
-    candidates = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges.append(checked(candidates, "jaccard-tree-links"))
-    found = components(edges[0].union(edges[1]).union(edges[2]), "jaccard-components")
+    ids = saved(ids, "jaccard-ids")
+    member = saved(below.select("key", "print").join(ids, "print").select("key", "node", "n"), "jaccard-members")
+
+    def open_roots(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Roots below which sets of several components remain (key, major, minor, blocks), and their members with components."""
+        told = label(member, "node").withColumnRenamed("in_node", "component")
+        one = told.groupBy("key", "component").agg(F.count("*").alias("m"), F.sum("n").alias("tokens"))
+        roots = one.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("major"), F.max("m").alias("most"), F.sum("m").alias("m"), F.sum("tokens").alias("tokens"), F.count("*").alias("kinds")).where("kinds > 1")
+        blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("tokens") / BLOCK_TOKENS))
+        guests = F.ceil(F.greatest((F.col("m") - F.col("most")) / BLOCK, F.lit(1)))
+        # written before it is joined, so that the join can split a root that many sets share
+        roots = saved(roots.select("key", "major", "m", blocks.alias("blocks"), guests.alias("guests")), "jaccard-open")
+        return roots, saved(told.join(roots, "key"), "jaccard-open-members")
+
+    def in_trees(dealt: DataFrame) -> DataFrame:
+        """Verified links among the rows (key, i, j, side, node, component) of each (key, i, j)."""
+        sketched = dealt.join(sets.select("node", "n", "bitmap"), "node")
+        left = saved(sketched.groupBy("key", "i", "j").applyInArrow(_survivors(num, den), "key long, i long, j long, side int, node long, component long"), "jaccard-survivors")
+        verified = left.join(sets.select("node", "n", "bitmap", "tokens"), "node").groupBy("key", "i", "j").applyInArrow(_links_of_block(num, den), "a long, b long")
+        return saved(verified, "jaccard-tree-links")
+
+    def tied(found: DataFrame, new: DataFrame) -> DataFrame:
+        if new.isEmpty():
+            return found
+        stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        return saved(components(stars.union(new), "jaccard-components"), "jaccard-found")
+
+    block = lambda by: F.pmod(F.xxhash64("node"), F.col(by))
+    none = F.lit(0).cast("long")
+    # every set in the largest of its open roots, then in all that are still open
+    _, members = open_roots(found)
+    largest_root = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("m"), "key"))
+    once = members.withColumn("nth", largest_root).where("nth = 1")
+    inside = lambda rows: rows.select("key", block("blocks").alias("i"), none.alias("j"), F.lit(0).alias("side"), "node", "component")
+    found = tied(found, in_trees(inside(once)))
+    _, members = open_roots(found)
+    found = tied(found, in_trees(inside(members)))
+    # roots of several blocks: sets outside the largest component against all others, in blocks
+    roots, members = open_roots(found)
+    if not roots.where("blocks > 1").isEmpty():
+        wide = members.where("blocks > 1")
+        asked = wide.where("component <> major").withColumn("j", block("guests")).withColumn("i", F.explode(F.sequence(none, F.col("blocks") - 1)))
+        held = wide.withColumn("i", block("blocks")).withColumn("j", F.explode(F.sequence(none, F.col("guests") - 1)))
+        columns = ["key", "i", "j", "side", "node", "component"]
+        found = tied(found, in_trees(asked.withColumn("side", F.lit(0)).select(*columns).union(held.withColumn("side", F.lit(1)).select(*columns))))
 
     label_of = saved(classes.join(found, "node", "left").select(F.col("n").alias("cn"), F.col("print").alias("cp"), F.col("print2").alias("cq"), F.coalesce("component", "node").alias("component_id")), "jaccard-labels")
-    tied = named.join(label_of, (F.col("n") == F.col("cn")) & (F.col("print") == F.col("cp")) & (F.col("print2") == F.col("cq")))
+    of_class = named.join(label_of, (F.col("n") == F.col("cn")) & (F.col("print") == F.col("cp")) & (F.col("print2") == F.col("cq")))
     columns = ["doc_id", "mark", F.col("n").alias("n_shingles"), "component_id"]
     alone = base.where("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
-    return tied.select(*columns).unionByName(alone.select(*columns))
+    return of_class.select(*columns).unionByName(alone.select(*columns))
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:

@@ -23,7 +23,7 @@ WINDOW, BEGINNING, BATCHES = 200, 100, 4
 
 
 def byte_units(data: np.ndarray, offs: np.ndarray):
-    return BYTE[0][data], offs, None, None
+    return BYTE[data], offs, None, None
 
 
 def anchors(values: np.ndarray, first: np.ndarray, s: np.ndarray, width: int = WINDOW, k: int = BEGINNING) -> tuple[np.ndarray, np.ndarray]:

@@ -47,7 +47,7 @@ def _hashes(words: list[str]) -> np.ndarray:
     joined = [w.encode() for w in words]
     data = np.frombuffer(b"".join(joined), np.uint8)
     end = np.cumsum([len(w) for w in joined])
-    return Fingerprints(BYTE[0][data], 0).of(end - np.array([len(w) for w in joined]), end)
+    return Fingerprints(BYTE[data], 0).of(end - np.array([len(w) for w in joined]), end)
 
 
 def _letters_only(data: np.ndarray, offs: np.ndarray):
@@ -58,7 +58,7 @@ def _letters_only(data: np.ndarray, offs: np.ndarray):
 def _entries(data: np.ndarray, offs: np.ndarray):
     """(fingerprint, text, word) of each word and of its beginnings; fingerprints of beginnings differ from those of words."""
     sub, start, end, text = plain_words(_FOLD[data], offs, _LETTER)
-    prints = Fingerprints(BYTE[0][sub], 0)
+    prints = Fingerprints(BYTE[sub], 0)
     out = [(prints.of(start, end), text, np.arange(len(start)))]
     for n in BEGINNINGS:
         long = np.flatnonzero(end - start > n)
@@ -104,7 +104,7 @@ class Features:
         insult[self.insults.find(whole)[0]] = True
         # words whose letters were masked: the same entries once signs are read as letters
         lsub, lstart, lend, ltext = _letters_only(data, offs)
-        leet = Fingerprints(BYTE[0][lsub], 0).of(lstart, lend)
+        leet = Fingerprints(BYTE[lsub], 0).of(lstart, lend)
         lhits = np.zeros(n)
         for m in (self.insults, self.entries):
             at, _ = m.find(leet)

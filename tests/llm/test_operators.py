@@ -373,3 +373,61 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
     assert corpus_pipeline.run(spark, path).count() > 0
 
 
+
+
+def thue_morse(n):
+    w = "a"
+    while len(w) < n:
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+def test_patterned_words_are_told_apart(spark):
+    a, b = thue_morse(2048)
+    rest = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, a), (2, b), (3, f"{a} {rest}"), (4, f"{b} {rest[3:]}"), (5, " ".join(a)), (6, " ".join(b)), (7, f"{a} {rest}")]
+    docs = frame(spark, rows)
+    assert got(jaccard.jaccard_components(docs), "doc_id", "n_shingles", "component_id") == sorted(brute.op9(rows))
+    assert got(recompression.substring_dedup(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.op5(rows))
+    assert got(suffixes.substring_dedup(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.op1(rows))
+    items = spark.createDataFrame([(0, f"{a} {a} {b} {a}")], "item_id long, text string")
+    hit = spark.createDataFrame([(1, f"{b} {b} {a} {b}"), (2, f"{a} {a} {b} {a}")], "doc_id long, text string")
+    assert {r.doc_id for r in decontamination.contaminated(hit, items).collect()} == {2}
+
+
+def near_group(rng, m, n=100, edits=9):
+    """Near copies around a text that isn't there: few link with any one of them."""
+    base = words(rng, n)
+    out = []
+    for _ in range(m):
+        w = list(base)
+        for k in rng.sample(range(n), rng.randint(1, edits)):
+            w[k] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_large_group_of_near_copies_without_a_common_pivot(spark, monkeypatch):
+    rng = random.Random(41)
+    texts = near_group(rng, 150, edits=4) + near_group(rng, 80, n=60, edits=5) + near_group(rng, 40, edits=2)
+    texts += texts[:5]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    for n, num in ((3, 90), (5, 80)):
+        out = jaccard.jaccard_components(frame(spark, rows).repartition(3), n, num, 100)
+        assert got(out, "doc_id", "n_shingles", "component_id") == sorted(brute.op9(rows, n, (num, 100)))
+
+
+def test_a_block_gives_no_more_links_than_tie_its_components():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(43)
+    base = rng.integers(0, 1 << 60, 100).astype(np.uint64)
+    sets = [np.sort(np.delete(base, rng.choice(100, 3, replace=False))).view(np.int64) for _ in range(60)]
+    first = np.append(0, np.cumsum([len(s) for s in sets]))
+    bits = jaccard._bitmaps(first, np.concatenate(sets).view(np.uint64))
+    for sides in ([0] * 60, [0] * 20 + [1] * 40):
+        rows = pa.table({"side": sides, "node": list(range(60)), "n": [len(s) for s in sets], "component": [i // 2 for i in range(60)], "tokens": [s.tolist() for s in sets], "bitmap": [b.tobytes() for b in bits]})
+        out = jaccard._links_of_block(90, 100)(rows)
+        assert len(out) == 29
