@@ -111,12 +111,23 @@ def part_keys(first: np.ndarray, token: np.ndarray, classes: Classes, below: int
     return text[emit], key[emit]
 
 
-def _bitmaps(first: np.ndarray, token: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(first) - 1, BITMAP), U)
-    owner = np.repeat(np.arange(len(first) - 1), first[1:] - first[:-1])
-    bit = mix(token + U(77)) % U(BITMAP * 64)
-    np.bitwise_or.at(out, (owner, (bit >> U(6)).astype(int)), U(1) << (bit & U(63)))
-    return out
+def _bitmaps(first: np.ndarray, token: np.ndarray) -> list[np.ndarray]:
+    """The bitmap of each set: a power of two of bits, BITMAP words at least and four or more a token."""
+    size = first[1:] - first[:-1]
+    words = 1 << np.ceil(np.log2(np.maximum(size * 4 / 64, BITMAP))).astype(int)
+    base = np.append(0, np.cumsum(words))
+    out = np.zeros(base[-1], U)
+    owner = np.repeat(np.arange(len(size)), size)
+    bit = mix(token + U(77)) & (words[owner].astype(U) * U(64) - U(1))
+    np.bitwise_or.at(out, base[owner] + (bit >> U(6)).astype(int), U(1) << (bit & U(63)))
+    return [out[x:y] for x, y in zip(base[:-1], base[1:], strict=True)]
+
+
+def _folded(bitmaps: list[bytes]) -> np.ndarray:
+    """Bitmaps of the width of the least of them: a bit of a wider one falls on the bit of the same rest."""
+    rows = [np.frombuffer(x, U) for x in bitmaps]
+    width = min(map(len, rows))
+    return np.stack([np.bitwise_or.reduce(r.reshape(-1, width)) for r in rows])
 
 
 def _set_rows(n: int):
@@ -178,17 +189,22 @@ class Tree:
             self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.minimum.reduceat(few, at), np.minimum.reduceat(c0, at), np.maximum.reduceat(c1, at)))
 
 
-def _possible(x: tuple, y: tuple, i: np.ndarray, j: np.ndarray, num: int, den: int, leaf: bool) -> np.ndarray:
-    """May any set below node i link to one below node j, of another component?"""
-    bx, lo_x, hi_x, few_x, c0x, c1x = (v[i] for v in x)
-    by, lo_y, hi_y, few_y, c0y, c1y = (v[j] for v in y)
+def _possible(x: tuple, y: tuple, i: np.ndarray, j: np.ndarray, num: int, den: int, leaf: bool, most: int = 1 << 22) -> np.ndarray:
+    """May any set below node i link to one below node j, of another component? Bitmaps are compared `most` words at a time."""
+    lo_x, hi_x, few_x, c0x, c1x = (v[i] for v in x[1:])
+    lo_y, hi_y, few_y, c0y, c1y = (v[j] for v in y[1:])
     ok = ~((c0x == c1x) & (c0y == c1y) & (c0x == c0y)) & (den * hi_x >= num * lo_y) & (den * hi_y >= num * lo_x)
-    if leaf:
-        apart = np.bitwise_count(bx ^ by).sum(1).astype(np.int64)  # each differing bit needs a token that only one set has
-        return ok & ((den + num) * apart <= (den - num) * (lo_x + lo_y))
-    both = np.bitwise_count(bx & by).sum(1).astype(np.int64)
-    overlap = np.minimum(hi_x - np.maximum(few_x - both, 0), hi_y - np.maximum(few_y - both, 0))
-    return ok & ((den + num) * overlap >= num * (lo_x + lo_y))
+    at, step = np.flatnonzero(ok), max(1, most // x[0].shape[1])
+    for part in (at[k : k + step] for k in range(0, len(at), step)):
+        bx, by = x[0][i[part]], y[0][j[part]]
+        if leaf:
+            apart = np.bitwise_count(bx ^ by).sum(1).astype(np.int64)  # each differing bit needs a token that only one set has
+            ok[part] = (den + num) * apart <= (den - num) * (lo_x[part] + lo_y[part])
+        else:
+            both = np.bitwise_count(bx & by).sum(1).astype(np.int64)
+            overlap = np.minimum(hi_x[part] - np.maximum(few_x[part] - both, 0), hi_y[part] - np.maximum(few_y[part] - both, 0))
+            ok[part] = (den + num) * overlap >= num * (lo_x[part] + lo_y[part])
+    return ok
 
 
 def dual_traversal(x: Tree, y: Tree | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +238,7 @@ class Block:
         side, self.node = np.asarray(rows["side"]), np.asarray(rows["node"])
         size, component = np.asarray(rows["n"]), np.asarray(rows["component"])
         self.component = np.unique(component, return_inverse=True)[1]
-        self.bits = np.frombuffer(b"".join(rows["bitmap"].to_pylist()), U).reshape(len(side), BITMAP)
+        self.bits = _folded(rows["bitmap"].to_pylist())
         self.size, self.trees, self.at = size, [], []
         for s in (0, 1):
             at = np.flatnonzero(side == s)
@@ -256,7 +272,8 @@ def _links_of_block(num: int, den: int):
     def run(rows):
         block = Block(rows)
         a, b = block.candidates(num, den)
-        apart = np.bitwise_count(block.bits[a] ^ block.bits[b]).sum(1)
+        step = max(1, (1 << 22) // block.bits.shape[1])
+        apart = np.concatenate([np.bitwise_count(block.bits[a[k : k + step]] ^ block.bits[b[k : k + step]]).sum(1) for k in range(0, len(a), step)] or [a])
         lists = rows["tokens"].combine_chunks()
         offs, flat = np.asarray(lists.offsets), np.asarray(lists.values)
         label, open_, out = block.component.copy(), len(np.unique(block.component)), []
@@ -305,9 +322,10 @@ def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFr
         .agg(F.max("pivot").alias("pivot"), F.max("p").alias("is_pivot"))
         .join(classes.select("print", "node"), "print")
     )
-    texts = docs.join(nodes, docs["doc_id"] == nodes["node"]).select("text", "node", "print", "pivot", "is_pivot")
+    # repeated rows once: they meet in the join's own partitions
+    texts = docs.join(nodes, docs["doc_id"] == nodes["node"]).groupBy("node", "print", "mark").agg(F.first("text").alias("text"), F.first("pivot").alias("pivot"), F.first("is_pivot").alias("is_pivot")).select("text", "node", "print", "pivot", "is_pivot")
     schema = "node long, print long, pivot long, is_pivot boolean, found long, n long, tokens array<long>, bitmap binary"
-    sets = saved(texts.mapInArrow(_tokens(n), schema).where("found = print").drop("found").dropDuplicates(["node"]), "jaccard-sets")
+    sets = saved(texts.mapInArrow(_tokens(n), schema).where("found = print").drop("found"), "jaccard-sets")
     released(spark)
 
     def links(joined: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ def test_dual_traversal_keeps_every_possible_link():
         extra = rng.integers(0, 1 << 60, int(rng.integers(0, 12))).astype(np.uint64)
         sets.append(np.unique(np.concatenate([base[: 80 - i % 15], extra])))
     first = np.append(0, np.cumsum([len(s) for s in sets]))
-    bits = jaccard._bitmaps(first, np.concatenate(sets))
+    bits = jaccard._folded([b.tobytes() for b in jaccard._bitmaps(first, np.concatenate(sets))])
     tree = jaccard.Tree(np.array([len(s) for s in sets]), bits, np.arange(60))
     i, j = jaccard.dual_traversal(tree, None, 90, 100)
     found = {frozenset(p) for p in zip(i.tolist(), j.tolist(), strict=True)}
