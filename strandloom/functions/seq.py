@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The bases that a valid sequence may hold.
@@ -39,12 +39,34 @@ def longest_run(seq) -> Column:
     return F.aggregate(acgt_runs(seq), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
 
 
+#: Bases by which chunks of a sequence advance; a window is cut out of its chunk, since substring() walks from the start.
+CHUNK = 256
+
+
+def chunks(seq, k: int) -> Column:
+    """Pieces of CHUNK bases, each followed by the k - 1 bases after it; the last ones may be shorter. Linear in the sequence."""
+    return F.regexp_extract_all(_col(seq), F.lit(f"(?=(.{{1,{CHUNK + k - 1}}})).{{1,{CHUNK}}}"), 1)
+
+
+def _windows_of(chunk: Column, k: int) -> Column:
+    return F.when(F.length(chunk) >= k, F.transform(F.sequence(F.lit(1), F.length(chunk) - (k - 1)), lambda i: F.substring(chunk, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+
 def windows(seq, k: int) -> Column:
-    """All windows of length k in order; none if the sequence is shorter."""
-    seq = _col(seq)
-    return F.when(F.length(seq) >= k, F.transform(F.sequence(F.lit(1), F.length(seq) - (k - 1)), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(
-        F.array().cast("array<string>")
-    )
+    """All windows of length k in order; none if the sequence is shorter. One array: for sequences of bounded length."""
+    return F.flatten(F.transform(chunks(seq, k), lambda c: _windows_of(c, k)))
+
+
+def with_windows(rows: DataFrame, k: int, carry: tuple = (), name: str = "kmer", at: str | None = None) -> DataFrame:
+    """A row for each window of k bases of `seq`, with columns `carry` and the window's offset as `at`.
+
+    No row holds more than the windows of one chunk, so a sequence may be as long as a chromosome."""
+    if at is None:
+        cut = rows.select(*carry, F.explode(chunks("seq", k)).alias("chunk_"))
+        return cut.select(*carry, F.explode(_windows_of(F.col("chunk_"), k)).alias(name))
+    cut = rows.select(*carry, F.posexplode(chunks("seq", k)).alias("n_", "chunk_"))
+    each = cut.select(*carry, "n_", F.posexplode(_windows_of(F.col("chunk_"), k)).alias("i_", name))
+    return each.select(*carry, (F.col("n_") * CHUNK + F.col("i_")).alias(at), name)
 
 
 def hamming(a, b) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.functions.seq import base_count, cigar, ref_span, revcomp, windows
+from strandloom.functions.seq import base_count, cigar, ref_span, revcomp, with_windows
 from strandloom.operators.aln import primary_alignment, query_interval
 from strandloom.operators.intervals import overlap_join
 from strandloom.operators.seqs import repeat_score
@@ -50,8 +50,8 @@ def read_to_contig_coverage(reads: DataFrame, contigs: DataFrame, k: int = 21, l
     its score, and a read covers the best diagonal of a contig.
     """
     both = reads.select("read_id", F.posexplode(F.array("seq", revcomp("seq"))).alias("strand", "seq"))
-    seeds = both.select("read_id", "strand", F.posexplode(windows("seq", k)).alias("i", "kmer"))
-    index = contigs.select("contig", F.posexplode(windows("seq", k)).alias("j", "kmer"))
+    seeds = with_windows(both, k, ("read_id", "strand"), at="i")
+    index = with_windows(contigs, k, ("contig",), at="j")
     lines = seeds.join(index, "kmer").select("read_id", "strand", "contig", (F.col("j") - F.col("i")).alias("offset")).distinct()
     placed = lines.join(both, ["read_id", "strand"]).join(contigs.select("contig", F.col("seq").alias("ref")), "contig")
     a, b = F.greatest("offset", F.lit(0)), F.least(F.col("offset") + F.length("seq"), F.length("ref"))

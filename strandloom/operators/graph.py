@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.functions.seq import base_count, hamming, revcomp, windows
+from strandloom.functions.seq import base_count, hamming, revcomp, with_windows
 from strandloom.operators.intervals import weighted_points
 from strandloom.plans.tables import components, forget, saved
 
 
 def extensions(reads: DataFrame, k: int) -> DataFrame:
     """GR1: kmer, outs, ins of each k-mer, from the (k+1)-mers of both strands; with dead ends and starts."""
-    pairs = reads.select(F.explode(windows("seq", k + 1)).alias("w")).select(F.explode(F.array("w", revcomp("w"))).alias("w")).distinct()
+    pairs = with_windows(reads, k + 1, name="w").distinct().select(F.explode(F.array("w", revcomp("w"))).alias("w")).distinct()
     out = pairs.select(F.expr(f"left(w, {k})").alias("kmer"), F.expr("right(w, 1)").alias("out"), F.lit(None).cast("string").alias("in"))
     into = pairs.select(F.expr(f"right(w, {k})").alias("kmer"), F.lit(None).cast("string").alias("out"), F.expr("left(w, 1)").alias("in"))
     held = out.union(into).groupBy("kmer").agg(F.sort_array(F.collect_set("out")).alias("outs"), F.sort_array(F.collect_set("in")).alias("ins"))
@@ -62,19 +62,21 @@ def early_tip_clip(ext: DataFrame, k: int, bound: int) -> DataFrame:
     """GR3: k-mers without dead-end chains of at most `bound` k-mers that hang on a branching k-mer."""
     rows = saved(ext.select("kmer", "outs", "ins"), "tips")
     walk = rows.where((F.size("outs") == 0) & (F.size("ins") == 1)).select(F.col("kmer").alias("tip"), "kmer", "ins", F.array("kmer").alias("path"))
-    lost = None
+    lost = walk.select("kmer").limit(0)
     for _ in range(bound):
+        if walk.isEmpty():
+            break
         before = walk.select("tip", "path", F.concat(F.col("ins")[0], F.expr(f"left(kmer, {k - 1})")).alias("kmer"))
         met = saved(before.join(rows, "kmer"), "tips-step")
         ended = met.where(F.size("outs") > 1).select(F.explode("path").alias("kmer"))
-        lost = ended if lost is None else lost.union(ended)
+        lost = lost.union(ended)
         walk = met.where((F.size("outs") == 1) & (F.size("ins") == 1) & (F.size("path") < bound)).select("tip", "kmer", "ins", F.concat("path", F.array("kmer")).alias("path"))
     return ext.join(lost.distinct(), "kmer", "left_anti")
 
 
 def edge_coverage(edges: DataFrame, counts: DataFrame, k: int, flank: int) -> DataFrame:
     """GR4: edge, coverage (mean count of its k-mers) and flank_coverage (of the first `flank` of them)."""
-    rows = edges.select("edge", F.posexplode(windows("seq", k)).alias("i", "w")).withColumn("kmer", F.least("w", revcomp("w")))
+    rows = with_windows(edges, k, ("edge",), "w", at="i").withColumn("kmer", F.least("w", revcomp("w")))
     held = rows.join(counts, "kmer", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return held.groupBy("edge").agg(F.avg("n").alias("coverage"), F.avg(F.when(F.col("i") < flank, F.col("n"))).alias("flank_coverage"))
 
@@ -229,13 +231,13 @@ def edges_off_paths(edges: DataFrame, paths: DataFrame) -> DataFrame:
 
 def kmer_edge_index(edges: DataFrame, k: int) -> DataFrame:
     """GR17: kmer, edge, offset of the k-mers that lie on one place only."""
-    rows = edges.select("edge", F.posexplode(windows("seq", k)).alias("offset", "kmer"))
+    rows = with_windows(edges, k, ("edge",), at="offset")
     return rows.groupBy("kmer").agg(F.count("*").alias("n"), F.min("edge").alias("edge"), F.min("offset").alias("offset")).where("n = 1").drop("n")
 
 
 def map_reads(reads: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """GR17: read, edge, q_start, q_end, e_start, e_end, ord: ranges along which read and edge advance in step."""
-    hits = reads.select("read", F.posexplode(windows("seq", k)).alias("i", "kmer")).join(index, "kmer")
+    hits = with_windows(reads, k, ("read",), at="i").join(index, "kmer")
     order = Window.partitionBy("read").orderBy("i")
     new = F.lag("edge").over(order).isNull() | (F.lag("edge").over(order) != F.col("edge")) | (F.lag(F.col("offset") - F.col("i")).over(order) != F.col("offset") - F.col("i")) | (F.lag("i").over(order) != F.col("i") - 1)
     held = hits.withColumn("new", new.cast("int")).withColumn("ord", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -259,8 +261,8 @@ def strand_coverage(maps: DataFrame, edges: DataFrame, symmetric: bool = False)
 
 def edge_quality(edges: DataFrame, reference: DataFrame, k: int) -> DataFrame:
     """GR20: k-mers of each edge that the reference holds on either strand, counted once a place of the reference."""
-    ref = reference.select(F.explode(F.array("seq", revcomp("seq"))).alias("seq")).select(F.explode(windows("seq", k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
-    rows = edges.select("edge", F.explode(windows("seq", k)).alias("kmer"))
+    ref = reference.select(F.explode(F.array("seq", revcomp("seq"))).alias("seq")).transform(with_windows, k).groupBy("kmer").agg(F.count("*").alias("n"))
+    rows = with_windows(edges, k, ("edge",))
     hits = rows.join(ref, "kmer").groupBy("edge").agg(F.sum("n").alias("quality"))
     return edges.select("edge").join(hits, "edge", "left").select("edge", F.coalesce("quality", F.lit(0)).alias("quality"))
 

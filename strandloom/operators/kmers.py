@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.functions.seq import canonical, hamming, qualities, revcomp, windows
+from strandloom.functions.seq import canonical, hamming, qualities, revcomp, with_windows
 from strandloom.plans.tables import components, forget, saved
 
 
 def kmers(reads: DataFrame, k: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """KM1: every window of k bases; shorter reads give none."""
-    return reads.select(*carry, F.explode(windows("seq", k)).alias("kmer"))
+    return with_windows(reads, k, carry)
 
 
 def valid_kmers(reads: DataFrame, k: int, q: int = 2) -> DataFrame:
@@ -21,10 +21,11 @@ def valid_kmers(reads: DataFrame, k: int, q: int = 2) -> DataFrame:
     good = F.transform(phred, lambda x: x > q)
     first = F.array_position(good, True)
     last = F.size(good) + 1 - F.array_position(F.reverse(good), True)
-    each = F.transform(windows("seq", k), lambda w, i: F.struct((i + 1).alias("at"), w.alias("kmer")))
-    rows = reads.select("read_id", phred.alias("phred"), first.alias("a"), last.alias("b"), F.explode(each).alias("x")).where((F.col("x.at") >= F.col("a")) & (F.col("x.at") + k - 1 <= F.col("b")) & ~F.col("x.kmer").rlike("[^ACGT]"))
-    right = F.aggregate(F.slice("phred", F.col("x.at"), k), F.lit(1.0), lambda acc, x: acc * (1 - F.pow(F.lit(10.0), -x / 10.0)))
-    return rows.select("read_id", "x.at", "x.kmer", right.alias("correct"), F.slice("phred", F.col("x.at"), k).alias("quals"))
+    held = reads.select("read_id", "seq", phred.alias("phred"), first.alias("a"), last.alias("b"))
+    rows = with_windows(held, k, ("read_id", "phred", "a", "b"), at="offset").withColumn("at", F.col("offset") + 1)
+    rows = rows.where((F.col("at") >= F.col("a")) & (F.col("at") + k - 1 <= F.col("b")) & ~F.col("kmer").rlike("[^ACGT]"))
+    right = F.aggregate(F.slice("phred", F.col("at"), k), F.lit(1.0), lambda acc, x: acc * (1 - F.pow(F.lit(10.0), -x / 10.0)))
+    return rows.select("read_id", "at", "kmer", right.alias("correct"), F.slice("phred", F.col("at"), k).alias("quals"))
 
 
 def kmer_set(reads: DataFrame, k: int = 21) -> DataFrame:
@@ -34,8 +35,9 @@ def kmer_set(reads: DataFrame, k: int = 21) -> DataFrame:
 
 
 def kmer_counts(reads: DataFrame, k: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """KM4: counts of canonical k-mers."""
-    return kmers(reads, k, keys).groupBy(*keys, canonical("kmer").alias("kmer")).agg(F.count("*").alias("n"))
+    """KM4: counts of canonical k-mers. Windows are counted as they are, and only what is left of them is turned and counted again."""
+    raw = kmers(reads, k, keys).groupBy(*keys, "kmer").agg(F.count("*").alias("n"))
+    return raw.groupBy(*keys, canonical("kmer").alias("kmer")).agg(F.sum("n").alias("n"))
 
 
 def kmer_cardinality(reads: DataFrame, k: int, error: float = 0.01) -> DataFrame:
@@ -96,7 +98,7 @@ def cluster_centre(clusters: DataFrame, stats: DataFrame, singleton: float = 0.9
 
 def expand_solid(reads: DataFrame, solid: DataFrame, k: int, max_iter: int = 25) -> DataFrame:
     """KM12: solid k-mers, grown by all k-mers of reads whose bases solid k-mers cover, until no more come."""
-    rows = saved(reads.select("read_id", F.length("seq").alias("len"), F.posexplode(windows("seq", k)).alias("i", "kmer")), "solid-rows")
+    rows = saved(with_windows(reads.select("read_id", "seq", F.length("seq").alias("len")), k, ("read_id", "len"), at="i"), "solid-rows")
     good = saved(solid.select("kmer").distinct(), "solid-0")
     order = Window.partitionBy("read_id").orderBy("i")
     for step in range(1, max_iter + 1):
@@ -120,7 +122,7 @@ def multi_sample_counts(counts: DataFrame, min_samples: int, min_mult: int = 5)
 
 
 def _known(contigs: DataFrame, profiles: DataFrame, k: int, min_length: int) -> tuple[DataFrame, DataFrame]:
-    rows = contigs.where(F.length("seq") >= min_length).select("contig", F.explode(windows("seq", k)).alias("w")).withColumn("kmer", canonical("w"))
+    rows = with_windows(contigs.where(F.length("seq") >= min_length), k, ("contig",), "w").withColumn("kmer", canonical("w"))
     seen = profiles.select("kmer").distinct()
     known = rows.join(seen, "kmer", "left_semi")
     share = rows.groupBy("contig").agg(F.count("*").alias("all")).join(known.groupBy("contig").agg(F.count("*").alias("known")), "contig", "left")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.functions.seq import acgt_runs, hamming, homopolymer_runs, is_valid, longest_run, qualities, revcomp, windows
+from strandloom.functions.seq import CHUNK, acgt_runs, chunks, hamming, homopolymer_runs, is_valid, longest_run, qualities, revcomp, with_windows
 
 # fixed values: mates of each library layout that are turned round to face forward
 TURNED = {"FR": (2,), "RF": (1,), "FF": (), "RR": (1, 2)}
@@ -62,7 +62,8 @@ def pair_reads(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def median_coverage_filter(reads: DataFrame, counts: DataFrame, k: int, least: int) -> DataFrame:
     """SQ9: read_id of reads (read_id, pair, seq) of which one mate has an upper median k-mer count of `least` or more; short reads have 0."""
-    kmers = reads.select("read_id", "pair", F.explode_outer(windows("seq", k)).alias("kmer"))
+    none = reads.where(F.coalesce(F.length("seq"), F.lit(0)) < k).select("read_id", "pair", F.lit(None).cast("string").alias("kmer"))
+    kmers = with_windows(reads, k, ("read_id", "pair")).unionByName(none)
     held = kmers.join(counts.select("kmer", "n"), "kmer", "left")
     # the upper median of the counts of a read, over its window multiplicities
     order = Window.partitionBy("read_id").orderBy(F.coalesce("n", F.lit(0)))
@@ -107,11 +108,14 @@ def length_filter(contigs: DataFrame, least: int) -> DataFrame:
 
 def repeat_score(seqs: DataFrame, key: str = "doc_id", ks=range(2, 10)) -> DataFrame:
     """SQ13: mean over k and positions i > k of exp(-d * gap) / exp(-d), d = 0.25 / k, gap: distance to the same k-mer before (0 if none)."""
+    cut = seqs.select(key, F.posexplode(chunks("seq", max(ks))).alias("n", "chunk"))
+
     def named(k: int) -> Column:
-        return F.transform(windows("seq", k), lambda w, i: F.struct(F.lit(k).alias("k"), i.alias("i"), w.alias("kmer")))
+        last = F.least(F.lit(CHUNK), F.length("chunk") - (k - 1))
+        each = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(F.lit(k).alias("k"), (F.col("n") * CHUNK + i - 1).alias("i"), F.substring(F.col("chunk"), i, F.lit(k)).alias("kmer")))
+        return F.when(last >= 1, each).otherwise(F.array().cast("array<struct<k:int,i:int,kmer:string>>"))
 
-    each = F.flatten(F.array(*map(named, ks)))
-    rows = seqs.select(key, F.explode(each).alias("x")).select(key, "x.*")
+    rows = cut.select(key, F.explode(F.flatten(F.array(*map(named, ks)))).alias("x")).select(key, "x.*")
     gap = F.col("i") - F.lag("i").over(Window.partitionBy(key, "k", "kmer").orderBy("i"))
     score = F.when(gap.isNull(), 0.0).otherwise(F.exp(-0.25 / F.col("k") * (gap - 1)))
     return rows.withColumn("score", score).where(F.col("i") > F.col("k")).groupBy(key).agg(F.avg("score").alias("repeat_score"))
@@ -119,7 +123,7 @@ def repeat_score(seqs: DataFrame, key: str = "doc_id", ks=range(2, 10)) -> DataF
 
 def kmer_repeat_profile(seqs: DataFrame, key: str = "doc_id", k: int = 17) -> DataFrame:
     """SQ14: windows, distinct share, repeats, median and most common gap between equal windows, and windows whose reverse complement occurs too."""
-    rows = seqs.select(key, F.posexplode(windows("seq", k)).alias("i", "kmer"))
+    rows = with_windows(seqs, k, (key,), at="i")
     held = rows.withColumn("gap", F.col("i") - F.lag("i").over(Window.partitionBy(key, "kmer").orderBy("i")))
     basic = held.groupBy(key).agg(F.count("*").alias("n_windows"), F.count_if(F.col("gap").isNull()).alias("n_distinct"), F.count("gap").alias("n_repeats"), F.percentile("gap", 0.5).alias("median_gap"))
     gaps = held.where("gap is not null").groupBy(key, "gap").agg(F.count("*").alias("n"))
