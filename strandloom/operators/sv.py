@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from itertools import chain
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandloom.operators.intervals import overlap_join
+from strandloom.plans.tables import saved
+
 # fixed values: probability and support below which a variant of the type is dropped
 SUPPORT = {"INS": (0.2, 9), "DEL": (0.3, 9), "INV": (0.15, 6), "DUP": (0.15, 6), "TRA": (0.4, 8)}
 CHROMOSOMES = [*map(str, range(1, 23)), "X", "Y"]
@@ -103,61 +105,65 @@ def contig_pairs(sv: DataFrame) -> DataFrame:
     return sv.select("sample", "sv_id", F.posexplode(F.array("contiga", "contigb")).alias("side", "seq")).where(F.col("seq").isNotNull() & (F.col("seq") != ""))
 
 
-def site_filter(sites: DataFrame, min_depth=3, max_depth=100, min_snp_mapq=25, min_gap_mapq=10, min_indel_score=25, snp_gap=10, dense=10, dense_snps=2, gap_gap=30, factor=100) -> DataFrame:
-    """SV13: one code for each site of (chrom, pos, is_indel, dlen, quality, mapq, depth, support): d and D by depth, Q by mapping
-    quality, W for dense SNPs, g near a gap, G for the weaker of two close gaps, `.` for those that pass.
+def site_filter(sites: DataFrame, min_depth=3, max_depth=100, min_snp_mapq=25, min_gap_mapq=10, min_indel_score=25, snp_gap=10, dense=10, dense_snps=2, gap_gap=30, factor=100, min_snp_quality=0, min_indel_quality=0, min_ref_quality=0) -> DataFrame:
+    """SV13: one code for each site of ([sample,] chrom, pos, is_indel, dlen, quality, mapq, depth, support[, is_ref]), U if it passes.
+
+    d and D: depth; i, s, C: quality of an indel, a SNP, a reference site; those take no further part. Q: mapping quality. G: a
+    gap within gap_gap of another (after its end) that scores more, or before it as much; its score is quality + factor * support.
+    W: a SNP of more than dense_snps within `dense` bases; g: a SNP within snp_gap of a gap. Where a later site could give W or
+    g, the first one does. SNPs of low mapping quality count as neighbours only with a W or g of their own.
 
-    Sites of a chromosome are swept in order of position, since a code depends on the codes given before it; chromosomes run
-    in parallel. A sweep only looks back over the widest window.
+    Sites meet by a join of close positions, not by a sweep, so a chromosome is not one task.
     """
-    kind = {f.name: f.dataType.simpleString() for f in sites.schema}
-    schema = ", ".join(f"`{k}` {v}" for k, v in kind.items()) + ", code string"
-
-    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pos", "is_indel"], kind="stable").reset_index(drop=True)
-        code, score, near = [], [], max(snp_gap, dense, gap_gap)
-        pos, indel, dlen = pdf["pos"].tolist(), pdf["is_indel"].tolist(), pdf["dlen"].tolist()
-        first = 0
-        for i, row in enumerate(pdf.itertuples(index=False)):
-            while first < i and pos[first] + dlen[first] + near < row.pos:
-                first += 1
-            own, weight = ".", -1
-            if row.depth < min_depth:
-                own = "d"
-            elif row.depth > max_depth:
-                own = "D"
-            else:
-                gaps = [j for j in range(first, i) if score[j] >= 0]
-                snps = [j for j in range(first, i) if score[j] < 0]
-                if row.is_indel:
-                    own = "Q" if row.mapq < min_gap_mapq else own
-                    if row.quality >= min_indel_score:
-                        for j in snps:
-                            if pos[j] + dlen[j] + snp_gap >= row.pos and code[j] == ".":
-                                code[j] = "g"
-                    weight = row.quality + factor * row.support
-                    for j in gaps:
-                        if pos[j] + dlen[j] + gap_gap < row.pos:
-                            continue
-                        if score[j] >= weight:
-                            own = "G"
-                            break
-                        code[j] = "G"
-                else:
-                    own = "Q" if row.mapq < min_snp_mapq else own
-                    close = [j for j in snps if pos[j] + dlen[j] + dense >= row.pos]
-                    if 1 + sum(code[j] in ".Wg" for j in close) > dense_snps:
-                        own = "W"
-                        for j in close:
-                            if code[j] == ".":
-                                code[j] = "W"
-                    elif any(pos[j] + dlen[j] + snp_gap >= row.pos and score[j] >= min_indel_score for j in gaps):
-                        own = "g"
-            code.append(own)
-            score.append(weight)
-        return pdf.assign(code=code)
-
-    return sites.groupBy("chrom").applyInPandas(sweep, schema)
+    keys = [k for k in ("sample", "chrom") if k in sites.columns]
+    is_ref = F.coalesce("is_ref", F.lit(False)) if "is_ref" in sites.columns else F.lit(False)
+    gap = F.col("is_indel")
+    first = F.when(F.col("depth") < min_depth, "d").when(F.col("depth") > max_depth, "D")
+    first = first.when(gap & (F.col("quality") < min_indel_quality), "i").when(~gap & ~is_ref & (F.col("quality") < min_snp_quality), "s").when(is_ref & (F.col("quality") < min_ref_quality), "C")
+    held = saved(sites.withColumn("site_id", F.monotonically_increasing_id()).withColumn("first_code", first), "sites")
+    live = held.where("first_code is null").select(
+        *keys, "site_id", "pos", "quality", F.when(gap, F.col("dlen")).otherwise(0).alias("dlen"), gap.alias("gap"), (~gap & ~is_ref).alias("snp"),
+        (F.col("mapq") >= F.when(gap, min_gap_mapq).otherwise(min_snp_mapq)).alias("mapped"), (F.col("quality") + factor * F.col("support")).alias("score"), F.struct("pos", "is_indel", "site_id").alias("nth"),
+    )
+    columns = ("site_id", "pos", "dlen", "quality", "gap", "snp", "mapped", "score", "nth")
+    side = lambda p: [*keys, *(F.col(c).alias(f"{p}_{c}") for c in columns)]
+    reach = max(snp_gap, dense, gap_gap)
+    before = live.where("gap or snp").select(*side("x")).withColumn("start", F.col("x_pos")).withColumn("end", F.col("x_pos") + F.col("x_dlen") + reach + 1)
+    after = live.select(*side("y")).withColumn("r_start", F.col("y_pos")).withColumn("r_end", F.col("y_pos") + 1)
+    pairs = overlap_join(before, after, keys, 256).where("x_nth < y_nth").withColumn("apart", F.col("y_pos") - F.col("x_pos") - F.col("x_dlen"))
+    pairs = saved(pairs.select(*(f"{p}_{c}" for p in "xy" for c in columns), "apart"), "site-pairs")
+
+    some = lambda what: F.max(F.coalesce(what, F.lit(False)))
+    near_gap = (F.col("apart") <= snp_gap) & F.col("x_gap") & ~F.col("y_gap")
+    stronger = F.col("x_gap") & F.col("y_gap") & (F.col("apart") <= gap_gap)
+    behind = pairs.groupBy(F.col("y_site_id").alias("site_id")).agg(some(near_gap & (F.col("x_score") >= min_indel_score)).alias("g_back"), some(stronger & (F.col("x_score") >= F.col("y_score"))).alias("beaten"))
+    behind = saved(behind, "site-behind")
+    close = pairs.where("x_snp and not y_gap").where(F.col("apart") <= dense).select("x_site_id", "x_mapped", "y_site_id", "y_nth")
+    close = close.join(behind.select(F.col("site_id").alias("x_site_id"), F.col("g_back").alias("x_g")), "x_site_id", "left")
+    close = saved(close.withColumn("counts", F.col("x_mapped") | F.coalesce("x_g", F.lit(False))), "site-close")
+    crowded = lambda c: c.where("counts").groupBy("y_site_id").agg(F.count("*").alias("n")).where(F.col("n") + 1 > dense_snps).select(F.col("y_site_id").alias("site_id"))
+    dense_sites = saved(crowded(close), "site-dense")
+    while True:  # a SNP of low mapping quality that turns out to be crowded counts for those after it
+        more = close.join(dense_sites.withColumnRenamed("site_id", "x_site_id").withColumn("w", F.lit(True)), "x_site_id", "left")
+        grown = saved(crowded(more.withColumn("counts", F.col("counts") | F.coalesce("w", F.lit(False)))), "site-dense")
+        if grown.count() == dense_sites.count():
+            break
+        dense_sites = grown
+    own = dense_sites.withColumn("crowded", F.lit(True))
+    next_w = close.join(own.withColumnRenamed("site_id", "y_site_id"), "y_site_id").groupBy(F.col("x_site_id").alias("site_id")).agg(F.min("y_nth").alias("w_nth"))
+    ahead = pairs.groupBy(F.col("x_site_id").alias("site_id")).agg(
+        F.min(F.when(F.col("x_snp") & F.col("y_gap") & (F.col("apart") <= snp_gap) & (F.col("y_quality") >= min_indel_score), F.col("y_nth"))).alias("g_nth"),
+        some(stronger & (F.col("y_score") > F.col("x_score"))).alias("outdone"),
+    )
+    told = held
+    for facts in (behind, own, next_w, ahead):
+        told = told.join(facts, "site_id", "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    low = F.col("mapq") < F.when(gap, min_gap_mapq).otherwise(min_snp_mapq)
+    of_gap = F.when(yes("beaten") | yes("outdone"), "G").when(low, "Q").otherwise("U")
+    later = F.when(F.col("w_nth").isNotNull() & (F.col("g_nth").isNull() | (F.col("w_nth") < F.col("g_nth"))), "W").when(F.col("g_nth").isNotNull(), "g").otherwise("U")
+    of_snp = F.when(yes("crowded"), "W").when(yes("g_back"), "g").when(low, "Q").when(is_ref, "U").otherwise(later)
+    return told.select(*sites.columns, F.coalesce("first_code", F.when(gap, of_gap).otherwise(of_snp)).alias("code"))
 
 
 def consensus_to_variants(pileup: DataFrame, keep_ref: bool = False) -> DataFrame:

@@ -114,7 +114,7 @@ def _(t):
     return sv.contig_pairs(t.sql(EVIDENCE))
 
 
-SITES = """select concat('c', l_suppkey) as chrom, cast(l_orderkey as bigint) as pos, l_linenumber > 5 as is_indel, cast(case when l_linenumber = 7 then 3 else 0 end as int) as dlen,
+SITES = """select l_returnflag as sample, concat('c', l_suppkey % 25) as chrom, cast(l_orderkey as bigint) as pos, l_linenumber > 5 as is_indel, cast(case when l_linenumber = 7 then 3 else 0 end as int) as dlen,
  cast(l_quantity as int) as quality, cast((l_suppkey * 7 + l_linenumber) % 61 as int) as mapq, cast(l_extendedprice / 700 as int) as depth, cast(l_linenumber % 3 as int) as support from {lineitem}"""
 
 

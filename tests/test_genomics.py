@@ -111,7 +111,49 @@ def test_site_filter_codes(spark):
     schema = "chrom string, pos long, is_indel boolean, dlen int, quality int, mapq int, depth int, support int"
     sites = [("1", 10, False, 0, 50, 60, 1, 0), ("1", 100, False, 0, 50, 60, 500, 0), ("1", 300, False, 0, 50, 10, 20, 0), ("1", 400, False, 0, 50, 60, 20, 0), ("1", 403, False, 0, 50, 60, 20, 0), ("1", 406, False, 0, 50, 60, 20, 0), ("1", 600, False, 0, 50, 60, 20, 0), ("1", 605, True, 0, 50, 60, 20, 1), ("1", 615, True, 0, 20, 60, 20, 0)]
     out = dict(rows(sv.site_filter(spark.createDataFrame(sites, schema)), "pos", "code"))
-    assert [out[p] for p in (10, 100, 300, 400, 403, 406, 600, 605, 615)] == ["d", "D", "Q", "W", "W", "W", "g", ".", "G"]
+    assert [out[p] for p in (10, 100, 300, 400, 403, 406, 600, 605, 615)] == ["d", "D", "Q", "W", "W", "W", "g", "U", "G"]
+
+
+def codes_by_definition(sites):
+    """site_filter() restated over all pairs of sites of one chromosome."""
+    code = {x["pos"]: "d" if x["depth"] < 3 else "D" for x in sites if not 3 <= x["depth"] <= 100}
+    live = [dict(x, score=x["quality"] + 100 * x["support"], end=x["pos"] + x["dlen"] * x["is_indel"]) for x in sites if x["pos"] not in code]
+    gaps, snps = [x for x in live if x["is_indel"]], [x for x in live if not x["is_indel"]]
+    mapped = {x["pos"]: x["mapq"] >= (10 if x["is_indel"] else 25) for x in live}
+    for x in gaps:
+        rivals = [(y, y["pos"] < x["pos"]) for y in gaps if y is not x and max(x["pos"], y["pos"]) - min(x, y, key=lambda z: z["pos"])["end"] <= 30]
+        lost = any(y["score"] >= x["score"] if earlier else y["score"] > x["score"] for y, earlier in rivals)
+        code[x["pos"]] = "G" if lost else "U" if mapped[x["pos"]] else "Q"
+    after_gap = {x["pos"]: any(0 < x["pos"] - g["pos"] and x["pos"] - g["end"] <= 10 and g["score"] >= 25 for g in gaps) for x in snps}
+    crowded: set = set()
+    while True:
+        counts = {p for p in after_gap if mapped[p] or after_gap[p] or p in crowded}
+        found = {p for p in after_gap if sum(q in counts for q in range(p - 10, p)) + 1 > 2}
+        if found == crowded:
+            break
+        crowded = found
+    for x in snps:
+        p = x["pos"]
+        first = min([(q, "W") for q in crowded if 0 < q - p <= 10] + [(g["pos"], "g") for g in gaps if 0 < g["pos"] - p <= 10 and g["quality"] >= 25], default=(0, "U"))[1]
+        code[p] = "W" if p in crowded else "g" if after_gap[p] else first if mapped[p] else "Q"
+    return code
+
+
+def test_site_filter_on_crowded_sites(spark):
+    rng = random.Random(19)
+    made, want = [], {}
+    for sample in ("a", "b"):
+        for chrom in ("1", "2"):
+            sites = [{"sample": sample, "chrom": chrom, "pos": p, "is_indel": rng.random() < 0.25, "dlen": rng.choice([0, 0, 4]), "quality": rng.randint(5, 60), "mapq": rng.choice([5, 20, 40, 60]), "depth": rng.choice([1, 20, 30, 40, 200]), "support": rng.randint(0, 2)} for p in rng.sample(range(3000), 420)]
+            made += sites
+            want |= {(sample, chrom, p): c for p, c in codes_by_definition(sites).items()}
+    df = spark.createDataFrame([tuple(x.values()) for x in made], "sample string, chrom string, pos long, is_indel boolean, dlen int, quality int, mapq int, depth int, support int")
+    out = {(r.sample, r.chrom, r.pos): r.code for r in sv.site_filter(df).collect()}
+    assert out == want and set(want.values()) == set("UdDQWGg")
+    coded = sv.site_filter(df.withColumn("is_ref", F.lit(False)), min_snp_quality=20, min_indel_quality=30)
+    assert {r.code for r in coded.collect()} == set("UdDQWGgsi")
+    ref = sv.site_filter(df.withColumn("is_indel", F.lit(False)).withColumn("is_ref", F.lit(True)), min_ref_quality=20)
+    assert {r.code for r in ref.collect()} == set("UdDQC")
 
 
 def test_nearby_breaks_cluster_alike_by_pairs_and_by_sessions(spark):
