@@ -76,12 +76,12 @@ def group_sizes(aln: DataFrame) -> DataFrame:
     return aln.groupBy("sample", "qname").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n_names"))
 
 
-def cigar_ops(aln: DataFrame) -> DataFrame:
-    """AL8: one row for each operation with its start on the read and on the reference."""
+def cigar_ops(aln: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """AL8: one row for each operation with its start on the read and on the reference, and columns `carry` of the alignment."""
     ops = aln.withColumn("ops", cigar("cigar"))
     upto = lambda kinds: F.transform("ops", lambda x, i: cigar_sum(F.slice("ops", 1, i), kinds))
-    each = ops.select("sample", "qname", "flag", "contig", "pos", "cigar", F.posexplode(F.arrays_zip("ops", upto("MIS=X").alias("q"), upto("MDN=X").alias("r"))).alias("nth", "x"))
-    return each.select("sample", "qname", "flag", "contig", "pos", "nth", F.col("x.ops.op").alias("op"), F.col("x.ops.len").alias("len"), F.col("x.q").alias("q_start"), (F.col("pos") + F.col("x.r")).alias("r_start"))
+    each = ops.select("sample", "qname", "flag", "contig", "pos", "cigar", *carry, F.posexplode(F.arrays_zip("ops", upto("MIS=X").alias("q"), upto("MDN=X").alias("r"))).alias("nth", "x"))
+    return each.select("sample", "qname", "flag", "contig", "pos", "nth", F.col("x.ops.op").alias("op"), F.col("x.ops.len").alias("len"), F.col("x.q").alias("q_start"), (F.col("pos") + F.col("x.r")).alias("r_start"), *carry)
 
 
 def with_ref_span(aln: DataFrame) -> DataFrame:

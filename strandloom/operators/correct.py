@@ -14,7 +14,7 @@ BASES = ("A", "C", "G", "T", "N")
 
 def read_bases(aln: DataFrame) -> DataFrame:
     """One row for each base, deletion (D) and insertion (I, with its string) of aligned reads: contig, qname, pos, variant, inserted."""
-    ops = cigar_ops(aln).withColumnRenamed("pos", "start").join(aln.select("sample", "qname", "flag", "contig", F.col("pos").alias("start"), "seq"), ["sample", "qname", "flag", "contig", "start"])
+    ops = cigar_ops(aln, ("seq",))  # an alignment that repeats another counts by itself
     each = ops.where(F.col("op").isin("M", "=", "X", "D")).withColumn("i", F.explode(F.expr("sequence(0, len - 1)")))
     base = F.when(F.col("op") == "D", "D").otherwise(F.upper(F.expr("substring(seq, q_start + i + 1, 1)")))
     rows = each.select("contig", "qname", (F.col("r_start") + F.col("i")).alias("pos"), base.alias("variant"), F.lit(None).cast("string").alias("inserted"))

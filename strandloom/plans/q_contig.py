@@ -53,7 +53,7 @@ def _(t):
     return contigs.short_anchor(t.contig_map).select("qname", "qstart", "qend", "short_anchor")
 
 
-BREAKS = "select l_returnflag as sample, concat('chr', l_partkey % 5 + 1) as chrom, cast(l_orderkey * 3 % 50000 as bigint) as pos from {lineitem} where l_linenumber = 7"
+BREAKS = "select l_returnflag as sample, concat('chr', l_partkey % 5 + 1) as chrom, cast(l_orderkey * 97 % 5000000 as bigint) as pos from {lineitem}"
 
 
 @query("cq8_overlaps_break", f"with b as (select distinct * from ({BREAKS}) x) select m.sample, m.qname, m.rstart, m.rend, exists (select 1 from b where b.sample = m.sample and b.chrom = m.chrom and m.rstart < pos + 20 and pos - 20 < m.rend) as vcf from {{contig_map}} m")
@@ -121,7 +121,13 @@ def _(t):
     return contigs.best_alignment_path(t.contig_map)
 
 
-@query("cq16_contig_segments")
+@query(
+    "cq16_contig_segments",
+    """with e as (select qname, qstart as p, 1 as v from {contig_map} union all select qname, qend, -1 from {contig_map} union all select qname, 0, 0 from {contig_map} union all select qname, qlen, 0 from {contig_map}),
+    s as (select qname, p, sum(v) as v from e group by 1, 2), c as (select qname, p, sum(v) over (partition by qname order by p) as cover, lead(p) over (partition by qname order by p) as z from s),
+    k as (select qname, p, z, case when cover = 0 then 'u' when cover = 1 then 'a' else 'h' end as kind from c where z is not null), n as (select *, case when lag(kind) over (partition by qname order by p) is null or lag(kind) over (partition by qname order by p) <> kind then 1 else 0 end as nw from k),
+    g as (select *, sum(nw) over (partition by qname order by p) as run from n) select qname, min(p) as start, max(z) as "end", min(kind) as kind from g group by qname, run""",
+)
 def _(t):
     return contigs.contig_segments(t.contig_map)
 

@@ -100,8 +100,8 @@ TIPS = "select edge, src, edge + 1000000000 as dst, len, raw_cov from {graph_edg
 
 @query(
     "gr10_relative_coverage_tip",
-    f"""with e as ({TIPS}), c as (select *, raw_cov / len as c from e), r as (select *, row_number() over (partition by src order by c desc, edge) as n, max(c) over (partition by src) as top, count(*) over (partition by src) as k from c),
-    s as (select src, c as second from r where n = 2) select edge from r left join s on r.src = s.src where k > 1 and c <= 0.9 * ((case when n = 1 then second else top end) + 1) and dst in (select dst from e group by dst having count(*) = 1)""",
+    f"""with e as ({TIPS}), c as (select edge, src, raw_cov / len as c, count(*) over (partition by dst) as ways from e), r as (select *, row_number() over (partition by src order by c desc, edge) as n, max(c) over (partition by src) as top, count(*) over (partition by src) as k from c),
+    s as (select *, max(case when n = 2 then c end) over (partition by src) as second from r) select edge from s where k > 1 and ways = 1 and c <= 0.9 * ((case when n = 1 then second else top end) + 1)""",
 )
 def _(t):
     return graph.relative_coverage_tips(t.sql(TIPS), 0.9)
@@ -129,9 +129,14 @@ def _(t):
     return graph.simplify_round(t.sql(SPARSE), F.col("tip") & graph.coverage_at_most(9.5), 2)
 
 
-@query("gr14_erroneous_connection_threshold")
+@query(
+    "gr14_erroneous_connection_threshold",
+    f"""with {DEG}, b as (select floor(raw_cov / len / 5e0) as x, count(*) as n from t where so > 1 and din > 1 and len <= 600 group by 1), m as (select x, avg(n) over (order by x range between 3 preceding and 3 following) as s from b),
+    p as (select x, s, lag(s) over (order by x) as before, lead(s) over (order by x) as after from m), f as (select min(x) as x from p where s < before and s <= after), g as (select sum(raw_cov) / sum(len) as c from {{graph_edges}})
+    select round(coalesce((x + 0.5e0) * 5e0, 0.1e0 * c), 9) as threshold from f, g""",
+)
 def _(t):
-    return graph.erroneous_connection_threshold(t.graph_edges, 600, 3, 5.0)
+    return graph.erroneous_connection_threshold(t.graph_edges, 600, 3, 5.0).select(F.round("threshold", 9).alias("threshold"))
 
 
 CHOSEN = "select event_id as edge from {events} where event_type in ('click', 'view')"
@@ -274,7 +279,14 @@ def _(t):
     return pairs.crop(t.sql(HIST), 1.5)
 
 
-@query("pi3_mean_sd_percentiles")
+MOMENTS = "select sum(insert_size * n) / sum(n) as mean, sqrt(sum(insert_size * insert_size * n) / sum(n) - power(sum(insert_size * n) / sum(n), 2)) as sd from"
+
+
+@query(
+    "pi3_mean_sd_percentiles",
+    f"""with h as ({HIST}), {MED}, f as (select h.* from h, med, mad where abs(insert_size - m) <= 5 * 1.4826e0 * k), mo as ({MOMENTS} f), c as (select f.* from f, mo where abs(insert_size - mean) <= 5 * sd), m2 as ({MOMENTS} c),
+    o2 as (select insert_size, sum(n) over (order by insert_size) as u, sum(n) over () as t from c), p as (select unnest(range(5, 100, 5)) as percent) select cast(percent as int) as percent, min(insert_size) as value, round(any_value(mean), 6) as mean, round(any_value(sd), 6) as sd from p join o2 on u >= percent / 100e0 * t, m2 group by percent""",
+)
 def _(t):
     out = pairs.mean_sd_percentiles(t.sql(HIST))
     return out.withColumn("mean", F.round("mean", 6)).withColumn("sd", F.round("sd", 6))
@@ -350,26 +362,46 @@ ALN = f"""select 's' as sample, concat('r', l_orderkey, '_', l_linenumber) as qn
  from {{lineitem}} l join ({CONTIG}) c on c.contig = concat('c', l.l_orderkey % 40) where length(c.seq) > 80"""
 
 
+#: The three CIGAR strings of ALN spelled out, base by base.
+VOTES = f"""a as ({ALN}), m as (select contig, pos + i as pos, substring(seq, cast(i as int) + 1, 1) as variant, cast(null as varchar) as inserted from a, lateral (select unnest(range(0, case cigar when '30M' then 30 when '20M1I9M' then 20 else 15 end)) as i) x
+ union all select contig, pos + 20 + i, substring(seq, cast(i as int) + 22, 1), null from a, lateral (select unnest(range(0, 9)) as i) x where cigar = '20M1I9M' union all select contig, pos + 17 + i, substring(seq, cast(i as int) + 16, 1), null from a, lateral (select unnest(range(0, 15)) as i) x where cigar = '15M2D15M'
+ union all select contig, pos + 15 + i, 'D', null from a, lateral (select unnest(range(0, 2)) as i) x where cigar = '15M2D15M' union all select contig, pos + 19, 'I', substring(seq, 21, 1) from a where cigar = '20M1I9M'),
+ v as (select contig, pos, upper(variant) as variant, inserted, count(*) as votes from m where variant <> '' group by 1, 2, 3, 4)"""
+CONSENSUS = f"""{VOTES}, own as (select contig, i as pos, upper(substring(seq, cast(i as int), 1)) as base from ({CONTIG}) c, lateral (select unnest(range(1, length(seq) + 1)) as i) x),
+ pl as (select contig, pos, variant, sum(votes) as votes from v where variant <> 'I' group by 1, 2, 3), rk as (select pl.*, base, row_number() over (partition by pl.contig, pl.pos order by votes desc, variant = base desc, variant desc) as nth from pl join own on pl.contig = own.contig and pl.pos = own.pos),
+ ir as (select contig, pos, inserted, sum(votes) over (partition by contig, pos) as total, row_number() over (partition by contig, pos order by votes desc, inserted desc) as nth from v where variant = 'I'),
+ cs as (select rk.contig, rk.pos, base, variant, case when total * 1.5e0 > votes then inserted end as inserted from rk left join ir on rk.contig = ir.contig and rk.pos = ir.pos and ir.nth = 1 where rk.nth = 1)"""
+
+
 def votes(t):
     return correct.pileup_votes(correct.read_bases(t.sql(ALN)))
 
 
-@query("co1_pileup_votes")
+@query("co1_pileup_votes", f"with {VOTES} select * from v")
 def _(t):
     return votes(t)
 
 
-@query("co2_interesting_positions")
+@query(
+    "co2_interesting_positions",
+    f"""with {VOTES}, b as (select contig, pos, variant, sum(votes) as w, sum(sum(votes)) over (partition by contig, pos) as total from v where variant in ('A', 'C', 'G', 'T') group by 1, 2, 3),
+    x as (select contig, pos from b where total > 20 group by 1, 2 having count(*) filter (w / total > 0.1 and w / total < 0.9) > 1), k as (select contig, min(pos) as pos from b where pos % 100 <= 6 group by contig, pos // 100)
+    select contig, pos, 'mixed' as kind from x union all select contig, pos, 'anchor' from k where not exists (select 1 from x where x.contig = k.contig and x.pos = k.pos)""",
+)
 def _(t):
     return correct.interesting_positions(votes(t))
 
 
-@query("co3_consensus")
+@query("co3_consensus", f"with {CONSENSUS} select * from cs")
 def _(t):
     return correct.consensus(votes(t), t.sql(CONTIG))
 
 
-@query("co4_corrected_contigs")
+@query(
+    "co4_corrected_contigs",
+    f"""with {CONSENSUS}, p as (select own.contig, own.pos, base as own, (case when variant is null or variant = 'N' then own.base when variant = 'D' then '' else variant end) || coalesce(inserted, '') as piece from own left join (select contig, pos, variant, inserted from cs) c on own.contig = c.contig and own.pos = c.pos)
+    select contig, string_agg(piece, '' order by pos) as seq, count(*) filter (piece <> own) as n_changes from p group by contig""",
+)
 def _(t):
     c = t.sql(CONTIG)
     return correct.corrected_contigs(c, correct.consensus(votes(t), c))

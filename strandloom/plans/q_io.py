@@ -129,9 +129,9 @@ def _(t):
     return readers.gfa_k(gfa_of(t)[1])
 
 
-@query("snk5_component_links", f"with l as ({LINK}), c as (select item_id as edge from {{benchmark}} where item_id < 150) select * from l where a in (select edge from c) and b in (select edge from c)")
+@query("snk5_component_links", f"with l as ({LINK}), c as (select item_id as edge from {{benchmark}} where length(text) >= 120) select * from l where a in (select edge from c) and b in (select edge from c)")
 def _(t):
-    return writers.component_links(t.sql(LINK), t.sql("select item_id as edge from {benchmark} where item_id < 150"))
+    return writers.component_links(t.sql(LINK), t.sql("select item_id as edge from {benchmark} where length(text) >= 120"))
 
 
 @query("src13_snk8_annotation", "select distinct concat('c', l_partkey) as contig, concat('B', l_suppkey) as bin from {lineitem}")

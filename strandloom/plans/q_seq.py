@@ -189,7 +189,7 @@ def _(t):
     return seqs.consensus_quality(t.sql(BCONTIG), t.sql(BASES))
 
 
-INFO = "select n_name as sample, cast(20 + n_nationkey as double) as coverage from {nation} where n_regionkey = 1"
+INFO = "select n_name as sample, cast(20 + n_nationkey as double) as coverage from {nation}"
 NREADS = "select n.n_name as sample, c.c_custkey as read_id from {customer} c join {nation} n on c.c_nationkey = n.n_nationkey"
 
 
@@ -313,9 +313,16 @@ def _(t):
     return kmers.coverage_histogram(kmers.kmer_counts(t.contigs, 11))
 
 
-@query("km8_kmer_quality_stats")
+@query(
+    "km8_kmer_quality_stats",
+    f"""with r as ({SHORT}), p as (select *, list_transform(range(1, length(seq) + 1), lambda i: ascii(qual[i]) - 33) as q from r), g as (select *, list_transform(q, lambda x: x > 2) as g from p),
+    b as (select *, list_position(g, true) as a, len(g) + 1 - list_position(list_reverse(g), true) as z from g), w as (select *, i as "at", substring(seq, cast(i as int), 8) as kmer from b, lateral (select unnest(range(1, length(seq) - 6)) as i) x),
+    v as (select kmer, q["at":"at" + 7] as quals from w where "at" >= a and "at" + 7 <= z and not contains(kmer, 'N')), t as (select kmer, count(*) as n, round(exp(sum(ln(greatest(1 - list_product(list_transform(quals, lambda x: 1 - power(10, -x / 10))), 1e-300)))), 9) as total_qual from v group by kmer),
+    s as (select kmer, i, least(sum(quals[i]), 63) as q from v, lateral (select unnest(range(1, 9)) as i) x group by kmer, i), j as (select kmer, string_agg(cast(q as varchar), ',' order by i) as quals from s group by kmer) select t.*, quals from t join j on t.kmer = j.kmer""",
+)
 def _(t):
-    return kmers.kmer_quality_stats(kmers.valid_kmers(t.sql(SHORT), 8)).withColumn("total_qual", F.round("total_qual", 9))
+    out = kmers.kmer_quality_stats(kmers.valid_kmers(t.sql(SHORT), 8)).withColumn("total_qual", F.round("total_qual", 9))
+    return out.withColumn("quals", F.array_join(F.transform("quals", lambda q: q.cast("string")), ","))
 
 
 @query("km9_hamming_clusters")
@@ -392,7 +399,7 @@ def _(t):
 
 
 CLASSED = "select event_type as class, concat('k', user_id) as kmer, value as quality from {events}"
-KREF = "select concat('k', c_custkey) as kmer from {customer} where c_custkey < 60"
+KREF = "select concat('k', c_custkey * 3) as kmer from {customer}"
 
 
 @query(

@@ -229,3 +229,105 @@ def test_entry_returns_clusters():
     import __spark_entry__
 
     assert callable(__spark_entry__.entry)
+
+
+def test_smoothing_solves_for_every_cell(spark):
+    cells = [(g, m, float(g * m % 7)) for g in range(4) for m in range(5)]
+    out = {(r.gc, r.map): r.smoothed for r in cn.smooth_matrix(spark.createDataFrame(cells, "gc int, map int, value double"), 0.0).collect()}
+    assert all(abs(out[g, m] - v) < 1e-6 for g, m, v in cells)  # without smoothing the surface runs through its cells
+    flat = cn.smooth_matrix(spark.createDataFrame(cells, "gc int, map int, value double"), 500.0).agg(F.max("smoothed") - F.min("smoothed")).first()[0]
+    assert flat < 6  # the values span 6
+
+
+def test_read_to_contig_coverage_by_hand(spark):
+    rng = random.Random(5)
+    contig = "".join(rng.choice("ACGT") for _ in range(300))
+    turned = contig[50:130][::-1].translate(str.maketrans("ACGT", "TGCA"))
+    reads = [(1, contig[0:80]), (2, contig[40:120][:40] + "A" + contig[81:120]), (3, turned), (4, "".join(rng.choice("ACGT") for _ in range(80)))]
+    out = contigs.read_to_contig_coverage(spark.createDataFrame(reads, "read_id long, seq string"), spark.createDataFrame([("c", contig), ("d", "ACGT" * 20)], "contig string, seq string"), 21, 70)
+    assert rows(out, "contig", "uncovered", "coverage") == [("c", 170, (80 + 80 + 80) / 300), ("d", 80, 0.0)]
+
+
+def test_contig_mapping_table_by_hand(spark):
+    schema = "sample string, qname string, flag int, contig string, pos long, mapq int, cigar string, score long"
+    data = [("s", "q", 16, "c1", 101, 60, "40M60S", 90), ("s", "q", 2048, "c2", 501, 30, "55S45M", 40), ("s", "p", 0, "c1", 901, 60, "100M", 99)]
+    breaks = spark.createDataFrame([("s", "c1", 130)], "sample string, chrom string, pos long")
+    out = rows(contigs.contig_mapping_table(spark.createDataFrame(data, schema), breaks, 20), "qname", "chrom", "rstart", "rend", "n_alignments", "qstart", "qend", "strand", "qlen", "short_anchor", "vcf")
+    assert out == [("p", "c1", 900, 1000, 1, 0, 100, "+", 100, False, False), ("q", "c1", 100, 140, 2, 0, 40, "-", 100, True, True), ("q", "c2", 500, 545, 2, 0, 45, "+", 100, True, False)]
+
+
+def test_common_sites_remove_contigs_of_several_samples(spark):
+    data = [("a", "q1", "c", 10, 1000), ("b", "q2", "c", 12, 5000), ("b", "q3", "c", 5003, 9000), ("b", "q4", "c", 20000, 30000), ("a", "q5", "d", 10, 400)]
+    out = contigs.remove_common_sites(spark.createDataFrame(data, "sample string, qname string, chrom string, rstart long, rend long"), 100)
+    assert rows(out, "qname") == [("q4",), ("q5",)]  # q3 shares a site with q2, which shares one with q1 of another sample
+
+
+def test_early_tips_go_and_long_ends_stay(spark):
+    main = "ACGTTGCAAGGCTTACCGATAGGCATTCA"
+    spelled = main[3:12] + "AAA"
+    reads = spark.createDataFrame([(main,), (spelled,)], "seq string")
+    k = 7
+    ext = graph.extensions(reads, k)
+    left = {r.kmer for r in graph.early_tip_clip(ext, k, 4).select("kmer").collect()}
+    all_kmers = {r.kmer for r in ext.select("kmer").collect()}
+    dead = {spelled[i : i + k] for i in range(len(spelled) - k + 1)} - {main[i : i + k] for i in range(len(main) - k + 1)}
+    assert dead and dead & left == set() and {main[i : i + k] for i in range(len(main) - k + 1)} <= left <= all_kmers
+    assert graph.early_tip_clip(ext, k, 0).count() == len(all_kmers)
+
+
+def graph_of(spark):
+    edges = [(1, 1, 2, 50, 500.0), (2, 2, 3, 10, 90.0), (3, 3, 4, 5, 50.0), (4, 2, 9, 3, 6.0), (10, 20, 21, 70, 70.0), (11, 21, 20, 1, 9.0), (20, 30, 30, 8, 8.0)]
+    return spark.createDataFrame(edges, "edge long, src long, dst long, len long, raw_cov double")
+
+
+def test_components_are_numbered_by_length_and_filtered(spark):
+    edges = graph_of(spark)
+    found = graph.graph_components(edges)
+    assert rows(found, "edge", "component", "n_edges", "total") == [(1, 2, 4, 68), (2, 2, 4, 68), (3, 2, 4, 68), (4, 2, 4, 68), (10, 1, 2, 71), (11, 1, 2, 71), (20, 3, 1, 8)]
+    assert rows(graph.component_filter(found, edges, 2, 4), "edge") == [(10,), (11,)]
+    assert rows(graph.component_filter(found, edges, 0, None, 3), "edge") == [(1,), (2,), (3,), (4,), (10,), (11,)]
+    assert rows(graph.component_filter(found, edges, wanted=spark.createDataFrame([(20,)], "edge long")), "edge") == [(20,)]
+
+
+def test_simplifying_drops_a_tip_and_joins_what_is_left(spark):
+    out = graph.simplify_round(graph_of(spark), F.col("tip") & graph.coverage_at_most(2.0), 1)
+    assert rows(out, "edge", "src", "dst", "len", "raw_cov", "members") == [(1, 1, 4, 65, 640.0, 3), (10, 20, 20, 71, 79.0, 2), (20, 30, 30, 8, 8.0, 1)]
+
+
+def test_relative_coverage_tips_by_hand(spark):
+    edges = [(1, 1, 2, 10, 100.0), (2, 2, 3, 10, 100.0), (3, 2, 4, 10, 20.0), (4, 3, 5, 10, 90.0)]
+    df = spark.createDataFrame(edges, "edge long, src long, dst long, len long, raw_cov double")
+    assert rows(graph.relative_coverage_tips(df, 0.5), "edge") == [(3,)] and rows(graph.relative_coverage_tips(df, 0.1), "edge") == []
+
+
+def test_postprocess_chains_its_steps(spark):
+    text = "G" * 250 + "N" * 5 + "C" * 450
+    hits = spark.createDataFrame([("a", "TTACGTATT"), ("b", "TTTT")], "contig string, seq string")
+    spans = spark.createDataFrame([("a", 0, 705), ("b", 0, 705)], "contig string, start long, end long")
+    df = spark.createDataFrame([("a", "s", text), ("b", "s", text)], "contig string, sample string, seq string")
+    out = rows(seqs.postprocess(df, hits, spans, "ACGTA", 300, 40), "contig", "seq")
+    assert [len(s) for _, s in out] == [450] and out[0][0].startswith("a")
+
+
+def test_best_path_streams_contigs_over_batches(spark):
+    rng = random.Random(6)
+    data = [(f"q{c}", rng.choice("xy"), a, a + rng.randint(40, 400), rng.randint(10, 300), 1400) for c in range(60) for a in sorted(rng.sample(range(1000), 6))]
+    df = spark.createDataFrame(data, "qname string, chrom string, qstart long, qend long, score long, qlen int")
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = contigs.best_alignment_path(df).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    want = []
+    for c in range(60):
+        segments = sorted(x[2:5] + (x[1],) for x in data if x[0] == f"q{c}")
+        path, total = contigs.best_path([(ch, a, b, s) for a, b, s, ch in segments], 1400.0)
+        want += [(f"q{c}", segments[i][3], *segments[i][:3], total) for i in path]
+    assert sorted(tuple(r) for r in out) == sorted(want)
+
+
+def test_repeated_alignments_each_count_once(spark):
+    data = [("s", "r", 0, "c", 3, "2M1D2M", "ACGT")] * 2
+    bases = correct.read_bases(spark.createDataFrame(data, "sample string, qname string, flag int, contig string, pos long, cigar string, seq string"))
+    assert rows(correct.pileup_votes(bases), "pos", "variant", "votes") == [(3, "A", 2), (4, "C", 2), (5, "D", 2), (6, "G", 2), (7, "T", 2)]
