@@ -42,24 +42,25 @@ def fold_events(events: DataFrame) -> DataFrame:
 
     kind: `message` opens a message, `delta` appends to it, `edit` puts a new text in its place, `regenerate` starts it anew.
     A message is its last opening, edit or regeneration followed by the deltas after it, by (seq, role, text); rows that repeat
-    are each applied. Nulls: a null text is empty, a null kind is a `message`, a null seq comes first; a null conv_id is a
+    are each applied. Its role is the last one that is told: deltas mostly carry none. Nulls: a null text is empty, a null kind is a `message`, a null seq comes first; a null conv_id is a
     conversation of its own. A message of deltas alone is their concatenation. Returns (conv_id, message, role, text).
     """
     event = F.struct(
         F.col("seq"),
         F.coalesce("kind", F.lit("message")).alias("kind"),
-        F.coalesce("role", F.lit("")).alias("role"),
+        F.col("role").alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
     log = events.groupBy("conv_id", "message").agg(F.sort_array(F.collect_list(event)).alias("log"))
     resets = F.transform(
         "log", lambda x, i: F.when(x["kind"] != "delta", i + F.lit(1)).otherwise(F.lit(1))
     )
+    roles = F.filter(F.transform("log", lambda x: x["role"]), lambda x: x.isNotNull())
     live = F.slice("log", F.array_max(resets), F.size("log"))
     return log.select(
         "conv_id",
         "message",
-        F.element_at("log", -1)["role"].alias("role"),
+        F.coalesce(F.get(roles, F.size(roles) - 1), F.lit("")).alias("role"),
         F.array_join(F.transform(live, lambda x: x["text"]), "").alias("text"),
     )
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.arrays import Fingerprints, U, buffers, lower_ascii, plain_words, slices
 from strandloom.llm.arrays import word_hashes
-from strandloom.llm.common import saved, table
+from strandloom.llm.common import saved, table, tucked, untucked
 from strandloom.llm.repeats import marked, window_starts
 
 #: Words of a seed; share of the full score of a copy.
@@ -178,8 +178,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = COPY) ->
 def keep_clean(docs: DataFrame, benchmark: DataFrame, least: float = COPY) -> DataFrame:
     """docs without the rows that hold a copy of a benchmark item; the columns of docs."""
     bad = copies(marked(docs), benchmark, least).select(F.col("doc_id").alias("bad_id"), "mark").distinct()
-    once = docs.withColumn("leak_mark", F.xxhash64("text"))
-    return once.join(bad, once["doc_id"].eqNullSafe(bad["bad_id"]) & (once["leak_mark"] == bad["mark"]), "left_anti").select(*docs.columns)
+    rows = tucked(docs, doc_id=F.col("doc_id"), own_mark=F.xxhash64("text"))
+    return untucked(rows.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.col("own_mark") == F.col("mark")), "left_anti"), docs)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandloom.llm.arrays import Fingerprints, U, buffers, lower_ascii, mix, slices, word_hashes, words
-from strandloom.llm.common import components, saved, table
+from strandloom.llm.common import components, saved, table, tucked, untucked
 from strandloom.llm.repeats import marked, window_starts
 
 #: 64-bit words of a bitmap; children of a tree's node; members and tokens of a block of a large group.
@@ -421,17 +421,19 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     """docs with one row of each group of linked rows, that of the smallest doc_id; the columns of docs.
 
     Of rows that repeat the kept doc_id one stays, that of the smallest mark of its text. Rows without words stay, but once where
-    doc_id and text repeat; rows with a null doc_id all stay.
+    doc_id and text repeat: of rows that repeat both the first by a hash of all columns. Rows with a null doc_id all stay.
     """
     found = saved(linked(marked(docs), n, num, den), "jaccard-decided")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("mark"))
     loose = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    first = found.where(~loose & (F.col("doc_id") == F.col("component_id"))).withColumn("nth", nth).where("nth = 1")
-    gone = found.where(~loose).join(first.select("doc_id", "mark"), ["doc_id", "mark"], "left_anti").select("doc_id", "mark").distinct()
-    once = docs.withColumn("jaccard_mark", F.xxhash64("text"))
-    left = once.join(gone, (once["doc_id"] == gone["doc_id"]) & (once["jaccard_mark"] == gone["mark"]), "left_anti")
-    copy = F.row_number().over(Window.partitionBy("doc_id", "jaccard_mark").orderBy(F.lit(0)))
-    return left.withColumn("jaccard_copy", copy).where("jaccard_copy = 1 or doc_id is null").select(*docs.columns)
+    decided = found.where(~loose)
+    first = decided.where("doc_id = component_id").groupBy("doc_id").agg(F.min("mark").alias("mark"))
+    gone = decided.join(first, ["doc_id", "mark"], "left_anti").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
+    order = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = tucked(docs, doc_id=F.col("doc_id"), mark=F.xxhash64("text"), order=order)
+    left = rows.where("doc_id is not null").join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left_anti")
+    copy = F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy("order"))
+    kept = left.withColumn("copy", copy).where("copy = 1").select("row").union(rows.where("doc_id is null").select("row"))
+    return untucked(kept, docs)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

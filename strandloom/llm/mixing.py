@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.llm.common import WORD, saved, table
+from strandloom.llm.common import WORD, saved, table, tucked, untucked
 
 #: Weights of the sources in the order of their names, repeating; share of all words that a mix takes; most copies of a document.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -95,11 +95,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 
     size counts the blank-separated words of the whole text. One row for each input row: rows that repeat, also by doc_id, are
     mixed each on its own. Nulls: a null text has size 0 and is taken 0 times; a null source is a source, the last in order; a
-    null doc_id is allowed. Documents of equal size are paired in the order of a seeded hash of (doc_id, size). An empty table
-    gives no rows; other columns are left out. Only the totals of the sources reach the driver.
+    null doc_id is allowed. Documents of equal size are paired in the order of a seeded hash of (doc_id, text) and of a number
+    among rows that repeat both. An empty table gives no rows; other columns are left out. A row for each source reaches the driver.
     """
+    return _mixed(docs, weights, share, most, seed).drop("text_mark")
+
+
+def _mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 7) -> DataFrame:
+    """mix() with the mark of each text."""
     spark = docs.sparkSession
-    sized = saved(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("mark")), "mix-sizes")
+    each = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_mark"))
+    # rows that repeat are one row and a number on their way here, and numbered apart from each other
+    counted = each.groupBy("doc_id", "source", "size", "text_mark").agg(F.count("*").alias("m"))
+    numbered = counted.select("doc_id", "source", "size", "text_mark", F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("nth"))
+    sized = saved(numbered.withColumn("mark", F.xxhash64("doc_id", "text_mark", "nth")).drop("nth"), "mix-sizes")
     totals = [(r[0], r[1], r[2]) for r in sized.groupBy("source").agg(F.sum("size"), F.count("*")).collect()]
     targets = fill_targets([(s, n) for s, n, _ in totals], weights, share, most)
     count = {s: n for s, _, n in totals}
@@ -114,7 +123,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
         .withColumn("frac", F.greatest(fraction - F.col("copies"), F.lit(0.0)))
         .withColumn("mark", F.xxhash64("mark", F.lit(seed)))
         .withColumn("bucket", F.pmod(F.xxhash64("mark"), F.col("buckets")))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", "frac", "mark", "bucket")
+        .select("doc_id", "source", "size", "source_size", "target", "copies", "frac", "mark", "bucket", "text_mark")
     )
 
     def level(n: int):
@@ -143,24 +152,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     for x in done[1:]:
         out = out.unionByName(x)
     copies = (F.col("copies") + F.round("frac").cast("long")).alias("copies")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies, "text_mark").withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as mix() copies it; the columns of docs.
+    """docs with each row as often as mix() copies it; the columns of docs, whatever they are called.
 
-    Rows that repeat a doc_id take their copies in the order of (size, source); null doc_ids match each other.
+    Rows that repeat (doc_id, text, source) share their copies: as many each, and one more for the first by a hash of all
+    their columns where that doesn't come out even. Null doc_ids and sources match each other.
     """
-    chosen = mix(docs, **options)
-    per_id = chosen.groupBy(F.col("doc_id").alias("mixed_id")).agg(
-        F.sort_array(F.collect_list(F.struct("size", "source", "copies"))).alias("plan")
-    )
-    marked = docs.withColumn("mixed_size", n_words(F.col("text")))
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("mixed_size", "source"))
-    joined = marked.join(per_id, F.col("doc_id").eqNullSafe(F.col("mixed_id"))).withColumn("nth", nth)
-    return joined.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.get("plan", F.col("nth") - 1)["copies"].cast("int")))).select(
-        *docs.columns
-    )
+    chosen = _mixed(docs, **options)
+    plan = chosen.groupBy(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("text_mark").alias("p_mark")).agg(F.count("*").alias("m"), F.sum("copies").alias("copies"))
+    rows = tucked(docs, doc_id=F.col("doc_id"), source=F.col("source"), text_mark=F.xxhash64("text"), order=F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    met = rows.join(plan.where("copies > 0"), F.col("doc_id").eqNullSafe(F.col("p_id")) & F.col("source").eqNullSafe(F.col("p_source")) & (F.col("text_mark") == F.col("p_mark")))
+    each, over = F.floor(F.col("copies") / F.col("m")), F.col("copies") % F.col("m")
+    even = met.where(over == 0).select("row", each.alias("times"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "text_mark").orderBy("order"))
+    uneven = met.where(over > 0).withColumn("nth", nth).select("row", (each + (F.col("nth") <= over).cast("long")).alias("times"))
+    return untucked(even.unionByName(uneven).withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))), docs)
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

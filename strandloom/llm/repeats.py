@@ -100,7 +100,7 @@ def settle(alive: DataFrame, of_smaller: bool) -> DataFrame:
     parts = covered.select("doc_id", "mark", one.alias("covered"), F.lit(None).cast("struct<lo:int,hi:int,at:int,key:bigint>").alias("unclear")).unionByName(
         unclear.select("doc_id", "mark", F.lit(None).cast("struct<lo:int,hi:int>").alias("covered"), F.struct(F.col("s_lo").alias("lo"), F.col("s_hi").alias("hi"), "at", "key").alias("unclear"))
     )
-    return parts.groupBy("doc_id", "mark").agg(F.collect_list("covered").alias("covered"), F.collect_set("unclear").alias("unclear"))
+    return parts.groupBy("doc_id", "mark").agg(F.collect_set("covered").alias("covered"), F.collect_set("unclear").alias("unclear"))
 
 
 def _ranges(column: pa.Array, names=("lo", "hi")) -> tuple[np.ndarray, ...]:
@@ -225,7 +225,7 @@ def removed(docs: DataFrame, settled: DataFrame, units: Units, width: int, of_sm
     hits = w.join(shared, ["print", "key"])
     if of_smaller:
         hits = hits.where("doc_id > least")
-    more = hits.groupBy("doc_id", "mark").agg(F.collect_list(F.struct(F.col("s").alias("lo"), F.col("s").alias("hi"))).alias("more"))
+    more = hits.groupBy("doc_id", "mark").agg(F.collect_set(F.struct(F.col("s").alias("lo"), F.col("s").alias("hi"))).alias("more"))
     last = open_docs.join(more, same_row(open_docs, more), "left").select(open_docs["doc_id"], open_docs["text"], "covered", "covered2", "more")
 
     def second_pass(batches):

@@ -2,13 +2,15 @@
 
 A store is a folder: `runs/<id>/` holds the Parquet shards of one arrival or merge, never changed once written, and
 `manifests/v<n>.json` lists the live runs of a version. A version is claimed by an exclusive create and published by a rename,
-so a reader sees a whole version or the one before. DataFrame and SQL functions only; shards are merged without a shuffle.
+so a reader sees a whole version or the one before. The claim of a writer that died lapses after a lease; shards that no version
+lists any more are deleted by age. DataFrame and SQL functions only; shards are merged without a shuffle.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,13 +21,15 @@ from strandloom.llm.common import scratch, table
 
 #: Bytes of a target-sized file; runs of one tier that are merged; bytes of the lowest tier; arrivals that a query deals out.
 TARGET, FANOUT, SMALLEST, ARRIVALS = 64 << 20, 4, 1 << 20, 8
+#: Seconds after which a claim without a version has lapsed, and for which readers may hold on to an older version.
+LEASE, RETAIN = 600, 3600
 
 
 class Store:
     """The shards and manifests below one folder, with the schema of the documents."""
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
-        self.spark, self.root, self.schema = spark, root, schema
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, lease: float = LEASE):
+        self.spark, self.root, self.schema, self.lease = spark, root, schema, lease
         self.path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
@@ -43,11 +47,11 @@ class Store:
             stream.close()
 
     def commit(self, base: dict, runs: list[dict]) -> dict:
-        """Publish the version after base; fails if another writer has claimed it."""
+        """Publish the version after base; fails if another writer has it, or has claimed it within the lease."""
         new = {"version": base["version"] + 1, "runs": runs}
         name = f"{self.root}/manifests/v{new['version']:08d}"
         self.fs.mkdirs(self.path(f"{self.root}/manifests"))
-        if not self.fs.createNewFile(self.path(f"{name}.claim")):
+        if not self._claimed(self.path(f"{name}.claim"), self.path(f"{name}.json")):
             raise RuntimeError(f"version {new['version']} is taken; read the manifest again")
         draft = self.path(f"{self.root}/manifests/.draft-{uuid.uuid4().hex}")
         out = self.fs.create(draft, False)
@@ -57,6 +61,15 @@ class Store:
             raise RuntimeError(f"could not publish version {new['version']}")
         return new
 
+    def _claimed(self, claim, published) -> bool:
+        """Create the claim; one that is older than the lease and led to no version goes first."""
+        if self.fs.createNewFile(claim):
+            return True
+        if self.fs.exists(published) or time.time() * 1000 - self.fs.getFileStatus(claim).getModificationTime() < self.lease * 1000:
+            return False
+        self.fs.delete(claim, False)
+        return bool(self.fs.createNewFile(claim))
+
     def read(self, runs: list[dict]) -> DataFrame:
         paths = [s["path"] for r in runs for s in r["shards"]]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
@@ -108,13 +121,15 @@ class Store:
             gone = {r["run"] for r in merged}
             self.commit(base, [r for r in base["runs"] if r["run"] not in gone] + self.described(folder, name))
 
-    def sweep(self, manifest: dict, dropped: list[dict]) -> None:
-        """Delete the shards of runs that the manifest no longer lists."""
-        live = {s["path"] for r in manifest["runs"] for s in r["shards"]}
-        for r in dropped:
-            for s in r["shards"]:
-                if s["path"] not in live:
-                    self.fs.delete(self.path(s["path"]), False)
+    def sweep(self, retain: float = RETAIN) -> int:
+        """Delete the files of all runs that the newest version doesn't list and that are older than `retain` seconds; how many."""
+        live = {self.path(s["path"]).toUri().getPath() for r in self.manifest()["runs"] for s in r["shards"]}
+        files, gone, oldest = self.fs.listFiles(self.path(f"{self.root}/runs"), True), 0, (time.time() - retain) * 1000
+        while files.hasNext():
+            f = files.next()
+            if f.getPath().toUri().getPath() not in live and f.getModificationTime() <= oldest:
+                gone += bool(self.fs.delete(f.getPath(), False))
+        return gone
 
 
 def size_of(run: dict) -> int:
@@ -139,9 +154,9 @@ def shard(docs: DataFrame, root: str | None = None, arrivals: int = ARRIVALS, **
     spark = docs.sparkSession
     store = Store(spark, root or scratch(spark, "shards"), docs.schema)
     by = f"arrival_{uuid.uuid4().hex[:8]}"
-    first = store.append(docs.withColumn(by, F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))), by)
+    store.append(docs.withColumn(by, F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))), by)
     last = store.compact(**options)
-    store.sweep(last, first["runs"])
+    store.sweep(RETAIN if root else 0)  # nobody reads older versions of a store made here
     listed = spark.createDataFrame(
         [(s["path"].rsplit("/", 1)[1], r["run"], s["rows"], s["bytes"], last["version"]) for r in last["runs"] for s in r["shards"]],
         "shard string, run string, shard_rows long, shard_bytes long, version long",

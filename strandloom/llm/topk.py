@@ -54,13 +54,15 @@ def _unpack(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Exact integer products of whole-valued rows; beyond 2**53 by Python integers, held to the range of a long."""
+    """Exact integer products of whole-valued rows; beyond 2**53 by Python integers. A score that no long holds is an error."""
     if q.size == 0 or v.size == 0:
         return np.zeros((len(q), len(v)), np.int64)
     if np.abs(q).max() * np.abs(v).max() * q.shape[1] < 2.0**53:
         return (q @ v.T).astype(np.int64)
     wide = np.array([[int(x) for x in r] for r in q], object) @ np.array([[int(x) for x in r] for r in v], object).T
-    return np.clip(wide, -(2**63), 2**63 - 1).astype(np.int64)
+    if (wide > 2**63 - 1).any() or (wide < -(2**63)).any():
+        raise OverflowError("an inner product exceeds a long")
+    return wide.astype(np.int64)
 
 
 def best(query_id: int, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,27 +151,40 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, ever
     rows = saved(whole_vectors(vectors), "topk-vectors")
     asked = rows.where(F.col("vec_id") % every == 0) if queries is None else whole_vectors(queries)
     v = saved(_blocks(rows, BLOCK, RATIO), "topk-blocks")
-    q = saved(_query_blocks(asked), "topk-queries")
+    members = saved(_query_members(asked), "topk-members")
+    q = saved(_query_blocks(members), "topk-queries")
     # the pilot of a dimension: the block with the longest vector
     first = F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("longest"), "block"))
     heads = v.select("dim", "block", "longest").withColumn("nth", first).where("nth = 1").select("dim", "block")
     pilot = v.join(heads, ["dim", "block"])
-    each = q.join(pilot.drop("block", "longest"), "dim").select("q_ids", "q_vectors", "ids", "vectors")
-    seen = saved(each.repartition(32).mapInPandas(_searched(k, False), FOUND), "topk-pilot")
+    each = q.join(pilot.select("dim", "ids", "vectors"), "dim").select("q_block", F.col("dim").alias("part"), "q_ids", "q_vectors", "ids", "vectors")
+    seen = saved(each.repartition("q_block", "part").mapInPandas(_searched(k, False), FOUND), "topk-pilot")
     # of fewer than k pilot scores nothing follows
     bound = seen.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
     bounded = saved(_with_bounds(q, bound), "topk-bounded")
-    rest = v.join(heads, ["dim", "block"], "left_anti")
-    pairs = bounded.join(rest.drop("block", "longest"), "dim").select("q_ids", "q_vectors", "bounds", "ids", "vectors")
-    found = pairs.repartition(96).mapInPandas(_searched(k, True), FOUND).union(seen)
+    met = saved(block_pairs(members, bound, v.select("dim", "block", "longest").join(heads, ["dim", "block"], "left_anti")), "topk-pairs")
+    pairs = met.join(bounded, ["dim", "q_block"]).join(v.drop("longest"), ["dim", "block"]).select("q_block", "block", "q_ids", "q_vectors", "bounds", "ids", "vectors")
+    found = pairs.repartition("q_block", "block").mapInPandas(_searched(k, True), FOUND).union(seen)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _query_blocks(asked: DataFrame) -> DataFrame:
+def block_pairs(members: DataFrame, bound: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(dim, q_block, block) whose longest vector can reach the bound of some query of the block; rows of numbers, no vectors yet."""
+    known = members.join(bound, members["vec_id"] == bound["query_id"], "left")
+    need = F.when((F.col("bound") > 0) & (F.col("norm") > 0), F.col("bound") / F.col("norm")).otherwise(F.lit(float("-inf")))
+    lowest = known.groupBy("dim", F.col("block").alias("q_block")).agg(F.min(need).alias("need"))
+    return lowest.join(blocks, "dim").where(F.col("longest") * (1 + 1e-9) >= F.col("need")).select("dim", "q_block", "block")
+
+
+def _query_members(asked: DataFrame) -> DataFrame:
     parts = asked.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(QUERIES)).alias("parts"))
     dealt = asked.join(parts, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
-    packed = dealt.select("dim", "block", "vec_id", "v", "norm").groupBy("dim", "block").applyInPandas(_pack, PACKED)
+    return dealt.select("dim", "block", "vec_id", "v", "norm")
+
+
+def _query_blocks(members: DataFrame) -> DataFrame:
+    packed = members.groupBy("dim", "block").applyInPandas(_pack, PACKED)
     return packed.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
 
 

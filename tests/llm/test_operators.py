@@ -431,3 +431,88 @@ def test_a_block_gives_no_more_links_than_tie_its_components():
         rows = pa.table({"side": sides, "node": list(range(60)), "n": [len(s) for s in sets], "component": [i // 2 for i in range(60)], "tokens": [s.tolist() for s in sets], "bitmap": [b.tobytes() for b in bits]})
         out = jaccard._links_of_block(90, 100)(rows)
         assert len(out) == 29
+
+
+def fold_by_hand(log):
+    """Final (role, text) by (conversation, message) of rows (conv_id, message, seq, kind, role, text)."""
+    out = {}
+    key = lambda x: tuple((v is not None, v if v is not None else 0) for v in (x[2], x[3] or "message", x[4], x[5] or ""))
+    for conv, message, _, kind, role, text in sorted(log, key=key):
+        now = out.setdefault((conv, message), ["", ""])
+        now[1] = now[1] + (text or "") if kind == "delta" else (text or "")
+        now[0] = role if role is not None else now[0]
+    return sorted((c, m, r, t) for (c, m), (r, t) in out.items())
+
+
+def test_folding_random_logs(spark):
+    rng = random.Random(47)
+    log = [(rng.randint(0, 9), rng.randint(0, 3), rng.choice([None, *range(12)]), rng.choice(["message", "delta", "delta", "delta", "edit", "regenerate", "unknown", None]), rng.choice([None, None, "user", "assistant"]), rng.choice(["a", "b ", "", None, "<|x|>"])) for _ in range(600)]
+    log += [(50, 0, 1, "message", "assistant", ""), (50, 0, 2, "delta", None, "Hel"), (50, 0, 3, "delta", None, "lo")]
+    schema = "conv_id long, message long, seq long, kind string, role string, text string"
+    folded = chat.fold_events(spark.createDataFrame(log, schema).repartition(4))
+    assert got(folded, "conv_id", "message", "role", "text") == fold_by_hand(log)
+    assert (50, 0, "assistant", "Hello") in fold_by_hand(log)
+    assert chat.fold_events(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_a_dead_writers_claim_lapses_and_old_shards_go_by_age(spark, tmp_path):
+    docs = frame(spark, corpus())
+    store = sharding.Store(spark, f"file://{tmp_path}/store", docs.schema)
+    store.append(docs)
+    claim = tmp_path / "store/manifests/v00000002.claim"
+    claim.touch()  # a writer died before it published
+    with pytest.raises(RuntimeError):
+        store.append(docs)
+    assert store.manifest()["version"] == 1
+    again = sharding.Store(spark, store.root, docs.schema, lease=0)
+    assert again.append(docs)["version"] == 2 and store.read(store.manifest()["runs"]).count() == 2 * docs.count()
+    assert store.sweep() == 0  # what the failed append wrote is young
+    gone = store.sweep(retain=0)
+    assert gone > 0 and store.read(store.manifest()["runs"]).count() == 2 * docs.count()
+
+
+def test_sharding_arrivals_one_after_the_other(spark, tmp_path):
+    docs = frame(spark, corpus())
+    store = sharding.Store(spark, f"file://{tmp_path}/store", docs.schema)
+    for i in range(9):
+        store.append(docs.where(f"pmod(doc_id, 9) = {i}").coalesce(1))
+        store.compact(fanout=2, target=1 << 30, smallest=1)
+    tiers = [sharding.tier(sharding.size_of(r), 2, 1) for r in store.manifest()["runs"]]
+    assert len(set(tiers)) == len(tiers) and sorted(map(str, store.read(store.manifest()["runs"]).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rng = random.Random(53)
+    names = ["nth", "copy", "plan", "score", "entropy", "rejected", "mark", "row", "size", "leak_mark", "jaccard_copy", "carried_0"]
+    texts = [" ".join(words(rng, 30)) for _ in range(40)]
+    rows = [(i if i % 9 else None, texts[i % 40], "en", f"s{i % 3}", 1, *range(i, i + len(names))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` long" for n in names))
+    benchmark = spark.createDataFrame([(0, texts[5])], "item_id long, text string")
+    whole = {tuple(r) for r in docs.collect()}
+    for out in (langid.keep_identified(docs), jaccard.keep_one(docs, 5, 80, 100), decontamination.keep_clean(docs, benchmark), mixing.apply_mix(docs)):
+        assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= whole
+
+
+def test_mixing_gives_repeated_rows_their_copies_and_reruns_agree(spark):
+    rows = [(1, "a b c d", "s0")] * 40 + [(None, "a b c", "s0")] * 30 + [(i, "x " * (i % 30), "s1") for i in range(200)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, source string, tag long")
+    chosen = mixing.mix(docs)
+    assert chosen.count() == len(rows)
+    want = {(r.doc_id, r.size): r.n for r in chosen.groupBy("doc_id", "size").agg({"copies": "sum"}).withColumnRenamed("sum(copies)", "n").collect() if r.n}
+    first = sorted(map(str, mixing.apply_mix(docs).collect()))
+    again = sorted(map(str, mixing.apply_mix(docs.repartition(5, "tag")).collect()))
+    have = {}
+    for r in mixing.apply_mix(docs).collect():
+        k = (r.doc_id, len(r.text.split()))
+        have[k] = have.get(k, 0) + 1
+    assert first == again and have == want
+
+
+def test_blocks_that_cannot_reach_the_bound_do_not_meet(spark):
+    members = spark.createDataFrame([(2, 0, 50, 1.0), (2, 0, 100, 2.0), (2, 1, 150, 1.0)], "dim int, block long, vec_id long, norm double")
+    blocks = spark.createDataFrame([(2, b, float(b)) for b in range(1, 11)], "dim int, block long, longest double")
+    met = lambda bounds: topk.block_pairs(members, spark.createDataFrame(bounds, "query_id long, bound long"), blocks).groupBy("q_block").count()
+    assert got(met([(50, 9), (100, 16), (150, 10)]), "q_block", "count") == [(0, 3), (1, 1)]
+    assert got(met([(50, 9), (100, 2)]), "q_block", "count") == [(0, 10), (1, 10)]  # without a bound all meet
+    with pytest.raises(OverflowError):
+        topk.products(np.full((1, 4), 2.0**40), np.full((1, 4), 2.0**30))
