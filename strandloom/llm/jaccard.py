@@ -383,15 +383,14 @@ def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFr
     block = lambda by: F.pmod(F.xxhash64("node"), F.col(by))
     none = F.lit(0).cast("long")
     # every set in the largest of its open roots, then in all that are still open
-    _, members = open_roots(found)
     largest_root = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("m"), "key"))
-    once = members.withColumn("nth", largest_root).where("nth = 1")
     inside = lambda rows: rows.select("key", block("blocks").alias("i"), none.alias("j"), F.lit(0).alias("side"), "node", "component")
-    found = tied(found, in_trees(inside(once)))
-    _, members = open_roots(found)
-    found = tied(found, in_trees(inside(members)))
-    # roots of several blocks: sets outside the largest component against all others, in blocks
     roots, members = open_roots(found)
+    for once in (True, False):
+        if not roots.isEmpty():
+            found = tied(found, in_trees(inside(members.withColumn("nth", largest_root).where("nth = 1") if once else members)))
+            roots, members = open_roots(found)
+    # roots of several blocks: sets outside the largest component against all others, in blocks
     if not roots.where("blocks > 1").isEmpty():
         wide = members.where("blocks > 1")
         asked = wide.where("component <> major").withColumn("j", block("guests")).withColumn("i", F.explode(F.sequence(none, F.col("blocks") - 1)))

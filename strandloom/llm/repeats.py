@@ -44,12 +44,13 @@ def window_starts(first: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(room)[:n] > 0)
 
 
-def row_maker(units: Units, anchors: Callable, width: int):
-    """Arrow batches of (doc_id, text, mark) to anchor rows."""
+def row_maker(units: Units, anchors: Callable, width: int, head: int = 0):
+    """Arrow batches of (doc_id, text, mark) to anchor rows; head: so many bytes from the anchor on go with them."""
 
     def run(batches):
         for batch in slices(batches):
-            values, first, _, _ = units(*buffers(batch.column(1)))
+            data, offs = buffers(batch.column(1))
+            values, first, _, _ = units(data, offs)
             s = window_starts(first, width)
             if not len(s):
                 continue
@@ -64,9 +65,13 @@ def row_maker(units: Units, anchors: Callable, width: int):
             full = prints.of(s_lo, s_hi + width) + (at[lo] - s_lo).astype(np.uint64)
             base = first[text]
             pick = pa.array(text)
+            heads = []
+            if head:
+                flat = np.ascontiguousarray(data[at[lo][:, None] + np.arange(head)])
+                heads = [pa.BinaryArray.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer((np.arange(len(lo) + 1) * head).astype(np.int32)), pa.py_buffer(flat)])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pick), batch.column(2).take(pick), pa.array((s_lo - base).astype(np.int32)), pa.array((s_hi - base).astype(np.int32)), pa.array((at[lo] - base).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(full.view(np.int64))],
-                NAMES,
+                [batch.column(0).take(pick), batch.column(2).take(pick), pa.array((s_lo - base).astype(np.int32)), pa.array((s_hi - base).astype(np.int32)), pa.array((at[lo] - base).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(full.view(np.int64)), *heads],
+                [*NAMES, "head"][: len(NAMES) + len(heads)],
             )
 
     return run

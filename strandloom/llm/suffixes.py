@@ -1,10 +1,10 @@
 """Substring dedup by suffix arrays in a logarithmic family of indexes: bytes covered by 200-byte strings that occur twice.
 
 Sampled suffixes stand for all of them: every 200-byte string holds, at a place that its content alone decides (the least
-fingerprint of its 100-byte strings), the start of a sampled suffix. A suffix array is a table of such suffixes sorted by the
-fingerprint of their first 100 bytes, kept in sorted buckets. Documents arrive in batches; the array of a batch is merge-scanned
-against every level of the family for equal beginnings, and levels of equal size merge into one of twice the size. Suffixes
-with an equal beginning are then compared with all that surrounds them.
+hash of its 32-byte strings), the start of a sampled suffix. A suffix array is a table of the distinct beginnings of such
+suffixes, in the order of their bytes within buckets, each with the number of suffixes that begin so and the place of the first.
+Documents arrive in batches; the array of a batch is merge-scanned against every level of the family, and levels of equal size
+merge into one of twice the size. Suffixes that begin alike are then compared with all that surrounds them.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.arrays import BYTE, U, Fingerprints
+from strandloom.llm.arrays import BYTE, U, mix, rolled
 from strandloom.llm.common import forget, saved, table
 from strandloom.llm.repeats import ROW, marked, removed, row_maker, settle
 
-WINDOW, BEGINNING, BATCHES = 200, 100, 4
+WINDOW, BEGINNING, BATCHES = 200, 32, 4
 
 
 def byte_units(data: np.ndarray, offs: np.ndarray):
@@ -27,11 +27,10 @@ def byte_units(data: np.ndarray, offs: np.ndarray):
 
 
 def anchors(values: np.ndarray, first: np.ndarray, s: np.ndarray, width: int = WINDOW, k: int = BEGINNING) -> tuple[np.ndarray, np.ndarray]:
-    """(start of the sampled suffix in each window, fingerprint of its beginning); of equal fingerprints the leftmost."""
-    start = np.arange(len(values) - k + 1)
-    prints = Fingerprints(values, 0).of(start, start + k)
+    """(start of the sampled suffix in each window, hash of its beginning); of equal hashes the leftmost."""
+    prints = rolled(values, k)
     low = U((1 << 31) - 1)
-    least = (prints & ~low) | start.astype(U)
+    least = (mix(prints) & ~low) | np.arange(len(prints)).astype(U)
     span, n = 1, width - k + 1
     while 2 * span <= n:
         least = np.minimum(least[:-span], least[span:])
@@ -41,40 +40,50 @@ def anchors(values: np.ndarray, first: np.ndarray, s: np.ndarray, width: int = W
 
 
 class Family:
-    """Levels of sorted, bucketed suffix tables; the size of a level is 2**i batches."""
+    """Levels of suffix arrays, tables bucketed and sorted by the bytes of `head`; level i holds 2**i batches.
 
-    def __init__(self, spark: SparkSession, buckets: int):
-        self.spark, self.buckets, self.levels, self.name = spark, buckets, {}, f"suffixes_{uuid.uuid4().hex[:12]}"
-        self.made = 0
+    The tables are named after the family, so that a later session can open it by its name and add more batches. A batch that
+    failed on its way leaves no level: the tables of a merge replace their sources once they are written.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int, name: str | None = None):
+        self.spark, self.buckets, self.name = spark, buckets, name or f"suffixes_{uuid.uuid4().hex[:12]}"
+        found = [t.name for t in spark.catalog.listTables(pattern=f"{self.name}_l*")]
+        self.levels = {int(t.rsplit("_l", 1)[1].split("_")[0]): t for t in found}
 
-    def _write(self, df: DataFrame) -> str:
-        self.made += 1
-        name = f"{self.name}_{self.made}"
-        df.write.bucketBy(self.buckets, "key").sortBy("key").option("compression", "zstd").format("parquet").saveAsTable(name)
+    def _write(self, df: DataFrame, level: int) -> str:
+        name = f"{self.name}_l{level}_{uuid.uuid4().hex[:8]}"
+        df.write.bucketBy(self.buckets, "head").sortBy("head").option("compression", "zstd").format("parquet").saveAsTable(name)
         return name
 
-    def add(self, suffixes: DataFrame) -> list[DataFrame]:
-        """Index a batch (key); the keys that it shares with a level or holds twice."""
-        new = self._write(suffixes.groupBy("key").agg(F.count("*").alias("n")))
+    def add(self, suffixes: DataFrame) -> DataFrame:
+        """Index a batch of (head, doc_id, at); the heads of it that occur twice in the batch or in a level as well."""
+        place = F.min(F.struct("doc_id", "at")).alias("place")
+        level, new = 0, self._write(suffixes.groupBy("head").agg(F.count("*").alias("n"), place), 0)
         array = self.spark.table(new)
-        hits = [saved(array.where("n > 1").select("key"), "suffixes-within")]
+        hits = array.where("n > 1").select("head")
         for old in self.levels.values():
             # both sides are sorted in equal buckets: the join is one merge of two suffix arrays, without a shuffle
-            hits.append(saved(self.spark.table(old).hint("merge").join(array, "key").select("key"), "suffixes-scan"))
-        size = 0
-        while size in self.levels:
-            old = self.levels.pop(size)
-            a, b = self.spark.table(old).withColumnRenamed("n", "m"), self.spark.table(new)
-            merged = self._write(a.hint("merge").join(b, "key", "full").select("key", (F.coalesce("m", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n")))
+            hits = hits.union(self.spark.table(old).select("head").hint("merge").join(array.select("head"), "head"))
+        hits = saved(hits, "suffixes-scan")
+        while level in self.levels:
+            old = self.levels.pop(level)
+            a, b = (self.spark.table(t).select("head", F.col("n").alias(f"n_{s}"), F.col("place").alias(f"p_{s}")) for s, t in (("a", old), ("b", new)))
+            both = a.hint("merge").join(b, "head", "full")
+            n = F.coalesce("n_a", F.lit(0)) + F.coalesce("n_b", F.lit(0))
+            level += 1
+            merged = self._write(both.select("head", n.alias("n"), F.least("p_a", "p_b").alias("place")), level)
             for t in (old, new):
                 self.spark.sql(f"drop table {t}")
-            new, size = merged, size + 1
-        self.levels[size] = new
+            new = merged
+        self.levels[level] = new
         return hits
 
     def close(self) -> None:
+        """Drop the tables; a family that is to be opened again stays open."""
         for t in self.levels.values():
-            self.spark.sql(f"drop table {t}")
+            self.spark.sql(f"drop table if exists {t}")
+        self.levels = {}
 
 
 def substring_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -86,17 +95,18 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = marked(docs)
-    found = saved(rows.mapInArrow(row_maker(byte_units, anchors, WINDOW), ROW), "suffixes-rows")
+    found = saved(rows.mapInArrow(row_maker(byte_units, anchors, WINDOW, BEGINNING), f"{ROW}, head binary"), "suffixes-rows")
     family = Family(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    hits: list[DataFrame] = []
-    for b in range(batches):
-        hits += family.add(found.where(F.pmod(F.col("mark"), F.lit(batches)) == b).select("key"))
-    family.close()
+    try:
+        batch = F.pmod(F.col("mark"), F.lit(batches))
+        hits = [family.add(found.where(batch == b).select("head", "doc_id", "at")) for b in range(batches)]
+    finally:
+        family.close()
     keys = hits[0]
     for h in hits[1:]:
         keys = keys.union(h)
     keys = saved(keys.distinct(), "suffixes-keys")  # read from both sides, the join below can split a key that many rows share
-    alive = saved(found.join(keys, "key"), "suffixes-alive")
+    alive = saved(found.join(keys, "head").drop("head"), "suffixes-alive")
     forget(found, keys, *hits)
     settled = settle(alive, of_smaller=False)
     out = removed(rows, settled, byte_units, WINDOW, of_smaller=False)

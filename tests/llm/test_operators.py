@@ -516,3 +516,26 @@ def test_blocks_that_cannot_reach_the_bound_do_not_meet(spark):
     assert got(met([(50, 9), (100, 2)]), "q_block", "count") == [(0, 10), (1, 10)]  # without a bound all meet
     with pytest.raises(OverflowError):
         topk.products(np.full((1, 4), 2.0**40), np.full((1, 4), 2.0**30))
+
+
+def test_a_kept_family_takes_more_batches(spark):
+    rng = random.Random(59)
+    heads = [bytes([rng.randrange(256) for _ in range(4)]) for _ in range(60)]
+    rows = [(rng.choice(heads), i, i % 7) for i in range(90)]
+    schema = "head binary, doc_id long, at int"
+    cuts = [rows[:10], rows[10:30], rows[30:31], rows[31:70], rows[70:]]
+    name, met = "kept_family", set()
+    for part in cuts:
+        family = suffixes.Family(spark, 3, name)  # opened anew for each batch
+        met |= {bytes(r.head) for r in family.add(spark.createDataFrame(part, schema)).collect()}
+    assert sorted(family.levels) == [0, 2]
+    assert met == {h for h in heads if sum(r[0] == h for r in rows) > 1}
+    stored = [r for t in family.levels.values() for r in spark.table(t).collect()]
+    for h in {r[0] for r in rows}:
+        own = [r for r in stored if bytes(r.head) == h]
+        assert sum(r.n for r in own) == sum(r[0] == h for r in rows)
+        assert min(tuple(r.place) for r in own) == min(r[1:] for r in rows if r[0] == h)
+    plan = spark.table(family.levels[2]).hint("merge").join(spark.table(family.levels[0]).select("head"), "head")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    family.close()
+    assert not suffixes.Family(spark, 3, name).levels
