@@ -29,6 +29,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: The value of each byte as a unit of a fingerprint.
 BYTE = np.arange(1, 257, dtype=U)
+#: Values that are summed at a time, so that what comes between stays in a core's cache.
+STEP = 1 << 14
 _LOW30, _LOW31, _P = U((1 << 30) - 1), U((1 << 31) - 1), U(PRIME)
 
 
@@ -75,11 +77,14 @@ class Fingerprints:
     """
 
     def __init__(self, values: np.ndarray, which: int = 0):
-        up, self.down = powers(len(values) + 1, which)
-        terms = times(_reduced(values), up[:-1])
-        high, low = np.cumsum(terms >> U(31)), np.cumsum(terms & _LOW31)
-        self.sums = np.zeros(len(values) + 1, U)
-        self.sums[1:] = _reduced((high >> U(30)) + ((high & _LOW30) << U(31)) + low)
+        n, (up, self.down) = len(values), powers(len(values) + 1, which)
+        self.sums, carry = np.zeros(n + 1, U), U(0)
+        for i in range(0, n, STEP):
+            part = values[i : i + STEP]
+            terms = times(part if part.max() < _P else _reduced(part), up[i : i + len(part)])
+            high, low = np.cumsum(terms >> U(31)), np.cumsum(terms & _LOW31)
+            self.sums[i + 1 : i + 1 + len(part)] = _reduced((high >> U(30)) + ((high & _LOW30) << U(31)) + low + carry)
+            carry = self.sums[i + len(part)]
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
