@@ -13,6 +13,7 @@ all that are still open; roots of many blocks last, sets outside their largest c
 from __future__ import annotations
 
 import gc
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandloom.llm.arrays import Fingerprints, U, buffers, lower_ascii, mix, slices, word_hashes, words
-from strandloom.llm.common import components, saved, table, tucked, untucked
+from strandloom.llm.common import components, forget, saved, table, tucked, untucked
 from strandloom.llm.repeats import marked, window_starts
 
 #: 64-bit words of a bitmap; children of a tree's node; members and tokens of a block of a large group.
@@ -302,6 +303,14 @@ def released(spark: SparkSession) -> None:
 
 def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, mark, n_shingles, component_id of each row of marked documents (see jaccard_components)."""
+    sets_table = f"jaccard_sets_{uuid.uuid4().hex[:12]}"
+    try:
+        return _linked(docs, n, num, den, sets_table)
+    finally:
+        docs.sparkSession.sql(f"drop table if exists {sets_table}")
+
+
+def _linked(docs: DataFrame, n: int, num: int, den: int, sets_table: str) -> DataFrame:
     spark = docs.sparkSession
     base = saved(docs.mapInArrow(_set_rows(n), "doc_id long, mark long, n long, print long, print2 long"), "jaccard-base")
     named = base.where("n > 0 and doc_id is not null")
@@ -325,7 +334,10 @@ def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFr
     # repeated rows once: they meet in the join's own partitions
     texts = docs.join(nodes, docs["doc_id"] == nodes["node"]).groupBy("node", "print", "mark").agg(F.first("text").alias("text"), F.first("pivot").alias("pivot"), F.first("is_pivot").alias("is_pivot")).select("text", "node", "print", "pivot", "is_pivot")
     schema = "node long, print long, pivot long, is_pivot boolean, found long, n long, tokens array<long>, bitmap binary"
-    sets = saved(texts.mapInArrow(_tokens(n), schema).where("found = print").drop("found"), "jaccard-sets")
+    # in buckets by node, so that the sets are not shuffled again each time that pairs ask for their tokens
+    tokens = texts.mapInArrow(_tokens(n), schema).where("found = print").drop("found")
+    tokens.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").option("compression", "zstd").format("parquet").saveAsTable(sets_table)
+    sets = spark.table(sets_table)
     released(spark)
 
     def links(joined: DataFrame) -> DataFrame:
@@ -355,6 +367,7 @@ def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFr
 
     ids = saved(ids, "jaccard-ids")
     member = saved(below.select("key", "print").join(ids, "print").select("key", "node", "n"), "jaccard-members")
+    forget(below, pairs)
 
     def open_roots(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Roots below which sets of several components remain (key, major, minor, blocks), and their members with components."""
@@ -372,7 +385,9 @@ def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFr
         sketched = dealt.join(sets.select("node", "n", "bitmap"), "node")
         left = saved(sketched.groupBy("key", "i", "j").applyInArrow(_survivors(num, den), "key long, i long, j long, side int, node long, component long"), "jaccard-survivors")
         verified = left.join(sets.select("node", "n", "bitmap", "tokens"), "node").groupBy("key", "i", "j").applyInArrow(_links_of_block(num, den), "a long, b long")
-        return saved(verified, "jaccard-tree-links")
+        out = saved(verified, "jaccard-tree-links")
+        forget(left)
+        return out
 
     def tied(found: DataFrame, new: DataFrame) -> DataFrame:
         if new.isEmpty():
@@ -389,6 +404,7 @@ def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFr
     for once in (True, False):
         if not roots.isEmpty():
             found = tied(found, in_trees(inside(members.withColumn("nth", largest_root).where("nth = 1") if once else members)))
+            forget(roots, members)
             roots, members = open_roots(found)
     # roots of several blocks: sets outside the largest component against all others, in blocks
     if not roots.where("blocks > 1").isEmpty():
