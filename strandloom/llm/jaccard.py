@@ -331,12 +331,14 @@ def _linked(docs: DataFrame, n: int, num: int, den: int, sets_table: str) -> Dat
         .agg(F.max("pivot").alias("pivot"), F.max("p").alias("is_pivot"))
         .join(classes.select("print", "node"), "print")
     )
-    # repeated rows once: they meet in the join's own partitions
-    texts = docs.join(nodes, docs["doc_id"] == nodes["node"]).groupBy("node", "print", "mark").agg(F.first("text").alias("text"), F.first("pivot").alias("pivot"), F.first("is_pivot").alias("is_pivot")).select("text", "node", "print", "pivot", "is_pivot")
+    # dealt by doc_id, which is a node's own: repeated rows meet in the join's own partitions, and a task writes one bucket below
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.where("doc_id is not null").repartition(buckets, "doc_id")
+    texts = dealt.join(nodes, dealt["doc_id"] == nodes["node"]).groupBy("node", "print", "mark").agg(F.first("text").alias("text"), F.first("pivot").alias("pivot"), F.first("is_pivot").alias("is_pivot")).select("text", "node", "print", "pivot", "is_pivot")
     schema = "node long, print long, pivot long, is_pivot boolean, found long, n long, tokens array<long>, bitmap binary"
     # in buckets by node, so that the sets are not shuffled again each time that pairs ask for their tokens
     tokens = texts.mapInArrow(_tokens(n), schema).where("found = print").drop("found")
-    tokens.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").option("compression", "zstd").format("parquet").saveAsTable(sets_table)
+    tokens.write.bucketBy(buckets, "node").option("compression", "zstd").format("parquet").saveAsTable(sets_table)
     sets = spark.table(sets_table)
     released(spark)
 
