@@ -22,9 +22,11 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int,
     if how == "inner":
         both = dealt(left, "start", "end").join(dealt(right, "r_start", "r_end"), [*keys, "bucket"])
         return both.where(hit & (F.floor(F.greatest("start", "r_start") / width) == F.col("bucket"))).drop("bucket")
-    marked = left.withColumn("row_mark", F.xxhash64(*left.columns))
-    found = dealt(marked, "start", "end").join(dealt(right.select(*keys, "r_start", "r_end"), "r_start", "r_end"), [*keys, "bucket"]).where(hit)
-    return marked.join(found.select("row_mark").distinct(), "row_mark", how).drop("row_mark")
+    met = dealt(left, "start", "end").join(dealt(right.select(*keys, "r_start", "r_end"), "r_start", "r_end"), [*keys, "bucket"]).where(hit)
+    # equal rows overlap alike, so a row is told by all its values
+    found = met.select(*(F.col(c).alias(f"met_{i}") for i, c in enumerate(left.columns))).distinct()
+    same = [left[c].eqNullSafe(found[f"met_{i}"]) for i, c in enumerate(left.columns)]
+    return left.join(found, same, how)
 
 
 def islands(df: DataFrame, keys: list[str], gap: int = 0, start: str = "start", end: str = "end") -> DataFrame:

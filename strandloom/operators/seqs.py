@@ -52,12 +52,12 @@ def trim_quality(reads: DataFrame, q: int = 4) -> DataFrame:
 
 
 def pair_reads(left: DataFrame, right: DataFrame) -> DataFrame:
-    """SQ8: reads of two files paired by record number; an error if their counts differ."""
-    n, m = left.count(), right.count()
-    if n != m:
-        raise ValueError(f"{n} left and {m} right reads")
-    side = lambda df, s: df.select("record", F.col("name").alias(f"{s}_name"), F.col("seq").alias(f"{s}_seq"))
-    return side(left, "left").join(side(right, "right"), "record")
+    """SQ8: reads of two files paired by record number; a record that one of them lacks is an error when it is met."""
+    side = lambda df, s: df.select("record", F.col("name").alias(f"{s}_name"), F.col("seq").alias(f"{s}_seq"), F.lit(True).alias(f"in_{s}"))
+    both = side(left, "left").join(side(right, "right"), "record", "full")
+    alone = F.raise_error(F.concat(F.lit("left and right reads differ at record "), F.col("record").cast("string")))
+    met = F.when(F.col("in_left") & F.col("in_right"), F.lit(True)).otherwise(alone.cast("boolean"))
+    return both.where(met).drop("in_left", "in_right")
 
 
 def median_coverage_filter(reads: DataFrame, counts: DataFrame, k: int, least: int) -> DataFrame:

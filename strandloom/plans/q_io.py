@@ -98,9 +98,10 @@ def _(t):
 @query("src10_interleaved", f"with q as ({FASTQ}) select count(*) as n_reads, count(*) // 2 as n_pairs, 2 as n_mates from q")
 def _(t):
     path = scratch(t.spark, "fastq")
-    writers.write_fastq(t.sql(FASTQ).coalesce(1), path)
+    number = F.substring("name", 2, 20).cast("long")  # of an event; an even one and the next are a pair
+    writers.write_interleaved(t.sql(FASTQ).withColumn("pair", F.floor(number / 2)).withColumn("mate", number % 2), path)
     reads = readers.interleaved(readers.read_fastq(t.spark, path))
-    return reads.agg(F.count("*").alias("n_reads"), F.count_distinct("pair").alias("n_pairs"), F.count_distinct("mate").cast("int").alias("n_mates"))
+    return reads.agg(F.count("*").alias("n_reads"), F.count_distinct("sample", "pair").alias("n_pairs"), F.count_distinct("mate").cast("int").alias("n_mates"))
 
 
 SEG = "select item_id as edge, regexp_replace(text, '[^a-z]', ''/*g*/) as seq, cast(item_id * 3 as bigint) as raw_cov from {benchmark}"

@@ -44,6 +44,13 @@ def write_fastq(reads: DataFrame, path: str) -> None:
     reads.select(F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("value")).write.text(path)
 
 
+def write_interleaved(reads: DataFrame, path: str) -> None:
+    """SNK4: reads (pair, mate, name, seq, qual) as four-line records, the mates of a pair one after the other in one file."""
+    record = F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), "qual")
+    mates = F.sort_array(F.collect_list(F.struct("mate", record.alias("record"))))
+    reads.groupBy("pair").agg(F.array_join(F.transform(mates, lambda m: m["record"]), "\n").alias("value")).select("value").write.text(path)
+
+
 def gfa_lines(edges: DataFrame, links: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """SNK5: lines of segments (edge, seq, raw_cov), links (a, a_orient, b, b_orient, overlap) and paths (path, ord, edge, orient)."""
     s = edges.select(F.concat_ws("\t", F.lit("S"), F.col("edge").cast("string"), "seq", F.concat(F.lit("KC:i:"), F.col("raw_cov").cast("long").cast("string"))).alias("value"))

@@ -71,6 +71,41 @@ def test_merging_is_idempotent_and_joins_overlap(spark):
     assert hit == sorted((a, b) for _, _, a, b in iv if any(a < c + 7 and c < b for c in range(0, 600, 41)))
 
 
+def test_semi_and_anti_overlap_joins_tell_rows_by_all_values(spark):
+    left = spark.createDataFrame([("c", 0, 5, None), ("c", 0, 5, None), ("c", 0, 40, "x"), ("c", 20, 25, "y"), (None, 0, 5, "z")], "contig string, start long, end long, tag string")
+    right = spark.createDataFrame([("c", 3, 9), ("c", 4, 18)], "contig string, r_start long, r_end long")
+    hit = intervals.overlap_join(left, right, ["contig"], 8, "left_semi").collect()
+    missed = intervals.overlap_join(left, right, ["contig"], 8, "left_anti").collect()
+    assert sorted((r.end, r.tag or "") for r in hit) == [(5, ""), (5, ""), (40, "x")]
+    assert sorted((r.end, r.tag) for r in missed) == [(5, "z"), (25, "y")]
+
+
+def test_reads_of_two_files_pair_or_fail(spark):
+    left = spark.createDataFrame([(0, "a", "AC"), (1, "b", "GT")], "record long, name string, seq string")
+    right = spark.createDataFrame([(0, "a", "TT")], "record long, name string, seq string")
+    assert rows(seqs.pair_reads(left, left), "record", "left_name", "right_seq") == [(0, "a", "AC"), (1, "b", "GT")]
+    for a, b in ((left, right), (right, left)):
+        with pytest.raises(Exception, match="differ at record 1"):
+            seqs.pair_reads(a, b).collect()
+
+
+def test_interleaved_pairs_stay_together_in_parallel_files(spark, tmp_path):
+    reads = [(i // 2, i % 2, f"r{i}", "ACGT", "IIII") for i in range(60)]
+    df = spark.createDataFrame(reads, "pair long, mate long, name string, seq string, qual string").repartition(5)
+    with_conf = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        writers.write_interleaved(df, f"file://{tmp_path}/fq")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", with_conf)
+    back = readers.interleaved(readers.read_fastq(spark, f"file://{tmp_path}/fq")).collect()
+    assert len({r["sample"] for r in back}) > 1
+    by_pair = {}
+    for r in back:
+        by_pair.setdefault((r["sample"], r["pair"]), {})[r["mate"]] = int(r["name"][1:])
+    assert sorted((v[1], v[2]) for v in by_pair.values()) == [(i, i + 1) for i in range(0, 60, 2)]
+
+
 def test_depth_sums_to_the_aligned_bases(spark):
     data = [("s", f"r{i}", 0, "c", 1 + i * 3, 60, "5S10M2D5M", "=", 0, 0) for i in range(20)]
     df = spark.createDataFrame(data, "sample string, qname string, flag int, contig string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long")
