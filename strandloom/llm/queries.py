@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import chat, decontamination, jaccard, langid, lines, mixing, negatives, recompression, sharding, suffixes, topk, toxicity
+from strandloom.llm import alignment, chat, decontamination, jaccard, langid, lines, mixing, negatives, recompression, sharding, suffixes, topk, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffixes.op1_suffix_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_decontaminate": decontamination.op10_decontaminate,
     "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_token_alignment": alignment.op12_token_alignment,
     "op13_line_dedup": lines.op13_line_dedup,
 }
 ORACLES = {"op3_chat_format": chat.ORACLE, "op6_top_k": topk.ORACLE, "op11_hard_negatives": negatives.ORACLE, "op13_line_dedup": lines.ORACLE}
