@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandloom.functions.seq import CHUNK, chunks
 from strandloom.operators.aln import cigar_ops
 
 BASES = ("A", "C", "G", "T", "N")
@@ -27,15 +28,29 @@ def pileup_votes(bases: DataFrame) -> DataFrame:
     return bases.groupBy("contig", "pos", "variant", "inserted").agg(F.count("*").alias("votes"))
 
 
-def interesting_positions(votes: DataFrame, low: float = 0.1, high: float = 0.9, least: int = 20, anchor: int = 100, gap: int = 6) -> DataFrame:
-    """CO2: positions where more than one base holds between `low` and `high` of more than `least` votes; and, as anchors, the first
-    voted position at or after each multiple of `anchor`, within `gap`."""
-    base = votes.where(F.col("variant").isin(*BASES[:4])).groupBy("contig", "pos", "variant").agg(F.sum("votes").alias("votes"))
-    share = F.col("votes") / F.sum("votes").over(Window.partitionBy("contig", "pos"))
-    held = base.withColumn("total", F.sum("votes").over(Window.partitionBy("contig", "pos"))).withColumn("mixed", (share > low) & (share < high))
-    mixed = held.where(F.col("total") > least).groupBy("contig", "pos").agg(F.count_if("mixed").alias("n")).where("n > 1").select("contig", "pos", F.lit("mixed").alias("kind"))
-    near = base.select("contig", "pos").distinct().where(F.col("pos") % anchor <= gap).groupBy("contig", F.floor(F.col("pos") / anchor).alias("k")).agg(F.min("pos").alias("pos"))
-    return mixed.unionByName(near.select("contig", "pos", F.lit("anchor").alias("kind")).join(mixed, ["contig", "pos"], "left_anti"))
+def undefined_positions(contigs: DataFrame) -> DataFrame:
+    """contig, pos of the letters of contigs other than ACGT; only chunks that hold some become rows."""
+    cut = contigs.select("contig", F.posexplode(chunks(F.upper("seq"), 1)).alias("n", "chunk")).where(F.col("chunk").rlike("[^ACGT]"))
+    each = cut.select("contig", F.col("n").cast("long").alias("n"), F.posexplode(F.split("chunk", "")).alias("i", "c")).where("c <> '' and c not in ('A', 'C', 'G', 'T')")
+    return each.select("contig", (F.col("n") * CHUNK + F.col("i") + 1).alias("pos"))
+
+
+def interesting_positions(votes: DataFrame, contigs: DataFrame, low: float = 0.1, high: float = 0.9, least: int = 20, anchor: int = 100, gap: int = 6) -> DataFrame:
+    """CO2: contig, pos, kind. mixed: more than one base (or N) holds between `low` and `high` of more than `least` votes. undefined: the
+    contig has no base there. anchor: the multiples of `anchor` (counted from 0) around such a position, `gap` of them on both sides of
+    the one at or before it, as far as the contig goes; a contig without such a position has none.
+    """
+    base = votes.where(F.col("variant").isin(*BASES)).groupBy("contig", "pos", "variant").agg(F.sum("votes").alias("votes"))
+    total = F.sum("votes").over(Window.partitionBy("contig", "pos"))
+    held = base.withColumn("total", total).where(F.col("total") > least)
+    ends = contigs.select("contig", F.length("seq").cast("long").alias("len"))
+    mixed = held.where((F.col("votes") > low * F.col("total")) & (F.col("votes") < high * F.col("total"))).groupBy("contig", "pos").agg(F.count("*").alias("n")).where("n > 1")
+    mixed = mixed.join(ends, "contig").where("pos between 1 and len").select("contig", "pos", F.lit("mixed").alias("kind"))
+    none = undefined_positions(contigs).select("contig", "pos", F.lit("undefined").alias("kind"))
+    own = mixed.unionByName(none).groupBy("contig", "pos").agg(F.min("kind").alias("kind"))
+    blocks = own.select("contig", F.floor((F.col("pos") - 1) / anchor).alias("k")).distinct().select("contig", F.explode(F.sequence(F.col("k") - gap, F.col("k") + gap)).alias("k")).distinct()
+    near = blocks.join(ends, "contig").where((F.col("k") >= 0) & (F.col("k") * anchor < F.col("len"))).select("contig", (F.col("k") * anchor + 1).alias("pos"), F.lit("anchor").alias("kind"))
+    return own.unionByName(near.join(own, ["contig", "pos"], "left_anti"))
 
 
 def consensus(votes: DataFrame, contigs: DataFrame, insertion: float = 1.5) -> DataFrame:
@@ -60,16 +75,19 @@ def corrected_contigs(contigs: DataFrame, changes: DataFrame) -> DataFrame:
     return held.groupBy("contig").agg(F.array_join(F.transform(parts, lambda x: x["piece"]), "").alias("seq"), F.count_if(piece != F.col("own")).alias("n_changes"))
 
 
-#: Weight of a read by the number of its disagreements so far: halved with each, gone after three.
-ERROR_WEIGHT = (8, 4, 2, 1)
+# fixed values: weight of a read by the number of its disagreements so far; none from the sixth on
+ERROR_WEIGHT = (100, 10, 8, 5, 2, 1)
+#: Variants in the order in which equal votes are settled, after the contig's own base.
+ORDER = {v: i for i, v in enumerate("ACGTND")}
 
 
 def read_weighted_consensus(bases: DataFrame, positions: DataFrame, contigs: DataFrame, strategy: str = "AllReads") -> DataFrame:
     """CO5: contig, pos, base, variant at interesting positions by reads that cover two or more of them. A read's weight falls with its
-    disagreements in the sweep; the contig is swept in both directions and the last verdict holds.
+    disagreements in the sweep; the contig is swept in both directions, each from fresh weights, and the last verdict holds.
 
-    strategy: AllReads, MappedSquared (weight times the square of agreements so far) or AllExceptJustStarted (a read's first
-    position has no say). The sweep is sequential along a contig and parallel over contigs, on interesting positions only.
+    strategy: AllReads, MappedSquared (weight times the square of agreements so far) or AllExceptJustStarted (as this strategy is
+    computed, a read has a say at the first of its positions in the sweep only). Equal votes: the contig's own base, then A, C, G, T, N,
+    deletion. The sweep is sequential along a contig and parallel over contigs, on interesting positions only.
     """
     own = contigs.select("contig", F.posexplode(F.split("seq", "")).alias("i", "base")).select("contig", (F.col("i") + 1).cast("long").alias("pos"), F.upper("base").alias("base"))
     rows = bases.where("variant <> 'I'").join(positions.select("contig", "pos"), ["contig", "pos"], "left_semi").join(own, ["contig", "pos"])
@@ -85,10 +103,10 @@ def read_weighted_consensus(bases: DataFrame, positions: DataFrame, contigs: Dat
             for p in order:
                 votes: dict[str, float] = {}
                 for read, variant in by_pos[p]:
-                    factor = {"AllReads": 1, "MappedSquared": agreed.get(read, 0) ** 2, "AllExceptJustStarted": int(read in errors or read in agreed)}[strategy]
+                    factor = {"AllReads": 1, "MappedSquared": agreed.get(read, 0) ** 2, "AllExceptJustStarted": int(read not in errors and read not in agreed)}[strategy]
                     weight = ERROR_WEIGHT[errors.get(read, 0)] if errors.get(read, 0) < len(ERROR_WEIGHT) else 0
                     votes[variant] = votes.get(variant, 0) + weight * factor
-                verdict[p] = max(votes, key=lambda v: (votes[v], v == base[p], v)) if any(votes.values()) else base[p]
+                verdict[p] = max(votes, key=lambda v: (votes[v], v == base[p], -ORDER.get(v, 6))) if any(votes.values()) else base[p]
                 for read, variant in by_pos[p]:
                     tally = agreed if variant == verdict[p] else errors
                     tally[read] = tally.get(read, 0) + 1

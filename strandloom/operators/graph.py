@@ -2,32 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.functions.seq import base_count, hamming, revcomp, with_windows
+from strandloom.functions.packed import MOST, Packed, codec
+from strandloom.functions.seq import base_count, hamming
 from strandloom.operators.intervals import weighted_points
 from strandloom.plans.tables import components, forget, saved
 
 
+def extension_masks(reads: DataFrame, k: int, spread: bool = False) -> DataFrame:
+    """GR1: kmer (a number up to 30 bases) and the bases before and after it, from the (k+1)-mers of both strands: bits 0 to 3 of
+    `mask` stand for A, C, G, T after the k-mer, bits 4 to 7 for those before."""
+    code = codec(k, MOST - 1)
+    one = code.rows(reads, k + 1, spread=spread).select(F.least("kmer", "rc").alias("kmer")).distinct()
+    both = one.select(F.explode(F.array("kmer", code.rc("kmer", k + 1))).alias("w"))
+    first, after, last, before = code.edge("w")
+    ends = both.select(F.explode(F.array(F.struct(first.alias("kmer"), after.alias("bit")), F.struct(last.alias("kmer"), (before + 4).alias("bit")))).alias("x"))
+    return ends.select("x.kmer", F.expr("shiftleft(1, x.bit)").alias("bit")).groupBy("kmer").agg(F.bit_or("bit").alias("mask"))
+
+
+def _bases(mask: Column, shift: int) -> Column:
+    return F.array_compact(F.array(*(F.when(mask.bitwiseAND(1 << (i + shift)) != 0, F.lit(c)) for i, c in enumerate("ACGT"))))
+
+
 def extensions(reads: DataFrame, k: int) -> DataFrame:
-    """GR1: kmer, outs, ins of each k-mer, from the (k+1)-mers of both strands; with dead ends and starts."""
-    pairs = with_windows(reads, k + 1, name="w").distinct().select(F.explode(F.array("w", revcomp("w"))).alias("w")).distinct()
-    out = pairs.select(F.expr(f"left(w, {k})").alias("kmer"), F.expr("right(w, 1)").alias("out"), F.lit(None).cast("string").alias("in"))
-    into = pairs.select(F.expr(f"right(w, {k})").alias("kmer"), F.lit(None).cast("string").alias("out"), F.expr("left(w, 1)").alias("in"))
-    held = out.union(into).groupBy("kmer").agg(F.sort_array(F.collect_set("out")).alias("outs"), F.sort_array(F.collect_set("in")).alias("ins"))
+    """GR1: kmer, outs, ins of each k-mer as letters; with dead ends and starts."""
+    held = extension_masks(reads, k)
+    held = held.select(codec(k, MOST - 1).text("kmer").alias("kmer"), _bases(F.col("mask"), 0).alias("outs"), _bases(F.col("mask"), 4).alias("ins"))
     return held.withColumn("dead_end", F.size("outs") == 0).withColumn("dead_start", F.size("ins") == 0).withColumn("unique", (F.size("outs") == 1) & (F.size("ins") == 1))
 
 
-def condense(steps: DataFrame, name: str = "condense") -> DataFrame:
+def condense(steps: DataFrame, name: str = "condense", conjugate: Callable[[str], Column] | None = None) -> DataFrame:
     """node, head, rank of the nodes of chains (a -> b, each a and b once): pointer doubling, log2 of the longest chain in rounds.
 
-    A chain starts at a node that no step enters; on a cycle the smallest node does.
+    A chain starts at a node that no step enters; on a cycle the smallest node does. With `conjugate` (the node on the other strand)
+    cycles of both strands are cut at one place: before the smallest node of the two, and after it on the other strand.
     """
+    conjugate = conjugate or F.col
     nodes = steps.select(F.col("a").alias("node")).union(steps.select(F.col("b").alias("node"))).distinct()
     first = nodes.join(steps.select(F.col("b").alias("node"), F.col("a").alias("to")), "node", "left")
-    back = saved(first.select("node", "to", F.lit(1).cast("long").alias("rank"), F.col("node").alias("least"), F.col("to").isNotNull().alias("moved")), f"{name}-0")
+    back = saved(first.select("node", "to", F.lit(1).cast("long").alias("rank"), F.when(F.col("node") <= conjugate("node"), F.col("node")).otherwise(conjugate("node")).alias("least"), F.col("to").isNotNull().alias("moved")), f"{name}-0")
     for r in range(1, max(1, back.count()).bit_length() + 2):
         if not back.where("moved").limit(1).count():
             break
@@ -41,21 +59,37 @@ def condense(steps: DataFrame, name: str = "condense") -> DataFrame:
     done = back.where("not moved").select("node", F.coalesce("to", "node").alias("head"), F.when(F.col("to").isNull(), 0).otherwise(F.col("rank")).alias("rank"))
     if not back.where("moved").limit(1).count():
         return done
-    # pointers that still move run round cycles: each is cut before its smallest node
-    cut = back.where("moved").select(F.col("node").alias("b"), "least").join(steps, "b").where("b <> least").select("a", "b")
-    return done.unionByName(condense(saved(cut, f"{name}-cut"), f"{name}-cycles"))
+    # pointers that still move run round cycles
+    on = back.where("moved").select(F.col("node").alias("b"), "least").join(steps, "b")
+    cut = saved(on.where((F.col("b") != F.col("least")) & ((conjugate("a") != F.col("least")) | (F.col("a") == F.col("least")))).select("a", "b"), f"{name}-cut")
+    rest = condense(cut, f"{name}-cycles", conjugate)
+    alone = on.select(F.col("b").alias("node")).join(rest.select("node"), "node", "left_anti")
+    return done.unionByName(rest).unionByName(alone.select("node", F.col("node").alias("head"), F.lit(0).cast("long").alias("rank")))
+
+
+def _masks(ext: DataFrame, code: Packed) -> DataFrame:
+    """kmer, mask of what extensions() tells in letters."""
+    bits = lambda c, shift: F.aggregate(c, F.lit(0), lambda acc, b: acc.bitwiseOR(F.pow(F.lit(2), F.instr(F.lit("ACGT"), b) - 1 + shift).cast("int")))
+    return ext.select(code.of_text("kmer").alias("kmer"), bits("outs", 0).bitwiseOR(bits("ins", 4)).alias("mask"))
 
 
-def unitigs(ext: DataFrame, k: int) -> DataFrame:
-    """GR2: sequences of maximal chains of k-mers with one way in and out between them; a cycle starts at its smallest k-mer."""
-    one_out = ext.where(F.size("outs") == 1).select("kmer", F.concat(F.substring("kmer", 2, k - 1), F.col("outs")[0]).alias("b"))
-    one_in = ext.where(F.size("ins") == 1).select(F.col("kmer").alias("b"))
-    steps = saved(one_out.join(one_in, "b").select(F.col("kmer").alias("a"), "b").where("a <> b"), "unitig-steps")
-    held = condense(steps, "unitigs")
-    parts = held.groupBy("head").agg(F.sort_array(F.collect_list(F.struct("rank", "node"))).alias("p"))
-    joined = parts.select(F.concat(F.col("p")[0]["node"], F.array_join(F.transform(F.slice("p", 2, 1 << 30), lambda x: F.substring(x["node"], k, 1)), "")).alias("seq"))
-    alone = ext.select("kmer").join(held.select(F.col("node").alias("kmer")), "kmer", "left_anti").select(F.col("kmer").alias("seq"))
-    return joined.unionByName(alone)
+def unitigs(masks: DataFrame, k: int) -> DataFrame:
+    """GR2: edge, conjugate, seq of maximal chains of k-mers (extension_masks, or extensions) with one way in and out between them, on both strands.
+
+    An edge is named by its first k-mer, and `conjugate` names the edge that spells its reverse complement: the one that begins with
+    the turned last k-mer, or the edge itself. A cycle begins where the smallest of its k-mers and their turns does.
+    """
+    code = codec(k, MOST - 1)
+    masks = masks if "mask" in masks.columns else _masks(masks, code)
+    base = F.expr("case mask & 15 when 1 then 0 when 2 then 1 when 4 then 2 else 3 end")
+    one_out = masks.where("bit_count(mask & 15) = 1").select(F.col("kmer").alias("a"), code.after("kmer", base).alias("b"))
+    one_in = masks.where("bit_count(mask & 240) = 1").select(F.col("kmer").alias("b"))
+    steps = saved(one_out.join(one_in, "b").select("a", "b").where("a <> b"), "unitig-steps")
+    held = condense(steps, "unitigs", code.rc)
+    all_ = masks.select("kmer").join(held.withColumnRenamed("node", "kmer"), "kmer", "left").select("kmer", F.coalesce("head", "kmer").alias("edge"), F.coalesce("rank", F.lit(0)).alias("rank"))
+    parts = all_.groupBy("edge").agg(F.sort_array(F.collect_list(F.struct("rank", code.last("kmer").alias("base")))).alias("p"), F.max_by("kmer", "rank").alias("end"))
+    tail = F.array_join(F.transform(F.slice("p", 2, 1 << 30), lambda x: x["base"]), "")
+    return parts.select("edge", code.rc("end").alias("conjugate"), F.concat(code.text("edge"), tail).alias("seq"))
 
 
 def early_tip_clip(ext: DataFrame, k: int, bound: int) -> DataFrame:
@@ -75,8 +109,8 @@ def early_tip_clip(ext: DataFrame, k: int, bound: int) -> DataFrame:
 
 
 def edge_coverage(edges: DataFrame, counts: DataFrame, k: int, flank: int) -> DataFrame:
-    """GR4: edge, coverage (mean count of its k-mers) and flank_coverage (of the first `flank` of them)."""
-    rows = with_windows(edges, k, ("edge",), "w", at="i").withColumn("kmer", F.least("w", revcomp("w")))
+    """GR4: edge, coverage (mean count of its k-mers, counted by kmer_counts(..., packed=True)) and flank_coverage (of the first `flank` of them)."""
+    rows = codec(k).rows(edges, k, ("edge",), at="i").withColumn("kmer", F.least("kmer", "rc"))
     held = rows.join(counts, "kmer", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return held.groupBy("edge").agg(F.avg("n").alias("coverage"), F.avg(F.when(F.col("i") < flank, F.col("n"))).alias("flank_coverage"))
 
@@ -109,13 +143,29 @@ def uniformity_fraction(edges: DataFrame, variation: float, min_len: int = 0) ->
     return use.agg((F.sum(F.when(near, F.col("len")).otherwise(0)) / F.sum("len")).alias("uniformity"))
 
 
+def numbered(rows: DataFrame, *order: Column, name: str = "id") -> DataFrame:
+    """rows with their place in the given order, from 1: range-partitioned, numbered in each partition, and moved on by what lies before."""
+    dealt = saved(rows.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy("part_").agg(F.count("*").alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
+    nth = F.row_number().over(Window.partitionBy("part_").orderBy(*order))
+    return dealt.join(F.broadcast(sizes.select("part_", before.alias("before_"))), "part_").withColumn(name, nth + F.col("before_")).drop("part_", "before_")
+
+
 def graph_components(edges: DataFrame) -> DataFrame:
-    """GR7: edge, component: weak components numbered by falling total length, then by smallest vertex; with edge counts."""
-    found = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), "graph")
+    """GR7: edge, component: weak components numbered by falling total length, then by smallest vertex; with edge counts.
+
+    Where edges name their `conjugate`, both strands are one component: the way out of an edge and the way into its conjugate are one
+    vertex seen from two sides. Lengths and counts are those of all edges of a component, both strands included.
+    """
+    links = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    if "conjugate" in edges.columns:
+        other = edges.select(F.col("edge").alias("conjugate"), F.col("dst").alias("b"))
+        links = links.union(edges.select("conjugate", F.col("src").alias("a")).join(other, "conjugate").select("a", "b"))
+    found = components(links, "graph")
     held = edges.select("edge", "len", F.col("src").alias("node")).join(found, "node")
     per = held.groupBy("component").agg(F.sum("len").alias("total"), F.count("*").alias("n_edges"))
-    # one row a component
-    named = per.withColumn("id", F.row_number().over(Window.orderBy(F.desc("total"), "component")))
+    named = numbered(per, F.desc("total"), F.col("component"))
     return held.join(named, "component").select("edge", F.col("id").alias("component"), "n_edges", "total")
 
 
@@ -190,16 +240,31 @@ def simplify_round(edges: DataFrame, drop: Column, iterations: int = 1) -> DataF
     return edges
 
 
-def erroneous_connection_threshold(edges: DataFrame, max_len: int, width: int = 5, bucket: float = 1.0) -> DataFrame:
-    """GR14: the coverage below which short edges with alternatives look wrong: the first dip of their smoothed coverage histogram,
-    a tenth of the average where there is none."""
-    short = degrees(edges).where("alternative").where(F.col("len") <= max_len)
-    bins = short.groupBy(F.floor(F.col("raw_cov") / F.col("len") / bucket).alias("x")).agg(F.count("*").alias("n"))
-    order = Window.orderBy("x")  # one row a bucket of the histogram
-    smooth = bins.withColumn("s", F.avg("n").over(order.rangeBetween(-width, width)))
-    dips = smooth.withColumn("before", F.lag("s").over(order)).withColumn("after", F.lead("s").over(order)).where("s < before and s <= after")
-    first = dips.agg(F.min("x").alias("x"))
-    return average_coverage(edges).join(F.broadcast(first)).select(F.coalesce((F.col("x") + 0.5) * bucket, 0.1 * F.col("avg_coverage")).alias("threshold"))
+def erroneous_connection_threshold(edges: DataFrame, max_len: int, width: int | None = None) -> DataFrame:
+    """GR14: threshold, avg_coverage, used: the coverage below which short edges with alternatives look wrong.
+
+    The histogram has the whole coverages of edges of at most max_len that leave a vertex of two ways out or more and enter one of two
+    ways in or more; a bulge of two edges alone is left out. Each value gets the sum of the next `width` counts, weighted by a triangle
+    (1, 2, ... 2, 1); counts at or beyond the number of different coverages have no weight. The threshold is the first value at which
+    half of the last `width` sums rose, and a tenth of the average coverage where there is none; `used` is not below the average.
+    width: 0.3 times the average, and 5, unless given.
+    """
+    ways = degrees(edges).where((F.col("len") <= max_len) & (F.col("src_out") >= 2) & (F.col("dst_in") >= 2))
+    twins = edges.groupBy("src", "dst").agg(F.count("*").alias("twins"))
+    short = ways.join(twins, ["src", "dst"]).where("not (src_out = 2 and dst_in = 2 and twins = 2)")
+    bins = short.groupBy(F.floor(F.col("raw_cov") / F.col("len")).alias("x")).agg(F.count("*").alias("n"))
+    w = F.floor(0.3 * F.col("avg_coverage") + 5).cast("long") if width is None else F.lit(width).cast("long")
+    facts = average_coverage(edges).join(bins.agg(F.count("*").alias("m"), (F.max("x") + 1).alias("size"))).withColumn("w", w)
+    spread = bins.join(F.broadcast(facts.select("m", "w"))).where("x < m").select("n", "w", "x", F.explode(F.expr("sequence(0, w - 1)")).alias("i"))
+    sums = spread.where("x >= i").groupBy((F.col("x") - F.col("i")).alias("v")).agg(F.sum(F.col("n") * F.least(F.col("i") + 1, F.col("w") - F.col("i"))).alias("s"))
+    grid = facts.select("size", "w", F.explode(F.expr("sequence(0L, greatest(least(size, m + 1), 0L))")).alias("v"))  # beyond, no sum rises
+    order = Window.orderBy("v")  # one row a coverage
+    held = grid.join(sums, "v", "left").withColumn("s", F.coalesce("s", F.lit(0)))
+    rose = held.withColumn("rose", (F.col("s") > F.lag("s").over(order)).cast("int")).withColumn("upto", F.sum(F.coalesce("rose", F.lit(0))).over(order))
+    back = rose.select((F.col("v") + F.col("w")).alias("v"), F.col("upto").alias("gone"))
+    cut = rose.join(back, "v", "left").where("v >= 1 and v + w < size and 2 * (upto - coalesce(gone, 0)) >= w").agg(F.min("v").alias("v"))
+    threshold = F.coalesce(F.col("v").cast("double"), 0.1 * F.col("avg_coverage"))
+    return average_coverage(edges).join(F.broadcast(cut)).select(threshold.alias("threshold"), "avg_coverage", F.greatest(threshold, "avg_coverage").alias("used"))
 
 
 def expand_component(edges: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -230,14 +295,14 @@ def edges_off_paths(edges: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def kmer_edge_index(edges: DataFrame, k: int) -> DataFrame:
-    """GR17: kmer, edge, offset of the k-mers that lie on one place only."""
-    rows = with_windows(edges, k, ("edge",), at="offset")
+    """GR17: kmer (a number up to 31 bases), edge, offset of the k-mers that lie on one place only."""
+    rows = codec(k).rows(edges, k, ("edge",), at="offset")
     return rows.groupBy("kmer").agg(F.count("*").alias("n"), F.min("edge").alias("edge"), F.min("offset").alias("offset")).where("n = 1").drop("n")
 
 
 def map_reads(reads: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """GR17: read, edge, q_start, q_end, e_start, e_end, ord: ranges along which read and edge advance in step."""
-    hits = with_windows(reads, k, ("read",), at="i").join(index, "kmer")
+    hits = codec(k).rows(reads, k, ("read",), at="i").select("read", "i", "kmer").join(index, "kmer")
     order = Window.partitionBy("read").orderBy("i")
     new = F.lag("edge").over(order).isNull() | (F.lag("edge").over(order) != F.col("edge")) | (F.lag(F.col("offset") - F.col("i")).over(order) != F.col("offset") - F.col("i")) | (F.lag("i").over(order) != F.col("i") - 1)
     held = hits.withColumn("new", new.cast("int")).withColumn("ord", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -261,8 +326,9 @@ def strand_coverage(maps: DataFrame, edges: DataFrame, symmetric: bool = False)
 
 def edge_quality(edges: DataFrame, reference: DataFrame, k: int) -> DataFrame:
     """GR20: k-mers of each edge that the reference holds on either strand, counted once a place of the reference."""
-    ref = reference.select(F.explode(F.array("seq", revcomp("seq"))).alias("seq")).transform(with_windows, k).groupBy("kmer").agg(F.count("*").alias("n"))
-    rows = with_windows(edges, k, ("edge",))
+    code = codec(k)
+    ref = code.rows(reference, k).select(F.explode(F.array("kmer", "rc")).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    rows = code.rows(edges, k, ("edge",))
     hits = rows.join(ref, "kmer").groupBy("edge").agg(F.sum("n").alias("quality"))
     return edges.select("edge").join(hits, "edge", "left").select("edge", F.coalesce("quality", F.lit(0)).alias("quality"))
 
@@ -282,14 +348,57 @@ def path_filter(paths: DataFrame, edges: DataFrame, min_length: int = 0, min_cov
     return paths.join(keep.select("path"), "path", "left_semi")
 
 
+#: Fingerprints of edge sequences are polynomials over these fields, at these bases.
+FIELDS = ((2147483647, 1_000_003), (2147483629, 998_244_353 % 2147483629))
+
+
+def _power(base: int, exponent: Column, prime: int) -> Column:
+    """base ** exponent modulo a prime below 2 ** 31, for exponents below 2 ** 24."""
+    out, square = F.lit(1).cast("long"), base
+    for b in range(24):
+        out = out * F.when(exponent.bitwiseAND(F.lit(1 << b)) != 0, F.lit(square)).otherwise(F.lit(1)) % prime
+        square = square * square % prime
+    return out
+
+
+def _path_sums(paths: DataFrame) -> DataFrame:
+    """path, n, i, edge, b0, b1, s0, s1: sums of the terms of the edges before the i-th of each path, and with it."""
+    order = Window.partitionBy("path").orderBy("ord", "edge")
+    held = paths.select("path", "edge", F.row_number().over(order).cast("long").alias("i"), F.count("*").over(Window.partitionBy("path")).alias("n"))
+    terms = [(F.pmod(F.xxhash64("edge", F.lit(f)), F.lit(p)) * _power(b, F.col("i"), p) % p).alias(f"t{f}") for f, (p, b) in enumerate(FIELDS)]
+    upto = Window.partitionBy("path").orderBy("i")
+    sums = held.select("path", "n", "i", "edge", *terms).select("*", *(F.sum(f"t{f}").over(upto).alias(f"s{f}") for f in (0, 1)))
+    return sums.select("path", "n", "i", "edge", *((F.col(f"s{f}") - F.col(f"t{f}")).alias(f"b{f}") for f in (0, 1)), "s0", "s1")
+
+
+def _prints(last: list[Column], before: list[Column], at: Column) -> list[Column]:
+    """Fingerprints of stretches, whatever their place: sums from a place on, moved to the end of the range of places."""
+    return [(F.pmod(s - b, F.lit(p)) * _power(base, F.lit((1 << 24) - 1) - at, p) % p).alias(f"f{f}") for f, ((p, base), s, b) in enumerate(zip(FIELDS, last, before, strict=True))]
+
+
+def path_windows(sums: DataFrame) -> DataFrame:
+    """n, f0, f1, longer, least of the stretches that begin with some path's first edge and are as long as it: whether a longer path
+    holds them, and the smallest path that is no longer. One row for each different stretch, however often it comes."""
+    asked = sums.where("i = 1").select("edge", F.col("n").alias("size")).distinct()
+    begin = sums.select("path", "n", "i", "edge", "b0", "b1").join(asked, "edge").where("i + size - 1 <= n")
+    ends = sums.select("path", F.col("i").alias("end"), "s0", "s1")
+    both = begin.withColumn("end", F.col("i") + F.col("size") - 1).join(ends, ["path", "end"])
+    each = both.select(F.col("size").alias("n"), F.col("n").alias("whole"), "path", *_prints([F.col("s0"), F.col("s1")], [F.col("b0"), F.col("b1")], F.col("i")))
+    return each.groupBy("n", "f0", "f1").agg(F.max(F.col("whole") > F.col("n")).alias("longer"), F.min(F.when(F.col("whole") == F.col("n"), F.col("path"))).alias("least"))
+
+
 def dedup_paths(paths: DataFrame) -> DataFrame:
-    """GR22: without paths that equal another of smaller id or are part of a longer one. Candidates share the first edge of the shorter."""
-    whole = paths.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "edge"))), lambda x: x["edge"]).alias("edges"))
-    text = lambda c: F.concat(F.lit(","), F.array_join(F.transform(c, lambda x: x.cast("string")), ","), F.lit(","))
-    named = saved(whole.select("path", F.size("edges").alias("n"), text(F.col("edges")).alias("text"), F.col("edges")[0].alias("edge")), "paths")
-    members = paths.select(F.col("path").alias("path2"), "edge").distinct().join(named.select(F.col("path").alias("path2"), F.col("n").alias("n2"), F.col("text").alias("text2")), "path2")
-    inside = named.join(members, "edge").where((F.col("path") != F.col("path2")) & ((F.col("n") < F.col("n2")) | (F.col("n") == F.col("n2")) & (F.col("path") > F.col("path2"))) & F.contains("text2", F.col("text")))
-    return paths.join(inside.select("path").distinct(), "path", "left_anti")
+    """GR22: without paths that equal another of smaller id or are part of a longer one. Paths have fewer than 2 ** 24 edges.
+
+    Stretches of paths are named by rolling fingerprints (two of 31 bits over prime fields), so that a path meets one row, that of
+    its own stretch, instead of all paths that hold its first edge.
+    """
+    sums = saved(_path_sums(paths), "path-sums")
+    named = saved(path_windows(sums), "path-windows")
+    zero = [F.lit(0).cast("long")] * 2
+    whole = sums.where("i = n").select("path", "n", *_prints([F.col("s0"), F.col("s1")], zero, F.lit(1).cast("long")))
+    gone = whole.join(named, ["n", "f0", "f1"]).where("longer or least < path")
+    return paths.join(gone.select("path"), "path", "left_anti")
 
 
 def merge_edge_positions(maps: DataFrame, max_gap: int, max_gap_diff: int) -> DataFrame:

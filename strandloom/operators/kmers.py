@@ -1,4 +1,8 @@
-"""K-mers: counts, clusters and abundance (KM1-KM17). A k-mer stays a string; counts are summed before anything is joined."""
+"""K-mers: counts, clusters and abundance (KM1-KM17).
+
+Up to 31 bases a k-mer is a number from the window on (functions/packed.py), and becomes a string at the end only; `packed=True`
+leaves it a number. Counts are summed before anything is joined.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.functions.seq import canonical, hamming, qualities, revcomp, with_windows
+from strandloom.functions.packed import codec
+from strandloom.functions.seq import CHUNK, canonical, chunks, hamming, qualities, with_windows
 from strandloom.plans.tables import components, forget, saved
 
 
@@ -16,33 +21,64 @@ def kmers(reads: DataFrame, k: int, carry: tuple[str, ...] = ()) -> DataFrame:
 
 
 def valid_kmers(reads: DataFrame, k: int, q: int = 2) -> DataFrame:
-    """KM2: windows of ACGT inside the ends of quality above q, with the chance that all their bases are right."""
-    phred = qualities("qual")
-    good = F.transform(phred, lambda x: x > q)
-    first = F.array_position(good, True)
-    last = F.size(good) + 1 - F.array_position(F.reverse(good), True)
-    held = reads.select("read_id", "seq", phred.alias("phred"), first.alias("a"), last.alias("b"))
-    rows = with_windows(held, k, ("read_id", "phred", "a", "b"), at="offset").withColumn("at", F.col("offset") + 1)
-    rows = rows.where((F.col("at") >= F.col("a")) & (F.col("at") + k - 1 <= F.col("b")) & ~F.col("kmer").rlike("[^ACGT]"))
-    right = F.aggregate(F.slice("phred", F.col("at"), k), F.lit(1.0), lambda acc, x: acc * (1 - F.pow(F.lit(10.0), -x / 10.0)))
-    return rows.select("read_id", "at", "kmer", right.alias("correct"), F.slice("phred", F.col("at"), k).alias("quals"))
+    """KM2: windows of ACGT inside the ends of quality above q, with the chance that all their bases are right.
+
+    Bases and qualities are cut into the same chunks, so that a window drags no more of its read along than its chunk.
+    """
+    bad = "[!-" + "".join("\\" + c if c in "[]\\^-" else c for c in chr(33 + q)) + "]*"
+    first, last = F.length(F.regexp_extract("qual", "^" + bad, 0)), F.length("qual") - F.length(F.regexp_extract("qual", bad + "$", 0))
+    whole = reads.select("read_id", first.alias("a"), last.alias("b"), F.posexplode(F.arrays_zip(chunks("seq", k).alias("s"), chunks("qual", k).alias("q"))).alias("n", "c"))
+    held = whole.where(F.length("c.s") >= k).select("read_id", "a", "b", "n", F.col("c.s").alias("seq"), qualities("c.q").alias("phred"))
+    rows = held.select("*", F.explode(F.expr(f"sequence(0, length(seq) - {k})")).alias("i")).withColumn("start", F.col("n") * CHUNK + F.col("i"))
+    rows = rows.where((F.col("start") >= F.col("a")) & (F.col("start") + k <= F.col("b"))).select("read_id", (F.col("start") + 1).alias("at"), F.expr(f"substring(seq, i + 1, {k})").alias("kmer"), F.slice("phred", F.col("i") + 1, k).alias("quals"))
+    right = F.aggregate("quals", F.lit(1.0), lambda acc, x: acc * (1 - F.pow(F.lit(10.0), -x / 10.0)))
+    return rows.where(~F.col("kmer").rlike("[^ACGT]")).select("read_id", "at", "kmer", right.alias("correct"), "quals")
+
+
+def kmer_set(reads: DataFrame, k: int = 21, packed: bool = False, spread: bool = False) -> DataFrame:
+    """KM3: distinct k-mers of both strands: distinct once as the smaller of both, then turned."""
+    code = codec(k)
+    one = code.rows(reads, k, spread=spread).select(F.least("kmer", "rc").alias("kmer")).distinct()
+    both = one.withColumn("rc", code.rc("kmer")).select(F.explode(F.when(F.col("kmer") == F.col("rc"), F.array("kmer")).otherwise(F.array("kmer", "rc"))).alias("kmer"))
+    return both if packed else both.select(code.text("kmer").alias("kmer"))
+
+
+def kmer_counts(reads: DataFrame, k: int, keys: tuple[str, ...] = (), packed: bool = False, spread: bool = False) -> DataFrame:
+    """KM4: counts of canonical k-mers, the smaller of a window of ACGT and its reverse complement."""
+    code = codec(k)
+    counts = code.rows(reads, k, keys, spread=spread).select(*keys, F.least("kmer", "rc").alias("kmer")).groupBy(*keys, "kmer").agg(F.count("*").alias("n"))
+    return counts if packed else counts.select(*keys, code.text("kmer").alias("kmer"), "n")
+
+
+def window_counts(reads: DataFrame, k: int) -> DataFrame:
+    """Counts of canonical windows of any letters, as strings."""
+    raw = kmers(reads, k).groupBy("kmer").agg(F.count("*").alias("n"))
+    return raw.groupBy(canonical("kmer").alias("kmer")).agg(F.sum("n").alias("n"))
+
+
+#: Registers of a sketch, as a power of two: a standard error of 1.04 / sqrt(2 ** 14), 0.8 %.
+REGISTERS = 14
+
+
+def kmer_sketches(reads: DataFrame, k: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """KM5: keys, sketch: a mergeable sketch of the distinct canonical k-mers of each library, to be stored and united later."""
+    return codec(k).rows(reads, k, keys).groupBy(*keys).agg(F.hll_sketch_agg(F.least("kmer", "rc"), REGISTERS).alias("sketch"))
 
 
-def kmer_set(reads: DataFrame, k: int = 21) -> DataFrame:
-    """KM3: distinct k-mers of both strands."""
-    one = kmers(reads, k).distinct()
-    return one.select(F.explode(F.array("kmer", revcomp("kmer"))).alias("kmer")).distinct()
+def unite_sketches(sketches: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """KM5: keys, sketch of what any of several sketches holds, the same as one sketch of all reads."""
+    return sketches.groupBy(*keys).agg(F.hll_union_agg("sketch").alias("sketch"))
 
 
-def kmer_counts(reads: DataFrame, k: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """KM4: counts of canonical k-mers. Windows are counted as they are, and only what is left of them is turned and counted again."""
-    raw = kmers(reads, k, keys).groupBy(*keys, "kmer").agg(F.count("*").alias("n"))
-    return raw.groupBy(*keys, canonical("kmer").alias("kmer")).agg(F.sum("n").alias("n"))
+def sketch_cardinality(sketches: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """KM5: keys, estimate of the distinct k-mers, and an upper bound of 1.1 times that."""
+    held = unite_sketches(sketches, keys).select(*keys, F.hll_sketch_estimate("sketch").alias("estimate"))
+    return held.withColumn("upper", F.ceil(F.col("estimate") * 1.1))
 
 
-def kmer_cardinality(reads: DataFrame, k: int, error: float = 0.01) -> DataFrame:
-    """KM5: estimated number of distinct canonical k-mers by a sketch, and an upper bound of 1.1 times that."""
-    return kmers(reads, k).agg(F.approx_count_distinct(canonical("kmer"), error).alias("estimate")).withColumn("upper", F.ceil(F.col("estimate") * 1.1))
+def kmer_cardinality(reads: DataFrame, k: int) -> DataFrame:
+    """KM5: estimate and upper bound for one library that isn't kept."""
+    return sketch_cardinality(kmer_sketches(reads, k))
 
 
 def kmer_counts_capped(reads: DataFrame, k: int, most: int) -> DataFrame:
@@ -122,7 +158,8 @@ def multi_sample_counts(counts: DataFrame, min_samples: int, min_mult: int = 5)
 
 
 def _known(contigs: DataFrame, profiles: DataFrame, k: int, min_length: int) -> tuple[DataFrame, DataFrame]:
-    rows = with_windows(contigs.where(F.length("seq") >= min_length), k, ("contig",), "w").withColumn("kmer", canonical("w"))
+    """profiles hold k-mers as kmer_counts(..., packed=True) gives them."""
+    rows = codec(k).rows(contigs.where(F.length("seq") >= min_length), k, ("contig",)).select("contig", F.least("kmer", "rc").alias("kmer"))
     seen = profiles.select("kmer").distinct()
     known = rows.join(seen, "kmer", "left_semi")
     share = rows.groupBy("contig").agg(F.count("*").alias("all")).join(known.groupBy("contig").agg(F.count("*").alias("known")), "contig", "left")

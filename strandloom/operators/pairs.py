@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandloom.functions.seq import revcomp
 from strandloom.operators.intervals import weighted_points
 
 
@@ -83,23 +84,59 @@ def filter_pair_info(points: DataFrame, min_weight: float) -> DataFrame:
     return points.where(F.col("w") >= min_weight)
 
 
-def filter_by_coverage(points: DataFrame, coverage: DataFrame, share: float = 0.1) -> DataFrame:
-    """PI8: points whose weight reaches `share` of the coverage (edge, coverage) of either edge."""
+def filter_by_coverage(points: DataFrame, coverage: DataFrame, min_weight: float, share: float = 0.1) -> DataFrame:
+    """PI8: points of a weight of at least min_weight, or of at least `share` of the coverage (edge, coverage) of either edge."""
     cov = lambda e: coverage.select(F.col("edge").alias(e), F.col("coverage").alias(f"c_{e}"))
-    both = points.join(cov("e1"), "e1").join(cov("e2"), "e2")
-    return both.where((F.col("w") >= share * F.col("c_e1")) | (F.col("w") >= share * F.col("c_e2"))).select("e1", "e2", "d", "w")
+    both = points.join(cov("e1"), "e1", "left").join(cov("e2"), "e2", "left")
+    enough = lambda e: F.coalesce(F.col("w") >= share * F.col(e), F.lit(False))
+    return both.where((F.col("w") >= min_weight) | enough("c_e1") | enough("c_e2")).select("e1", "e2", "d", "w")
+
+
+def scaffold_links(points: DataFrame, min_reads: float, low: float, high: float, edges: DataFrame | None = None) -> DataFrame:
+    """PI9: edge pairs whose weight within the distance window is at least min_reads; not an edge with itself.
+
+    With edges (edge, len, conjugate) the window lies from `low` to `high` around the length of the first edge, and an edge isn't
+    linked with its own conjugate, the other strand of itself.
+    """
+    use = points.where(F.col("e1") != F.col("e2"))
+    if edges is None:
+        use = use.where(F.col("d").between(low, high))
+    else:
+        known = edges.select(F.col("edge").alias("e1"), "len", "conjugate")
+        use = use.join(known, "e1").where((F.col("e2") != F.col("conjugate")) & F.col("d").between(F.col("len") + low, F.col("len") + high))
+    return use.groupBy("e1", "e2").agg(F.sum("w").alias("w")).where(F.col("w") >= min_reads)
 
 
-def scaffold_links(points: DataFrame, min_reads: float, low: float, high: float) -> DataFrame:
-    """PI9: edge pairs whose weight within the distance window is at least min_reads; not an edge with itself."""
-    use = points.where((F.col("e1") != F.col("e2")) & F.col("d").between(low, high))
-    return use.groupBy("e1", "e2").agg(F.sum("w").alias("w")).where(F.col("w") >= min_reads)
+def both_strands(links: DataFrame, edges: DataFrame) -> DataFrame:
+    """PI9: links (e1, e2, w) told once for both strands: a link from e1 to e2 is one from e2's conjugate to e1's; the larger weight holds."""
+    other = lambda e: edges.select(F.col("edge").alias(e), F.col("conjugate").alias(f"c_{e}"))
+    held = links.join(other("e1"), "e1").join(other("e2"), "e2")
+    turned = F.struct(F.col("c_e2").alias("e1"), F.col("c_e1").alias("e2"))
+    return held.select(F.least(F.struct("e1", "e2"), turned).alias("l"), "w").groupBy("l").agg(F.max("w").alias("w")).select("l.e1", "l.e2", "w")
 
 
 def gap_table(links: DataFrame) -> DataFrame:
-    """PI10: left, right, gap, left_trim, right_trim of links (e1, e2, d, len1, len2): an overlap (gap < 0) is cut off the right edge,
-    as far as that goes, and then off the left one."""
-    gap: Column = F.col("d") - F.col("len1")
-    over = F.greatest(F.col("len1") - F.col("d"), F.lit(0))
-    right = F.least(over, F.col("len2"))
-    return links.select(F.col("e1").alias("left"), F.col("e2").alias("right"), F.greatest(gap, F.lit(0)).alias("gap"), F.least(over - right, F.col("len1")).alias("left_trim"), right.alias("right_trim"))
+    """PI10: left, right, gap, left_trim, right_trim, fill of links (left, left_offset, left_len, right, right_offset, right_len, read,
+    seq_start, seq_end): left_offset bases of the left edge end at seq_start of the read, the right edge goes on at seq_end from its
+    right_offset on; what lies between is the fill.
+
+    Where the alignments overlap in the read, or leave nothing between them, the left edge's end moves back by the overlap and one
+    base, so that the fill isn't empty, but at least one base of the edge stays; what remains of the overlap moves the right edge's
+    begin on, up to its last base. Links that can't be mended so, and those whose offsets lie outside their edges, give no row.
+    """
+    inside = "left_offset > 0 and left_offset <= left_len and right_offset >= 0 and right_offset < right_len"
+    over = lambda start: F.greatest(start - F.col("seq_end") + 1, F.lit(0))
+    left = F.least(over(F.col("seq_start")), F.col("left_offset") - 1)
+    held = links.where(inside).withColumn("start_", F.col("seq_start") - left).withColumn("left_", F.col("left_offset") - left)
+    right = F.least(over(F.col("start_")), F.col("right_len") - F.col("right_offset") - 1)
+    held = held.withColumn("end_", F.col("seq_end") + right).withColumn("right_", F.col("right_offset") + right)
+    held = held.where("start_ >= 0 and end_ <= length(read) and start_ < end_")
+    trims = [(F.col("left_len") - F.col("left_")).alias("left_trim"), F.col("right_").alias("right_trim")]
+    return held.select("left", "right", (F.col("end_") - F.col("start_")).alias("gap"), *trims, F.expr("substring(read, cast(start_ + 1 as int), cast(end_ - start_ as int))").alias("fill"))
+
+
+def gap_conjugates(gaps: DataFrame, edges: DataFrame) -> DataFrame:
+    """PI10: the same gaps seen from the other strand, by edges (edge, conjugate)."""
+    other = lambda e: edges.select(F.col("edge").alias(e), F.col("conjugate").alias(f"c_{e}"))
+    held = gaps.join(other("left"), "left").join(other("right"), "right")
+    return held.select(F.col("c_right").alias("left"), F.col("c_left").alias("right"), "gap", F.col("right_trim").alias("left_trim"), F.col("left_trim").alias("right_trim"), revcomp("fill").alias("fill"))

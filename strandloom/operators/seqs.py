@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandloom.functions.packed import with_codes
 from strandloom.functions.seq import CHUNK, acgt_runs, chunks, hamming, homopolymer_runs, is_valid, longest_run, qualities, revcomp, with_windows
 
 # fixed values: mates of each library layout that are turned round to face forward
@@ -107,18 +108,37 @@ def length_filter(contigs: DataFrame, least: int) -> DataFrame:
 
 
 def repeat_score(seqs: DataFrame, key: str = "doc_id", ks=range(2, 10)) -> DataFrame:
-    """SQ13: mean over k and positions i > k of exp(-d * gap) / exp(-d), d = 0.25 / k, gap: distance to the same k-mer before (0 if none)."""
-    cut = seqs.select(key, F.posexplode(chunks("seq", max(ks))).alias("n", "chunk"))
+    """SQ13: mean over k and positions i > k of exp(-d * gap) / exp(-d), d = 0.25 / k, gap: distance to the same k-mer before (0 if none).
+
+    The last window of a sequence takes no part, neither with a score of its own nor as one before; without positions the score is 0.
+    """
+    plain = ~F.col("seq").rlike("[^ACGT]")
+    rows = _repeat_codes(seqs.where(plain), key, ks).unionByName(_repeat_texts(seqs.where(~plain), key, ks))
+    gap = F.col("i") - F.lag("i").over(Window.partitionBy(key, "k", "kmer").orderBy("i"))
+    score = F.when(gap.isNull(), 0.0).otherwise(F.exp(-0.25 / F.col("k") * (gap - 1)))
+    found = rows.withColumn("score", score).where(F.col("i") > F.col("k")).groupBy(key).agg(F.avg("score").alias("repeat_score"))
+    return seqs.select(key).distinct().join(found, key, "left").select(key, F.coalesce("repeat_score", F.lit(0.0)).alias("repeat_score"))
+
+
+def _repeat_codes(seqs: DataFrame, key: str, ks) -> DataFrame:
+    """key, k, i, kmer of sequences of ACGT: the windows of the longest k as numbers, of which the shorter ones are the first bases."""
+    most = max(ks)
+    padded = seqs.select(key, F.length("seq").alias("whole"), F.concat("seq", F.lit("A" * (most - min(ks)))).alias("seq"))
+    rows = with_codes(padded, most, (key, "whole"), "i", spread=True)
+    each = rows.select(key, "whole", "i", "kmer", F.explode(F.array(*map(F.lit, ks))).alias("k")).where("i < whole - k")
+    return each.select(key, "k", F.col("i").cast("long").alias("i"), F.expr(f"shiftright(kmer, 2 * ({most} - k))").alias("kmer"))
+
+
+def _repeat_texts(seqs: DataFrame, key: str, ks) -> DataFrame:
+    """The same for sequences with other letters, by hashes of their windows."""
+    cut = seqs.select(key, F.length("seq").alias("whole"), F.posexplode(chunks("seq", max(ks))).alias("n", "chunk"))
 
     def named(k: int) -> Column:
         last = F.least(F.lit(CHUNK), F.length("chunk") - (k - 1))
-        each = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(F.lit(k).alias("k"), (F.col("n") * CHUNK + i - 1).alias("i"), F.substring(F.col("chunk"), i, F.lit(k)).alias("kmer")))
-        return F.when(last >= 1, each).otherwise(F.array().cast("array<struct<k:int,i:int,kmer:string>>"))
+        each = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(F.lit(k).alias("k"), (F.col("n") * CHUNK + i - 1).cast("long").alias("i"), F.xxhash64(F.substring(F.col("chunk"), i, F.lit(k))).alias("kmer")))
+        return F.when(last >= 1, each).otherwise(F.array().cast("array<struct<k:int,i:bigint,kmer:bigint>>"))
 
-    rows = cut.select(key, F.explode(F.flatten(F.array(*map(named, ks)))).alias("x")).select(key, "x.*")
-    gap = F.col("i") - F.lag("i").over(Window.partitionBy(key, "k", "kmer").orderBy("i"))
-    score = F.when(gap.isNull(), 0.0).otherwise(F.exp(-0.25 / F.col("k") * (gap - 1)))
-    return rows.withColumn("score", score).where(F.col("i") > F.col("k")).groupBy(key).agg(F.avg("score").alias("repeat_score"))
+    return cut.select(key, "whole", F.explode(F.flatten(F.array(*map(named, ks)))).alias("x")).select(key, "whole", "x.*").where("i < whole - k").drop("whole")
 
 
 def kmer_repeat_profile(seqs: DataFrame, key: str = "doc_id", k: int = 17) -> DataFrame:
@@ -205,14 +225,20 @@ def subsample_to_coverage(reads: DataFrame, info: DataFrame, max_cov: float = 10
     return reads.join(info.select("sample"), "sample", "left_semi").join(F.broadcast(total)).where(draw < F.col("share")).drop("share")
 
 
-def best_overlap(pairs: DataFrame, max_overlap: int, min_score: float) -> DataFrame:
-    """SQ24: the overlap of a suffix of `left` and a prefix of `right` of the best share of equal bases, the longest of equals."""
-    longest = F.least(F.length("left"), F.length("right"), F.lit(max_overlap))
-    rows = pairs.where(longest > 0).withColumn("l", F.explode(F.sequence(F.lit(1), longest)))
+def best_overlap(pairs: DataFrame, max_overlap: int, min_score: float, short: int = 0, share: float = 0.05) -> DataFrame:
+    """SQ24: the overlap of a suffix of `left` and a prefix of `right` of the best share of equal bases above min_score, the longest of equals.
+
+    Where `dist`, the estimated distance, is negative, overlaps may be as much longer than max_overlap, and are not shorter than `share`
+    of it (rounded, 1 at least). Overlaps under `short` count only where no longer one does.
+    """
+    dist = F.least(F.col("dist"), F.lit(0)) if "dist" in pairs.columns else F.lit(0)
+    longest = F.least(F.length("left"), F.length("right"), F.lit(max_overlap) - dist).cast("int")
+    least = F.greatest(F.lit(1), F.round(-dist * share)).cast("int")
+    rows = pairs.withColumn("a_", least).withColumn("b_", longest).where("a_ <= b_").withColumn("l", F.explode(F.sequence("a_", "b_")))
     a, b = F.expr("right(left, l)"), F.expr("substring(right, 1, l)")
     score = 1 - hamming(a, b) / F.col("l")
-    best = F.max(F.struct(F.col("score"), F.col("l"))).alias("b")
-    return rows.withColumn("score", score).where(F.col("score") >= min_score).groupBy("pair").agg(best).select("pair", F.col("b.l").alias("overlap"), F.col("b.score").alias("score"))
+    best = F.max(F.struct((F.col("l") >= short).alias("long"), F.col("score"), F.col("l"))).alias("b")
+    return rows.withColumn("score", score).where(F.col("score") > min_score).groupBy("pair").agg(best).select("pair", F.col("b.l").alias("overlap"), F.col("b.score").alias("score"))
 
 
 def overlap_score(a, b) -> Column:

@@ -30,7 +30,7 @@ def _(t):
 
 @query("gr2_unitigs")
 def _(t):
-    return graph.unitigs(graph.extensions(t.sql(READS), 11), 11)
+    return graph.unitigs(graph.saved(graph.extension_masks(t.sql(READS), 11), "masks"), 11)
 
 
 @query("gr3_early_tip_clip")
@@ -44,7 +44,7 @@ DOCK = "select least(k, " + RC.format("k") + f") as kmer, count(*) as n from (se
 
 @query("gr4_edge_coverage", f"with e as ({KS}), c as ({DOCK}) select edge, round(avg(coalesce(n, 0)), 9) as coverage, round(avg(coalesce(n, 0)) filter (i < 20), 9) as flank_coverage from e left join c on e.kmer = c.kmer group by edge")
 def _(t):
-    out = graph.edge_coverage(t.sql(EDGESEQ.replace("/*g*/", "")), kmers.kmer_counts(t.sql(DOCSEQ), 11), 11, 20)
+    out = graph.edge_coverage(t.sql(EDGESEQ.replace("/*g*/", "")), kmers.kmer_counts(t.sql(DOCSEQ), 11, packed=True), 11, 20)
     return out.select("edge", *(F.round(c, 9).alias(c) for c in ("coverage", "flank_coverage")))
 
 
@@ -129,14 +129,23 @@ def _(t):
     return graph.simplify_round(t.sql(SPARSE), F.col("tip") & graph.coverage_at_most(9.5), 2)
 
 
+#: Short edges between few vertices, so that most have alternatives, with two humps of coverage.
+TANGLED = """select cast(l_orderkey * 10 + l_linenumber as bigint) as edge, cast(l_partkey % 300 as bigint) as src, cast(l_suppkey * 3 + 1000 as bigint) as dst, cast(l_quantity as bigint) as len,
+ l_quantity * (case when l_linenumber % 3 = 0 then 1 + l_orderkey % 9 else 30 + (l_orderkey % 13 + l_partkey % 17 + l_suppkey % 5) end + 0.25e0) as raw_cov from {lineitem}"""
+
+
 @query(
     "gr14_erroneous_connection_threshold",
-    f"""with {DEG}, b as (select floor(raw_cov / len / 5e0) as x, count(*) as n from t where so > 1 and din > 1 and len <= 600 group by 1), m as (select x, avg(n) over (order by x range between 3 preceding and 3 following) as s from b),
-    p as (select x, s, lag(s) over (order by x) as before, lead(s) over (order by x) as after from m), f as (select min(x) as x from p where s < before and s <= after), g as (select sum(raw_cov) / sum(len) as c from {{graph_edges}})
-    select round(coalesce((x + 0.5e0) * 5e0, 0.1e0 * c), 9) as threshold from f, g""",
+    f"""with e as ({TANGLED}), o as (select src as v, count(*) as o from e group by 1), i as (select dst as v, count(*) as i from e group by 1), tw as (select src, dst, count(*) as k from e group by 1, 2),
+    b as (select cast(floor(raw_cov / len) as bigint) as x, count(*) as n from e join o on e.src = o.v join i on e.dst = i.v join tw on e.src = tw.src and e.dst = tw.dst where len <= 40 and o > 1 and i > 1 and not (o = 2 and i = 2 and k = 2) group by 1),
+    f as (select (select sum(raw_cov) / sum(len) from e) as c, (select count(*) from b) as m, (select max(x) + 1 from b) as size), w as (select *, cast(floor(0.3e0 * c + 5) as bigint) as w from f),
+    k as (select x - j as v, sum(n * least(j + 1, w - j)) as s from b, w, lateral (select unnest(range(0, w)) as j) y where x < m and x >= j group by 1),
+    g as (select u.v, coalesce(s, 0) as s from (select unnest(range(0, size)) as v from w) u left join k on u.v = k.v), r as (select v, case when s > lag(s) over (order by v) then 1 else 0 end as r from g),
+    q as (select v, (select coalesce(sum(r), 0) from r z where z.v <= r.v and z.v > r.v - w) as c2, w, size from r, w), t as (select min(v) as v from q where v >= 1 and v + w < size and 2 * c2 >= w)
+    select round(coalesce(cast(v as double), 0.1e0 * c), 9) as threshold, round(c, 9) as avg_coverage, round(greatest(coalesce(cast(v as double), 0.1e0 * c), c), 9) as used from t, f""",
 )
 def _(t):
-    return graph.erroneous_connection_threshold(t.graph_edges, 600, 3, 5.0).select(F.round("threshold", 9).alias("threshold"))
+    return graph.erroneous_connection_threshold(t.sql(TANGLED), 40).select(*(F.round(c, 9).alias(c) for c in ("threshold", "avg_coverage", "used")))
 
 
 CHOSEN = "select event_id as edge from {events} where event_type in ('click', 'view')"
@@ -334,9 +343,9 @@ def _(t):
 COVS = "select cast(s_suppkey as bigint) as edge, s_acctbal as coverage from {supplier}"
 
 
-@query("pi8_filter_by_coverage", f"with p as ({POINTS}), c as ({COVS}) select p.* from p join c a on p.e1 = a.edge join c b on p.e2 = b.edge where w >= 0.1 * a.coverage or w >= 0.1 * b.coverage")
+@query("pi8_filter_by_coverage", f"with p as ({POINTS}), c as ({COVS}) select p.* from p left join c a on p.e1 = a.edge left join c b on p.e2 = b.edge where w >= 600 or w >= 0.1 * a.coverage or w >= 0.1 * b.coverage")
 def _(t):
-    return pairs.filter_by_coverage(pairs.pair_info(t.mates, "product"), t.sql(COVS))
+    return pairs.filter_by_coverage(pairs.pair_info(t.mates, "product"), t.sql(COVS), 600)
 
 
 @query("pi9_scaffold_links", f"with p as ({POINTS}) select e1, e2, sum(w) as w from p where e1 <> e2 and d between -200 and 400 group by 1, 2 having sum(w) >= 900")
@@ -344,15 +353,46 @@ def _(t):
     return pairs.scaffold_links(pairs.pair_info(t.mates, "product"), 900, -200, 400)
 
 
-LINKS = "select l_partkey as e1, l_suppkey as e2, l_quantity * 10 - 200 as d, l_linenumber * 10 as len1, l_linenumber * 5 as len2 from {lineitem}"
+#: Edges of both strands: supplier 2 i and 2 i + 1 are one edge and its conjugate.
+STRANDS = "select cast(s_suppkey as bigint) as edge, cast(200 + s_suppkey // 2 % 5 * 50 as bigint) as len, cast(s_suppkey + 1 - s_suppkey % 2 * 2 as bigint) as conjugate from {supplier}"
+STRAND_LINKS = f"p as ({POINTS}), s as ({STRANDS}), l as (select e1, e2, sum(w) as w from p join s on e1 = edge where e1 <> e2 and e2 <> conjugate and d between len - 300 and len + 300 group by 1, 2 having sum(w) >= 700)"
+
+
+@query("pi9_scaffold_links_strands", f"with {STRAND_LINKS} select * from l")
+def _(t):
+    return pairs.scaffold_links(pairs.pair_info(t.mates, "product"), 700, -300, 300, t.sql(STRANDS.replace("//", "div")))
 
 
 @query(
-    "pi10_gap_table",
-    f"with l as ({LINKS}), g as (select *, d - len1 as gap, greatest(len1 - d, 0) as ov from l) select e1 as \"left\", e2 as \"right\", greatest(gap, 0) as gap, least(ov - least(ov, len2), len1) as left_trim, least(ov, len2) as right_trim from g",
+    "pi9_both_strands",
+    f"""with {STRAND_LINKS}, t as (select e1, e2, b.conjugate as c1, a.conjugate as c2, w from l join s a on e1 = a.edge join s b on e2 = b.edge)
+    select case when (e1, e2) <= (c1, c2) then e1 else c1 end as e1, case when (e1, e2) <= (c1, c2) then e2 else c2 end as e2, max(w) as w from t group by 1, 2""",
 )
 def _(t):
-    return pairs.gap_table(t.sql(LINKS))
+    edges = t.sql(STRANDS.replace("//", "div"))
+    return pairs.both_strands(pairs.scaffold_links(pairs.pair_info(t.mates, "product"), 700, -300, 300, edges), edges)
+
+
+LINKS = """select cast(l_orderkey % 200 as bigint) as "left", cast(l_suppkey as bigint) as "right", cast(l_linenumber * 7 % 30 + 1 as bigint) as left_offset, cast(30 as bigint) as left_len, cast(l_partkey % 12 as bigint) as right_offset,
+ cast(12 as bigint) as right_len, translate(md5(cast(l_orderkey as varchar(20))), '0123456789abcdef', 'ACGTACGTACGTACGT') as read, cast(l_partkey % 25 as bigint) as seq_start, cast(l_suppkey % 32 as bigint) as seq_end from {lineitem}"""
+GAPS = f"""l as ({LINKS}), a as (select *, least(greatest(seq_start - seq_end + 1, 0), left_offset - 1) as ls from l), b as (select *, seq_start - ls as s, left_offset - ls as lo from a),
+ c as (select *, least(greatest(s - seq_end + 1, 0), right_len - right_offset - 1) as rs from b), d as (select *, seq_end + rs as e, right_offset + rs as ro from c),
+ g as (select "left", "right", e - s as gap, left_len - lo as left_trim, ro as right_trim, substring(read, cast(s + 1 as int), cast(e - s as int)) as fill from d where s >= 0 and e <= length(read) and s < e)"""
+
+
+@query("pi10_gap_table", f"with {GAPS} select * from g")
+def _(t):
+    return pairs.gap_table(t.sql(LINKS.replace('"left"', "left").replace('"right"', "right")))
+
+
+@query(
+    "pi10_gap_conjugates",
+    f"""with {GAPS}, s as (select edge + 1 - edge % 2 * 2 as conjugate, edge from (select unnest(range(0, 1000)) as edge) x)
+    select b.conjugate as "left", a.conjugate as "right", gap, right_trim as left_trim, left_trim as right_trim, {RC.format("fill")} as fill from g join s a on g."left" = a.edge join s b on g."right" = b.edge""",
+)
+def _(t):
+    gaps = pairs.gap_table(t.sql(LINKS.replace('"left"', "left").replace('"right"', "right")))
+    return pairs.gap_conjugates(gaps, t.spark.range(1000).select(F.col("id").alias("edge"), (F.col("id") + 1 - F.col("id") % 2 * 2).alias("conjugate")))
 
 
 CONTIG = "select concat('c', item_id) as contig, regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz .,', 'ACGTACGTACGTACGTACGTACGTACACG'), '[^ACGT]', ''/*g*/) as seq from {benchmark}"
@@ -382,14 +422,21 @@ def _(t):
     return votes(t)
 
 
+#: The contigs with some bases undefined.
+HOLES = f"select contig, case when length(seq) % 3 = 0 then concat(substring(seq, 1, 30), 'NN', substring(seq, 33), seq, seq, 'n') else seq end as seq from ({CONTIG}) h"
+
+
 @query(
     "co2_interesting_positions",
-    f"""with {VOTES}, b as (select contig, pos, variant, sum(votes) as w, sum(sum(votes)) over (partition by contig, pos) as total from v where variant in ('A', 'C', 'G', 'T') group by 1, 2, 3),
-    x as (select contig, pos from b where total > 20 group by 1, 2 having count(*) filter (w / total > 0.1 and w / total < 0.9) > 1), k as (select contig, min(pos) as pos from b where pos % 100 <= 6 group by contig, pos // 100)
-    select contig, pos, 'mixed' as kind from x union all select contig, pos, 'anchor' from k where not exists (select 1 from x where x.contig = k.contig and x.pos = k.pos)""",
+    f"""with {VOTES}, c as ({HOLES}), b as (select contig, pos, variant, sum(votes) as w, sum(sum(votes)) over (partition by contig, pos) as total from v where variant in ('A', 'C', 'G', 'T', 'N') group by 1, 2, 3),
+    mx as (select b.contig, pos from b join c on b.contig = c.contig and pos <= length(seq) where total > 20 and w > 0.1e0 * total and w < 0.9e0 * total group by 1, 2 having count(*) > 1),
+    n as (select contig, i as pos from (select contig, unnest(range(1, length(seq) + 1)) as i, unnest(string_split(seq, '')) as x from c where seq <> '') y where upper(x) not in ('A', 'C', 'G', 'T')),
+    o as (select contig, pos, min(kind) as kind from (select contig, pos, 'mixed' as kind from mx union all select contig, pos, 'undefined' from n) z group by 1, 2),
+    an as (select distinct o.contig, ((pos - 1) // 100 + j) * 100 + 1 as pos, length(seq) as len from o join c on o.contig = c.contig, lateral (select unnest(range(-6, 7)) as j) k)
+    select contig, pos, kind from o union all select contig, pos, 'anchor' from an where pos >= 1 and pos <= len and not exists (select 1 from o where o.contig = an.contig and o.pos = an.pos)""",
 )
 def _(t):
-    return correct.interesting_positions(votes(t))
+    return correct.interesting_positions(votes(t), t.sql(HOLES))
 
 
 @query("co3_consensus", f"with {CONSENSUS} select * from cs")
@@ -409,5 +456,5 @@ def _(t):
 
 @query("co5_read_weighted_consensus")
 def _(t):
-    bases = correct.read_bases(t.sql(ALN))
-    return correct.read_weighted_consensus(bases, correct.interesting_positions(correct.pileup_votes(bases)), t.sql(CONTIG))
+    bases, contigs = correct.read_bases(t.sql(ALN)), t.sql(CONTIG)
+    return correct.read_weighted_consensus(bases, correct.interesting_positions(correct.pileup_votes(bases), contigs), contigs)

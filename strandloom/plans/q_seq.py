@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandloom.functions.packed import unpack
 from strandloom.functions.seq import complement, hamming, revcomp
 from strandloom.operators import kmers, seqs
 from strandloom.plans.registry import query
@@ -79,7 +80,7 @@ SRC = f"select read_id as doc_id, seq from ({SHORT}) q"
 )
 def _(t):
     reads = t.sql(SHORT)
-    return seqs.median_coverage_filter(reads, kmers.kmer_counts(reads, 6), 6, 5).select("read_id", "seq")
+    return seqs.median_coverage_filter(reads, kmers.window_counts(reads, 6), 6, 5).select("read_id", "seq")
 
 
 @query("sq10_read_stats", "select sample, count(*) as n_reads, max(length(seq)) as max_length, cast(sum(length(seq)) as bigint) as total from {raw} group by sample")
@@ -118,12 +119,21 @@ def _(t):
     return seqs.length_filter(t.sql(NAMED), 900)
 
 
-@query(
-    "sq13_repeat_score",
-    """with w as (select doc_id, k, i, substring(seq, cast(i + 1 as int), cast(k as int)) as kmer from {contigs}, lateral (select unnest(range(2, 10)) as k) a, lateral (select unnest(range(0, greatest(length(seq) - k + 1, 0))) as i) b),
-    g as (select *, i - lag(i) over (partition by doc_id, k, kmer order by i) as gap from w)
-    select doc_id, round(avg(case when gap is null then 0 else exp(-0.25 / k * (gap - 1)) end), 9) as repeat_score from g where i > k group by doc_id""",
-)
+def _repeat_sql() -> str:
+    """Windows as whole numbers, made from the codes of single bases, and one pass for each k."""
+    codes = ["v"]
+    for k in range(2, 10):
+        codes.append(f"({codes[-1]}) * 4 + v{k - 1}")
+    leads = ", ".join(f"lead(v, {j}) over o as v{j}" for j in range(1, 9))
+    each = " union all ".join(f"select doc_id, {k} as k, i, i - lag(i) over (partition by doc_id, c{k} order by i) as gap from p where i < n - {k}" for k in range(2, 10))
+    return f"""with c as (select doc_id, unnest(string_split(seq, '')) as b, unnest(range(0, length(seq))) as i, length(seq) as n from {{contigs}} where seq <> ''),
+    d as (select doc_id, i, n, cast(ascii(b) as bigint) // 2 % 4 as v from c), w as (select *, {leads} from d window o as (partition by doc_id order by i)),
+    p as (select doc_id, i, n, {", ".join(f"{codes[k - 1]} as c{k}" for k in range(2, 10))} from w), g as ({each}),
+    s as (select doc_id, avg(case when gap is null then 0 else exp(-0.25 / k * (gap - 1)) end) as s from g where i > k group by doc_id)
+    select x.doc_id, round(coalesce(s, 0), 9) as repeat_score from {{contigs}} x left join s on x.doc_id = s.doc_id"""
+
+
+@query("sq13_repeat_score", _repeat_sql())
 def _(t):
     return seqs.repeat_score(t.contigs).withColumn("repeat_score", F.round("repeat_score", 9))
 
@@ -210,13 +220,18 @@ def _(t):
     return t.sql(TWO).select("pair", hamming("left", "right").alias("d"), F.round(seqs.overlap_score("left", "right"), 9).alias("score"))
 
 
+FAR = f"select *, 20 - event_id % 80 as dist from ({TWO.replace('select event_id as pair', 'select event_id, event_id as pair')}) q"
+FARQ = f"select *, 20 - event_id % 80 as dist from ({TWOQ.replace('select event_id as pair', 'select event_id, event_id as pair')}) q"
+
+
 @query(
     "sq24_best_overlap",
-    f"""with p as ({TWOQ}), o as (select pair, l, 1 - hamming(right("left", l), left("right", l)) / l as score from p, lateral (select unnest(range(1, 11)) as l) x),
-    r as (select *, row_number() over (partition by pair order by score desc, l desc) as nth from o where score >= 0.7) select pair, l as overlap, round(score, 9) as score from r where nth = 1""",
+    f"""with p as ({FARQ}), b as (select *, greatest(1, cast(round(0.05e0 * greatest(-dist, 0)) as int)) as a, least(12, 6 + greatest(-dist, 0)) as z from p),
+    o as (select pair, l, 1 - hamming(right("left", cast(l as int)), left("right", cast(l as int))) / l as score from b, lateral (select unnest(range(a, z + 1)) as l) x),
+    r as (select *, row_number() over (partition by pair order by l >= 3 desc, score desc, l desc) as nth from o where score > 0.5) select pair, cast(l as int) as overlap, round(score, 9) as score from r where nth = 1""",
 )
 def _(t):
-    return seqs.best_overlap(t.sql(TWO), 10, 0.7).withColumn("score", F.round("score", 9))
+    return seqs.best_overlap(t.sql(FAR), 6, 0.5, 3).withColumn("score", F.round("score", 9))
 
 
 @query("sq25_edit_distance", f"with p as ({TWOQ}) select pair, levenshtein(\"left\", \"right\") as d from p")
@@ -287,7 +302,7 @@ def _(t):
 
 @query("km3_kmer_set", f"with k as ({km(11)}) select kmer from k union select {RC.format('kmer')} from k")
 def _(t):
-    return kmers.kmer_set(t.contigs, 11)
+    return kmers.kmer_set(t.contigs, 11, spread=True)
 
 
 COUNTS = f"select {CAN} as kmer, count(*) as n from k group by 1"
@@ -295,12 +310,12 @@ COUNTS = f"select {CAN} as kmer, count(*) as n from k group by 1"
 
 @query("km4_kmer_counts", f"with k as ({km(11)}) {COUNTS}")
 def _(t):
-    return kmers.kmer_counts(t.contigs, 11)
+    return kmers.kmer_counts(t.contigs, 11, spread=True)
 
 
 @query("km5_kmer_cardinality")
 def _(t):
-    return kmers.kmer_cardinality(t.contigs, 11)
+    return kmers.sketch_cardinality(kmers.kmer_sketches(t.contigs, 11, ("sample",)))
 
 
 @query("km6_kmer_counts_capped", f"with k as ({km(11)}), c as ({COUNTS}) select kmer, least(n, 4) as n from c")
@@ -310,7 +325,7 @@ def _(t):
 
 @query("km7_coverage_histogram", f"with k as ({km(11)}), c as ({COUNTS}) select n, count(*) as n_kmers from c group by n")
 def _(t):
-    return kmers.coverage_histogram(kmers.kmer_counts(t.contigs, 11))
+    return kmers.coverage_histogram(kmers.kmer_counts(t.contigs, 11, packed=True))
 
 
 @query(
@@ -361,7 +376,8 @@ BYSAMPLE = "select sample as doc_id, seq from {contigs}"
     f"with k as ({km(9, BYSAMPLE)}), c as (select {CAN} as kmer, doc_id as sample, count(*) as n from k group by 1, 2), f as (select kmer from c group by kmer having count(distinct sample) >= 1 and (count(distinct sample) > 1 or sum(n) > 5)) select c.* from c join f on c.kmer = f.kmer",
 )
 def _(t):
-    return kmers.multi_sample_counts(kmers.kmer_counts(t.contigs, 9, ("sample",)), 1, 5)
+    held = kmers.multi_sample_counts(kmers.kmer_counts(t.contigs, 9, ("sample",), packed=True), 1, 5)
+    return held.withColumn("kmer", unpack("kmer", 9))
 
 
 NATIONS = "select concat('b', item_id) as contig, 'b' as sample, regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz .,', 'ACGTACGTACGTACGTACGTACGTACACG'), '[^ACGT]', ''/*g*/) as seq from {benchmark}"
@@ -377,7 +393,7 @@ KNOWN = f"{PROFILE}, r as (select doc_id as contig, {CAN} as kmer from ({km(7, '
     select c.contig, sample, case when any_value(b) >= 0.5 * any_value(a) then round(avg(c), 6) end as abundance from c join sh on c.contig = sh.contig group by 1, 2""",
 )
 def _(t):
-    return kmers.contig_abundance(t.sql(NATIONS), kmers.kmer_counts(t.contigs, 7, ("sample",)), 7, 0, 0.5).select("contig", "sample", F.round("abundance", 6).alias("abundance"))
+    return kmers.contig_abundance(t.sql(NATIONS), kmers.kmer_counts(t.contigs, 7, ("sample",), packed=True), 7, 0, 0.5).select("contig", "sample", F.round("abundance", 6).alias("abundance"))
 
 
 @query(
@@ -385,7 +401,7 @@ def _(t):
     f"with {KNOWN}, m as (select contig, sample, list_sort(list(v))[len(list(v)) // 2 + 1] as median from g group by 1, 2), d as (select g.contig, g.sample, m.median, abs(v - median) as d from g join m on g.contig = m.contig and g.sample = m.sample) select contig, sample, median, list_sort(list(d))[len(list(d)) // 2 + 1] as mad from d group by 1, 2, 3",
 )
 def _(t):
-    return kmers.contig_abundance_median(t.sql(NATIONS), kmers.kmer_counts(t.contigs, 7, ("sample",)), 7)
+    return kmers.contig_abundance_median(t.sql(NATIONS), kmers.kmer_counts(t.contigs, 7, ("sample",), packed=True), 7)
 
 
 @query(
