@@ -106,7 +106,7 @@ def test_the_index_omits_dimensions_and_prunes_pairs(monkeypatch):
     need = int(0.35 * (v * v).sum(1).mean())
     cell = negatives.Cell(np.arange(100), np.zeros(100, np.int64), v[:100], [[(0, need, 1 << 40, need)]] * 100, False, 3)
     first = (cell.upto[:, 1:] * cell.upto[:, -1].max() < need).sum(1)
-    assert first.min() >= 3
+    assert np.median(first) >= 6
     cell.meet(np.arange(2000), np.zeros(2000, np.int64), v)
     assert 0 < sum(done) < 0.2 * 100 * 2000
 
