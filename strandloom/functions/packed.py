@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.seq import CHUNK, _col, chunks, revcomp, with_windows
+from strandloom.functions.seq import CHUNK, _col, chunks, hamming, revcomp, with_windows
 
 #: Bases that a long holds.
 MOST = 31
@@ -97,6 +97,16 @@ class Packed:
         return F.shiftright(w, 2), w.bitwiseAND(F.lit(3)).cast("int"), w.bitwiseAND(F.lit(mask(self.k))), F.shiftright(w, 2 * self.k).cast("int")
 
 
+    def part(self, kmer, positions) -> Column:
+        """What two k-mers share that agree at these positions."""
+        return _col(kmer).bitwiseAND(F.lit(sum(3 << (2 * (self.k - 1 - i)) for i in positions)))
+
+    def distance(self, a, b) -> Column:
+        """Positions at which two k-mers differ."""
+        x = _col(a).bitwiseXOR(_col(b))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+
 class Text(Packed):
     """The same for k-mers too long for a number: strings."""
 
@@ -123,6 +133,12 @@ class Text(Packed):
         number = lambda c: F.instr(F.lit("ACGT"), c) - 1
         return F.substring(w, 1, self.k), number(F.substring(w, self.k + 1, 1)), F.substring(w, 2, self.k), number(F.substring(w, 1, 1))
 
+    def part(self, kmer, positions) -> Column:
+        return F.concat_ws("", *(F.substring(_col(kmer), i + 1, 1) for i in positions))
+
+    def distance(self, a, b) -> Column:
+        return hamming(a, b)
+
 
 def codec(k: int, most: int = MOST) -> Packed:
     """How k-mers are held: as numbers up to `most` bases, else as strings."""

@@ -70,10 +70,9 @@ def with_windows(rows: DataFrame, k: int, carry: tuple = (), name: str = "kmer",
 
 
 def hamming(a, b) -> Column:
-    """Positions at which two strings of equal length differ; null for unequal lengths."""
+    """Positions at which two strings of equal length differ; null for unequal lengths. Linear in their length."""
     a, b = _col(a), _col(b)
-    at = F.sequence(F.lit(1), F.length(a))
-    differ = F.size(F.filter(at, lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))))
+    differ = F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y), lambda d: d))
     return F.when(F.length(a) != F.length(b), F.lit(None)).when(F.length(a) == 0, F.lit(0)).otherwise(differ)
 
 
@@ -88,11 +87,8 @@ def homopolymer_runs(seq) -> Column:
 
 
 def qualities(qual, offset: int = 33) -> Column:
-    """Phred scores of a quality string."""
-    qual = _col(qual)
-    return F.when(F.length(qual) > 0, F.transform(F.sequence(F.lit(1), F.length(qual)), lambda i: F.ascii(F.substring(qual, i, F.lit(1))) - offset)).otherwise(
-        F.array().cast("array<int>")
-    )
+    """Phred scores of a quality string. Linear in its length."""
+    return F.coalesce(F.transform(F.filter(F.split(_col(qual), ""), lambda c: c != ""), lambda c: F.ascii(c) - offset), F.array().cast("array<int>"))
 
 
 def cigar(text) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandloom.functions.seq import cigar, cigar_sum, has_flag, is_aligned, is_main, leading_clip, no_flag, ref_span, strand, trailing_clip
+from strandloom.operators.chunked import joined, lengths, piece_of, pieces, stretches, within
 from strandloom.operators.intervals import islands, merge_intervals, overlap_join
 from strandloom.plans.tables import saved
 
@@ -211,10 +212,16 @@ def template_cigar(aln: DataFrame) -> DataFrame:
 
 
 def indel_by_homopolymer(aln: DataFrame, reference: DataFrame, long_run: int = 5) -> DataFrame:
-    """AL19: insertions and deletions of one base in short and long runs of the reference (contig, seq), by sample."""
-    one = cigar_ops(aln).where(F.col("op").isin("I", "D") & (F.col("len") == 1)).join(reference, "contig")
-    run = F.length(F.regexp_extract(F.expr("substring(seq, r_start)"), "^(A+|C+|G+|T+|N+|)", 1))
-    return one.withColumn("in_run", F.when(run >= long_run, "long").otherwise("short")).groupBy("sample", "op", "in_run").agg(F.count("*").alias("n"))
+    """AL19: insertions and deletions of one base in short and long runs of the reference (contig, seq), by sample.
+
+    An indel meets the piece of its contig that its place lies on, with as many bases more as a long run has. Of places beyond the
+    contig the run is short; indels on contigs that the reference doesn't have aren't counted.
+    """
+    one = cigar_ops(aln).where(F.col("op").isin("I", "D") & (F.col("len") == 1)).join(reference.select("contig").distinct(), "contig", "left_semi")
+    at = F.col("r_start") - 1
+    held = one.withColumn("piece", piece_of(at)).join(pieces(reference, lap=long_run), ["contig", "piece"], "left")
+    run = F.substring(F.col("bases"), within(at), F.lit(long_run)).rlike("^(" + "|".join(f"{b}{{{long_run}}}" for b in "ACGTN") + ")$")
+    return held.withColumn("in_run", F.when(run, "long").otherwise("short")).groupBy("sample", "op", "in_run").agg(F.count("*").alias("n"))
 
 
 def mapping_accuracy(aln: DataFrame, gap: int = 20) -> DataFrame:
@@ -270,9 +277,16 @@ def covered_regions(aln: DataFrame, step: int = 0, min_cov: float = 2, min_len:
 
 
 def extract_regions(regions: DataFrame, reference: DataFrame) -> DataFrame:
-    """AL28: the sequence of each region, named `contig_(start-end)`."""
+    """AL28: the sequence of each region (contig, start, end), named `contig_(start-end)`; what lies beyond its contig is left out.
+
+    Regions that repeat are fetched once. A region meets only the pieces of its contig that it touches, which are put together at the end.
+    """
+    each = regions.groupBy("contig", "start", "end").agg(F.count("*").alias("times")).join(lengths(reference), "contig")
+    cut = stretches(each.withColumn("end_", F.least("end", "length")), reference, "start", "end_")
+    texts = joined(cut.select("contig", "start", "end", "piece", F.col("bases").alias("seq")), "seq", "contig", "start", "end")
     name = F.concat(F.col("contig"), F.lit("_("), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"), F.lit(")"))
-    return regions.join(reference.select("contig", "seq"), "contig").select(name.alias("name"), F.expr("substring(seq, cast(start as int) + 1, cast(end - start as int))").alias("seq"))
+    held = each.join(texts, ["contig", "start", "end"], "left").select(name.alias("name"), F.coalesce("seq", F.lit("")).alias("seq"), F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return held.select("name", "seq")
 
 
 def longest_mapping(maps: DataFrame, share: float = 0.8) -> DataFrame:

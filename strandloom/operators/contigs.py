@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.functions.seq import base_count, cigar, ref_span, revcomp, with_windows
+from strandloom.functions.packed import codec
+from strandloom.functions.seq import base_count, cigar, hamming, ref_span, revcomp
 from strandloom.operators.aln import primary_alignment, query_interval
+from strandloom.operators.chunked import lengths, stretches
 from strandloom.operators.intervals import overlap_join
 from strandloom.operators.seqs import repeat_score
 from strandloom.plans.tables import components
@@ -44,25 +47,33 @@ def supported_contigs(contigs: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def read_to_contig_coverage(reads: DataFrame, contigs: DataFrame, k: int = 21, least: int = 140) -> DataFrame:
-    """CQ5: by contig the uncovered bases and the mean coverage by reads of either strand that match at least `least` bases.
+    """CQ5: contig, uncovered, coverage, runs: the uncovered bases, the mean coverage and the coverage itself, as runs (start, end, depth)
+    from the first to the last base, by reads of either strand that match at least `least` bases.
 
     Candidate placements are diagonals that a read shares with a contig by a k-mer; the bases that agree along a diagonal are
-    its score, and a read covers the best diagonal of a contig.
+    its score, counted on the pieces of the contig that it crosses, and a read covers the best diagonal of a contig.
     """
+    code = codec(k)
     both = reads.select("read_id", F.posexplode(F.array("seq", revcomp("seq"))).alias("strand", "seq"))
-    seeds = with_windows(both, k, ("read_id", "strand"), at="i")
-    index = with_windows(contigs, k, ("contig",), at="j")
+    seeds = code.rows(both, k, ("read_id", "strand"), at="i").select("read_id", "strand", "i", "kmer")
+    index = code.rows(contigs, k, ("contig",), at="j").select("contig", "j", "kmer")
     lines = seeds.join(index, "kmer").select("read_id", "strand", "contig", (F.col("j") - F.col("i")).alias("offset")).distinct()
-    placed = lines.join(both, ["read_id", "strand"]).join(contigs.select("contig", F.col("seq").alias("ref")), "contig")
-    a, b = F.greatest("offset", F.lit(0)), F.least(F.col("offset") + F.length("seq"), F.length("ref"))
-    same = F.size(F.filter(F.sequence(a, b - 1), lambda x: F.substring(F.col("ref"), x + 1, F.lit(1)) == F.substring(F.col("seq"), x - F.col("offset") + 1, F.lit(1))))
-    best = placed.withColumn("score", same).withColumn("a", a).withColumn("b", b).where(F.col("score") >= least).groupBy("read_id", "contig").agg(F.max(F.struct("score", "a", "b")).alias("m"))
-    step = best.select("contig", F.explode(F.array(F.struct(F.col("m.a").alias("at"), F.lit(1).alias("by")), F.struct(F.col("m.b").alias("at"), F.lit(-1).alias("by")))).alias("e")).groupBy("contig", "e.at").agg(F.sum("e.by").alias("by"))
+    size = lengths(contigs)
+    placed = lines.join(both, ["read_id", "strand"]).join(size, "contig").withColumn("a", F.greatest("offset", F.lit(0))).withColumn("b", F.least(F.col("offset") + F.length("seq"), F.col("length")))
+    met = stretches(placed, contigs, "a", "b")
+    own = F.substring(F.col("seq"), (F.col("from_") - F.col("offset") + 1).cast("int"), F.length("bases"))
+    same = met.select("read_id", "contig", "strand", "offset", "a", "b", (F.length("bases") - hamming(F.col("bases"), own)).alias("same"))
+    scored = same.groupBy("read_id", "contig", "strand", "offset", "a", "b").agg(F.sum("same").alias("score")).where(F.col("score") >= least)
+    best = scored.groupBy("read_id", "contig").agg(F.max(F.struct("score", "a", "b")).alias("m"))
+    ends = size.select("contig", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("by")), F.struct(F.col("length").alias("at"), F.lit(0).alias("by")))).alias("e"))
+    step = best.select("contig", F.explode(F.array(F.struct(F.col("m.a").alias("at"), F.lit(1).alias("by")), F.struct(F.col("m.b").alias("at"), F.lit(-1).alias("by")))).alias("e")).union(ends).groupBy("contig", "e.at").agg(F.sum("e.by").alias("by"))
     order = Window.partitionBy("contig").orderBy("at")
-    runs = step.withColumn("depth", F.sum("by").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("size", F.lead("at").over(order) - F.col("at"))
-    per = runs.groupBy("contig").agg(F.sum(F.when(F.col("depth") > 0, F.col("size")).otherwise(0)).alias("covered"), F.sum(F.col("depth") * F.col("size")).alias("bases"))
-    held = contigs.join(per, "contig", "left")
-    return held.select("contig", (F.length("seq") - F.coalesce("covered", F.lit(0))).alias("uncovered"), (F.coalesce("bases", F.lit(0)) / F.length("seq")).alias("coverage"))
+    steps = step.join(size, "contig").where("by <> 0 or at = 0 or at = length")
+    runs = steps.withColumn("depth", F.sum("by").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("end", F.lead("at").over(order)).where(F.col("end").isNotNull()).withColumn("size", F.col("end") - F.col("at"))
+    listed = F.sort_array(F.collect_list(F.struct(F.col("at").alias("start"), "end", "depth"))).alias("runs")
+    per = runs.groupBy("contig").agg(F.sum(F.when(F.col("depth") == 0, F.col("size")).otherwise(0)).alias("uncovered"), F.sum(F.col("depth") * F.col("size")).alias("bases"), listed)
+    held = size.join(per, "contig", "left")
+    return held.select("contig", F.coalesce("uncovered", F.lit(0).cast("long")).alias("uncovered"), (F.coalesce("bases", F.lit(0)) / F.when(F.col("length") > 0, F.col("length"))).alias("coverage"), "runs")
 
 
 def overlaps_break(rows: DataFrame, breaks: DataFrame, pad: int = 500, width: int = 5000) -> DataFrame:
@@ -161,26 +172,31 @@ def parse_contig_name(rows: DataFrame) -> DataFrame:
 
 
 def best_path(segments: list[tuple], length: float) -> tuple[list[int], float]:
-    """Indices of the chain of (chrom, start, end, score), sorted by start, of the highest score less the costs of its jumps."""
-    best, back = [], []
-    for i, (chrom, start, end, score) in enumerate(segments):
-        top, at = score - INSERTION * start, -1  # nothing before it
-        for j in range(i - 1, -1, -1):
-            c, s, e, _ = segments[j]
-            if start <= e - MAX_HOMOLOGY or end <= e + MIN_ALIGNED or start - s <= MIN_ALIGNED or start - e > MAX_INSERTION:
-                continue
-            jump = (HOMOLOGY * (e - start) if e >= start else INSERTION * (start - e)) + (INTRA if c == chrom else INTER)
-            if best[j] - jump + score > top:
-                top, at = best[j] - jump + score, j
-        best.append(top)
-        back.append(at)
-    ends = [b - INSERTION * (length - s[2]) for b, s in zip(best, segments, strict=True)]
-    i = max(range(len(ends)), key=lambda k: (ends[k], -k))
-    total, path = ends[i], []
+    """Indices of the chain of (chrom, start, end, score), sorted by start, of the highest score less the costs of its jumps.
+    All that may come before a segment are looked at together; of equal ones the last is taken, and a chain's begin before any."""
+    n = len(segments)
+    names = {c: k for k, c in enumerate(dict.fromkeys(s[0] for s in segments))}
+    chrom = np.array([names[s[0]] for s in segments], int)
+    start, end, score = (np.array([s[k] for s in segments], float) for k in (1, 2, 3))
+    best, back = score - INSERTION * start, np.full(n, -1)
+    for i in range(1, n):
+        e = end[:i]
+        fits = (start[i] > e - MAX_HOMOLOGY) & (end[i] > e + MIN_ALIGNED) & (start[i] - start[:i] > MIN_ALIGNED) & (start[i] - e <= MAX_INSERTION)
+        j = np.flatnonzero(fits)[::-1]
+        if not len(j):
+            continue
+        over = e[j] - start[i]
+        through = best[j] - np.where(over >= 0, HOMOLOGY * over, -INSERTION * over) - np.where(chrom[j] == chrom[i], INTRA, INTER) + score[i]
+        k = int(through.argmax())
+        if through[k] > best[i]:
+            best[i], back[i] = through[k], j[k]
+    total = best - INSERTION * (length - end)
+    i = int(total.argmax())
+    path, top = [], float(total[i])
     while i >= 0:
         path.append(i)
-        i = back[i]
-    return path[::-1], total
+        i = int(back[i])
+    return path[::-1], top
 
 
 def best_alignment_path(rows: DataFrame) -> DataFrame:

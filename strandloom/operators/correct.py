@@ -9,18 +9,24 @@ from pyspark.sql.window import Window
 
 from strandloom.functions.seq import CHUNK, chunks
 from strandloom.operators.aln import cigar_ops
+from strandloom.operators.chunked import base_at, joined, patched, piece_of, pieces, within
 
 BASES = ("A", "C", "G", "T", "N")
+#: Variants in the order in which equal votes are settled, after the contig's own base.
+ORDER = {v: i for i, v in enumerate("ACGTND")}
 
 
 def read_bases(aln: DataFrame) -> DataFrame:
-    """One row for each base, deletion (D) and insertion (I, with its string) of aligned reads: contig, qname, pos, variant, inserted."""
+    """One row for each base, deletion (D) and insertion (I, with its string) of aligned reads: contig, qname, pos, variant, inserted.
+    Operations are cut into pieces first, so that the work grows with a read, not with its square."""
     ops = cigar_ops(aln, ("seq",))  # an alignment that repeats another counts by itself
-    each = ops.where(F.col("op").isin("M", "=", "X", "D")).withColumn("i", F.explode(F.expr("sequence(0, len - 1)")))
-    base = F.when(F.col("op") == "D", "D").otherwise(F.upper(F.expr("substring(seq, q_start + i + 1, 1)")))
-    rows = each.select("contig", "qname", (F.col("r_start") + F.col("i")).alias("pos"), base.alias("variant"), F.lit(None).cast("string").alias("inserted"))
+    run = ops.where(F.col("op").isin("M", "=", "X")).select("contig", "qname", "r_start", F.posexplode(chunks(F.expr("substring(seq, q_start + 1, len)"), 1)).alias("n", "chunk"))
+    each = run.select("contig", "qname", (F.col("r_start") + F.col("n") * CHUNK).alias("at"), F.posexplode(F.split("chunk", "")).alias("i", "base")).where("base <> ''")
+    none = F.lit(None).cast("string").alias("inserted")
+    rows = each.select("contig", "qname", (F.col("at") + F.col("i")).alias("pos"), F.upper("base").alias("variant"), none)
+    gone = ops.where("op = 'D' and len > 0").select("contig", "qname", F.explode(F.expr("sequence(r_start, r_start + len - 1)")).alias("pos"), F.lit("D").alias("variant"), none)
     ins = ops.where("op = 'I'").select("contig", "qname", (F.col("r_start") - 1).alias("pos"), F.lit("I").alias("variant"), F.expr("substring(seq, q_start + 1, len)").alias("inserted"))
-    return rows.unionByName(ins).where("variant <> ''")
+    return rows.unionByName(gone).unionByName(ins)
 
 
 def pileup_votes(bases: DataFrame) -> DataFrame:
@@ -53,32 +59,45 @@ def interesting_positions(votes: DataFrame, contigs: DataFrame, low: float = 0.1
     return own.unionByName(near.join(own, ["contig", "pos"], "left_anti"))
 
 
-def consensus(votes: DataFrame, contigs: DataFrame, insertion: float = 1.5) -> DataFrame:
-    """CO3: contig, pos, base, variant, inserted: the variant of most votes at each voted position; the contig's own base wins ties,
-    the most frequent insertion is added where `insertion` times its votes exceed those of the best base."""
-    own = contigs.select("contig", F.posexplode(F.split("seq", "")).alias("i", "base")).where("base <> ''").select("contig", (F.col("i") + 1).cast("long").alias("pos"), F.upper("base").alias("base"))
-    plain = votes.where("variant <> 'I'").groupBy("contig", "pos", "variant").agg(F.sum("votes").alias("votes"))
-    best = plain.join(own, ["contig", "pos"]).groupBy("contig", "pos", "base").agg(F.max(F.struct("votes", (F.col("variant") == F.col("base")).alias("own"), "variant")).alias("b"))
-    added = votes.where("variant = 'I'").groupBy("contig", "pos").agg(F.max(F.struct("votes", "inserted")).alias("ins"), F.sum("votes").alias("ins_votes"))
-    held = best.join(added, ["contig", "pos"], "left")
+def consensus(votes: DataFrame, contigs: DataFrame, insertion: float = 1.5, changes_only: bool = False) -> DataFrame:
+    """CO3: contig, pos, base, variant, inserted: the variant of most votes at each voted position; the contig's own base wins ties, then
+    A, C, G, T, N, deletion; the most frequent insertion is added where `insertion` times its votes exceed those of the best base.
+
+    Votes are summed before they meet the piece of the contig that they lie on. changes_only: positions at which something changes.
+    """
+    variant = F.col("variant")
+    plain = votes.where(variant != "I").groupBy("contig", "pos", "variant").agg(F.sum("votes").alias("votes"))
+    held = plain.groupBy("contig", "pos").agg(F.collect_list(F.struct("variant", "votes")).alias("v"))  # a handful of variants
+    rank = F.create_map(*(F.lit(x) for pair in ORDER.items() for x in pair))
+    own = base_at(held, contigs).withColumn("base", F.upper("base"))
+    best = F.array_max(F.transform("v", lambda x: F.struct(x["votes"].alias("votes"), (x["variant"] == F.col("base")).alias("own"), (-F.coalesce(F.try_element_at(rank, x["variant"]), F.lit(6))).alias("nth"), x["variant"].alias("variant"))))
+    added = votes.where(variant == "I").groupBy("contig", "pos").agg(F.max(F.struct("votes", "inserted")).alias("ins"), F.sum("votes").alias("ins_votes"))
+    out = own.select("contig", "pos", "base", best.alias("b")).join(added, ["contig", "pos"], "left")
     wins = F.coalesce(F.col("ins_votes") * insertion > F.col("b.votes"), F.lit(False))
-    return held.select("contig", "pos", "base", F.col("b.variant").alias("variant"), F.when(wins, F.col("ins.inserted")).alias("inserted"))
+    out = out.select("contig", "pos", "base", F.col("b.variant").alias("variant"), F.when(wins, F.col("ins.inserted")).alias("inserted"))
+    return out.where("(variant <> base and variant <> 'N') or inserted <> ''") if changes_only else out
+
+
+def corrected_pieces(contigs: DataFrame, changes: DataFrame) -> DataFrame:
+    """CO4: contig, piece, seq, n_changes: fixed pieces of the contigs, each patched by the few changes that lie on it."""
+    at = F.col("pos") - 1
+    new = F.when(F.col("variant").isNull() | (F.col("variant") == "N"), F.col("base")).when(F.col("variant") == "D", "").otherwise(F.col("variant"))
+    real = changes.withColumn("new", F.concat(new, F.coalesce("inserted", F.lit("")))).where("new <> base")
+    few = real.select("contig", piece_of(at).alias("piece"), F.struct(within(at).alias("at"), "new").alias("c")).groupBy("contig", "piece").agg(F.sort_array(F.collect_list("c")).alias("changes"))
+    held = pieces(contigs).withColumn("bases", F.upper("bases")).join(few, ["contig", "piece"], "left")
+    text = F.when(F.col("changes").isNull(), F.col("bases")).otherwise(patched(F.col("bases"), F.col("changes")))
+    return held.select("contig", "piece", text.alias("seq"), F.coalesce(F.size("changes"), F.lit(0)).alias("n_changes"))
 
 
 def corrected_contigs(contigs: DataFrame, changes: DataFrame) -> DataFrame:
-    """CO4: contig, seq, n_changes after substituting, deleting and inserting what consensus() says."""
-    own = contigs.select("contig", F.posexplode(F.split("seq", "")).alias("i", "own")).where("own <> ''").select("contig", (F.col("i") + 1).cast("long").alias("pos"), F.upper("own").alias("own"))
-    held = own.join(changes.select("contig", "pos", "variant", "inserted"), ["contig", "pos"], "left")
-    new = F.when(F.col("variant").isNull() | (F.col("variant") == "N"), F.col("own")).when(F.col("variant") == "D", "").otherwise(F.col("variant"))
-    piece = F.concat(new, F.coalesce("inserted", F.lit("")))
-    parts = F.sort_array(F.collect_list(F.struct("pos", piece.alias("piece"))))
-    return held.groupBy("contig").agg(F.array_join(F.transform(parts, lambda x: x["piece"]), "").alias("seq"), F.count_if(piece != F.col("own")).alias("n_changes"))
+    """CO4: contig, seq, n_changes after substituting, deleting and inserting what consensus() says; empty contigs give no row."""
+    held = corrected_pieces(contigs, changes)
+    counts = held.groupBy("contig").agg(F.sum(F.greatest("n_changes", F.lit(0))).alias("n_changes"))
+    return joined(held, "seq", "contig").join(counts, "contig")
 
 
 # fixed values: weight of a read by the number of its disagreements so far; none from the sixth on
 ERROR_WEIGHT = (100, 10, 8, 5, 2, 1)
-#: Variants in the order in which equal votes are settled, after the contig's own base.
-ORDER = {v: i for i, v in enumerate("ACGTND")}
 
 
 def read_weighted_consensus(bases: DataFrame, positions: DataFrame, contigs: DataFrame, strategy: str = "AllReads") -> DataFrame:
@@ -89,8 +108,7 @@ def read_weighted_consensus(bases: DataFrame, positions: DataFrame, contigs: Dat
     computed, a read has a say at the first of its positions in the sweep only). Equal votes: the contig's own base, then A, C, G, T, N,
     deletion. The sweep is sequential along a contig and parallel over contigs, on interesting positions only.
     """
-    own = contigs.select("contig", F.posexplode(F.split("seq", "")).alias("i", "base")).select("contig", (F.col("i") + 1).cast("long").alias("pos"), F.upper("base").alias("base"))
-    rows = bases.where("variant <> 'I'").join(positions.select("contig", "pos"), ["contig", "pos"], "left_semi").join(own, ["contig", "pos"])
+    rows = base_at(bases.where("variant <> 'I'").join(positions.select("contig", "pos"), ["contig", "pos"], "left_semi"), contigs).withColumn("base", F.upper("base"))
     rows = rows.withColumn("covers", F.count("*").over(Window.partitionBy("contig", "qname"))).where("covers >= 2")
 
     def sweep(pdf: pd.DataFrame) -> pd.DataFrame:

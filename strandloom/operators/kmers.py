@@ -6,12 +6,14 @@ leaves it a number. Counts are summed before anything is joined.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.functions.packed import codec
-from strandloom.functions.seq import CHUNK, canonical, chunks, hamming, qualities, with_windows
+from strandloom.functions.packed import Packed, codec
+from strandloom.functions.seq import CHUNK, canonical, chunks, qualities, with_windows
 from strandloom.plans.tables import components, forget, saved
 
 
@@ -99,17 +101,95 @@ def kmer_quality_stats(valid: DataFrame, most: int = 63) -> DataFrame:
     return basic.join(quals, "kmer")
 
 
-def hamming_clusters(kmer_rows: DataFrame, tau: int, k: int) -> DataFrame:
-    """KM9: node, component of k-mers joined by a Hamming distance of tau or less.
+#: K-mers of a block from which on it is split again; k-mers that a cluster may have; from what share of that on it takes none but small ones, and how small.
+BLOCK, CLUSTER, LARGE, SMALL = 50, 2500, 0.75, 50
+
+
+def _blocks(rows: DataFrame, code: Packed, families: list, block: int) -> tuple[DataFrame, DataFrame]:
+    """rows (kmer, key) dealt to blocks of k-mers that agree at one family's positions: those of blocks of up to `block`, and the others."""
+    parts = F.array(*(F.struct(F.lit(i).alias("b"), code.part("kmer", p).alias("s")) for i, p in enumerate(families)))
+    keyed = saved(rows.select("kmer", "key", F.explode(parts).alias("x")).select("kmer", F.xxhash64("key", "x.b", "x.s").alias("key")), "kmer-blocks")
+    big = saved(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key"), "kmer-big")
+    return keyed.join(big, "key", "left_anti"), keyed.join(big, "key", "left_semi")
+
 
-    Two such k-mers share one of tau + 1 blocks of bases taken at a stride, so pairs meet by (block, bases) and are verified.
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """kmer, kmer2 of all pairs within the blocks of rows (kmer, key)."""
+    return rows.join(rows.withColumnRenamed("kmer", "kmer2"), "key").where("kmer < kmer2").select("kmer", "kmer2")
+
+
+def hamming_candidates(kmer_rows: DataFrame, tau: int, k: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """KM9: pairs (kmer, kmer2) to verify, and links (a, b) that hold by themselves, of k-mers (numbers up to 31 bases).
+
+    K-mers at a distance of tau or less agree on one of tau + 1 stretches, and on one of tau + 1 strides. Blocks that agree on a
+    stretch are compared pair by pair; larger ones are split by strides first. What is in a large block still, low complexity, is
+    linked without pairs: k-mers that agree outside of any tau positions are linked to the smallest of them.
     """
-    parts = tau + 1
-    block = lambda b: F.concat_ws("", *(F.substring("kmer", i + 1, 1) for i in range(b, k, parts)))
-    keyed = kmer_rows.select("kmer", F.explode(F.array(*(F.struct(F.lit(b).alias("b"), block(b).alias("s")) for b in range(parts)))).alias("x")).select("kmer", "x.b", "x.s")
-    other = keyed.withColumnRenamed("kmer", "kmer2")
-    edges = keyed.join(other, ["b", "s"]).where((F.col("kmer") < F.col("kmer2")) & (hamming("kmer", "kmer2") <= tau)).select(F.col("kmer").alias("a"), F.col("kmer2").alias("b")).distinct()
-    return _with_singles(kmer_rows, edges)
+    code = codec(k)
+    cuts = [i * k // (tau + 1) for i in range(tau + 2)]
+    start = kmer_rows.select("kmer", F.lit(0).cast("long").alias("key"))
+    few, many = _blocks(start, code, [range(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], block)
+    fewer, rest = _blocks(many, code, [range(i, k, tau + 1) for i in range(tau + 1)], block)
+    pairs = block_pairs(few).union(block_pairs(fewer)).distinct()
+    places = [[i for i in range(k) if i not in gone] for gone in combinations(range(k), tau)]
+    agree = F.array(*(F.struct(F.lit(i).alias("b"), code.part("kmer", p).alias("s")) for i, p in enumerate(places)))
+    alike = rest.select("kmer").distinct().select("kmer", F.explode(agree).alias("x"))  # 4 ** tau k-mers a key at most
+    least = alike.groupBy("x").agg(F.min("kmer").alias("a"), F.collect_list("kmer").alias("all")).where(F.size("all") > 1)
+    links = least.select("a", F.explode("all").alias("b")).where("a <> b").distinct()
+    return pairs, links
+
+
+def hamming_clusters(kmer_rows: DataFrame, tau: int, k: int, block: int = BLOCK, limit: int = CLUSTER) -> DataFrame:
+    """KM9: kmer, component of k-mers joined by a Hamming distance of tau or less, none of more than `limit` k-mers.
+
+    Components within the limit are whole. A larger one is put together anew, nearest k-mers first, as far as the limit lets it
+    (see capped_clusters). k-mers may be strings or, up to 31 bases, numbers.
+    """
+    code, text = codec(k), dict(kmer_rows.dtypes)["kmer"] == "string"
+    rows = saved(kmer_rows.select((code.of_text("kmer") if text else F.col("kmer")).alias("kmer")).distinct(), "kmers")
+    pairs, alike = hamming_candidates(rows, tau, k, block)
+    found = pairs.where(code.distance("kmer", "kmer2") <= tau).select(F.col("kmer").alias("a"), F.col("kmer2").alias("b"))
+    links = saved(found.union(alike).distinct().withColumn("d", code.distance("a", "b")), "kmer-links")
+    held = capped_clusters(rows, links, limit)
+    return held.select(code.text("kmer").alias("kmer"), code.text("component").alias("component")) if text else held
+
+
+def capped_clusters(nodes: DataFrame, links: DataFrame, limit: int = CLUSTER) -> DataFrame:
+    """kmer, component: components of links (a, b, d), but for those of more than `limit` nodes.
+
+    In these, clusters that may unite do so in rounds, beginning with single nodes: half of the clusters, chosen by a hash for each
+    round, take in those of the other half that are nearest to them, in the order of distance, as long as both together stay within the
+    limit and, where one has more than LARGE of it, the other has SMALL nodes at most. It ends when no two linked clusters may unite.
+    """
+    plain = saved(_with_singles(nodes, links.select("a", "b")), "clusters-plain")
+    over = plain.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("component")
+    wide = saved(plain.join(over, "component", "left_semi").select("kmer", F.col("kmer").alias("cluster")), "clusters-wide")
+    if wide.isEmpty():
+        return plain.select("kmer", "component")
+    edges = saved(links.join(wide.select(F.col("kmer").alias("a")), "a", "left_semi").select(F.col("a").alias("x"), F.col("b").alias("y"), "d"), "clusters-edges")
+    labels, step = wide, 0
+    while True:
+        size = saved(labels.groupBy("cluster").agg(F.count("*").alias("n")), f"clusters-sizes-{step}")
+        both = edges.join(size.select(F.col("cluster").alias("x"), F.col("n").alias("nx")), "x").join(size.select(F.col("cluster").alias("y"), F.col("n").alias("ny")), "y")
+        fits = lambda a, b: (a + b <= limit) & ~((a > LARGE * limit) & (b > SMALL)) & ~((b > LARGE * limit) & (a > SMALL))
+        open_ = saved(both.where(fits(F.col("nx"), F.col("ny"))), f"clusters-open-{step}")
+        if open_.isEmpty():
+            break
+        head = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(step)), F.lit(2)) == 0  # noqa: B023, E731
+        way = lambda x, y: open_.where(head(x) & ~head(y)).select(F.col(x).alias("head"), F.col(y).alias("tail"), "d", F.col(f"n{x}").alias("nh"), F.col(f"n{y}").alias("nt"))  # noqa: B023, E731
+        asks = way("x", "y").union(way("y", "x")).groupBy("tail").agg(F.min(F.struct("d", "head", "nh", "nt")).alias("m")).select("tail", "m.*")
+        order = Window.partitionBy("head").orderBy("d", "tail").rowsBetween(Window.unboundedPreceding, -1)  # up to `limit` of them matter
+        before = F.col("nh") + F.coalesce(F.sum("nt").over(order), F.lit(0))
+        took = asks.withColumn("before", before).where(fits(F.col("before"), F.col("nt"))).select(F.col("tail").alias("cluster"), "head")
+        took = saved(took, f"clusters-took-{step}")
+        moved = lambda df, c: df.join(took.withColumnRenamed("cluster", c), c, "left").withColumn(c, F.coalesce("head", c)).drop("head")  # noqa: B023, E731
+        new = saved(moved(labels, "cluster"), f"clusters-labels-{step}")
+        less = saved(moved(moved(edges, "x"), "y").where("x <> y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("d").alias("d")), f"clusters-edges-{step}")
+        forget(size, open_, took, labels, edges)
+        labels, edges, step = new, less, step + 1
+    named = labels.groupBy("cluster").agg(F.min("kmer").alias("component"))
+    capped = labels.join(named, "cluster").select("kmer", "component")
+    return plain.join(over, "component", "left_anti").select("kmer", "component").unionByName(capped)
 
 
 def hamming1_clusters(kmer_rows: DataFrame, k: int) -> DataFrame:

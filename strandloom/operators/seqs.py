@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from strandloom.functions.packed import with_codes
 from strandloom.functions.seq import CHUNK, acgt_runs, chunks, hamming, homopolymer_runs, is_valid, longest_run, qualities, revcomp, with_windows
+from strandloom.operators.chunked import base_at, joined, patched, piece_of, pieces, within
 
 # fixed values: mates of each library layout that are turned round to face forward
 TURNED = {"FR": (2,), "RF": (1,), "FF": (), "RR": (1, 2)}
@@ -210,11 +211,14 @@ def postprocess(contigs: DataFrame, hits: DataFrame, spans: DataFrame, pattern:
 
 
 def consensus_quality(contigs: DataFrame, bases: DataFrame) -> DataFrame:
-    """SQ21: a quality string for each contig: the mean quality of read bases (contig, pos, base, phred) that agree with it, `!` where none does."""
-    positions = contigs.select("contig", F.posexplode(F.split("seq", "")).alias("i", "own")).where("own <> ''").withColumn("pos", F.col("i").cast("long") + 1)
-    mean = positions.join(bases, ["contig", "pos"]).where("own = base").groupBy("contig", "pos").agg(F.floor(F.avg("phred")).cast("int").alias("q"))
-    held = positions.join(mean, ["contig", "pos"], "left").withColumn("c", F.char(F.coalesce("q", F.lit(0)) + 33))
-    return held.groupBy("contig").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"]), "").alias("quality"))
+    """SQ21: a quality string for each contig: the mean quality of read bases (contig, pos, base, phred) that agree with it, `!` where
+    none does. Only positions with read bases become rows; the others are filled in by piece. Empty contigs give no row."""
+    sums = bases.groupBy("contig", "pos", "base").agg(F.sum("phred").alias("s"), F.count("phred").alias("n"))
+    mean = base_at(sums, contigs, name="own").where("own = base").select("contig", "pos", F.floor(F.col("s") / F.col("n")).cast("int").alias("q"))
+    at = F.col("pos") - 1
+    marks = mean.select("contig", piece_of(at).alias("piece"), F.struct(within(at).alias("at"), F.char(F.col("q") + 33).alias("new")).alias("c")).groupBy("contig", "piece").agg(F.sort_array(F.collect_list("c")).alias("marks"))
+    held = pieces(contigs).select("contig", "piece", F.repeat(F.lit("!"), F.length("bases")).alias("blank")).join(marks, ["contig", "piece"], "left")
+    return joined(held.select("contig", "piece", F.when(F.col("marks").isNull(), F.col("blank")).otherwise(patched(F.col("blank"), F.col("marks"))).alias("quality")), "quality", "contig")
 
 
 def subsample_to_coverage(reads: DataFrame, info: DataFrame, max_cov: float = 100.0, seed: str = "0") -> DataFrame:

@@ -408,7 +408,7 @@ VOTES = f"""a as ({ALN}), m as (select contig, pos + i as pos, substring(seq, ca
  union all select contig, pos + 15 + i, 'D', null from a, lateral (select unnest(range(0, 2)) as i) x where cigar = '15M2D15M' union all select contig, pos + 19, 'I', substring(seq, 21, 1) from a where cigar = '20M1I9M'),
  v as (select contig, pos, upper(variant) as variant, inserted, count(*) as votes from m where variant <> '' group by 1, 2, 3, 4)"""
 CONSENSUS = f"""{VOTES}, own as (select contig, i as pos, upper(substring(seq, cast(i as int), 1)) as base from ({CONTIG}) c, lateral (select unnest(range(1, length(seq) + 1)) as i) x),
- pl as (select contig, pos, variant, sum(votes) as votes from v where variant <> 'I' group by 1, 2, 3), rk as (select pl.*, base, row_number() over (partition by pl.contig, pl.pos order by votes desc, variant = base desc, variant desc) as nth from pl join own on pl.contig = own.contig and pl.pos = own.pos),
+ pl as (select contig, pos, variant, sum(votes) as votes from v where variant <> 'I' group by 1, 2, 3), rk as (select pl.*, base, row_number() over (partition by pl.contig, pl.pos order by votes desc, variant = base desc, instr('ACGTND', variant)) as nth from pl join own on pl.contig = own.contig and pl.pos = own.pos),
  ir as (select contig, pos, inserted, sum(votes) over (partition by contig, pos) as total, row_number() over (partition by contig, pos order by votes desc, inserted desc) as nth from v where variant = 'I'),
  cs as (select rk.contig, rk.pos, base, variant, case when total * 1.5e0 > votes then inserted end as inserted from rk left join ir on rk.contig = ir.contig and rk.pos = ir.pos and ir.nth = 1 where rk.nth = 1)"""
 

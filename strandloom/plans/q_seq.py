@@ -342,12 +342,12 @@ def _(t):
 
 @query("km9_hamming_clusters")
 def _(t):
-    return kmers.hamming_clusters(kmers.kmer_counts(t.sql(SHORT), 24).where(~F.contains("kmer", F.lit("N"))), 2, 24)
+    return kmers.hamming_clusters(kmers.kmer_counts(t.sql(SHORT), 24), 2, 24)
 
 
 @query("km10_hamming1_clusters")
 def _(t):
-    return kmers.hamming1_clusters(kmers.kmer_counts(t.sql(SHORT), 12).where(~F.contains("kmer", F.lit("N"))), 12)
+    return kmers.hamming1_clusters(kmers.kmer_counts(t.sql(SHORT), 12), 12)
 
 
 CENTRES = "select concat('S', user_id) as component, concat(event_type, event_id) as kmer, event_id % 9 as n, value / 500 as quality from {events}"
