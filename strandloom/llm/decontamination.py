@@ -1,27 +1,34 @@
 """Benchmark decontamination: n-gram seeds join passages to test items, and Smith-Waterman alignment scores them.
 
-Words are compared in lower case (A-Z) without ASCII signs. The seeds of an item are all of its 3-grams, however many texts
-hold them; around each seed in a text the passage that could hold the item is cut out, and equal passages are aligned once,
-unless the words they share with the item can't reach the score. A passage is a copy if its local alignment reaches a share of the score of the whole item.
+Words are compared in lower case (A-Z) without ASCII signs. Seeds are ordered pairs of words that stand next to each other, or with one
+word between. No copy escapes them: an alignment of L words of an item that reaches a share c of the full score has M matches, and
+what lies between two matches in a row costs 2 at least unless both stand at most one word apart on either side; so at least
+c L - 1 of these steps are seeds of text and item alike, within L + 2 L (1 - c) words of the text. Where as many seeds of an item begin,
+the stretch around them is aligned, unless the words it shares with the item can't reach the score. A passage is a copy if its
+local alignment reaches that share of the score of the whole item.
+
+The benchmark is the stated query set: its items are dealt to groups of bounded size, and the documents stream past each group once.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.arrays import Fingerprints, U, buffers, lower_ascii, plain_words, slices
+from strandloom.llm.arrays import U, buffers, lower_ascii, mix, plain_words, slices
 from strandloom.llm.arrays import word_hashes
-from strandloom.llm.common import saved, table, tucked, untucked
-from strandloom.llm.repeats import marked, window_starts
+from strandloom.llm.common import forget, saved, table, tucked, untucked
+from strandloom.llm.repeats import marked
 
-#: Words of a seed; share of the full score of a copy.
-SEED, COPY = 3, 0.5
+#: Words that a seed reaches over; least words of an item; share of the full score of a copy.
+REACH, SHORTEST, COPY = 2, 3, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Slots of the bitmap that turns other n-grams away: a fixed size, whatever the benchmark's.
-SLOTS = 1 << 26
+#: Words of the items of a group that workers hold; slots of the table that turns other pairs of words away; cells of the matrices aligned at a time.
+GROUP, SLOTS, CELLS = 1 << 19, 1 << 22, 1 << 18
 
 
 def _sequence(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,58 +41,108 @@ def _item_rows(batches):
     for batch in slices(batches):
         hashes, first = _sequence(*buffers(batch.column(1)))
         lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))
-        prints = Fingerprints(hashes, 0)
-        s = window_starts(first, SEED)
-        owner = np.searchsorted(first, s, "right") - 1
-        seeds = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(first))).astype(np.int32)), pa.array(prints.of(s, s + SEED).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists, seeds], ["item_id", "words", "seeds"])
-
-
-def seed_bitmap(seeds: DataFrame) -> bytes:
-    """One bit for each slot that a seed falls into; at most SLOTS / 8 rows reach the driver, however many seeds there are."""
-    slot = F.shiftrightunsigned("seed", 64 - (SLOTS.bit_length() - 1))
-    rows = seeds.select((slot / 8).cast("long").alias("byte"), F.expr("cast(1 as int)").alias("one"), (slot % 8).cast("int").alias("bit"))
-    bits = rows.groupBy("byte").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits")).toPandas()
-    out = np.zeros(SLOTS // 8, np.uint8)
-    out[bits["byte"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64).astype(np.uint8)
-    return out.tobytes()
-
-
-def _known(bitmap: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    slot = prints >> U(64 - (SLOTS.bit_length() - 1))
-    return (bitmap[(slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8)) & 1 > 0
-
-
-def _passages(box, margin: int):
-    """(doc_id, begin, p1, p2, seeds, words): stretches of a text around seeds, with `margin` words on either side."""
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["item_id", "words"])
+
+
+def word_pairs(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number, place of its first word) of all pairs of words at most REACH apart in one text."""
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    keys, places = [], []
+    for gap in range(1, REACH + 1):
+        at = np.flatnonzero(text[gap:] == text[:-gap])
+        with np.errstate(over="ignore"):
+            keys.append(mix(hashes[at] * U(3) + mix(hashes[at + gap])))
+        places.append(at)
+    return np.concatenate(keys), np.concatenate(places)
+
+
+class Items:
+    """Items of a group: their words, and the items that hold each seed."""
+
+    def __init__(self, ids: np.ndarray, words: list[np.ndarray], least: float):
+        self.ids, self.words, self.least = ids, words, least
+        size = np.array([len(w) for w in words], np.int64)
+        flat = np.concatenate([*words, np.zeros(0, np.int64)]).view(U)
+        first = np.append(0, np.cumsum(size))
+        keys, at = word_pairs(flat, first)
+        owner = np.searchsorted(first, at, "right") - 1
+        order = np.lexsort((owner, keys))
+        keys, owner = keys[order], owner[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+        keys, self.owner = keys[new], owner[new]
+        self.keys, self.begin = np.unique(keys, return_index=True)
+        self.end = np.append(self.begin[1:], len(keys))
+        self.slots = np.zeros(SLOTS, bool)
+        self.slots[(self.keys >> U(64 - (SLOTS.bit_length() - 1))).astype(np.int64)] = True
+        #: Seeds that a copy has at least, and words of the text that they lie within.
+        self.need = np.maximum(1, np.ceil(least * size - 1 - 1e-9)).astype(np.int64)
+        self.span = np.ceil(size + 2 * size * (1 - least)).astype(np.int64)
+
+    def stretches(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, begin, end) of the stretches of texts that hold enough seeds of an item, with as much around as a copy may reach."""
+        keys, at = word_pairs(hashes, first)
+        able = np.flatnonzero(self.slots[(keys >> U(64 - (SLOTS.bit_length() - 1))).astype(np.int64)])
+        keys, at = keys[able], at[able]
+        where = np.searchsorted(self.keys, keys)
+        where[where == len(self.keys)] = 0
+        hit = self.keys[where] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        where, at = where[hit], at[hit]
+        many = self.end[where] - self.begin[where]
+        item = self.owner[np.repeat(self.begin[where] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        at = np.repeat(at, many)
+        text = np.searchsorted(first, at, "right") - 1
+        key = (text * len(self.ids) + item) * (first[-1] + 1) + at  # by text, item and place
+        key = np.unique(key)
+        at, key = key % (first[-1] + 1), key // (first[-1] + 1)
+        item, text = key % len(self.ids), key // len(self.ids)
+        k = np.arange(len(key))
+        last = k + self.need[item] - 1
+        fits = last < len(key)
+        last = np.where(fits, last, 0)
+        fits &= (key[last] == key) & (at[last] - at <= self.span[item])
+        k, last = k[fits], last[fits]
+        key, item, text = key[k], item[k], text[k]
+        begin = np.maximum(at[k] - self.span[item], first[text])
+        end = np.minimum(at[last] + REACH + 1 + self.span[item], first[text + 1])
+        new = np.ones(len(k), bool)
+        new[1:] = (key[1:] != key[:-1]) | (begin[1:] > end[:-1])
+        lo = np.flatnonzero(new)
+        hi = np.append(lo[1:], len(k))[: len(lo)] - 1
+        return text[lo], item[lo], begin[lo], end[hi]
+
+    def scored(self, hashes: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(share of the full score, word at which it ends) of stretches with their items; 0 where the shared words can't reach `least`."""
+        score, stop = np.zeros(len(item)), np.zeros(len(item), np.int64)
+        values = hashes.view(np.int64)
+        # each match takes a word of the item that stands in the stretch, and scores no more than its share
+        able = [r for r in range(len(item)) if np.isin(self.words[item[r]], values[begin[r] : end[r]]).sum() >= self.least * len(self.words[item[r]])]
+        size = end - begin
+        order, at = sorted(able, key=lambda r: size[r]), 0
+        while at < len(order):
+            n = 1
+            while at + n < len(order) and (n + 1) * size[order[at + n]] <= CELLS:
+                n += 1
+            rows = order[at : at + n]
+            s, e = smith_waterman([values[begin[r] : end[r]] for r in rows], [self.words[item[r]] for r in rows])
+            score[rows], stop[rows] = s / (MATCH * np.array([len(self.words[item[r]]) for r in rows])), e
+            at += n
+        return score, stop
+
+
+def _scored(box):
+    """(doc_id, mark, item_id, score, end_word) of the stretches of texts that are copies of an item."""
 
     def run(batches):
-        bitmap = np.frombuffer(box.value, np.uint8)
+        items = Items(*box.value)
         for batch in slices(batches):
             hashes, first = _sequence(*buffers(batch.column(1)))
-            s = window_starts(first, SEED)
-            prints = Fingerprints(hashes, 0).of(s, s + SEED)
-            hit = _known(bitmap, prints)
-            s, prints = s[hit], prints[hit]
-            if not len(s):
-                continue
-            text = np.searchsorted(first, s, "right") - 1
-            new = np.ones(len(s), bool)
-            new[1:] = (text[1:] != text[:-1]) | (s[1:] - s[:-1] > margin)
-            lo = np.flatnonzero(new)
-            hi = np.append(lo[1:], len(s))
-            begin = np.maximum(s[lo] - margin, first[text[lo]])
-            end = np.minimum(s[hi - 1] + SEED + margin, first[text[lo] + 1])
-            a, b = Fingerprints(hashes, 0).of(begin, end), Fingerprints(hashes, 1).of(begin, end)
-            size = end - begin
-            flat = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            words = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(hashes[flat].view(np.int64)))
-            seeds = pa.ListArray.from_arrays(pa.array(np.append(lo, len(s)).astype(np.int32)), pa.array(prints.view(np.int64)))
-            pick = pa.array(text[lo])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pick), batch.column(2).take(pick), pa.array((begin - first[text[lo]]).astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), seeds, words],
-                ["doc_id", "mark", "begin", "p1", "p2", "seeds", "words"],
-            )
+            text, item, begin, end = items.stretches(hashes, first)
+            score, stop = items.scored(hashes, item, begin, end)
+            keep = np.flatnonzero(score >= items.least)
+            pick = pa.array(text[keep])
+            ends = begin[keep] - first[text[keep]] + stop[keep]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(2).take(pick), pa.array(items.ids[item[keep]]), pa.array(score[keep]), pa.array(ends.astype(np.int64))], ["doc_id", "mark", "item_id", "score", "end_word"])
 
     return run
 
@@ -114,61 +171,32 @@ def smith_waterman(passages: list[np.ndarray], items: list[np.ndarray]) -> tuple
     return best, where
 
 
-def _aligned(least: float, cells: int = 1 << 18):
-    """Pairs (p1, p2, item_id, words, item_words) to (p1, p2, item_id, score, end); those that can't reach `least` are left out."""
-
-    def run(batches):
-        for batch in batches:
-            a, b = batch.column(3), batch.column(4)
-            size = np.array(a.value_lengths())
-            score, end = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            passages, items = ([np.asarray(x[r].values) for r in range(batch.num_rows)] for x in (a, b))
-            # each match takes a word of the item that stands in the passage, and scores no more than its share
-            able = np.array([np.isin(y, x).sum() >= least * len(y) for x, y in zip(passages, items, strict=True)], bool)
-            order, at = np.argsort(size), 0
-            order = order[able[order]]
-            while at < len(order):
-                n = 1
-                while at + n < len(order) and (n + 1) * size[order[at + n]] <= cells:
-                    n += 1
-                rows = order[at : at + n]
-                s, e = smith_waterman([passages[r] for r in rows], [items[r] for r in rows])
-                score[rows], end[rows] = s / (MATCH * np.array([len(items[r]) for r in rows])), e
-                at += n
-            out = pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(score), pa.array(end)], ["p1", "p2", "item_id", "score", "end"])
-            yield out.filter(pa.array(able))
-
-    return run
-
-
 def copies(docs: DataFrame, benchmark: DataFrame, least: float = COPY) -> DataFrame:
     """doc_id, mark, item_id, score, end_word of marked documents that hold a copy of an item; the best of each row and item."""
     spark = docs.sparkSession
-    items = saved(
-        benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_item_rows, "item_id long, words array<long>, seeds array<long>"),
-        "leaks-items",
-    )
-    seeds = saved(items.select("item_id", F.explode("seeds").alias("seed")).distinct(), "leaks-seeds")
-    margin = items.agg(F.max(F.size("words"))).first()[0] or 0
-    box = spark.sparkContext.broadcast(seed_bitmap(seeds))
-    schema = "doc_id long, mark long, begin long, p1 long, p2 long, seeds array<long>, words array<long>"
-    found = saved(docs.select("doc_id", "text", "mark").mapInArrow(_passages(box, margin), schema), "leaks-passages")
-    passages = found.select("p1", "p2", "seeds", "words").dropDuplicates(["p1", "p2"])
-    pairs = passages.select("p1", "p2", F.explode(F.array_distinct("seeds")).alias("seed")).join(seeds, "seed").select("p1", "p2", "item_id").distinct()
-    both = pairs.join(passages.select("p1", "p2", "words"), ["p1", "p2"]).join(items.select("item_id", F.col("words").alias("item_words")), "item_id")
-    scored = both.select("p1", "p2", "item_id", "words", "item_words").mapInArrow(_aligned(least), "p1 long, p2 long, item_id long, score double, end long")
-    hits = saved(scored.where(F.col("score") >= least), "leaks-scores")
-    placed = found.select("doc_id", "mark", "begin", "p1", "p2").join(hits, ["p1", "p2"])
-    best = F.max_by(F.struct("score", (F.col("begin") + F.col("end")).alias("end_word")), F.struct("score", -(F.col("begin") + F.col("end")))).alias("best")
-    return placed.groupBy("doc_id", "mark", "item_id").agg(best).select("doc_id", "mark", "item_id", "best.score", "best.end_word")
+    given = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    told = saved(given.mapInArrow(_item_rows, "item_id long, words array<long>"), "leaks-items")
+    items = told.where(F.size("words") >= max(SHORTEST, math.floor(1 / least) + 1)).distinct()
+    groups = max(1, -(-(items.agg(F.sum(F.size("words"))).first()[0] or 0) // GROUP))
+    found = None
+    for g in range(groups):  # about GROUP words each, however large the benchmark
+        held = items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(groups)) == g).toPandas()
+        box = spark.sparkContext.broadcast((held["item_id"].to_numpy(np.int64), [np.asarray(w, np.int64) for w in held["words"]], least))
+        hits = docs.select("doc_id", "text", "mark").mapInArrow(_scored(box), "doc_id long, mark long, item_id long, score double, end_word long")
+        found = hits if found is None else found.union(hits)
+    hits = saved(found, "leaks-scores")
+    forget(told)
+    best = F.max_by(F.struct("score", "end_word"), F.struct("score", -F.col("end_word"))).alias("best")
+    return hits.groupBy("doc_id", "mark", "item_id").agg(best).select("doc_id", "mark", "item_id", "best.score", "best.end_word")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = COPY) -> DataFrame:
     """doc_id, item_id, score, end_word: each document that holds a copy of a benchmark item, with the share of the item's full
     alignment score (at least `least`) and the word at which the alignment ends, counted without words of signs alone.
 
-    A copy has three words in a row in common with its item. Documents without a copy have no row. Rows that repeat a doc_id with another text count each; rows that repeat both give
-    one. Items of fewer than 3 words can't be told from chance and take no part, nor do null ids or texts of the benchmark;
+    Documents without a copy have no row. Rows that repeat a doc_id with another text count each; rows that repeat both give
+    one. Items of fewer than 3 words (or of 1 / least words or fewer) can't be told from chance and take no part, nor do null ids
+    or texts of the benchmark;
     null texts of documents hold nothing. Of equal scores the earliest is told. Whole texts count; an empty table on either
     side gives no rows; other columns are left out.
     """

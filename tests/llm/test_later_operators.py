@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from strandloom.llm import alignment, lines, negatives
+from strandloom.llm import alignment, decontamination, lines, negatives
 
 VECTORS = "vec_id long, embedding array<float>, label int, score double, windows string, cell string, side string"
 DOCUMENTS = "doc_id long, text string, lang string, keep string, print string, n_lines string, row string"
@@ -264,3 +264,69 @@ def test_line_query_digests(spark, tmp_path):
 
 def test_lines_of_nothing(spark):
     assert lines.dedup_lines(spark.createDataFrame([], DOCUMENTS)).count() == 0
+
+
+# ---------------------------------------------------------------- decontamination
+
+
+def full_scores(docs, items):
+    """Share of the full score of the whole text against every item of three words or more, by the plain recurrence."""
+    out = {}
+    for d, t in docs:
+        a = [x for x in (t or "").split()]
+        for i, q in items:
+            b = q.split()
+            if len(b) < 3 or not a:
+                continue
+            above, top = [0] * (len(a) + 1), 0
+            for w in b:
+                row = [0]
+                for j, x in enumerate(a, 1):
+                    row.append(max(0, above[j - 1] + (2 if x == w else -1), above[j] - 1, row[j - 1] - 1))
+                top, above = max(top, *row), row
+            if top >= len(b):
+                out[d, i] = max(out.get((d, i), 0), top / (2 * len(b)))
+    return out
+
+
+def edited_copies(rng, item):
+    """Copies that keep no three words in a row, or not even two, beside plainer ones."""
+    fresh = lambda: f"z{rng.randint(0, 10**9)}"
+    yield [fresh() if k % 3 == 2 else w for k, w in enumerate(item)]
+    yield [x for w in item for x in (w, fresh())][:-1]
+    yield [w for k, w in enumerate(item) if k % 4 != 3]
+    yield [fresh() if k % 2 and k % 8 < 4 else w for k, w in enumerate(item)]
+    yield item[: len(item) // 2 + 1]
+    yield item
+
+
+@pytest.mark.parametrize("group", [1 << 19, 60])
+def test_no_copy_of_half_the_score_is_lost(spark, monkeypatch, group):
+    monkeypatch.setattr(decontamination, "GROUP", group)
+    rng = random.Random(37)
+    common = [f"c{i}" for i in range(12)]  # words that most texts and items hold
+    word = lambda: rng.choice(common) if rng.random() < 0.6 else f"w{rng.randint(0, 300)}"
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((3, 4, 5, 8, 14, 30, 30, 59))] + [(50, "x y"), (51, "")]
+    docs = []
+    for i, q in items[:8]:
+        for edited in edited_copies(rng, q.split()):
+            docs.append((len(docs), " ".join([word() for _ in range(rng.randint(0, 40))] + list(edited) + [word() for _ in range(rng.randint(0, 40))])))
+    docs += [(100 + i, " ".join(word() for _ in range(rng.randint(1, 150)))) for i in range(40)]
+    docs += [(200, None), (201, ""), (202, "x y"), (203, " ".join(word() for _ in range(6000)))]
+    want = full_scores(docs, items)
+    frame = spark.createDataFrame([(d, t, "en", "k", "p", "n", "r") for d, t in docs], DOCUMENTS)
+    out = decontamination.contaminated(frame.repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r.score for r in out.collect()}
+    assert set(got) == set(want)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert sum(1 for (d, i) in want if d < 48) >= 30
+
+
+def test_every_third_word_replaced_and_a_word_after_each(spark):
+    item = [f"q{i}" for i in range(30)]
+    third = [f"e{k}" if k % 3 == 2 else w for k, w in enumerate(item)]
+    apart = [x for k, w in enumerate(item) for x in (w, f"i{k}")]
+    docs = [(1, " ".join(third)), (2, " ".join(apart)), (3, " ".join(f"n{k}" if k % 2 else w for k, w in enumerate(item)))]
+    frame = spark.createDataFrame([(d, t, "en", "k", "p", "n", "r") for d, t in docs], DOCUMENTS)
+    out = decontamination.contaminated(frame, spark.createDataFrame([(0, " ".join(item))], "item_id long, text string"))
+    assert {r.doc_id: round(r.score, 3) for r in out.collect()} == {1: 0.517, 2: 0.517}
