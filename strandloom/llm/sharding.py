@@ -1,14 +1,14 @@
 """Sharding by size-tiered compaction: small immutable shards, merged by size into target-sized files, under a versioned manifest.
 
 A store is a folder: `runs/<id>/` holds the Parquet shards of one arrival or merge, never changed once written, and
-`manifests/v<n>.json` lists the live runs of a version. A version is claimed by an exclusive create and published by a rename,
-so a reader sees a whole version or the one before. The claim of a writer that died lapses after a lease; shards that no version
-lists any more are deleted by age. DataFrame and SQL functions only; shards are merged without a shuffle.
+`manifests/v<n>.json` lists the live runs of a version. A version is claimed, which spares others the work, and published so that it
+never replaces one that is there; a reader sees a whole version or the one before. The claim of a writer that died lapses after a
+lease. `intents/<id>` marks a run that is being written: shards that no version lists and no intent marks are deleted by age.
+DataFrame and SQL functions only; shards are merged without a shuffle.
 """
 
 from __future__ import annotations
 
-import json
 import math
 import time
 import uuid
@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.llm.common import scratch, table
+from strandloom.llm.manifests import Lost, Manifests
 
 #: Bytes of a target-sized file; runs of one tier that are merged; bytes of the lowest tier; arrivals that a query deals out.
 TARGET, FANOUT, SMALLEST, ARRIVALS = 64 << 20, 4, 1 << 20, 8
-#: Seconds after which a claim without a version has lapsed, and for which readers may hold on to an older version.
-LEASE, RETAIN = 600, 3600
+#: Seconds after which a claim without a version has lapsed, for which readers may hold on to an older version, and after which an intent is given up.
+LEASE, RETAIN, ABANDONED = 600, 3600, 7 * 86400
+#: Versions that other writers may publish first before a commit gives up.
+TRIES = 100
 
 
 class Store:
@@ -30,36 +33,27 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType, lease: float = LEASE):
         self.spark, self.root, self.schema, self.lease = spark, root, schema, lease
-        self.path = spark._jvm.org.apache.hadoop.fs.Path
-        self.fs = self.path(root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        self.versions = Manifests(spark, f"{root}/manifests")
+        self.path, self.fs = self.versions.path, self.versions.fs
 
     def manifest(self) -> dict:
         """The newest published version."""
-        folder = self.path(f"{self.root}/manifests")
-        names = [x.getPath().getName() for x in self.fs.listStatus(folder)] if self.fs.exists(folder) else []
-        versions = sorted(n for n in names if n.startswith("v") and n.endswith(".json"))
-        if not versions:
-            return {"version": 0, "runs": []}
-        stream = self.fs.open(self.path(f"{self.root}/manifests/{versions[-1]}"))
-        try:
-            return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
-        finally:
-            stream.close()
+        return self.versions.newest() or {"version": 0, "runs": []}
 
     def commit(self, base: dict, runs: list[dict]) -> dict:
-        """Publish the version after base; fails if another writer has it, or has claimed it within the lease."""
+        """Publish the version after base; Lost if another writer has it, an error if one has claimed it within the lease."""
         new = {"version": base["version"] + 1, "runs": runs}
-        name = f"{self.root}/manifests/v{new['version']:08d}"
+        if self.versions.exists(new["version"]):
+            raise Lost(f"version {new['version']} is taken; read the manifest again")
         self.fs.mkdirs(self.path(f"{self.root}/manifests"))
-        if not self._claimed(self.path(f"{name}.claim"), self.path(f"{name}.json")):
-            raise RuntimeError(f"version {new['version']} is taken; read the manifest again")
-        draft = self.path(f"{self.root}/manifests/.draft-{uuid.uuid4().hex}")
-        out = self.fs.create(draft, False)
-        out.write(json.dumps(new).encode())
-        out.close()
-        if not self.fs.rename(draft, self.path(f"{name}.json")):
-            raise RuntimeError(f"could not publish version {new['version']}")
-        return new
+        if not self._claimed(self.path(self.versions.name(new["version"]) + ".claim"), self.path(self.versions.name(new["version"]) + ".json")):
+            if self.versions.exists(new["version"]):
+                raise Lost(f"version {new['version']} is taken; read the manifest again")
+            raise RuntimeError(f"version {new['version']} is claimed by another writer")
+        return self.versions.publish(new)
+
+    def _intent(self, name: str):
+        return self.path(f"{self.root}/intents/{name}")
 
     def _claimed(self, claim, published) -> bool:
         """Create the claim; one that is older than the lease and led to no version goes first."""
@@ -97,9 +91,22 @@ class Store:
         name = uuid.uuid4().hex[:12]
         folder = f"{self.root}/runs/{name}"
         writer = arrivals.write.option("compression", "zstd")
-        (writer.partitionBy(by) if by else writer).parquet(folder)
-        base = self.manifest()
-        return self.commit(base, base["runs"] + self.described(folder, name))
+        self.fs.createNewFile(self._intent(name))
+        try:
+            (writer.partitionBy(by) if by else writer).parquet(folder)
+            return self._added(self.described(folder, name))
+        finally:  # a writer that dies before this leaves its intent, which is given up much later
+            self.fs.delete(self._intent(name), False)
+
+    def _added(self, runs: list[dict]) -> dict:
+        """Commit further runs on the newest version, and again on the next where another writer was first."""
+        for _ in range(TRIES):
+            base = self.manifest()
+            try:
+                return self.commit(base, base["runs"] + runs)
+            except Lost:
+                continue
+        raise RuntimeError(f"{TRIES} versions were published by others meanwhile")
 
     def compact(self, fanout: int = FANOUT, target: int = TARGET, smallest: int = SMALLEST) -> dict:
         """Merge runs of one size tier, fanout or more at a time, until no tier holds that many. Each merge commits a version."""
@@ -115,20 +122,48 @@ class Store:
             name = uuid.uuid4().hex[:12]
             folder = f"{self.root}/runs/{name}/merged"
             files = max(1, math.ceil(sum(map(size_of, merged)) / target))
-            rows = self.read(merged)
-            # joins neighbouring splits without a shuffle; a run never becomes fewer files than its size asks for
-            rows.coalesce(files).write.option("compression", "zstd").parquet(folder)
             gone = {r["run"] for r in merged}
-            self.commit(base, [r for r in base["runs"] if r["run"] not in gone] + self.described(folder, name))
-
-    def sweep(self, retain: float = RETAIN) -> int:
-        """Delete the files of all runs that the newest version doesn't list and that are older than `retain` seconds; how many."""
+            self.fs.createNewFile(self._intent(name))
+            try:
+                # joins neighbouring splits without a shuffle; a run never becomes fewer files than its size asks for
+                self.read(merged).coalesce(files).write.option("compression", "zstd").parquet(folder)
+                self._replaced(gone, self.described(folder, name))
+            finally:
+                self.fs.delete(self._intent(name), False)
+
+    def _replaced(self, gone: set[str], runs: list[dict]) -> None:
+        """Commit runs in place of others, on the newest version that lists all of those; where none does, another writer has merged them."""
+        for _ in range(TRIES):
+            base = self.manifest()
+            if not gone <= {r["run"] for r in base["runs"]}:
+                return
+            try:
+                self.commit(base, [r for r in base["runs"] if r["run"] not in gone] + runs)
+                return
+            except Lost:
+                continue
+        raise RuntimeError(f"{TRIES} versions were published by others meanwhile")
+
+    def sweep(self, retain: float = RETAIN, abandoned: float = ABANDONED) -> int:
+        """Delete the files of all runs that the newest version doesn't list, that no intent younger than `abandoned` seconds marks, and
+        that are older than `retain` seconds; how many. Intents are read before the version: a run has one until its version is there."""
+        now = time.time()
+        oldest, marks = (now - retain) * 1000, self.path(f"{self.root}/intents")
+        marked = [x for x in self.fs.listStatus(marks)] if self.fs.exists(marks) else []
+        spared = {x.getPath().getName() for x in marked if x.getModificationTime() > (now - abandoned) * 1000}
         live = {self.path(s["path"]).toUri().getPath() for r in self.manifest()["runs"] for s in r["shards"]}
-        files, gone, oldest = self.fs.listFiles(self.path(f"{self.root}/runs"), True), 0, (time.time() - retain) * 1000
+        runs = self.path(f"{self.root}/runs")
+        if not self.fs.exists(runs):
+            return 0
+        files, gone = self.fs.listFiles(runs, True), 0
         while files.hasNext():
             f = files.next()
-            if f.getPath().toUri().getPath() not in live and f.getModificationTime() <= oldest:
+            path = f.getPath().toUri().getPath()
+            if path not in live and path.rsplit("/runs/", 1)[1].split("/")[0] not in spared and f.getModificationTime() <= oldest:
                 gone += bool(self.fs.delete(f.getPath(), False))
+        for x in marked:
+            if x.getPath().getName() not in spared:
+                self.fs.delete(x.getPath(), False)
         return gone
 
 

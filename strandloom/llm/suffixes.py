@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.arrays import BYTE, U, mix, rolled
 from strandloom.llm.common import forget, saved, table
+from strandloom.llm.manifests import Manifests
 from strandloom.llm.repeats import ROW, marked, removed, row_maker, settle
+from strandloom.plans.tables import shared_dir
 
 WINDOW, BEGINNING, BATCHES = 200, 32, 4
 
@@ -42,22 +44,41 @@ def anchors(values: np.ndarray, first: np.ndarray, s: np.ndarray, width: int = W
 class Family:
     """Levels of suffix arrays, tables bucketed and sorted by the bytes of `head`; level i holds 2**i batches.
 
-    The tables are named after the family, so that a later session can open it by its name and add more batches. A batch that
-    failed on its way leaves no level: the tables of a merge replace their sources once they are written.
+    The levels and the batches they hold are a versioned state in the shared folder, named after the family, so that a later session
+    can open it by its name and add more batches. A batch, with all merges it leads to, becomes part of the family in one step, when its
+    state is published; a writer that died before leaves only tables that no state names, which the next batch drops. A family has one
+    writer at a time: of two, the second to publish fails, and its batch is none.
     """
 
     def __init__(self, spark: SparkSession, buckets: int, name: str | None = None):
         self.spark, self.buckets, self.name = spark, buckets, name or f"suffixes_{uuid.uuid4().hex[:12]}"
-        found = [t.name for t in spark.catalog.listTables(pattern=f"{self.name}_l*")]
-        self.levels = {int(t.rsplit("_l", 1)[1].split("_")[0]): t for t in found}
+        self.versions = Manifests(spark, f"{shared_dir(spark)}/families/{self.name}")
+        self._open()
+
+    def _open(self) -> None:
+        state = self.versions.newest() or {"version": 0, "levels": {}, "batches": {}}
+        self.version, self.batches = state["version"], state["batches"]
+        self.levels = {int(k): t for k, t in state["levels"].items()}
 
     def _write(self, df: DataFrame, level: int) -> str:
         name = f"{self.name}_l{level}_{uuid.uuid4().hex[:8]}"
         df.write.bucketBy(self.buckets, "head").sortBy("head").option("compression", "zstd").format("parquet").saveAsTable(name)
         return name
 
-    def add(self, suffixes: DataFrame) -> DataFrame:
-        """Index a batch of (head, doc_id, at); the heads of it that occur twice in the batch or in a level as well."""
+    def sweep(self) -> None:
+        """Drop the tables of the family that its state doesn't name."""
+        for t in self.spark.catalog.listTables(pattern=f"{self.name}_l*"):
+            if t.name not in self.levels.values():
+                self.spark.sql(f"drop table if exists {t.name}")
+
+    def add(self, suffixes: DataFrame, key: str | None = None) -> DataFrame:
+        """Index a batch of (head, doc_id, at); the heads of it that occur twice in the batch or in a level as well.
+
+        key: the name of the batch. A batch that is in the family already is not added again; its heads are told as they were."""
+        self._open()
+        if key is not None and key in self.batches:
+            return self.spark.read.schema("head binary").parquet(self.batches[key])
+        self.sweep()
         place = F.min(F.struct("doc_id", "at")).alias("place")
         level, new = 0, self._write(suffixes.groupBy("head").agg(F.count("*").alias("n"), place), 0)
         array = self.spark.table(new)
@@ -66,24 +87,28 @@ class Family:
             # both sides are sorted in equal buckets: the join is one merge of two suffix arrays, without a shuffle
             hits = hits.union(self.spark.table(old).select("head").hint("merge").join(array.select("head"), "head"))
         hits = saved(hits, "suffixes-scan")
-        while level in self.levels:
-            old = self.levels.pop(level)
+        levels, spent = dict(self.levels), []
+        while level in levels:
+            old = levels.pop(level)
             a, b = (self.spark.table(t).select("head", F.col("n").alias(f"n_{s}"), F.col("place").alias(f"p_{s}")) for s, t in (("a", old), ("b", new)))
             both = a.hint("merge").join(b, "head", "full")
             n = F.coalesce("n_a", F.lit(0)) + F.coalesce("n_b", F.lit(0))
             level += 1
-            merged = self._write(both.select("head", n.alias("n"), F.least("p_a", "p_b").alias("place")), level)
-            for t in (old, new):
-                self.spark.sql(f"drop table {t}")
-            new = merged
-        self.levels[level] = new
+            spent += [old, new]
+            new = self._write(both.select("head", n.alias("n"), F.least("p_a", "p_b").alias("place")), level)
+        levels[level] = new
+        batches = self.batches if key is None else self.batches | {key: hits._scratch_path}
+        self.versions.publish({"version": self.version + 1, "levels": levels, "batches": batches})
+        self.version, self.levels, self.batches = self.version + 1, levels, batches
+        for t in spent:
+            self.spark.sql(f"drop table if exists {t}")
         return hits
 
     def close(self) -> None:
-        """Drop the tables; a family that is to be opened again stays open."""
-        for t in self.levels.values():
-            self.spark.sql(f"drop table if exists {t}")
+        """Drop the tables and the state; a family that is to be opened again stays open."""
         self.levels = {}
+        self.sweep()
+        self.versions.remove()
 
 
 def substring_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:

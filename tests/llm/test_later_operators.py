@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from strandloom.llm import alignment, decontamination, lines, negatives
+from strandloom.llm import alignment, decontamination, lines, manifests, negatives, sharding, suffixes
 
 VECTORS = "vec_id long, embedding array<float>, label int, score double, windows string, cell string, side string"
 DOCUMENTS = "doc_id long, text string, lang string, keep string, print string, n_lines string, row string"
@@ -330,3 +330,131 @@ def test_every_third_word_replaced_and_a_word_after_each(spark):
     frame = spark.createDataFrame([(d, t, "en", "k", "p", "n", "r") for d, t in docs], DOCUMENTS)
     out = decontamination.contaminated(frame, spark.createDataFrame([(0, " ".join(item))], "item_id long, text string"))
     assert {r.doc_id: round(r.score, 3) for r in out.collect()} == {1: 0.517, 2: 0.517}
+
+
+# ---------------------------------------------------------------- recovery of the shard store and of families
+
+
+STORED = "doc_id long, text string"
+
+
+def stored(spark, lo, hi):
+    return spark.createDataFrame([(i, f"text {i}") for i in range(lo, hi)], STORED).coalesce(1)
+
+
+def test_sweep_spares_what_is_being_written(spark, tmp_path, monkeypatch):
+    docs = stored(spark, 0, 20)
+    store = sharding.Store(spark, f"file://{tmp_path}/store", docs.schema)
+    store.append(docs)
+    swept = []
+    whole = sharding.Store.described
+
+    def long_append(self, folder, name, *more):  # between the write and the commit: a sweep that takes everything that isn't marked
+        swept.append(sharding.Store(spark, store.root, docs.schema).sweep(retain=-3600))
+        return whole(self, folder, name, *more)
+
+    monkeypatch.setattr(sharding.Store, "described", long_append)
+    store.append(stored(spark, 20, 30))
+    store.compact(fanout=2, target=1 << 30, smallest=1)
+    monkeypatch.undo()
+    assert swept and sorted(r.doc_id for r in store.read(store.manifest()["runs"]).collect()) == list(range(30))
+    assert not list((tmp_path / "store/intents").glob("[0-9a-f]*"))
+    store.sweep(retain=-3600)
+    assert store.read(store.manifest()["runs"]).count() == 30
+
+
+def test_a_dead_writers_shards_go_once_its_intent_is_given_up(spark, tmp_path, monkeypatch):
+    docs = stored(spark, 0, 20)
+    store = sharding.Store(spark, f"file://{tmp_path}/store", docs.schema)
+    store.append(docs)
+    store.sweep(retain=-3600)  # the marks that writers leave beside their shards
+    run = tmp_path / "store/runs/dead"
+    docs.write.parquet(f"file://{run}")
+    (tmp_path / "store/intents").mkdir(exist_ok=True)
+    (tmp_path / "store/intents/dead").touch()
+    assert store.sweep(retain=-3600) == 0 and list(run.glob("part-*"))
+    assert store.sweep(retain=-3600, abandoned=-3600) > 0 and not list(run.glob("part-*")) and store.read(store.manifest()["runs"]).count() == 20
+    assert not (tmp_path / "store/intents/dead").exists()
+
+
+def test_a_lost_commit_is_tried_again_on_the_next_version(spark, tmp_path, monkeypatch):
+    docs = stored(spark, 0, 10)
+    store, other = (sharding.Store(spark, f"file://{tmp_path}/store", docs.schema) for _ in range(2))
+    store.append(docs)
+    commit, done = sharding.Store.commit, []
+
+    def raced(self, base, runs):  # the other writer is first, once
+        if self is store and not done:
+            done.append(1)
+            other.append(stored(spark, 10, 20))
+        return commit(self, base, runs)
+
+    monkeypatch.setattr(sharding.Store, "commit", raced)
+    assert store.append(stored(spark, 20, 30))["version"] == 3
+    done.clear()
+    store.compact(fanout=2, target=1 << 30, smallest=1)
+    monkeypatch.undo()
+    assert sorted(r.doc_id for r in store.read(store.manifest()["runs"]).collect()) == sorted([*range(10), *range(10, 20), *range(10, 20), *range(20, 30)])
+
+
+def test_a_version_is_never_replaced(spark, tmp_path):
+    versions = manifests.Manifests(spark, f"file://{tmp_path}/versions")
+    versions.publish({"version": 1, "who": "a"})
+    with pytest.raises(manifests.Lost):
+        versions.publish({"version": 1, "who": "b"})
+    assert versions.newest() == {"version": 1, "who": "a"} and not list((tmp_path / "versions").glob(".draft-*"))
+
+
+HEADS = "head binary, doc_id long, at int"
+
+
+def heads(spark, names, doc):
+    return spark.createDataFrame([(n.encode(), doc, 0) for n in names], HEADS)
+
+
+def met(df):
+    return sorted(bytes(r.head).decode() for r in df.distinct().collect())
+
+
+@pytest.mark.parametrize("when", ["after the first table", "after a merge", "before the state", "before the drops"])
+def test_a_family_survives_a_crash_at_any_point(spark, monkeypatch, when):
+    name = f"crashed_{when.replace(' ', '_')}"
+    family = suffixes.Family(spark, 2, name)
+    family.add(heads(spark, "ab", 1), "one")
+    writes, boom = [], RuntimeError("the writer dies")
+    write, publish, sql = suffixes.Family._write, manifests.Manifests.publish, type(spark).sql
+
+    def dying_write(self, df, level):
+        out = write(self, df, level)
+        writes.append(level)
+        if when == "after the first table" and level == 0 or when == "after a merge" and level == 1:
+            raise boom
+        return out
+
+    def dying_publish(self, state):
+        if when == "before the state":
+            raise boom
+        return publish(self, state)
+
+    def dying_sql(self, text, *a, **b):
+        if when == "before the drops" and text.startswith("drop table") and len(writes) > 1:
+            raise boom
+        return sql(self, text, *a, **b)
+
+    monkeypatch.setattr(suffixes.Family, "_write", dying_write)
+    monkeypatch.setattr(manifests.Manifests, "publish", dying_publish)
+    monkeypatch.setattr(type(spark), "sql", dying_sql)
+    with pytest.raises(RuntimeError):
+        family.add(heads(spark, "bc", 2), "two")
+    monkeypatch.undo()
+    again = suffixes.Family(spark, 2, name)
+    assert met(again.add(heads(spark, "bc", 2), "two")) == ["b"]  # retried: it doesn't meet itself
+    assert met(again.add(heads(spark, "cad", 3), "three")) == ["a", "c"]
+    assert met(suffixes.Family(spark, 2, name).add(heads(spark, "bc", 2), "two")) == ["b"]  # told once more, not added
+    counted = Counter()
+    for t in again.levels.values():
+        counted.update({bytes(r.head).decode(): r.n for r in spark.table(t).collect()})
+    assert counted == Counter("ab" + "bc" + "cad")
+    assert {t.name for t in spark.catalog.listTables(pattern=f"{name}_l*")} == set(again.levels.values())
+    again.close()
+    assert not spark.catalog.listTables(pattern=f"{name}_l*") and not suffixes.Family(spark, 2, name).levels
