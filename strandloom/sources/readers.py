@@ -104,9 +104,11 @@ def read_sam(spark: SparkSession, path: str, secondary: bool = False) -> DataFra
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """SRC8: sample (the parent folder), contig (the first word of its header), header and sequence of multi-line records."""
-    rows = spark.read.option("lineSep", ">").text(path).select(F.col("value"), F.col("_metadata.file_path").alias("path")).where(F.trim("value") != "")
-    header = F.rtrim(F.substring_index("value", "\n", 1))
+    """SRC8: sample (the parent folder), contig (the first word of its header), header and sequence of multi-line records, which begin
+    with `>` at the start of a line."""
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value"), F.col("_metadata.file_path").alias("path"))
+    rows = rows.where(F.trim(F.translate("value", "\r\n", "  ")) != "")
+    header = F.rtrim(F.regexp_replace(F.substring_index("value", "\n", 1), "\r", ""))
     seq = F.regexp_replace(F.substring(F.col("value"), F.length(F.substring_index("value", "\n", 1)) + 2, F.length("value")), "[\\r\\n]", "")
     return rows.select(parent_of(F.col("path")).alias("sample"), F.substring_index(header, " ", 1).alias("contig"), header.alias("header"), seq.alias("seq"))
 
