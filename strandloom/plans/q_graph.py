@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandloom.functions.seq import revcomp
 from strandloom.operators import correct, graph, kmers, pairs
 from strandloom.plans.registry import query
 
@@ -33,6 +34,27 @@ def _(t):
     return graph.unitigs(graph.saved(graph.extension_masks(t.sql(READS), 11), "masks"), 11)
 
 
+@query(
+    "gr2_unitig_kmers",
+    f"""with r as ({READS}), w as (select distinct unnest([x, {RC.format("x")}]) as w from (select unnest(list_transform(range(1, length(seq) - 10), lambda i: substring(seq, i, 12))) as x from r) y),
+    k as (select w[1:11] as kmer from w union select w[2:12] from w) select kmer, 1 as n from k""",
+)
+def _(t):
+    """Every k-mer of both strands lies on one place of one unitig."""
+    edges = graph.unitigs(graph.saved(graph.extension_masks(t.sql(READS), 11), "masks"), 11)
+    spelled = kmers.kmers(edges, 11, ("edge", "conjugate"))
+    return spelled.groupBy("kmer").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("gr2_conjugates", "select cast(0 as bigint) as unpaired, cast(0 as bigint) as misspelled")
+def _(t):
+    """Edges whose conjugate is missing or isn't told back, and those that don't spell its reverse complement."""
+    edges = graph.saved(graph.unitigs(graph.saved(graph.extension_masks(t.sql(READS), 11), "masks"), 11), "unitigs")
+    other = edges.select(F.col("edge").alias("conjugate"), F.col("conjugate").alias("back"), revcomp("seq").alias("turned"))
+    held = edges.join(other, "conjugate", "left")
+    return held.agg(F.count_if(~F.coalesce(F.col("back") == F.col("edge"), F.lit(False))).alias("unpaired"), F.count_if(~F.coalesce(F.col("turned") == F.col("seq"), F.lit(False))).alias("misspelled"))
+
+
 @query("gr3_early_tip_clip")
 def _(t):
     return graph.early_tip_clip(graph.extensions(t.sql(READS), 9), 9, 6).select("kmer")

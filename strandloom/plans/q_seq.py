@@ -318,6 +318,14 @@ def _(t):
     return kmers.sketch_cardinality(kmers.kmer_sketches(t.contigs, 11, ("sample",)))
 
 
+@query("km5_sketch_error", f"with k as ({km(11)}), c as (select distinct {CAN} as kmer from k) select count(*) as n, true as near from c")
+def _(t):
+    """The exact count, and whether sketches of each library, united, are within four standard errors of it."""
+    united = kmers.sketch_cardinality(kmers.kmer_sketches(t.contigs, 11, ("sample",)))
+    exact = kmers.kmer_counts(t.contigs, 11, packed=True, spread=True).agg(F.count("*").alias("n"))
+    return exact.join(F.broadcast(united)).select("n", (F.abs(F.col("estimate") - F.col("n")) <= 4 * 0.0082 * F.col("n")).alias("near"))
+
+
 @query("km6_kmer_counts_capped", f"with k as ({km(11)}), c as ({COUNTS}) select kmer, least(n, 4) as n from c")
 def _(t):
     return kmers.kmer_counts_capped(t.contigs, 11, 4)
