@@ -5,7 +5,7 @@ word between. No copy escapes them: an alignment of L words of an item that reac
 what lies between two matches in a row costs 2 at least unless both stand at most one word apart on either side; so at least
 c L - 1 of these steps are seeds of text and item alike, within L + 2 L (1 - c) words of the text. Where as many seeds of an item begin,
 the stretch around them is aligned, unless the words it shares with the item can't reach the score. A passage is a copy if its
-local alignment reaches that share of the score of the whole item.
+local alignment reaches that share of the score of the whole item, and more than two words alone could score.
 
 The benchmark is the stated query set: its items are dealt to groups of bounded size, and the documents stream past each group once.
 """
@@ -24,8 +24,8 @@ from strandloom.llm.arrays import word_hashes
 from strandloom.llm.common import forget, saved, table, tucked, untucked
 from strandloom.llm.repeats import marked
 
-#: Words that a seed reaches over; least words of an item; share of the full score of a copy.
-REACH, SHORTEST, COPY = 2, 3, 0.5
+#: Words that a seed reaches over; least words of an item; words that agree by chance; share of the full score of a copy.
+REACH, SHORTEST, CHANCE, COPY = 2, 3, 2, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words of the items of a group that workers hold; slots of the table that turns other pairs of words away; cells of the matrices aligned at a time.
 GROUP, SLOTS, CELLS = 1 << 19, 1 << 22, 1 << 18
@@ -112,7 +112,8 @@ class Items:
         return text[lo], item[lo], begin[lo], end[hi]
 
     def scored(self, hashes: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(share of the full score, word at which it ends) of stretches with their items; 0 where the shared words can't reach `least`."""
+        """(share of the full score, word at which it ends) of stretches with their items; 0 where the shared words can't reach `least`, or
+        the score is one that two words could have."""
         score, stop = np.zeros(len(item)), np.zeros(len(item), np.int64)
         values = hashes.view(np.int64)
         # each match takes a word of the item that stands in the stretch, and scores no more than its share
@@ -125,6 +126,7 @@ class Items:
                 n += 1
             rows = order[at : at + n]
             s, e = smith_waterman([values[begin[r] : end[r]] for r in rows], [self.words[item[r]] for r in rows])
+            s = np.where(s > CHANCE * MATCH, s, 0)
             score[rows], stop[rows] = s / (MATCH * np.array([len(self.words[item[r]]) for r in rows])), e
             at += n
         return score, stop

@@ -284,7 +284,7 @@ def full_scores(docs, items):
                 for j, x in enumerate(a, 1):
                     row.append(max(0, above[j - 1] + (2 if x == w else -1), above[j] - 1, row[j - 1] - 1))
                 top, above = max(top, *row), row
-            if top >= len(b):
+            if top >= max(len(b), 5):  # more than two words alone could score
                 out[d, i] = max(out.get((d, i), 0), top / (2 * len(b)))
     return out
 
