@@ -29,11 +29,14 @@ def gc_map_matrix(cov: DataFrame, most: float = 1000, gc=GC, mappable=MAP) -> Da
 def smooth_matrix(cells: DataFrame, smooth: float = 5.0) -> DataFrame:
     """CN3: cells smoothed by multiquadric radial functions: (K + smooth I) w = value, read off at the cells.
 
-    The grid has at most 101 x 101 cells, whatever the coverage's size, so it is solved in one task.
+    The grid has at most 101 x 101 cells, whatever the coverage's size, so it is solved in one task. Cells without a value take no
+    part; where none has one (no bin gives a genomic median), there is nothing to smooth.
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=["gc", "map", "value"]).sort_values(["gc", "map"])
+        if pdf.empty:
+            return pdf.assign(smoothed=pdf["value"])[["gc", "map", "value", "smoothed"]]
         x = pdf[["gc", "map"]].to_numpy(float)
         gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
         width = np.sqrt(np.prod(np.maximum(np.ptp(x, axis=0), 1)) / max(len(x), 1))

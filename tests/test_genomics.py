@@ -366,3 +366,10 @@ def test_repeated_alignments_each_count_once(spark):
     data = [("s", "r", 0, "c", 3, "2M1D2M", "ACGT")] * 2
     bases = correct.read_bases(spark.createDataFrame(data, "sample string, qname string, flag int, contig string, pos long, cigar string, seq string"))
     assert rows(correct.pileup_votes(bases), "pos", "variant", "votes") == [(3, "A", 2), (4, "C", 2), (5, "D", 2), (6, "G", 2), (7, "T", 2)]
+
+
+def test_cells_without_a_genomic_median_smooth_to_nothing(spark):
+    cov = spark.createDataFrame([("s", 10, 5, 3.0), ("s", 10, 6, 4.0)], "sample string, gc int, map int, coverage double")
+    cells = cn.gc_map_matrix(cov)
+    assert rows(cells, "value") == [(None,), (None,)]
+    assert cn.smooth_matrix(cells).collect() == []
