@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def by_folder(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by the columns that name its folders, so that a folder is one task's work and not a file of every task; Spark splits
+    keys that are too large for one task again."""
+    return df.hint("rebalance", *keys)
+
+
 def write_bed(df: DataFrame, path: str, by: str = "sample") -> None:
     """SNK1: tab-separated rows, a folder for each sample."""
-    df.write.partitionBy(by).option("sep", "\t").csv(path)
+    by_folder(df, by).write.partitionBy(by).option("sep", "\t").csv(path)
 
 
 def write_vcf(header: DataFrame, rows: DataFrame, path: str) -> None:
@@ -27,7 +33,8 @@ def vcf_line(info: Column, prob: Column, su: Column) -> Column:
 
 def write_clusters_csv(stats: DataFrame, path: str) -> None:
     """SNK3: Chrom, Break_number, Size, Median_spacing, Break_pos by sample."""
-    stats.select("sample", F.col("chrom").alias("Chrom"), F.col("n_breaks").alias("Break_number"), F.col("size").alias("Size"), F.col("median_spacing").alias("Median_spacing"), F.col("positions").alias("Break_pos")).write.partitionBy("sample").option("header", True).csv(path)
+    rows = stats.select("sample", F.col("chrom").alias("Chrom"), F.col("n_breaks").alias("Break_number"), F.col("size").alias("Size"), F.col("median_spacing").alias("Median_spacing"), F.col("positions").alias("Break_pos"))
+    by_folder(rows, "sample").write.partitionBy("sample").option("header", True).csv(path)
 
 
 def fasta_record(name: Column, seq: Column) -> Column:
@@ -36,7 +43,7 @@ def fasta_record(name: Column, seq: Column) -> Column:
 
 def write_fasta(contigs: DataFrame, path: str) -> None:
     """SNK4: FASTA records, a folder for each sample."""
-    contigs.select("sample", fasta_record(F.col("contig"), F.col("seq")).alias("value")).write.partitionBy("sample").text(path)
+    by_folder(contigs.select("sample", fasta_record(F.col("contig"), F.col("seq")).alias("value")), "sample").write.partitionBy("sample").text(path)
 
 
 def write_fastq(reads: DataFrame, path: str) -> None:
@@ -83,7 +90,7 @@ def fastg_records(edges: DataFrame) -> DataFrame:
 def write_by_bin(contigs: DataFrame, annotation: DataFrame, path: str) -> None:
     """SNK7: FASTA records in a folder for each bin and sample."""
     rows = contigs.join(annotation.select("contig", "bin").distinct(), "contig")
-    rows.select("bin", "sample", fasta_record(F.col("contig"), F.col("seq")).alias("value")).write.partitionBy("bin", "sample").text(path)
+    by_folder(rows.select("bin", "sample", fasta_record(F.col("contig"), F.col("seq")).alias("value")), "bin", "sample").write.partitionBy("bin", "sample").text(path)
 
 
 def annotation_lines(annotation: DataFrame) -> DataFrame:

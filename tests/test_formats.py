@@ -5,7 +5,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.sources import readers
+from strandloom.sources import readers, writers
 
 
 def rows(df, *columns):
@@ -106,3 +106,12 @@ def test_tables_of_bins_and_profiles(spark, tmp_path):
     got = rows(readers.read_profiles(spark, profile, var=True).where("contig = 'NODE_1'"), "contig", "nth", "abundance", "variance")
     assert got == [("NODE_1", 0, 1.5, 0.25), ("NODE_1", 1, 3.0, 0.5)]
     assert readers.read_profiles(spark, profile).count() == 8
+
+
+def test_a_sample_is_one_file_whatever_tasks_hold_its_rows(spark, tmp_path):
+    rows = [(f"s{i % 5}", "chr1", i, i + 10) for i in range(200)]
+    df = spark.createDataFrame(rows, "sample string, chrom string, start long, end long").repartition(7)
+    writers.write_bed(df, f"file://{tmp_path}/bed")
+    assert [len(list((tmp_path / "bed" / f"sample=s{i}").glob("part-*"))) for i in range(5)] == [1] * 5
+    back = spark.read.schema("chrom string, start long, end long, sample string").option("sep", "\t").option("basePath", f"file://{tmp_path}/bed").csv(f"file://{tmp_path}/bed")
+    assert sorted((r.sample, r.chrom, r.start, r.end) for r in back.collect()) == sorted(rows)
