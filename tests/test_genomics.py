@@ -373,3 +373,20 @@ def test_cells_without_a_genomic_median_smooth_to_nothing(spark):
     cells = cn.gc_map_matrix(cov)
     assert rows(cells, "value") == [(None,), (None,)]
     assert cn.smooth_matrix(cells).collect() == []
+
+
+def test_reads_that_read_alike_are_swept_as_one(spark):
+    rng = random.Random(12)
+    text = "".join(rng.choice("ACGT") for _ in range(560))
+    data = []
+    for i in range(160):
+        at, c = rng.choice((1, 4, 490)), rng.choice(("30M", "12M1I17M", "10M2D18M"))
+        got = list(text[at - 1 : at + 29])
+        got[rng.randrange(3) * 9] = rng.choice("ACGTN")
+        data.append(("s", f"r{i % 150}", 0, "c", at, c, "".join(got)))
+    df = spark.createDataFrame(data, "sample string, qname string, flag int, contig string, pos long, cigar string, seq string")
+    places = spark.createDataFrame([("c", p) for p in (*range(1, 40, 2), *range(495, 530, 3), 800)], "contig string, pos long")
+    own = spark.createDataFrame([("c", text)], "contig string, seq string")
+    for strategy in ("AllReads", "MappedSquared", "AllExceptJustStarted"):
+        want = rows(correct.read_weighted_consensus(correct.read_bases(df), places, own, strategy), "pos", "base", "variant")
+        assert len(want) > 25 and rows(correct.alignment_weighted_consensus(df, places, own, strategy), "pos", "base", "variant") == want
