@@ -390,3 +390,14 @@ def test_reads_that_read_alike_are_swept_as_one(spark):
     for strategy in ("AllReads", "MappedSquared", "AllExceptJustStarted"):
         want = rows(correct.read_weighted_consensus(correct.read_bases(df), places, own, strategy), "pos", "base", "variant")
         assert len(want) > 25 and rows(correct.alignment_weighted_consensus(df, places, own, strategy), "pos", "base", "variant") == want
+
+
+def test_repeats_of_sequences_read_whole_and_dealt_as_windows_agree(spark):
+    rng = random.Random(13)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("AC", "ACGT", "ACGTN", "acgtACGT") for n in (0, 1, 3, 9, 10, 20, 300, 700)]
+    df = spark.createDataFrame([*enumerate(texts), (len(texts), None)], "doc_id long, seq string")
+    near, far = ({r.doc_id: r.repeat_score for r in seqs.repeat_score(df, whole=n).collect()} for n in (1 << 20, -1))
+    assert near.keys() == far.keys() and all(near[d] == pytest.approx(far[d], abs=1e-12) for d in near)
+    for k in (9, 40):
+        near, far = (seqs.kmer_repeat_profile(df, k=k, whole=n) for n in (1 << 20, -1))
+        assert near.dtypes == far.dtypes and sorted(near.collect()) == sorted(far.collect()) != []
