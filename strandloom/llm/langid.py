@@ -19,8 +19,8 @@ from strandloom.llm.arrays import slices
 from strandloom.llm.common import DOCUMENT_COLUMNS, saved, table
 
 ORDER, BITS = 5, 12
-#: Rows that calibrate the rejection; share of them that it may reject.
-CALIBRATION_ROWS, REJECTED = 20_000, 0.0005
+#: Share of the calibrating rows that the rejection may reject.
+REJECTED = 0.0005
 
 _letters: list[np.ndarray] = []
 
@@ -216,23 +216,21 @@ def _scores(model_box, extra: list[str]):
     return run
 
 
-def limits(model_box, rows: DataFrame, most: int = CALIBRATION_ROWS, share: float = REJECTED) -> DataFrame:
-    """(lang_pred, mean, spread, least, cut): how far above its language's mean the cross-entropy of a text may lie.
+def limits(model_box, rows: DataFrame, share: float = REJECTED) -> DataFrame:
+    """(lang_pred, mean, spread, cut): how far above its language's mean the cross-entropy of a text may lie.
 
-    Calibrated on at most `most` labelled rows, the first by a hash of doc_id: a text is rejected if
-    (entropy - mean) / (spread * (1 + 10 / sqrt(n))) is above a cut that a share of them, at most, exceeds; never below 6.
+    Calibrated on all labelled rows that are given: a text is rejected if (entropy - mean) / (spread * (1 + 10 / sqrt(n))) is above
+    a cut that a share of them, at most, exceeds; never below 6. Quantiles are exact, by language.
     """
-    spark = rows.sparkSession
-    labelled = rows.where("lang is not null and text is not null")
-    ids = labelled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).distinct()  # at most `most` numbers
-    pdf = labelled.join(F.broadcast(ids), "doc_id").select("text", "lang").mapInArrow(_scores(model_box, ["lang"]), "lang string, lang_pred string, score double, entropy double, n_scored long").toPandas()
-    pdf = pdf[(pdf["n_scored"] > 0) & (pdf["lang"] == pdf["lang_pred"])]
-    out = []
-    for lang, x in pdf.groupby("lang"):
-        mean, spread = float(x["entropy"].median()), float((x["entropy"] - x["entropy"].median()).abs().quantile(0.9)) + 1e-3
-        z = (x["entropy"] - mean) / (spread * (1 + 10 / np.sqrt(x["n_scored"])))
-        out.append((lang, mean, spread, max(6.0, float(z.quantile(1 - share)) * 1.5)))
-    return spark.createDataFrame(out, "lang_pred string, mean double, spread double, cut double")
+    labelled = rows.where("lang is not null and text is not null").select("text", "lang")
+    scored = labelled.mapInArrow(_scores(model_box, ["lang"]), "lang string, lang_pred string, score double, entropy double, n_scored long")
+    right = saved(scored.where("n_scored > 0 and lang = lang_pred").select("lang_pred", "entropy", "n_scored"), "langid-calibration")
+    middle = right.groupBy("lang_pred").agg(F.percentile("entropy", 0.5).alias("mean"))  # a row for each language
+    far = right.join(F.broadcast(middle), "lang_pred")
+    width = far.groupBy("lang_pred", "mean").agg((F.percentile(F.abs(F.col("entropy") - F.col("mean")), 0.9) + 1e-3).alias("spread"))
+    z = (F.col("entropy") - F.col("mean")) / (F.col("spread") * (1 + 10 / F.sqrt("n_scored")))
+    held = right.join(F.broadcast(width), "lang_pred").groupBy("lang_pred", "mean", "spread")
+    return held.agg(F.greatest(F.lit(6.0), F.percentile(z, 1 - share) * 1.5).alias("cut"))
 
 
 def identify(docs: DataFrame, carry: list[str], spark: SparkSession | None = None) -> DataFrame:

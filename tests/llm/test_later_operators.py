@@ -1,6 +1,7 @@
 """Hard negatives, token alignment and line dedup against brute force, with every awkward case."""
 
 import hashlib
+import inspect
 import random
 from collections import Counter, defaultdict
 
@@ -458,3 +459,22 @@ def test_a_family_survives_a_crash_at_any_point(spark, monkeypatch, when):
     assert {t.name for t in spark.catalog.listTables(pattern=f"{name}_l*")} == set(again.levels.values())
     again.close()
     assert not spark.catalog.listTables(pattern=f"{name}_l*") and not suffixes.Family(spark, 2, name).levels
+
+
+def test_rejection_is_calibrated_on_every_row(spark):
+    from strandloom.llm import langid
+
+    words = {"en": "the quick brown fox jumps over a lazy dog", "de": "der schnelle braune fuchs springt weit hinweg"}
+    rows = [(i, lang, " ".join([text] * (1 + i % 7)) + "x" * (i % 5)) for i in range(120) for lang, text in words.items()]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    box = spark.sparkContext.broadcast(langid.fit(df))
+    got = {r.lang_pred: r for r in langid.limits(box, df).collect()}
+    entropy, n, _ = box.value.entropies([t for *_, t in rows])
+    for i, lang in enumerate(box.value.langs):
+        own = np.array([r[1] == lang and e.argmin() == i for r, e in zip(rows, entropy, strict=True)])
+        h, size = entropy[own, i], n[own]
+        mean = np.median(h)
+        spread = np.quantile(np.abs(h - mean), 0.9) + 1e-3
+        cut = max(6.0, 1.5 * np.quantile((h - mean) / (spread * (1 + 10 / np.sqrt(size))), 1 - langid.REJECTED))
+        assert np.allclose([got[lang].mean, got[lang].spread, got[lang].cut], [mean, spread, cut], rtol=1e-5)
+    assert list(inspect.signature(langid.limits).parameters) == ["model_box", "rows", "share"]  # no number of rows bounds it
