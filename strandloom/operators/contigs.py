@@ -16,7 +16,7 @@ from strandloom.operators.aln import primary_alignment, query_interval
 from strandloom.operators.chunked import lengths, stretches
 from strandloom.operators.intervals import overlap_join
 from strandloom.operators.seqs import repeat_score
-from strandloom.plans.tables import components
+from strandloom.plans.tables import components, saved
 
 # fixed values: costs of the best path over a contig's alignments
 INSERTION, HOMOLOGY, INTER, INTRA, MAX_INSERTION, MIN_ALIGNED, MAX_HOMOLOGY = 2.0, 1.5, 20.0, 10.0, 1500.0, 20.0, 1500.0
@@ -106,13 +106,21 @@ def contig_mapping_table(aln: DataFrame, breaks: DataFrame, pad: int = 500) -> D
 
 
 def remove_common_sites(rows: DataFrame, pad: int = 500) -> DataFrame:
-    """CQ9: without contigs in components of contigs that share padded breakpoints across samples."""
-    ends = rows.select("sample", "qname", "chrom", F.explode(F.array("rstart", "rend")).alias("pos"))
-    site = F.concat_ws("|", F.lit("site"), "chrom", F.floor(F.col("pos") / pad).cast("string"))
-    contig = F.concat_ws("|", F.lit("contig"), "sample", "qname")
-    found = components(ends.select(contig.alias("a"), site.alias("b")), "common-sites")
-    held = ends.select("sample", "qname", contig.alias("node")).distinct().join(found, "node")
-    bad = held.groupBy("component").agg(F.count_distinct("sample").alias("n")).where("n > 1").join(held, "component").select("sample", "qname").distinct()
+    """CQ9: without contigs in components of contigs that share padded breakpoints across samples.
+
+    The components are those of sites alone: a contig links the first of its sites to its others and belongs where the first does,
+    so the rounds run over distinct pairs of sites, whatever the number of contigs.
+    """
+    site = lambda pos: F.concat_ws("|", "chrom", F.floor(F.col(pos) / pad).cast("string"))
+    ends = rows.select("sample", "qname", site("rstart").alias("a"), site("rend").alias("b"))
+    both = F.array(F.least("a", "b"), F.greatest("a", "b"))
+    first = ends.groupBy("sample", "qname").agg(F.min(F.least("a", "b")).alias("site"))
+    low = F.min(F.least("a", "b")).over(Window.partitionBy("sample", "qname"))
+    links = ends.select(low.alias("b"), both.alias("both")).select("b", F.explode("both").alias("a")).where("a <> b").distinct()
+    told = saved(first.groupBy("site").agg(F.min("sample").alias("least"), F.max("sample").alias("most")), "site-samples")
+    found = told.join(components(links, "common-sites").withColumnRenamed("node", "site"), "site", "left").withColumn("component", F.coalesce("component", "site"))
+    wide = found.groupBy("component").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most").select("component")
+    bad = first.join(found.join(wide, "component", "left_semi").select("site"), "site", "left_semi").select("sample", "qname")
     return rows.join(bad, ["sample", "qname"], "left_anti")
 
 

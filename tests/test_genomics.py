@@ -401,3 +401,27 @@ def test_repeats_of_sequences_read_whole_and_dealt_as_windows_agree(spark):
     for k in (9, 40):
         near, far = (seqs.kmer_repeat_profile(df, k=k, whole=n) for n in (1 << 20, -1))
         assert near.dtypes == far.dtypes and sorted(near.collect()) == sorted(far.collect()) != []
+
+
+def test_common_sites_link_contigs_through_sites_alone(spark, monkeypatch):
+    rng = random.Random(14)
+    data = [(rng.choice("ab"), f"q{i % 70}", rng.choice(("chr1", "chr2")), p, p + rng.randint(0, 25)) for i in range(90) for p in [rng.randrange(1500)]]
+    nodes: dict = {}
+
+    def root(x):
+        while nodes.setdefault(x, x) != x:
+            x = nodes[x]
+        return x
+
+    for s, q, c, a, b in data:
+        for p in (a, b):
+            nodes[root((s, q))] = root((c, p // 10))
+    samples: dict = {}
+    for s, q, *_ in data:
+        samples.setdefault(root((s, q)), set()).add(s)
+    want = sorted(x for x in data if len(samples[root(x[:2])]) == 1)
+    asked = []
+    monkeypatch.setattr(contigs, "components", lambda edges, name: asked.append(edges) or components(edges, name))
+    out = contigs.remove_common_sites(spark.createDataFrame(data, "sample string, qname string, chrom string, rstart long, rend long"), 10)
+    assert rows(out, "sample", "qname", "chrom", "rstart", "rend") == want and 0 < len(want) < len(data)
+    assert {x for e in asked for r in e.collect() for x in r} <= {f"{c}|{p // 10}" for _, _, c, a, b in data for p in (a, b)}
