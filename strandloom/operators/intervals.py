@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandloom.plans.tables import saved
+
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int, how: str = "inner") -> DataFrame:
     """Pairs of left (start, end) and right (r_start, r_end), half-open, that overlap within equal keys.
@@ -50,14 +52,27 @@ def sessions(df: DataFrame, keys: list[str], value: str, is_break: Column, name:
 
 
 def weighted_points(df: DataFrame, keys: list[str], value: str, weight: str, fractions: list[float], descending: bool = False) -> DataFrame:
-    """keys, fraction, value: the first value, in order, at which the cumulative weight reaches fraction * total."""
-    per_value = df.groupBy(*keys, value).agg(F.sum(weight).alias("w"))
-    order = Window.partitionBy(*keys).orderBy(F.desc(value) if descending else F.asc(value))
-    total = Window.partitionBy(*keys)
-    held = per_value.withColumn("upto", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("w").over(total))
-    first = F.max(value) if descending else F.min(value)
-    each = held.withColumn("fraction", F.explode(F.array(*(F.lit(float(f)) for f in fractions)))).where(F.col("upto") >= F.col("fraction") * F.col("total"))
-    return each.groupBy(*keys, "fraction").agg(first.alias(value))
+    """keys, fraction, value: the first value, in order, at which the cumulative weight reaches fraction * total.
+
+    Values are dealt to ranges, so a key may have any number of them: the sums of the ranges tell in which one a fraction is
+    reached, and only that one is put in order."""
+    order = [*keys, F.desc(value) if descending else F.asc(value)]
+    points = df.groupBy(*keys, value).agg(F.sum(weight).alias("w"))
+    dealt = saved(points.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()), "weighted-points")
+    # a row for each key of a range: what lies before it, and the ranges that reach a fraction
+    sums = dealt.groupBy(*keys, "part_").agg(F.sum("w").alias("sum_"))
+    of = Window.partitionBy(*keys)
+    upto = F.sum("sum_").over(of.orderBy("part_").rowsBetween(Window.unboundedPreceding, 0))
+    share = F.explode(F.array(*(F.lit(float(f)) for f in fractions)))
+    ranges = sums.withColumn("upto_", upto).withColumn("total", F.sum("sum_").over(of)).withColumn("fraction", share).where(F.col("upto_") >= F.col("fraction") * F.col("total"))
+    first = ranges.groupBy(*keys, "fraction").agg(F.min(F.struct("part_", (F.col("upto_") - F.col("sum_")).alias("before_"), "total")).alias("r"))
+    first = first.select(*(F.col(k).alias(f"of_{i}") for i, k in enumerate(keys)), "fraction", F.col("r.part_").alias("range_"), "r.before_", "r.total")
+    same = [F.col("part_") == F.col("range_"), *(F.col(k).eqNullSafe(F.col(f"of_{i}")) for i, k in enumerate(keys))]
+    met = dealt.join(first, same)
+    one = Window.partitionBy(*keys, "part_", "fraction").orderBy(F.desc(value) if descending else F.asc(value))
+    held = met.withColumn("upto", F.col("before_") + F.sum("w").over(one.rowsBetween(Window.unboundedPreceding, 0)))
+    end = F.max(value) if descending else F.min(value)
+    return held.where(F.col("upto") >= F.col("fraction") * F.col("total")).groupBy(*keys, "fraction").agg(end.alias(value))
 
 
 def upper_median(values: Column) -> Column:

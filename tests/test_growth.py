@@ -1,6 +1,8 @@
 """What a task holds or moves doesn't grow with more than its share: plans and results of the steps that once did."""
 
-from strandloom.operators import seqs
+import random
+
+from strandloom.operators import intervals, kmers, seqs
 
 
 def rows(df, *columns):
@@ -19,3 +21,26 @@ def test_windows_are_made_after_reads_are_dealt(spark):
     assert rows(got, "read_id") == [(1,), (2,), (3,)]
     text = plan(got)
     assert text.index("Generate") < text.index("hashpartitioning(read_id")  # the tree is printed from its root
+
+
+def test_weighted_points_read_one_range(spark):
+    rng = random.Random(3)
+    data = [(g, rng.choice([None, *range(40)]) if g else rng.random(), rng.randint(1, 9)) for g in (None, 0, 1) for _ in range(300)]
+    df = spark.createDataFrame([(g, None if v is None else float(v), w) for g, v, w in data], "g int, v double, w long").repartition(5)
+    for down in (False, True):
+        want = []
+        for g in (None, 0, 1):
+            own = sorted(((-1e9 if v is None else v), w) for k, v, w in data if k == g)
+            own = own[::-1] if down else own
+            for f in (0.1, 0.5, 1.0):
+                total, at = 0, None
+                for v, w in own:
+                    total += w
+                    if total >= f * sum(x for _, x in own):
+                        at = v
+                        break
+                want.append((g, f, at))
+        got = intervals.weighted_points(df, ["g"], "v", "w", [0.1, 0.5, 1.0], down)
+        assert "Window" in plan(got) and "part_" in plan(got)
+        found = {(r["g"], r["fraction"]): r["v"] for r in got.collect()}
+        assert all(found[g, f] == at for g, f, at in want if at != -1e9) and len(found) == len(want)
