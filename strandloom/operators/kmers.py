@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from strandloom.functions.packed import Packed, codec
 from strandloom.functions.seq import CHUNK, canonical, chunks, qualities, with_windows
-from strandloom.plans.tables import components, forget, saved
+from strandloom.plans.tables import components, dealt_by, forget, saved
 
 
 def kmers(reads: DataFrame, k: int, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -22,6 +22,25 @@ def kmers(reads: DataFrame, k: int, carry: tuple[str, ...] = ()) -> DataFrame:
     return with_windows(reads, k, carry)
 
 
+#: Letters of a sequence whose k-mers one task may count.
+WHOLE = 1 << 20
+
+
+def kmers_of_each(reads: DataFrame, k: int, key: str) -> DataFrame:
+    """KM1: key, kmer, n of windows of ACGT by sequence. Sequences are dealt out by key before their windows are made, so a k-mer is not
+    shuffled; those of more than WHOLE letters are dealt as windows, by key and k-mer."""
+    code = codec(k)
+    count = lambda df: code.rows(df, k, (key,)).groupBy(key, "kmer").agg(F.count("*").alias("n"))
+    held = reads.select(key, "seq")
+    long = held.groupBy(key).agg(F.sum(F.length("seq").cast("long")).alias("n")).where(F.col("n") > WHOLE).select(key)
+    long = saved(long, "long-sequences")
+    short = held if long.isEmpty() else held.join(long, held[key].eqNullSafe(long[key]), "left_anti")
+    out = count(dealt_by(short, key))
+    if not long.isEmpty():
+        out = out.unionByName(count(held.join(long, held[key].eqNullSafe(long[key]), "left_semi")))
+    return out.select(key, code.text("kmer").alias("kmer"), "n")
+
+
 def valid_kmers(reads: DataFrame, k: int, q: int = 2) -> DataFrame:
     """KM2: windows of ACGT inside the ends of quality above q, with the chance that all their bases are right.
 

@@ -1,7 +1,9 @@
 """What a task holds or moves doesn't grow with more than its share: plans and results of the steps that once did."""
 
 import random
+from collections import Counter
 
+from strandloom.functions.packed import pack, unpack
 from strandloom.operators import intervals, kmers, seqs
 
 
@@ -44,3 +46,22 @@ def test_weighted_points_read_one_range(spark):
         assert "Window" in plan(got) and "part_" in plan(got)
         found = {(r["g"], r["fraction"]): r["v"] for r in got.collect()}
         assert all(found[g, f] == at for g, f, at in want if at != -1e9) and len(found) == len(want)
+
+
+def test_kmers_of_each_are_counted_without_a_shuffle_of_windows(spark, monkeypatch):
+    rng = random.Random(5)
+    data = [(i // 2 if i else None, "".join(rng.choice("ACGTN") if i % 3 else rng.choice("AC") for _ in range(rng.choice([0, 4, 5, 300, 900])))) for i in range(20)] + [(99, None)]
+    want = Counter((d, s[i : i + 5]) for d, s in data if s for i in range(len(s) - 4) if "N" not in s[i : i + 5])
+    df = spark.createDataFrame(data, "id int, seq string")
+    for most in (1 << 20, 500):
+        monkeypatch.setattr(kmers, "WHOLE", most)
+        got = kmers.kmers_of_each(df, 5, "id")
+        assert {(r["id"], r["kmer"]): r["n"] for r in got.collect()} == dict(want)
+        assert "hashpartitioning(id" in plan(got) and ("kmer" in "".join(line for line in plan(got).splitlines() if "Exchange hash" in line)) == (most == 500)
+
+
+def test_numbers_are_looked_up(spark):
+    words = ["".join(random.Random(k).choice("ACGT") for _ in range(k)) for k in range(1, 32)]
+    for w in words:
+        df = spark.createDataFrame([(w,), (None,)], "w string").select("w", unpack(pack("w"), len(w)).alias("again"))
+        assert df.where("w is distinct from again").isEmpty() and "conv(cast" not in plan(df)
