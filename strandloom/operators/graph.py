@@ -327,8 +327,10 @@ def strand_coverage(maps: DataFrame, edges: DataFrame, symmetric: bool = False)
 def edge_quality(edges: DataFrame, reference: DataFrame, k: int) -> DataFrame:
     """GR20: k-mers of each edge that the reference holds on either strand, counted once a place of the reference."""
     code = codec(k)
-    ref = code.rows(reference, k).select(F.explode(F.array("kmer", "rc")).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
-    rows = code.rows(edges, k, ("edge",))
+    rows = code.rows(edges, k, ("edge",)).select("edge", F.least("kmer", "rc").alias("kmer"))
+    asked = saved(rows.select("kmer").distinct(), "edge-kmers")  # written, so that its size is known: few are broadcast, and the reference isn't shuffled
+    met = code.rows(reference, k).select(F.least("kmer", "rc").alias("kmer"), (F.col("kmer") == F.col("rc")).cast("long").alias("turn")).join(asked, "kmer", "left_semi")
+    ref = met.groupBy("kmer").agg(F.sum(1 + F.col("turn")).alias("n"))
     hits = rows.join(ref, "kmer").groupBy("edge").agg(F.sum("n").alias("quality"))
     return edges.select("edge").join(hits, "edge", "left").select("edge", F.coalesce("quality", F.lit(0)).alias("quality"))
 

@@ -4,7 +4,8 @@ import random
 from collections import Counter
 
 from strandloom.functions.packed import pack, unpack
-from strandloom.operators import intervals, kmers, seqs
+from strandloom.operators import contigs, correct, graph, intervals, kmers, seqs
+from strandloom.plans import tables
 
 
 def rows(df, *columns):
@@ -65,3 +66,15 @@ def test_numbers_are_looked_up(spark):
     for w in words:
         df = spark.createDataFrame([(w,), (None,)], "w string").select("w", unpack(pack("w"), len(w)).alias("again"))
         assert df.where("w is distinct from again").isEmpty() and "conv(cast" not in plan(df)
+
+
+def test_edges_ask_the_reference_for_their_kmers_only(spark):
+    edges = spark.createDataFrame([("e", "ACGTAC"), ("f", "TTTTTT"), ("g", "AC")], "edge string, seq string")
+    reference = spark.createDataFrame([("GTACGTACCC",), ("GGGGGG",), ("ACGT",)], "seq string")
+    want = {}
+    for e, s in (("e", "ACGTAC"), ("f", "TTTTTT"), ("g", "AC")):
+        both = [x for r in ("GTACGTACCC", "GGGGGG", "ACGT") for x in (r, r[::-1].translate(str.maketrans("ACGT", "TGCA")))]
+        want[e] = sum(r[i : i + 4] == s[j : j + 4] for j in range(len(s) - 3) for r in both for i in range(len(r) - 3))
+    got = graph.edge_quality(edges, reference, 4)
+    assert dict(rows(got, "edge", "quality")) == want
+    assert "LeftSemi" in plan(got)
