@@ -55,11 +55,12 @@ def read_to_contig_coverage(reads: DataFrame, contigs: DataFrame, k: int = 21, l
     """
     code = codec(k)
     both = reads.select("read_id", F.posexplode(F.array("seq", revcomp("seq"))).alias("strand", "seq"))
-    seeds = code.rows(both, k, ("read_id", "strand"), at="i").select("read_id", "strand", "i", "kmer")
+    # written, so that their sizes are known: few are broadcast, and neither k-mers nor pieces of contigs are shuffled to meet them
+    seeds = saved(code.rows(both, k, ("read_id", "strand"), at="i").select("read_id", "strand", "i", "kmer"), "read-seeds")
     index = code.rows(contigs, k, ("contig",), at="j").select("contig", "j", "kmer")
-    lines = seeds.join(index, "kmer").select("read_id", "strand", "contig", (F.col("j") - F.col("i")).alias("offset")).distinct()
-    size = lengths(contigs)
-    placed = lines.join(both, ["read_id", "strand"]).join(size, "contig").withColumn("a", F.greatest("offset", F.lit(0))).withColumn("b", F.least(F.col("offset") + F.length("seq"), F.col("length")))
+    lines = index.join(seeds, "kmer").select("read_id", "strand", "contig", (F.col("j") - F.col("i")).alias("offset")).distinct()
+    size = saved(lengths(contigs), "contig-lengths")
+    placed = saved(lines.join(both, ["read_id", "strand"]).join(size, "contig"), "placed-reads").withColumn("a", F.greatest("offset", F.lit(0))).withColumn("b", F.least(F.col("offset") + F.length("seq"), F.col("length")))
     met = stretches(placed, contigs, "a", "b")
     own = F.substring(F.col("seq"), (F.col("from_") - F.col("offset") + 1).cast("int"), F.length("bases"))
     same = met.select("read_id", "contig", "strand", "offset", "a", "b", (F.length("bases") - hamming(F.col("bases"), own)).alias("same"))

@@ -78,3 +78,13 @@ def test_edges_ask_the_reference_for_their_kmers_only(spark):
     got = graph.edge_quality(edges, reference, 4)
     assert dict(rows(got, "edge", "quality")) == want
     assert "LeftSemi" in plan(got)
+
+
+def test_reads_are_placed_from_small_tables(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(contigs, "saved", lambda df, name: made.append(name) or tables.saved(df, name))
+    rng = random.Random(1)
+    seq = "".join(rng.choice("ACGT") for _ in range(700))
+    reads = spark.createDataFrame([(1, seq[490:560])], "read_id int, seq string")
+    got = contigs.read_to_contig_coverage(reads, spark.createDataFrame([("c", seq)], "contig string, seq string"), 21, 60)
+    assert rows(got, "contig", "uncovered", "coverage") == [("c", 630, 0.1)] and {"read-seeds", "placed-reads"} <= set(made)
