@@ -259,12 +259,13 @@ def multi_sample_counts(counts: DataFrame, min_samples: int, min_mult: int = 5)
 def _known(contigs: DataFrame, profiles: DataFrame, k: int, min_length: int) -> tuple[DataFrame, DataFrame]:
     """profiles hold k-mers as kmer_counts(..., packed=True) gives them."""
     rows = codec(k).rows(contigs.where(F.length("seq") >= min_length), k, ("contig",)).select("contig", F.least("kmer", "rc").alias("kmer"))
+    profiles = saved(profiles, "profiles")  # counted once, and read for what is known, for the samples and for the counts
     seen = profiles.select("kmer").distinct()
     known = rows.join(seen, "kmer", "left_semi")
     share = rows.groupBy("contig").agg(F.count("*").alias("all")).join(known.groupBy("contig").agg(F.count("*").alias("known")), "contig", "left")
     grid = known.join(profiles.select("sample").distinct().withColumn("x", F.lit(1)), F.lit(True))
     values = grid.join(profiles, ["kmer", "sample"], "left").select("contig", "sample", F.coalesce("n", F.lit(0)).alias("v"))
-    return values, share
+    return saved(values, "known-counts"), share
 
 
 def contig_abundance(contigs: DataFrame, profiles: DataFrame, k: int, min_length: int = 0, min_share: float = 0.0, clip: float = 0.05) -> DataFrame:

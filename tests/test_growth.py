@@ -80,6 +80,16 @@ def test_edges_ask_the_reference_for_their_kmers_only(spark):
     assert "LeftSemi" in plan(got)
 
 
+def test_profiles_are_counted_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(kmers, "saved", lambda df, name: made.append(name) or tables.saved(df, name))
+    profiles = spark.createDataFrame([(6, "s", 4), (6, "t", 2), (27, "s", 1)], "kmer long, sample string, n long")  # ACG, CGT as 3-mers
+    contig = spark.createDataFrame([("c", "AACGTT")], "contig string, seq string")
+    assert rows(kmers.contig_abundance(contig, profiles, 3), "sample", "abundance") == [("s", 4.0), ("t", 2.0)]
+    assert rows(kmers.contig_abundance_median(contig, profiles, 3), "sample", "median", "mad") == [("s", 4, 0), ("t", 2, 0)]
+    assert made.count("profiles") == 2
+
+
 def test_reads_are_placed_from_small_tables(spark, monkeypatch):
     made = []
     monkeypatch.setattr(contigs, "saved", lambda df, name: made.append(name) or tables.saved(df, name))
