@@ -90,6 +90,15 @@ def test_profiles_are_counted_once(spark, monkeypatch):
     assert made.count("profiles") == 2
 
 
+def test_alignments_that_read_alike_vote_as_one(spark):
+    data = [("s", f"r{i}", 0, "c", 3, cigar, seq) for i, (cigar, seq) in enumerate([("3M", "acg")] * 5 + [("1M1I1M", "ATC")] * 2 + [("1M2D2M", "AGG"), ("3M", "TCG")])]
+    aln = spark.createDataFrame(data, "sample string, qname string, flag int, contig string, pos long, cigar string, seq string")
+    each = lambda df: Counter(map(tuple, df.select("contig", "pos", "variant", "inserted", "votes").collect()))
+    got = correct.alignment_votes(aln)
+    assert each(got) == each(correct.pileup_votes(correct.read_bases(aln)))
+    assert "Generate" not in plan(got)  # the votes are there
+
+
 def test_reads_are_placed_from_small_tables(spark, monkeypatch):
     made = []
     monkeypatch.setattr(contigs, "saved", lambda df, name: made.append(name) or tables.saved(df, name))
