@@ -14,7 +14,7 @@ from strandloom.functions.packed import codec
 from strandloom.functions.seq import base_count, cigar, hamming, ref_span, revcomp
 from strandloom.operators.aln import primary_alignment, query_interval
 from strandloom.operators.chunked import lengths, stretches
-from strandloom.operators.intervals import overlap_join
+from strandloom.operators.intervals import islands, overlap_dealt
 from strandloom.operators.seqs import repeat_score
 from strandloom.plans.tables import components, saved
 
@@ -77,13 +77,26 @@ def read_to_contig_coverage(reads: DataFrame, contigs: DataFrame, k: int = 21, l
     return held.select("contig", F.coalesce("uncovered", F.lit(0).cast("long")).alias("uncovered"), (F.coalesce("bases", F.lit(0)) / F.when(F.col("length") > 0, F.col("length"))).alias("coverage"), "runs")
 
 
-def overlaps_break(rows: DataFrame, breaks: DataFrame, pad: int = 500, width: int = 5000) -> DataFrame:
-    """CQ8: rows (sample, chrom, rstart, rend) flagged by whether they overlap a padded break of their sample and chromosome."""
-    around = breaks.select("sample", "chrom", (F.col("pos") - pad).alias("r_start"), (F.col("pos") + pad).alias("r_end"))
-    named = rows.withColumn("start", F.col("rstart")).withColumn("end", F.col("rend"))
-    hit = overlap_join(named, around, ["sample", "chrom"], width, "left_semi").withColumn("vcf", F.lit(True))
-    missed = overlap_join(named, around, ["sample", "chrom"], width, "left_anti").withColumn("vcf", F.lit(False))
-    return hit.unionByName(missed).drop("start", "end")
+def overlaps_break(rows: DataFrame, breaks: DataFrame, pad: int = 500, width: int = 5000, places: DataFrame | None = None) -> DataFrame:
+    """CQ8: rows (sample, chrom, rstart, rend; whole numbers) flagged by whether they overlap a padded break of their sample and chromosome.
+
+    Places are told once, and meet padded breaks that are joined where they overlap, so the pairs grow with the rows. places: the
+    places of rows, where they can be read more cheaply than rows."""
+    spots = rows.select("sample", "chrom", "rstart", "rend") if places is None else places
+    spots = spots.distinct()
+    found = spots.select("*", F.col("rstart").alias("start"), F.col("rend").alias("end"))
+    met = overlap_dealt(found, "start", "end", width).join(break_islands(breaks, pad, width), ["sample", "chrom", "bucket"])
+    met = met.where((F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end")))
+    hit = met.select("sample", "chrom", "rstart", "rend").distinct().withColumn("vcf", F.lit(True))
+    return rows.join(hit, ["sample", "chrom", "rstart", "rend"], "left").select(*rows.columns, F.coalesce("vcf", F.lit(False)).alias("vcf"))
+
+
+def break_islands(breaks: DataFrame, pad: int, width: int) -> DataFrame:
+    """sample, chrom, bucket, r_start, r_end: padded breaks, joined within a bucket where they overlap. A bucket has at most
+    width / (2 pad) + 2 of them, however many breaks it has."""
+    around = breaks.select("sample", "chrom", (F.col("pos") - pad).alias("r_start"), (F.col("pos") + pad).alias("r_end")).distinct()
+    keys = ["sample", "chrom", "bucket"]
+    return islands(overlap_dealt(around, "r_start", "r_end", width), keys, -1, "r_start", "r_end").groupBy(*keys, "island").agg(F.min("r_start").alias("r_start"), F.max("r_end").alias("r_end")).drop("island")
 
 
 def short_anchor(rows: DataFrame, least: int = 50) -> DataFrame:
@@ -103,7 +116,8 @@ def contig_mapping_table(aln: DataFrame, breaks: DataFrame, pad: int = 500) -> D
         F.count("*").over(Window.partitionBy("sample", "qname")).alias("n_alignments"), (F.col("q_end") - F.col("q_start")).alias("aln_size"), F.col("q_start").alias("qstart"), F.col("q_end").alias("qend"),
         F.when(F.col("flag").bitwiseAND(16) > 0, "-").otherwise("+").alias("strand"), "mapq", length.alias("qlen"), F.col("score").alias("alignment_score"), "cigar",
     )
-    return overlaps_break(short_anchor(rows), breaks, pad)
+    places = aln.select("sample", F.col("contig").alias("chrom"), (F.col("pos") - 1).alias("rstart"), (F.col("pos") - 1 + ref_span("cigar")).alias("rend"))
+    return overlaps_break(short_anchor(rows), breaks, pad, places=places)
 
 
 def remove_common_sites(rows: DataFrame, pad: int = 500) -> DataFrame:

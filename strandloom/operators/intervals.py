@@ -9,6 +9,12 @@ from pyspark.sql.window import Window
 from strandloom.plans.tables import saved
 
 
+def overlap_dealt(df: DataFrame, a: str, b: str, width: int) -> DataFrame:
+    """df once for each bucket of `width` that its interval (a, b) touches."""
+    last = F.floor((F.greatest(F.col(b), F.col(a) + 1) - 1) / width)
+    return df.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(a) / width), last)))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int, how: str = "inner") -> DataFrame:
     """Pairs of left (start, end) and right (r_start, r_end), half-open, that overlap within equal keys.
 
@@ -16,10 +22,7 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int,
     the two starts lies. how: inner, or left_semi and left_anti for rows of left.
     """
 
-    def dealt(df: DataFrame, a: str, b: str) -> DataFrame:
-        last = F.floor((F.greatest(F.col(b), F.col(a) + 1) - 1) / width)
-        return df.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(a) / width), last)))
-
+    dealt = lambda df, a, b: overlap_dealt(df, a, b, width)
     hit = (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))
     if how == "inner":
         both = dealt(left, "start", "end").join(dealt(right, "r_start", "r_end"), [*keys, "bucket"])

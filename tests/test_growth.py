@@ -107,3 +107,15 @@ def test_reads_are_placed_from_small_tables(spark, monkeypatch):
     reads = spark.createDataFrame([(1, seq[490:560])], "read_id int, seq string")
     got = contigs.read_to_contig_coverage(reads, spark.createDataFrame([("c", seq)], "contig string, seq string"), 21, 60)
     assert rows(got, "contig", "uncovered", "coverage") == [("c", 630, 0.1)] and {"read-seeds", "placed-reads"} <= set(made)
+
+
+def test_breaks_meet_places_as_islands(spark):
+    rng = random.Random(2)
+    spots = [(rng.choice(["A", "B", None]), "c", a, a + rng.choice([0, 1, 30, 300])) for a in (rng.randint(-50, 900) for _ in range(200))]
+    breaks = [(rng.choice(["A", "B", None]), "c", rng.randint(-40, 400)) for _ in range(40)] + [("A", "c", 700)] * 9
+    df = spark.createDataFrame(spots + spots[:20], "sample string, chrom string, rstart long, rend long")
+    got = contigs.overlaps_break(df, spark.createDataFrame(breaks, "sample string, chrom string, pos long"), 10, 100)
+    want = Counter((s, c, a, b, any(s is not None and s == t and a < p + 10 and p - 10 < b for t, _, p in breaks)) for s, c, a, b in spots + spots[:20])
+    assert Counter(map(tuple, got.select("sample", "chrom", "rstart", "rend", "vcf").collect())) == want
+    dense = spark.createDataFrame([("A", "c", p) for p in range(1000)], "sample string, chrom string, pos long")
+    assert contigs.break_islands(dense, 10, 100).groupBy("bucket").count().where("count > 1").isEmpty()
