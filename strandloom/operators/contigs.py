@@ -16,7 +16,7 @@ from strandloom.operators.aln import primary_alignment, query_interval
 from strandloom.operators.chunked import lengths, stretches
 from strandloom.operators.intervals import islands, overlap_dealt
 from strandloom.operators.seqs import repeat_score
-from strandloom.plans.tables import components, saved
+from strandloom.plans.tables import components, dealt_by, saved
 
 # fixed values: costs of the best path over a contig's alignments
 INSERTION, HOMOLOGY, INTER, INTRA, MAX_INSERTION, MIN_ALIGNED, MAX_HOMOLOGY = 2.0, 1.5, 20.0, 10.0, 1500.0, 20.0, 1500.0
@@ -254,7 +254,8 @@ def best_alignment_path(rows: DataFrame) -> DataFrame:
 
 def contig_segments(rows: DataFrame) -> DataFrame:
     """CQ16: stretches of each contig covered by no alignment (u), one (a) or several (h): qname, start, end, kind."""
-    events = rows.select("qname", F.explode(F.array(F.struct(F.col("qstart").alias("at"), F.lit(1).alias("by")), F.struct(F.col("qend").alias("at"), F.lit(-1).alias("by")), F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("by")), F.struct(F.col("qlen").cast("long").alias("at"), F.lit(0).alias("by")))).alias("e"))
+    # rows are dealt out by name before they become events, which then need no other shuffle
+    events = dealt_by(rows.select("qname", "qstart", "qend", "qlen"), "qname").select("qname", F.explode(F.array(F.struct(F.col("qstart").alias("at"), F.lit(1).alias("by")), F.struct(F.col("qend").alias("at"), F.lit(-1).alias("by")), F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("by")), F.struct(F.col("qlen").cast("long").alias("at"), F.lit(0).alias("by")))).alias("e"))
     step = events.groupBy("qname", "e.at").agg(F.sum("e.by").alias("by"))
     order = Window.partitionBy("qname").orderBy("at")
     cover = F.sum("by").over(order.rowsBetween(Window.unboundedPreceding, 0))

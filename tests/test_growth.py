@@ -119,3 +119,10 @@ def test_breaks_meet_places_as_islands(spark):
     assert Counter(map(tuple, got.select("sample", "chrom", "rstart", "rend", "vcf").collect())) == want
     dense = spark.createDataFrame([("A", "c", p) for p in range(1000)], "sample string, chrom string, pos long")
     assert contigs.break_islands(dense, 10, 100).groupBy("bucket").count().where("count > 1").isEmpty()
+
+
+def test_names_are_dealt_before_events(spark):
+    df = spark.createDataFrame([("q", 5, 9, 20), ("q", 7, 12, 20)], "qname string, qstart long, qend long, qlen int")
+    got = contigs.contig_segments(df)
+    assert rows(got, "start", "end", "kind") == [(0, 5, "u"), (5, 7, "a"), (7, 9, "h"), (9, 12, "a"), (12, 20, "u")]
+    assert plan(got).count("Exchange hashpartitioning(qname") == 1 and plan(got).index("Generate") < plan(got).index("Exchange hashpartitioning(qname")
