@@ -212,11 +212,23 @@ def capped_clusters(nodes: DataFrame, links: DataFrame, limit: int = CLUSTER) ->
 
 
 def hamming1_clusters(kmer_rows: DataFrame, k: int) -> DataFrame:
-    """KM10: components of k-mers one substitution apart: each looks up its neighbours that are larger, 3 k at most."""
-    near = F.array(*(F.concat(F.substring("kmer", 1, i), F.lit(c), F.expr(f"substring(kmer, {i + 2})")) for i in range(k) for c in "ACGT"))
-    asked = kmer_rows.select("kmer", F.explode(near).alias("b")).where("b > kmer")
-    edges = asked.join(kmer_rows.select(F.col("kmer").alias("b")), "b").select(F.col("kmer").alias("a"), "b")
-    return _with_singles(kmer_rows, edges)
+    """KM10: components of k-mers one substitution apart. K-mers that agree at all places but one, four at most, are linked to the least
+    of them. The first links take each k-mer to the least k-mer near it only; what these leave apart is linked as whole components."""
+    code, text = codec(k), dict(kmer_rows.dtypes)["kmer"] == "string"
+    nodes = saved(kmer_rows.select((code.of_text("kmer") if text else F.col("kmer")).alias("kmer")).distinct(), "kmers")
+    places = [[i for i in range(k) if i != gone] for gone in range(k)]
+    agree = F.array(*(F.struct(F.lit(i).alias("b"), code.part("kmer", p).alias("s")) for i, p in enumerate(places)))
+
+    def links(rows: DataFrame) -> DataFrame:
+        """a, b: label and least label of rows (kmer, label) that agree at all places but one."""
+        near = rows.select("label", F.explode(agree).alias("x")).groupBy("x").agg(F.collect_set("label").alias("all")).where(F.size("all") > 1)
+        return near.select(F.explode("all").alias("a"), F.array_min("all").alias("b")).where("a <> b")
+
+    nearest = links(nodes.withColumn("label", F.col("kmer"))).groupBy("a").agg(F.min("b").alias("b"))
+    first = saved(_with_singles(nodes, nearest).withColumnRenamed("component", "label"), "kmer-labels")
+    found = components(links(first).distinct(), "kmer-clusters").select(F.col("node").alias("label"), "component")
+    held = first.join(found, "label", "left").select("kmer", F.coalesce("component", "label").alias("component"))
+    return held.select(code.text("kmer").alias("kmer"), code.text("component").alias("component")) if text else held
 
 
 def _with_singles(kmer_rows: DataFrame, edges: DataFrame) -> DataFrame:

@@ -126,3 +126,16 @@ def test_names_are_dealt_before_events(spark):
     got = contigs.contig_segments(df)
     assert rows(got, "start", "end", "kind") == [(0, 5, "u"), (5, 7, "a"), (7, 9, "h"), (9, 12, "a"), (12, 20, "u")]
     assert plan(got).count("Exchange hashpartitioning(qname") == 1 and plan(got).index("Generate") < plan(got).index("Exchange hashpartitioning(qname")
+
+
+def test_neighbours_are_linked_by_place(spark):
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("ACGT") for _ in range(5)) for _ in range(90)})
+    label = {w: w for w in words}
+    for _ in words:
+        for a in words:
+            label[a] = min(label[b] for b in words if sum(x != y for x, y in zip(a, b, strict=True)) < 2)
+    df = spark.createDataFrame([(w,) for w in words], "kmer string")
+    assert dict(rows(kmers.hamming1_clusters(df, 5), "kmer", "component")) == label
+    numbers = kmers.hamming1_clusters(df.select(pack("kmer").alias("kmer")), 5)
+    assert dict(rows(numbers.select(unpack("kmer", 5).alias("kmer"), unpack("component", 5).alias("c")), "kmer", "c")) == label
