@@ -79,11 +79,19 @@ def window_counts(reads: DataFrame, k: int) -> DataFrame:
 
 #: Registers of a sketch, as a power of two: a standard error of 1.04 / sqrt(2 ** 14), 0.8 %.
 REGISTERS = 14
+#: Bases up to which k-mers (4 ** 12 at most) are made distinct before they are sketched.
+FEW = 12
 
 
 def kmer_sketches(reads: DataFrame, k: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """KM5: keys, sketch: a mergeable sketch of the distinct canonical k-mers of each library, to be stored and united later."""
-    return codec(k).rows(reads, k, keys).groupBy(*keys).agg(F.hll_sketch_agg(F.least("kmer", "rc"), REGISTERS).alias("sketch"))
+    rows = codec(k).rows(reads, k, keys).select(*keys, F.least("kmer", "rc").alias("kmer"))
+    return sketches_of(rows.distinct() if k <= FEW else rows, keys)
+
+
+def sketches_of(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """KM5: keys, sketch of canonical k-mers (keys, kmer), which may repeat: a sketch of the distinct ones is the same."""
+    return rows.groupBy(*keys).agg(F.hll_sketch_agg("kmer", REGISTERS).alias("sketch"))
 
 
 def unite_sketches(sketches: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

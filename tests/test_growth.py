@@ -139,3 +139,10 @@ def test_neighbours_are_linked_by_place(spark):
     assert dict(rows(kmers.hamming1_clusters(df, 5), "kmer", "component")) == label
     numbers = kmers.hamming1_clusters(df.select(pack("kmer").alias("kmer")), 5)
     assert dict(rows(numbers.select(unpack("kmer", 5).alias("kmer"), unpack("component", 5).alias("c")), "kmer", "c")) == label
+
+
+def test_short_kmers_are_distinct_before_they_are_sketched(spark):
+    df = spark.createDataFrame([("s", "ACGTACGTTTGACA" * 9)], "sample string, seq string")
+    short, long = kmers.kmer_sketches(df, 5, ("sample",)), kmers.kmer_sketches(df, 13, ("sample",))
+    assert "keys=[sample" in plan(short).replace(" ", "") and plan(short).count("HashAggregate") > plan(long).count("HashAggregate")
+    assert round(kmers.sketch_cardinality(short).first()["estimate"]) == kmers.kmer_counts(df, 5).count()
