@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandloom.functions.seq import ref_span
+from strandloom.plans.tables import saved
 
 SAM_FIELDS = [("qname", "string"), ("flag", "int"), ("contig", "string"), ("pos", "long"), ("mapq", "int"), ("cigar", "string"), ("rnext", "string"), ("pnext", "long"), ("tlen", "long"), ("seq", "string"), ("qual", "string")]
 
@@ -114,24 +115,33 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, n, value: lines by number within their file, from 0.
+    """path, n, value: lines by number within their file, from 0."""
+    lines, files = _numbered(spark, path)
+    return lines.join(files, "file").select("path", "n", "value")
+
+
+def _numbered(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Lines (file, n, value) and files (file, path): a file is told by the number of its first line, so that no line carries its path.
 
     Spark reads the splits of a file in order, so a line's number is its place in its task plus the lines of the tasks before.
     """
     rows = _lines(spark, path).withColumn("id", F.monotonically_increasing_id())
     rows = rows.withColumn("task", F.shiftright("id", 33)).withColumn("place", F.col("id").bitwiseAND((1 << 33) - 1))
-    tasks = rows.groupBy("path", "task").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("lines"))
+    tasks = rows.groupBy("path", "task").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("lines"), F.min("id").alias("id"))
     before = F.coalesce(F.sum("lines").over(Window.partitionBy("path").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     broken = F.raise_error(F.lit("the splits of a file are apart within a task"))
     tasks = tasks.withColumn("before", F.when(F.col("last") - F.col("first") + 1 == F.col("lines"), before).otherwise(broken.cast("long")))
-    return rows.join(tasks.select("path", "task", "first", "before"), ["path", "task"]).select("path", (F.col("place") - F.col("first") + F.col("before")).alias("n"), "value")
+    tasks = saved(tasks.withColumn("file", F.min("id").over(Window.partitionBy("path"))).select("path", "task", "first", "before", "file"), "file-splits")
+    lines = rows.join(tasks, ["path", "task"]).select("file", (F.col("place") - F.col("first") + F.col("before")).alias("n"), "value")
+    return lines, tasks.select("file", "path").distinct()
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """SRC9: sample, record, name, seq, qual of four-line records; anything else is an error. gz files are read as they are."""
-    lines = numbered_lines(spark, path)
+    lines, files = _numbered(spark, path)
     field = lambda i: F.max(F.when(F.col("n") % 4 == i, F.col("value")))
-    held = lines.groupBy("path", F.floor(F.col("n") / 4).alias("record")).agg(field(0).alias("head"), field(1).alias("seq"), field(2).alias("plus"), field(3).alias("qual"))
+    held = lines.groupBy("file", F.floor(F.col("n") / 4).alias("record")).agg(field(0).alias("head"), field(1).alias("seq"), field(2).alias("plus"), field(3).alias("qual"))
+    held = held.join(files, "file")
     good = F.startswith("head", F.lit("@")) & F.startswith("plus", F.lit("+")) & (F.length("seq") == F.length("qual"))
     name = F.when(F.coalesce(good, F.lit(False)), F.substring_index(F.substring("head", 2, 1 << 30), " ", 1)).otherwise(F.raise_error(F.concat(F.lit("no four-line record in "), "path")))
     return held.select(sample_of(F.col("path")).alias("sample"), "record", name.alias("name"), "seq", "qual")

@@ -146,3 +146,13 @@ def test_short_kmers_are_distinct_before_they_are_sketched(spark):
     short, long = kmers.kmer_sketches(df, 5, ("sample",)), kmers.kmer_sketches(df, 13, ("sample",))
     assert "keys=[sample" in plan(short).replace(" ", "") and plan(short).count("HashAggregate") > plan(long).count("HashAggregate")
     assert round(kmers.sketch_cardinality(short).first()["estimate"]) == kmers.kmer_counts(df, 5).count()
+
+
+def test_lines_of_a_file_travel_without_its_path(spark, tmp_path):
+    from strandloom.sources import readers
+
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.fastq").write_text("".join(f"@{name}{i}\nACGT\n+\nIIII\n" for i in range(3)))
+    got = readers.read_fastq(spark, f"file://{tmp_path}")
+    assert rows(got, "record", "name") == [(i, f"{n}{i}") for i in range(3) for n in "ab"]
+    assert "hashpartitioning(path" not in plan(got)
