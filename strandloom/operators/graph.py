@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from strandloom.functions.packed import MOST, Packed, codec
 from strandloom.functions.seq import base_count, hamming
 from strandloom.operators.intervals import weighted_points
-from strandloom.plans.tables import components, forget, saved
+from strandloom.plans.tables import components, dealt_by_rows, forget, saved
 
 
 def extension_masks(reads: DataFrame, k: int, spread: bool = False) -> DataFrame:
@@ -404,7 +404,10 @@ def dedup_paths(paths: DataFrame) -> DataFrame:
 
 
 def merge_edge_positions(maps: DataFrame, max_gap: int, max_gap_diff: int) -> DataFrame:
-    """GR23: by edge and read mapping ranges joined where both gaps to the one before are at most max_gap and differ by at most max_gap_diff."""
+    """GR23: by edge and read mapping ranges joined where both gaps to the one before are at most max_gap and differ by at most max_gap_diff.
+
+    The rows of maps are counted first, and dealt to as many tasks as they need."""
+    maps = dealt_by_rows(maps, maps.count(), "edge", "read")
     order = Window.partitionBy("edge", "read").orderBy("q_start", "q_end", "e_start", "e_end")
     q, e = F.col("q_start") - F.lag("q_end").over(order), F.col("e_start") - F.lag("e_end").over(order)
     new = q.isNull() | (q > max_gap) | (e > max_gap) | (F.abs(q - e) > max_gap_diff)

@@ -1,6 +1,7 @@
 """What a task holds or moves doesn't grow with more than its share: plans and results of the steps that once did."""
 
 import random
+import re
 from collections import Counter
 
 from strandloom.functions.packed import pack, unpack
@@ -156,3 +157,26 @@ def test_lines_of_a_file_travel_without_its_path(spark, tmp_path):
     got = readers.read_fastq(spark, f"file://{tmp_path}")
     assert rows(got, "record", "name") == [(i, f"{n}{i}") for i in range(3) for n in "ab"]
     assert "hashpartitioning(path" not in plan(got)
+
+
+def test_mapping_ranges_are_dealt_by_their_number(spark, monkeypatch):
+    rng = random.Random(23)
+    data = [(rng.choice([None, 1, 2]), rng.choice([7, 8]), q, q + rng.randint(1, 60), e, e + rng.randint(1, 60)) for _ in range(200) for q, e in [(rng.randint(0, 4000), rng.randint(0, 4000))]]
+    maps = spark.createDataFrame(data, "edge long, read long, q_start long, q_end long, e_start long, e_end long")
+    want = []
+    for key in {d[:2] for d in data}:
+        own, last = sorted(d[2:] for d in data if d[:2] == key), None
+        for q0, q1, e0, e1 in own:
+            if last and q0 - last[1] <= 900 and e0 - last[3] <= 900 and abs(q0 - last[1] - e0 + last[3]) <= 500:
+                low = want.pop()
+                want.append((*key, low[2], max(low[3], q1), min(low[4], e0), max(low[5], e1)))
+            else:
+                want.append((*key, q0, q1, e0, e1))
+            last = (q0, q1, e0, e1)
+    names, order = maps.columns, lambda r: tuple(-1 if x is None else x for x in r)
+    assert len(want) < len(data) - 20
+    for most, parts in ((1 << 19, 2), (25, 8)):
+        monkeypatch.setattr(tables, "ROWS", most)
+        got = graph.merge_edge_positions(maps, 900, 500)
+        assert sorted((tuple(r) for r in got.select(*names).collect()), key=order) == sorted(want, key=order)
+        assert {int(n) for n in re.findall(r"hashpartitioning\([^()]*, (\d+)\)", plan(got))} == {parts}
