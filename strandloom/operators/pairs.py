@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from strandloom.functions.seq import revcomp
 from strandloom.operators.intervals import weighted_points
+from strandloom.plans.tables import dealt_by_rows, saved
 
 
 def insert_size_histogram(mates: DataFrame, lengths: DataFrame, min_edge_len: int = 0) -> DataFrame:
@@ -55,16 +56,23 @@ def insert_size_interval(hist: DataFrame, quantile: float) -> DataFrame:
 
 
 def pair_info(mates: DataFrame, weight: str = "one", step: int = 1) -> DataFrame:
-    """PI5: (e1, e2, d, w) over all edges of the two mates of a pair; weight: one, or product of the mapped lengths; d rounded to `step`."""
-    side = lambda m, s: mates.where(F.col("mate") == m).select("pair", F.col("edge").alias(f"e{s}"), F.col("e_start").alias(f"s{s}"), F.col("mapped").alias(f"m{s}"))
+    """PI5: (e1, e2, d, w) over all edges of the two mates of a pair; weight: one, or product of the mapped lengths; d rounded to `step`.
+
+    The rows of mates are counted first, and pairs and points dealt to as many tasks as they need."""
+    rows = mates.count()
+    side = lambda m, s: dealt_by_rows(mates.where(F.col("mate") == m).select("pair", F.col("edge").alias(f"e{s}"), F.col("e_start").alias(f"s{s}"), F.col("mapped").alias(f"m{s}")), rows, "pair")
     both = side(0, 1).join(side(1, 2), "pair")
     w = F.lit(1.0) if weight == "one" else (F.col("m1") * F.col("m2")).cast("double")
     d = (F.round((F.col("s2") - F.col("s1")) / step) * step).cast("long")
-    return both.groupBy("e1", "e2", d.alias("d")).agg(F.sum(w).alias("w"))
+    return dealt_by_rows(both.select("e1", "e2", d.alias("d"), w.alias("w")), rows, "e1", "e2", "d").groupBy("e1", "e2", "d").agg(F.sum("w").alias("w"))
 
 
 def cluster_distances(points: DataFrame, linkage: int) -> DataFrame:
-    """PI6: distances of an edge pair at most `linkage` apart as one: centre by weight, weight, half width."""
+    """PI6: distances of an edge pair at most `linkage` apart as one: centre by weight, weight, half width.
+
+    The points are written, counted, and dealt to as many tasks as they need."""
+    points = saved(points, "points")
+    points = dealt_by_rows(points, points.count(), "e1", "e2")
     order = Window.partitionBy("e1", "e2").orderBy("d")
     new = F.lag("d").over(order).isNull() | (F.col("d") - F.lag("d").over(order) > linkage)
     held = points.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))

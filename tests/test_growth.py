@@ -5,7 +5,7 @@ import re
 from collections import Counter
 
 from strandloom.functions.packed import pack, unpack
-from strandloom.operators import contigs, correct, graph, intervals, kmers, seqs
+from strandloom.operators import contigs, correct, graph, intervals, kmers, pairs, seqs
 from strandloom.plans import tables
 
 
@@ -180,3 +180,28 @@ def test_mapping_ranges_are_dealt_by_their_number(spark, monkeypatch):
         got = graph.merge_edge_positions(maps, 900, 500)
         assert sorted((tuple(r) for r in got.select(*names).collect()), key=order) == sorted(want, key=order)
         assert {int(n) for n in re.findall(r"hashpartitioning\([^()]*, (\d+)\)", plan(got))} == {parts}
+
+
+def test_pairs_and_points_are_dealt_by_their_number(spark, monkeypatch):
+    rng = random.Random(6)
+    data = [(rng.randint(0, 40), rng.randint(0, 1), rng.choice([1, 2]), rng.randint(0, 900), rng.randint(1, 9)) for _ in range(200)]
+    want = Counter()
+    for p, m, e, s, n in data:
+        for p2, m2, e2, s2, n2 in data:
+            if (p, m, m2) == (p2, 0, 1):
+                want[e, e2, s2 - s] += n * n2
+    merged = []
+    for key in sorted({k[:2] for k in want}):
+        own = []
+        for d in sorted(k[2] for k in want if k[:2] == key):
+            own = own if own and d - own[-1][-1] <= 20 else [*own, []]
+            own[-1].append(d)
+        merged += [(*key, sum(d * want[*key, d] for d in ds) / sum(want[*key, d] for d in ds), float(sum(want[*key, d] for d in ds)), (ds[-1] - ds[0]) / 2) for ds in own]
+    mates = spark.createDataFrame(data, "pair long, mate int, edge long, e_start long, mapped long")
+    dealt = lambda df: {int(n) for n in re.findall(r"hashpartitioning\([^()]*, (\d+)\)", plan(df))}
+    for most, parts, more in ((1 << 19, 2, 2), (40, 5, -(-len(want) // 40))):
+        monkeypatch.setattr(tables, "ROWS", most)
+        points = pairs.pair_info(mates, "product")
+        assert rows(points, "e1", "e2", "d", "w") == sorted((*k, float(w)) for k, w in want.items()) and dealt(points) == {parts}
+        got = pairs.cluster_distances(points, 20)
+        assert rows(got, "e1", "e2", "d", "w", "half_width") == sorted(merged) and dealt(got) == {more}
