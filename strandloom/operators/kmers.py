@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from strandloom.functions.packed import Packed, codec
 from strandloom.functions.seq import CHUNK, canonical, chunks, qualities, with_windows
-from strandloom.plans.tables import components, dealt_by, forget, saved
+from strandloom.plans.tables import components, dealt_by, dealt_by_rows, forget, saved
 
 
 def kmers(reads: DataFrame, k: int, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -128,39 +128,47 @@ def kmer_quality_stats(valid: DataFrame, most: int = 63) -> DataFrame:
     return basic.join(quals, "kmer")
 
 
+#: Stretches, at most, that k-mers of a block agree on.
+AGREE = 4
 #: K-mers of a block from which on it is split again; k-mers that a cluster may have; from what share of that on it takes none but small ones, and how small.
 BLOCK, CLUSTER, LARGE, SMALL = 50, 2500, 0.75, 50
 
 
-def _blocks(rows: DataFrame, code: Packed, families: list, block: int) -> tuple[DataFrame, DataFrame]:
-    """rows (kmer, key) dealt to blocks of k-mers that agree at one family's positions: those of blocks of up to `block`, and the others."""
-    parts = F.array(*(F.struct(F.lit(i).alias("b"), code.part("kmer", p).alias("s")) for i, p in enumerate(families)))
-    keyed = saved(rows.select("kmer", "key", F.explode(parts).alias("x")).select("kmer", F.xxhash64("key", "x.b", "x.s").alias("key")), "kmer-blocks")
-    big = saved(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key"), "kmer-big")
-    return keyed.join(big, "key", "left_anti"), keyed.join(big, "key", "left_semi")
-
+def _blocks(rows: DataFrame, code: Packed, families: list, block: int, tau: int) -> tuple[DataFrame, DataFrame]:
+    """rows (kmer, key) dealt to blocks of k-mers that agree at one family's positions: the pairs (kmer, kmer2) of up to tau apart within
+    blocks of up to `block`, and the rows (kmer, key) of the others.
 
-def block_pairs(rows: DataFrame) -> DataFrame:
-    """kmer, kmer2 of all pairs within the blocks of rows (kmer, key)."""
-    return rows.join(rows.withColumnRenamed("kmer", "kmer2"), "key").where("kmer < kmer2").select("kmer", "kmer2")
+    Both are written at once, so that a row is shuffled once for each family: blocks are counted, joined and told apart where they are."""
+    parts = F.array(*(F.struct(F.lit(i).alias("b"), code.part("kmer", p).alias("s")) for i, p in enumerate(families)))
+    keyed = rows.select("kmer", "key", F.explode(parts).alias("x")).select("kmer", F.xxhash64("key", "x.b", "x.s").alias("key"))
+    sized = dealt_by_rows(keyed, rows.count() * len(families), "key").withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    few = sized.where(F.col("n").between(2, block)).select("key", "kmer")
+    near = (F.col("kmer") < F.col("kmer2")) & (code.distance("kmer", "kmer2") <= tau)
+    pairs = few.join(few.withColumnRenamed("kmer", "kmer2"), "key").where(near).select("kmer", "kmer2", F.lit(None).cast("long").alias("key"))
+    many = sized.where(F.col("n") > block).select("kmer", F.lit(None).cast(dict(rows.dtypes)["kmer"]).alias("kmer2"), "key")
+    both = saved(pairs.union(many), "kmer-blocks")
+    return both.where("kmer2 is not null").select("kmer", "kmer2"), both.where("kmer2 is null").select("kmer", "key")
 
 
 def hamming_candidates(kmer_rows: DataFrame, tau: int, k: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """KM9: pairs (kmer, kmer2) to verify, and links (a, b) that hold by themselves, of k-mers (numbers up to 31 bases).
+    """KM9: pairs (kmer, kmer2) and links (a, b) of distinct k-mers (numbers up to 31 bases) at a distance of tau or less.
 
-    K-mers at a distance of tau or less agree on one of tau + 1 stretches, and on one of tau + 1 strides. Blocks that agree on a
-    stretch are compared pair by pair; larger ones are split by strides first. What is in a large block still, low complexity, is
-    linked without pairs: k-mers that agree outside of any tau positions are linked to the smallest of them.
+    Of tau + 2 stretches such k-mers agree on two, of tau + 3 on three: as many as it takes that random k-mers fill no block. Blocks
+    that agree on these are compared pair by pair; larger ones are split by strides first, of tau + 1 of which k-mers agree on one. What
+    is in a large block still, low complexity, is linked without pairs: k-mers that agree outside of any tau positions are linked to the
+    smallest of them.
     """
-    code = codec(k)
-    cuts = [i * k // (tau + 1) for i in range(tau + 2)]
+    code, rows = codec(k), kmer_rows.count()
+    agree = next((a for a in range(2, AGREE) if 4 ** (a * k // (a + tau)) * block >= rows), AGREE)
+    cuts = [i * k // (agree + tau) for i in range(agree + tau + 1)]
+    stretches = [range(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     start = kmer_rows.select("kmer", F.lit(0).cast("long").alias("key"))
-    few, many = _blocks(start, code, [range(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], block)
-    fewer, rest = _blocks(many, code, [range(i, k, tau + 1) for i in range(tau + 1)], block)
-    pairs = block_pairs(few).union(block_pairs(fewer)).distinct()
+    few, many = _blocks(start, code, [[i for x in some for i in x] for some in combinations(stretches, agree)], block, tau)
+    fewer, rest = _blocks(many, code, [range(i, k, tau + 1) for i in range(tau + 1)], block, tau)
+    pairs = few.union(fewer).distinct()
     places = [[i for i in range(k) if i not in gone] for gone in combinations(range(k), tau)]
-    agree = F.array(*(F.struct(F.lit(i).alias("b"), code.part("kmer", p).alias("s")) for i, p in enumerate(places)))
-    alike = rest.select("kmer").distinct().select("kmer", F.explode(agree).alias("x"))  # 4 ** tau k-mers a key at most
+    alone = F.array(*(F.struct(F.lit(i).alias("b"), code.part("kmer", p).alias("s")) for i, p in enumerate(places)))
+    alike = rest.select("kmer").distinct().select("kmer", F.explode(alone).alias("x"))  # 4 ** tau k-mers a key at most
     least = alike.groupBy("x").agg(F.min("kmer").alias("a"), F.collect_list("kmer").alias("all")).where(F.size("all") > 1)
     links = least.select("a", F.explode("all").alias("b")).where("a <> b").distinct()
     return pairs, links
@@ -175,24 +183,25 @@ def hamming_clusters(kmer_rows: DataFrame, tau: int, k: int, block: int = BLOCK,
     code, text = codec(k), dict(kmer_rows.dtypes)["kmer"] == "string"
     rows = saved(kmer_rows.select((code.of_text("kmer") if text else F.col("kmer")).alias("kmer")).distinct(), "kmers")
     pairs, alike = hamming_candidates(rows, tau, k, block)
-    found = pairs.where(code.distance("kmer", "kmer2") <= tau).select(F.col("kmer").alias("a"), F.col("kmer2").alias("b"))
-    links = saved(found.union(alike).distinct().withColumn("d", code.distance("a", "b")), "kmer-links")
+    links = saved(pairs.select(F.col("kmer").alias("a"), F.col("kmer2").alias("b")).union(alike).distinct().withColumn("d", code.distance("a", "b")), "kmer-links")
     held = capped_clusters(rows, links, limit)
     return held.select(code.text("kmer").alias("kmer"), code.text("component").alias("component")) if text else held
 
 
 def capped_clusters(nodes: DataFrame, links: DataFrame, limit: int = CLUSTER) -> DataFrame:
-    """kmer, component: components of links (a, b, d), but for those of more than `limit` nodes.
+    """kmer, component of distinct nodes (kmer): components of links (a, b, d), but for those of more than `limit` nodes.
 
     In these, clusters that may unite do so in rounds, beginning with single nodes: half of the clusters, chosen by a hash for each
     round, take in those of the other half that are nearest to them, in the order of distance, as long as both together stay within the
     limit and, where one has more than LARGE of it, the other has SMALL nodes at most. It ends when no two linked clusters may unite.
     """
-    plain = saved(_with_singles(nodes, links.select("a", "b")), "clusters-plain")
+    linked = components(links.select("a", "b"), "kmer-clusters").select(F.col("node").alias("kmer"), "component")
+    plain = saved(linked, "clusters-plain")  # a node without links is a cluster of one and joins at the end
+    named = lambda held: nodes.join(held, "kmer", "left").select("kmer", F.coalesce("component", "kmer").alias("component"))
     over = plain.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("component")
     wide = saved(plain.join(over, "component", "left_semi").select("kmer", F.col("kmer").alias("cluster")), "clusters-wide")
     if wide.isEmpty():
-        return plain.select("kmer", "component")
+        return named(plain)
     edges = saved(links.join(wide.select(F.col("kmer").alias("a")), "a", "left_semi").select(F.col("a").alias("x"), F.col("b").alias("y"), "d"), "clusters-edges")
     labels, step = wide, 0
     while True:
@@ -214,9 +223,9 @@ def capped_clusters(nodes: DataFrame, links: DataFrame, limit: int = CLUSTER) ->
         less = saved(moved(moved(edges, "x"), "y").where("x <> y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("d").alias("d")), f"clusters-edges-{step}")
         forget(size, open_, took, labels, edges)
         labels, edges, step = new, less, step + 1
-    named = labels.groupBy("cluster").agg(F.min("kmer").alias("component"))
-    capped = labels.join(named, "cluster").select("kmer", "component")
-    return plain.join(over, "component", "left_anti").select("kmer", "component").unionByName(capped)
+    least = labels.groupBy("cluster").agg(F.min("kmer").alias("component"))
+    capped = labels.join(least, "cluster").select("kmer", "component")
+    return named(plain.join(over, "component", "left_anti").select("kmer", "component").unionByName(capped))
 
 
 def hamming1_clusters(kmer_rows: DataFrame, k: int) -> DataFrame:

@@ -205,3 +205,34 @@ def test_pairs_and_points_are_dealt_by_their_number(spark, monkeypatch):
         assert rows(points, "e1", "e2", "d", "w") == sorted((*k, float(w)) for k, w in want.items()) and dealt(points) == {parts}
         got = pairs.cluster_distances(points, 20)
         assert rows(got, "e1", "e2", "d", "w", "half_width") == sorted(merged) and dealt(got) == {more}
+
+
+def test_blocks_of_kmers_are_not_written(spark, monkeypatch):
+    rng = random.Random(26)
+    k, tau, written = 12, 2, []
+    word = lambda: "".join(rng.choice("ACGT") for _ in range(k))
+    made = {word() for _ in range(900)}
+    for w in sorted(made)[:60]:
+        made.add("".join(rng.choice("ACGT") if i in (2, 9) else c for i, c in enumerate(w)))
+    crowd = {"ACGTACGT" + "".join(rng.choice("ACGT") for _ in range(4)) for _ in range(80)}  # a block of more than 20
+    save = kmers.saved
+    monkeypatch.setattr(kmers, "saved", lambda df, name: written.append((name, save(df, name))) or written[-1][1])
+
+    def group(links):
+        least = {x: x for pair in links for x in pair}
+        while any(least[a] != least[b] for a, b in links):
+            for a, b in links:
+                least[a] = least[b] = min(least[a], least[b])
+        return least
+
+    for words, block in ((made, 50), (made | crowd, 20)):
+        near = {(a, b) for a in words for b in words if a < b and sum(x != y for x, y in zip(a, b, strict=True)) <= tau}
+        df = spark.createDataFrame([(w,) for w in sorted(words)], "kmer string").select(pack("kmer").alias("kmer"))
+        pairs_, links = kmers.hamming_candidates(df, tau, k, block)
+        text = lambda d, a, b: set(rows(d.select(unpack(a, k).alias("a"), unpack(b, k).alias("b")), "a", "b"))
+        found, alike = text(pairs_, "kmer", "kmer2"), text(links, "a", "b")
+        assert found <= near and alike <= near
+        if words is made:
+            assert found == near and not alike
+            assert sum(t.count() for name, t in written if name == "kmer-blocks") < len(words)  # pairs, not a row for each block
+        assert group(found | alike) == group(near)
