@@ -236,3 +236,49 @@ def test_blocks_of_kmers_are_not_written(spark, monkeypatch):
             assert found == near and not alike
             assert sum(t.count() for name, t in written if name == "kmer-blocks") < len(words)  # pairs, not a row for each block
         assert group(found | alike) == group(near)
+
+
+def test_the_sweep_gets_a_number_for_an_alignment(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = {c: "".join(rng.choice("ACGT") for _ in range(560)) for c in "cd"}
+    data = []
+    for i in range(300):
+        c, at, cigar = rng.choice("cd"), rng.choice((1, 4, 500)), rng.choice(("20M", "8M1I11M", "10M2D10M"))
+        seq = list(texts[c][at - 1 : at + 19])
+        seq[rng.choice((0, 6, 9, 15))] = rng.choice("ACGTNa")
+        data.append(("s", f"r{i % 230}", 0, c, at, cigar, "".join(seq)))
+    data += [("s", "bare", 0, "c", 1, "10M2D10M", None), ("s", "bare", 0, "c", 4, "10M2D10M", None)]
+    aln = spark.createDataFrame(data, "sample string, qname string, flag int, contig string, pos long, cigar string, seq string")
+    places = [(c, p) for c in "cd" for p in (1, 7, 10, 11, 13, 15, 505, 510, 511, 600)]
+    said = {}
+    for r in correct.read_bases(aln).where("variant <> 'I'").collect():
+        if (r.contig, r.pos) in places:
+            said.setdefault((r.contig, r.qname), []).append((r.pos, r.variant))
+    said = {k: v for k, v in said.items() if len(v) > 1}
+
+    def swept(strategy):
+        out = []
+        for c in "cd":
+            own = {q: v for (k, q), v in said.items() if k == c}
+            wrong, right = Counter(), Counter()
+            for p in sorted({p for v in own.values() for p, _ in v}, reverse=True):
+                here = [(q, x) for q, v in own.items() for at, x in v if at == p]
+                votes = Counter()
+                for q, x in here:
+                    factor = {"AllReads": 1, "MappedSquared": right[q] ** 2, "AllExceptJustStarted": not wrong[q] and not right[q]}[strategy]
+                    votes[x] += ((100, 10, 8, 5, 2, 1)[wrong[q]] if wrong[q] < 6 else 0) * factor
+                base = texts[c][p - 1]
+                best = max(votes, key=lambda x: (votes[x], x == base, -"ACGTND".index(x))) if any(votes.values()) else base
+                for q, x in here:
+                    (right if x == best else wrong)[q] += 1
+                out.append((c, p, base, best))
+        return sorted(out)
+
+    handed, whole = [], correct._swept
+    monkeypatch.setattr(correct, "_swept", lambda df, *more: handed.append(df) or whole(df, *more))
+    contig = spark.createDataFrame([*texts.items()], "contig string, seq string")
+    for strategy in ("AllReads", "MappedSquared", "AllExceptJustStarted"):
+        got = correct.alignment_weighted_consensus(aln, spark.createDataFrame(places, "contig string, pos long"), contig, strategy)
+        assert rows(got, "contig", "pos", "base", "variant") == swept(strategy)
+    assert handed[0].columns == ["contig", "parts", "n"] and handed[0].count() < len({d[1:4:2] for d in data})
+    assert handed[0].selectExpr("max(size(parts))", "sum(size(parts) * n)").first()[:] == (max(Counter((d[3], d[1]) for d in data).values()), len(data))
