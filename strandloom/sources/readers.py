@@ -186,6 +186,18 @@ def read_profiles(spark: SparkSession, path: str, var: bool = False) -> DataFram
     return rows.groupBy("contig", F.floor(F.col("i") / 2).cast("int").alias("nth")).agg(one(0).alias("abundance"), one(1).alias("variance"))
 
 
+def read_folders(spark: SparkSession, path: str, schema: str, key: str, **options) -> DataFrame:
+    """Rows of csv files in folders key=value of path, with the value as a string; __HIVE_DEFAULT_PARTITION__ is null.
+
+    The value is read off a file's path: discovering folders as partitions takes the driver time with the square of their number."""
+    files = spark.read.schema(schema).options(recursiveFileLookup=True, **options).csv(path)
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    name = F.substring_index(F.substring_index(F.col("_metadata.file_path"), f"/{key}=", -1), "/", 1)
+    # once for the path, once for the name of the folder
+    value = F.when(F.contains(name, F.lit("%")), plain(plain(name))).when(name != "__HIVE_DEFAULT_PARTITION__", name)
+    return files.select(*files.columns, value.alias(key))
+
+
 def read_regions(spark: SparkSession, path: str) -> DataFrame:
     """SRC15: chrom, start, end, type of a BED file, with or without a header line."""
     rows = spark.read.schema("chrom string, start string, end string, type string").option("sep", "\t").csv(path)

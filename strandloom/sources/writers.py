@@ -2,27 +2,83 @@
 
 from __future__ import annotations
 
+import os
+import re
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
 def by_folder(df: DataFrame, *keys: str) -> DataFrame:
-    """df dealt by the columns that name its folders, so that a folder is one task's work and not a file of every task; Spark splits
-    keys that are too large for one task again."""
-    return df.hint("rebalance", *keys)
+    """df dealt by the columns that name its folders and sorted by them, so that a folder is one task's work and not a file of every task;
+    Spark splits keys that are too large for one task again."""
+    return df.hint("rebalance", *keys).sortWithinPartitions(*keys)
+
+
+def folder_name(key: str, value: str | None) -> str:
+    """The folder of a value, named as Spark does."""
+    return f"{key}=" + re.sub("[\x01-\x1f\"#%'*/:=?\\\\\x7f{\\[\\]^]", lambda m: f"%{ord(m[0]):02X}", value or "__HIVE_DEFAULT_PARTITION__")
+
+
+def write_folders(df: DataFrame, path: str, keys: list[str], form: str = "text", **options) -> None:
+    """df as text or csv in a folder for each value of keys, one file a task and folder; the rows of a folder lie side by side in their task.
+
+    On a file system that the driver and all executors share, the tasks open the files themselves: Hadoop starts a process there for each
+    folder, file and checksum to set its mode, and the driver renames the folders one by one. Elsewhere Spark writes them. A file gets
+    its name when it is whole, and a task that is tried again writes the same files.
+    """
+    found = re.fullmatch("(?:file:(?://)?)?(/.*)", path)
+    if not found:
+        df.write.partitionBy(*keys).options(**options).format(form).save(path)
+        return
+    root, end = found[1], {"text": ".txt", "csv": ".csv"}[form]
+    rest = [c for c in df.columns if c not in keys]
+    line = F.col(rest[0]) if form == "text" else F.to_csv(F.struct(*rest), {k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()})
+    first = options.get("sep", ",").join(rest) + "\n" if options.get("header") else ""
+
+    def write(batches):
+        task, out, last, files = TaskContext.get(), None, None, 0
+        name = f"part-{task.partitionId():05d}{end}"
+
+        def close():
+            if out is not None:
+                out.close()
+                os.replace(out.name, os.path.join(os.path.dirname(out.name), name))
+
+        for batch in batches:
+            at, values = 0, batch.column(len(keys)).to_pylist()
+            for key, same in groupby(zip(*(batch.column(i).to_pylist() for i in range(len(keys))), strict=True)):
+                upto, folder = at + sum(1 for _ in same), os.path.join(root, *map(folder_name, keys, key))
+                if folder != last:
+                    close()
+                    os.makedirs(folder, exist_ok=True)
+                    out = open(os.path.join(folder, f".{name}-{task.taskAttemptId()}"), "w", encoding="utf-8", newline="")
+                    out.write(first)
+                    last, files = folder, files + 1
+                out.writelines(f"{v or ''}\n" for v in values[at:upto])
+                at = upto
+        close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    os.makedirs(root)
+    df.select(*(F.col(k).cast("string").alias(k) for k in keys), line.alias("line")).mapInArrow(write, "files long").agg(F.sum("files")).first()
+    open(os.path.join(root, "_SUCCESS"), "w").close()
 
 
 def write_bed(df: DataFrame, path: str, by: str = "sample") -> None:
     """SNK1: tab-separated rows, a folder for each sample."""
-    by_folder(df, by).write.partitionBy(by).option("sep", "\t").csv(path)
+    write_folders(by_folder(df, by), path, [by], "csv", sep="\t")
 
 
 def write_vcf(header: DataFrame, rows: DataFrame, path: str) -> None:
     """SNK2: VCF text by sample: header lines (sample, nth, value) first, then rows (sample, chrom, pos, value) in order."""
     lines = header.select("sample", F.lit(0).alias("part"), F.lit("").alias("chrom"), F.col("nth").cast("long").alias("pos"), "value").unionByName(rows.select("sample", F.lit(1).alias("part"), "chrom", "pos", "value"))
     # a file holds whole samples, so that the header stands once and on top
-    lines.repartition("sample").sortWithinPartitions("sample", "part", "chrom", "pos").select("sample", "value").write.partitionBy("sample").text(path)
+    write_folders(lines.repartition("sample").sortWithinPartitions("sample", "part", "chrom", "pos").select("sample", "value"), path, ["sample"])
 
 
 def vcf_line(info: Column, prob: Column, su: Column) -> Column:
@@ -34,7 +90,7 @@ def vcf_line(info: Column, prob: Column, su: Column) -> Column:
 def write_clusters_csv(stats: DataFrame, path: str) -> None:
     """SNK3: Chrom, Break_number, Size, Median_spacing, Break_pos by sample."""
     rows = stats.select("sample", F.col("chrom").alias("Chrom"), F.col("n_breaks").alias("Break_number"), F.col("size").alias("Size"), F.col("median_spacing").alias("Median_spacing"), F.col("positions").alias("Break_pos"))
-    by_folder(rows, "sample").write.partitionBy("sample").option("header", True).csv(path)
+    write_folders(by_folder(rows, "sample"), path, ["sample"], "csv", header=True)
 
 
 def fasta_record(name: Column, seq: Column) -> Column:
@@ -43,7 +99,7 @@ def fasta_record(name: Column, seq: Column) -> Column:
 
 def write_fasta(contigs: DataFrame, path: str) -> None:
     """SNK4: FASTA records, a folder for each sample."""
-    by_folder(contigs.select("sample", fasta_record(F.col("contig"), F.col("seq")).alias("value")), "sample").write.partitionBy("sample").text(path)
+    write_folders(by_folder(contigs.select("sample", fasta_record(F.col("contig"), F.col("seq")).alias("value")), "sample"), path, ["sample"])
 
 
 def write_fastq(reads: DataFrame, path: str) -> None:
@@ -90,7 +146,7 @@ def fastg_records(edges: DataFrame) -> DataFrame:
 def write_by_bin(contigs: DataFrame, annotation: DataFrame, path: str) -> None:
     """SNK7: FASTA records in a folder for each bin and sample."""
     rows = contigs.join(annotation.select("contig", "bin").distinct(), "contig")
-    by_folder(rows.select("bin", "sample", fasta_record(F.col("contig"), F.col("seq")).alias("value")), "bin", "sample").write.partitionBy("bin", "sample").text(path)
+    write_folders(by_folder(rows.select("bin", "sample", fasta_record(F.col("contig"), F.col("seq")).alias("value")), "bin", "sample"), path, ["bin", "sample"])
 
 
 def annotation_lines(annotation: DataFrame) -> DataFrame:

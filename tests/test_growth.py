@@ -282,3 +282,26 @@ def test_the_sweep_gets_a_number_for_an_alignment(spark, monkeypatch):
         assert rows(got, "contig", "pos", "base", "variant") == swept(strategy)
     assert handed[0].columns == ["contig", "parts", "n"] and handed[0].count() < len({d[1:4:2] for d in data})
     assert handed[0].selectExpr("max(size(parts))", "sum(size(parts) * n)").first()[:] == (max(Counter((d[3], d[1]) for d in data).values()), len(data))
+
+
+def test_folders_cost_no_process_and_no_discovery(spark, tmp_path):
+    from strandloom.sources import readers, writers
+
+    names = ["a b", "é", "a%20b", "a+b", "a/b=c", "x'y\"#?*:[]{}^\\", None, "", "7"]
+    data = [(n, "chr1", i, None if i % 3 else 'q"\t,x') for i, n in enumerate(names * 3)]
+    df = spark.createDataFrame(data, "sample string, chrom string, start long, note string").repartition(3)
+    df.write.partitionBy("sample").option("sep", "\t").csv(f"file://{tmp_path}/spark")
+    writers.write_bed(df, f"file://{tmp_path}/bed")
+    folders = {p.name for p in (tmp_path / "spark").glob("sample=*")}
+    assert {p.name for p in (tmp_path / "bed").glob("sample=*")} == folders and len(folders) == 8
+    lines = lambda d, f: sorted("".join(p.read_text() for p in (tmp_path / d / f).glob("part-*")).splitlines())
+    assert all(lines("bed", f) == lines("spark", f) for f in folders)
+    # Hadoop, which writes a checksum beside each file, starts a process for each of them
+    assert not [*(tmp_path / "bed").rglob("*.crc")] and not [*(tmp_path / "bed").rglob(".part*")]
+    got = readers.read_folders(spark, f"file://{tmp_path}/bed", "chrom string, start long, note string", "sample", sep="\t")
+    assert Counter(map(tuple, got.collect())) == Counter((c, a, n, s or None) for s, c, a, n in data)
+    assert "partitionfilters: []" in plan(got).lower() and "sample#" not in plan(got).split("FileScan")[1]
+    lines = spark.createDataFrame([("s", 2, "b"), ("t", 1, "c"), ("s", 1, "a")], "sample string, n long, chrom string")
+    writers.write_folders(writers.by_folder(lines, "sample"), f"file://{tmp_path}/head", ["sample"], "csv", header=True)
+    assert sorted(next((tmp_path / "head/sample=s").iterdir()).read_text().splitlines()) == ["1,a", "2,b", "n,chrom"]
+    assert next((tmp_path / "head/sample=t").iterdir()).read_text() == "n,chrom\n1,c\n"
