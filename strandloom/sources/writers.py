@@ -31,7 +31,10 @@ def write_folders(df: DataFrame, path: str, keys: list[str], form: str = "text",
     folder, file and checksum to set its mode, and the driver renames the folders one by one. Elsewhere Spark writes them. A file gets
     its name when it is whole, and a task that is tried again writes the same files.
     """
-    found = re.fullmatch("(?:file:(?://)?)?(/.*)", path)
+    spark = df.sparkSession
+    whole = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = whole.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(whole).toString()
+    found = re.fullmatch("file:(?://)?(/.*)", whole)
     if not found:
         df.write.partitionBy(*keys).options(**options).format(form).save(path)
         return
